@@ -52,7 +52,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = os.path.join(tempfile.gettempdir(), "tessera-scratch")
-        spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
