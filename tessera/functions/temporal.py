@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import at, strip
+from tessera.functions.text import WHITESPACE, at, strip
 
 # Portuguese months; three letters decide.
 MONTHS = (
@@ -20,74 +20,40 @@ MONTHS = (
 )
 
 SEPARATOR = "\u0001"
-FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "offset")
-
-
-class _Groups:
-    """Numbers capture groups while the expression is put together."""
-
-    def __init__(self) -> None:
-        self.count = 0
-        self.by_field: dict[str, list[int]] = {name: [] for name in FIELDS}
-
-    def take(self, field: str, body: str) -> str:
-        self.count += 1
-        self.by_field[field].append(self.count)
-        return f"({body})"
-
-    def replacement(self) -> str:
-        # A group that took no part in the match contributes nothing, so the
-        # groups of one field can simply be written next to each other.
-        return SEPARATOR.join(
-            "".join(f"${{{self.name(n)}}}" for n in self.by_field[field]) for field in FIELDS
-        )
-
-    @staticmethod
-    def name(number: int) -> str:
-        return f"g{number}"
-
-
-def _expression() -> tuple[str, str]:
-    groups = _Groups()
-
-    def take(field: str, body: str) -> str:
-        opened = groups.take(field, body)
-        return f"(?<{groups.name(groups.count)}>{opened[1:-1]})"
-
-    def clock(marker: str) -> str:
-        # Seconds stop at 59: the timestamp constructor would roll 60 over.
-        return (
-            f"(?:{marker}{take('hour', '[0-9]{1,2}')}:{take('minute', '[0-9]{2}')}"
-            f"(?::{take('second', '[0-5][0-9]')}(?:[.]{take('fraction', '[0-9]{1,6}')})?)?"
-            f"(?U:\\s*){take('offset', 'Z|[+-][0-9]{2}:?[0-9]{2}')}?)?"
-        )
-
-    letters = "(?iu:[a-zç]{%s})"
-    numeric = (
-        f"(?:{take('year', '[0-9]{4}')}-{take('month', '[0-9]{1,2}')}-{take('day', '[0-9]{1,2}')}"
-        f"|{take('year', '[0-9]{4}')}[/.-]{take('month', '[0-9]{1,2}')}[/.-]{take('day', '[0-9]{2,4}')}"
-        f"|{take('day', '[0-9]{1,3}')}[/.-]{take('month', '[0-9]{1,2}')}[/.-]{take('year', '[0-9]{2,4}')}"
-        f"){clock('[T ]')}"
-    )
-    named = (
-        f"{take('day', '[0-9]{1,2}')}[/.-]{take('month', letters % '3,9')}[/.-]"
-        f"{take('year', '[0-9]{2,4}')}{clock('[Tt ]')}"
-    )
-    written = (
-        f"{take('day', '[0-9]{1,2}')}(?iuU:\\s+de\\s+){take('month', letters % '1,')}[.]?"
-        f"(?iuU:\\s+de\\s+)?{take('year', '[0-9]{4}')}"
-    )
-    return f"^(?:{numeric}|{named}|{written})\\n?\\z", groups.replacement()
+FIELDS = ("year", "month", "day", "marker", "hour", "minute", "second", "fraction", "offset")
 
-
-PATTERN, REPLACEMENT = _expression()
+_LETTERS = "(?iu:[a-zç]{%s})"
+# Year first. Two dashes allow a one-digit day, other separators do not.
+_YEAR_FIRST = (
+    "([0-9]{4})(?:-(?=[0-9]{1,2}-)|[/.-](?=[0-9]{1,2}[/.-][0-9]{2}))([0-9]{1,2})[/.-]([0-9]{1,4})"
+)
+# Day first, the month as a number or a name; a named month takes no third digit.
+_DAY_FIRST = (
+    "(?![0-9]{3}[/.-][^0-9])([0-9]{1,3})[/.-]([0-9]{1,2}|%s)[/.-]([0-9]{2,4})" % (_LETTERS % "3,9")
+)
+_WRITTEN = (
+    "([0-9]{1,2})(?iuU:\\s+de\\s+)(%s)[.]?(?iuU:\\s+de\\s+)?([0-9]{4})" % (_LETTERS % "1,")
+)
+# Seconds stop at 59: the timestamp constructor would roll 60 over.
+_CLOCK = (
+    "(?:([Tt ])([0-9]{1,2}):([0-9]{2})(?::([0-5][0-9])(?:[.]([0-9]{1,6}))?)?"
+    "(?U:\\s*)(Z|[+-][0-9]{2}:?[0-9]{2})?)?"
+)
+PATTERN = f"^(?:(?:{_YEAR_FIRST}|{_DAY_FIRST}){_CLOCK}|{_WRITTEN})\\n?\\z"
+# A group that took no part in the match adds nothing, so the groups of one
+# field are simply written next to each other.
+REPLACEMENT = SEPARATOR.join(
+    ("$1$6$15", "$2$5$14", "$3$4$13", "$7", "$8", "$9", "$10", "$11", "$12")
+)
 
 
 def _pieces(text: Column) -> Column:
     trimmed = F.rtrim(strip(text), F.lit("."))
     # A cell that already holds the separator cannot be a date.
     safe = F.translate(trimmed, SEPARATOR, "\ufffd")
-    return F.split(F.regexp_replace(safe, F.lit(PATTERN), F.lit(REPLACEMENT)), SEPARATOR)
+    written = F.regexp_replace(safe, F.lit(PATTERN), F.lit(REPLACEMENT))
+    # Every date starts with a digit; other cells never reach the expression.
+    return F.when(F.ascii(F.ltrim(text, F.lit(WHITESPACE))).between(48, 57), F.split(written, SEPARATOR))
 
 
 def _field(pieces: Column, name: str) -> Column:
@@ -112,13 +78,16 @@ def _offset_minutes(offset: Column) -> Column:
 
 def _local(pieces: Column) -> Column:
     """The moment as written, before its offset; NULL for an impossible date."""
-    year = _field(pieces, "year").try_cast("int")
+    month = _field(pieces, "month")
+    # Only after a named month may the clock start with a small t.
+    sound = (_field(pieces, "marker") != "t") | ~F.ascii(month).between(48, 57)
+    year = F.when(sound, _field(pieces, "year")).try_cast("int")
     seconds = F.concat(
         F.lit("0"), _field(pieces, "second"), F.lit("."), _field(pieces, "fraction"), F.lit("0")
     )
     return F.try_make_timestamp_ntz(
         F.when(year < 100, year + 2000).otherwise(year),
-        _month_number(_field(pieces, "month")),
+        _month_number(month),
         _field(pieces, "day").try_cast("int"),
         F.concat(F.lit("0"), _field(pieces, "hour")).try_cast("int"),
         F.concat(F.lit("0"), _field(pieces, "minute")).try_cast("int"),

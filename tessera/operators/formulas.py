@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.worksheet import formula_columns, headers, numeric_columns, stored_rows
+from tessera.operators.worksheet import layout, numeric_columns, stored_spread
 
 # Functions with a query-time equivalent, and the text recorded
 # for a formula without one.
@@ -30,18 +30,26 @@ def column_number(letters: Column) -> Column:
     )
 
 
-def formulas(cells: DataFrame) -> DataFrame:
-    """``[sheet, row, col, column, formula]``, one row per formula cell."""
+def formulas(cells: DataFrame, shape: DataFrame) -> DataFrame:
+    """``[sheet, row, col, column, formula]``, one row per formula cell.
+
+    A sheet that stores no row of its own is left out, formulas and all.
+    """
+    # Rows are stored exactly when some stored column has a cell.
+    kept = numeric_columns(shape).select("sheet").distinct()
     return (
-        cells.filter("is_formula")
-        .join(headers(cells), ["sheet", "col"])
+        cells.filter("is_formula and value <> ''")
+        .join(shape.select("sheet", "col", "label", "header_row"), ["sheet", "col"])
+        .filter("row > header_row")
+        .join(kept, "sheet", "left_semi")
         .select("sheet", "row", "col", F.col("label").alias("column"), F.col("value").alias("formula"))
     )
 
 
-def formula_inventory(cells: DataFrame) -> DataFrame:
+def formula_inventory(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """One row per distinct formula of a column."""
-    return formulas(cells).groupBy("sheet", "col", "column", "formula").agg(F.count("*").alias("n_cells"))
+    shape = layout(cells) if shape is None else shape
+    return formulas(cells, shape).groupBy("sheet", "col", "column", "formula").agg(F.count("*").alias("n_cells"))
 
 
 def _corners(reference: Column) -> dict[str, Column]:
@@ -65,13 +73,14 @@ def _references(found: DataFrame, text: Column, *keep: str) -> DataFrame:
     return exploded.select("*", *[value.alias(name) for name, value in corners.items()])
 
 
-def formula_inputs(cells: DataFrame) -> DataFrame:
+def formula_inputs(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """``[sheet, col, formula, input, first_use]``: headers a formula reads.
 
     Ranges count by column; formula columns and columns outside the sheet do
     not count. ``first_use`` orders the inputs by appearance.
     """
-    inventory = formula_inventory(cells).select("sheet", "col", "formula")
+    shape = layout(cells) if shape is None else shape
+    inventory = formula_inventory(cells, shape).select("sheet", "col", "formula")
     used = _references(inventory, F.col("formula"), "sheet", "col", "formula").select(
         "sheet",
         "col",
@@ -79,9 +88,9 @@ def formula_inputs(cells: DataFrame) -> DataFrame:
         "ref_pos",
         F.explode(F.sequence(F.greatest("left", F.lit(1)), F.least("right", F.lit(18278)))).alias("input_col"),
     )
-    stored = headers(cells).join(formula_columns(cells), ["sheet", "col"], "left_anti")
+    stored = shape.filter("not calculated").select("sheet", F.col("col").alias("input_col"), "label")
     return (
-        used.join(stored.withColumnRenamed("col", "input_col"), ["sheet", "input_col"])
+        used.join(stored, ["sheet", "input_col"])
         .groupBy("sheet", "col", "formula", F.col("label").alias("input"))
         .agg(F.min(F.struct("ref_pos", "input_col")).alias("_first"))
         .select(
@@ -94,7 +103,7 @@ def formula_inputs(cells: DataFrame) -> DataFrame:
     )
 
 
-def formula_eligibility(cells: DataFrame) -> DataFrame:
+def formula_eligibility(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """``[sheet, row, col, formula, shape, verdict]`` per formula cell.
 
     ``shape`` is ``horizontal``, ``vertical`` or ``arithmetic``. A formula is
@@ -102,7 +111,8 @@ def formula_eligibility(cells: DataFrame) -> DataFrame:
     every stored row, name each numeric stored column once, and are combined by
     a known function or by plain arithmetic.
     """
-    found = formulas(cells)
+    shape = layout(cells) if shape is None else shape
+    found = formulas(cells, shape)
     body = F.trim(F.substring("formula", 2, 1 << 20))
     call = rf"(?i)\A({FUNCTIONS})\s*[(](.*)[)]\z"
     name = F.regexp_extract(body, call, 1)
@@ -130,9 +140,7 @@ def formula_eligibility(cells: DataFrame) -> DataFrame:
     )
     keys = ["sheet", "row", "col"]
     references = _references(shaped, F.col("body"), *keys)
-    spread = stored_rows(cells).groupBy("sheet").agg(
-        F.min("row").alias("first_row"), F.max("row").alias("last_row")
-    )
+    spread = stored_spread(cells, shape)
     flat = F.col("top") == F.col("bottom")
     placed = references.join(spread, "sheet", "left").select(
         *keys,
@@ -148,7 +156,7 @@ def formula_eligibility(cells: DataFrame) -> DataFrame:
         "*",
         F.explode(F.sequence(F.greatest("left", F.lit(1)), F.least("right", F.lit(18278)))).alias("ref_col"),
     )
-    numeric = numeric_columns(cells).withColumnRenamed("col", "ref_col")
+    numeric = numeric_columns(shape).withColumnRenamed("col", "ref_col")
     judged = (
         columns.join(numeric, ["sheet", "ref_col"], "left")
         .groupBy(*keys)
@@ -172,13 +180,13 @@ def formula_eligibility(cells: DataFrame) -> DataFrame:
         .when(called & F.col("repeated"), "repeated column")
         .when(~called & ~F.coalesce(F.col("all_flat"), F.lit(True)), "unsupported expression")
     )
-    shape = F.when(~called, "arithmetic").when(F.col("all_flat"), "horizontal").otherwise("vertical")
+    direction = F.when(~called, "arithmetic").when(F.col("all_flat"), "horizontal").otherwise("vertical")
     return joined.select(
         "sheet",
         "row",
         "col",
         "formula",
-        F.when(reason.isNull(), shape).alias("shape"),
+        F.when(reason.isNull(), direction).alias("shape"),
         F.coalesce(reason, F.lit("derivable")).alias("verdict"),
         F.when(reason.isNotNull(), NO_EQUIVALENT).alias("note"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.naming import header_forms
-from tessera.functions.normalize import DIGIT_COUNTS, KIND_TYPES, normalize, numeric_class
+from tessera.functions.normalize import DIGIT_COUNTS, INTEGER_TEXT, KIND_TYPES, normalize, numeric_class
 from tessera.functions.temporal import iso_calendar_date, parse_timestamp, with_moments
 from tessera.functions.text import digits, is_blank, strip
 from tessera.operators.cells import ROW, melt
@@ -19,6 +19,20 @@ PHONE_HINTS = ("telefone", "celular", "fone", "whatsapp", "contato")
 KEYS = ["dataset", "column"]
 
 
+def _is_iso_date() -> Column:
+    """Strict ISO dates; a text in the extended form was already parsed."""
+    text, tag, size = F.col("text"), F.col("tag"), F.length("text")
+    extended = (size == 10) & text.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    unusual = text.contains("W") | ((size == 8) & (F.col("only") == 8))
+    return (
+        F.when(tag.isin("date", "datetime"), True)
+        .when((tag != "str") | ~size.isin(7, 8, 10), False)
+        .when(extended, F.col("moment.ts").isNotNull() & ~text.startswith("0000"))
+        .when(unusual, iso_calendar_date(text).isNotNull())
+        .otherwise(False)
+    )
+
+
 def _measured(cells: DataFrame) -> DataFrame:
     """Per-cell facts; each text is parsed exactly once, here."""
     text, tag = F.col("text"), F.col("tag")
@@ -33,11 +47,9 @@ def _measured(cells: DataFrame) -> DataFrame:
         F.when(F.col("filled"), F.col("only")).alias("n_digits"),
         text.contains("@").alias("has_at"),
         F.when(tag == "str", numeric_class(text)).alias("number"),
-        (text.rlike(r"\A[-+]?[0-9]{18,}\z") & text.try_cast("bigint").isNull()).alias("too_big"),
-        F.when(tag.isin("date", "datetime"), True)
-        .when(tag == "str", iso_calendar_date(text).isNotNull())
-        .otherwise(False)
-        .alias("iso"),
+        # Only an integer that long can be beyond 64 bits.
+        ((F.col("only") > 18) & text.rlike(INTEGER_TEXT) & text.try_cast("bigint").isNull()).alias("too_big"),
+        _is_iso_date().alias("iso"),
     )
 
 

@@ -1,9 +1,9 @@
 """Worksheets given as cells ``(sheet, row, col, value, value_type, is_formula)``.
 
-Rows and columns are 1-based as in the sheet. Sheets of every size go through
-the same joins: per-sheet facts (header row, formula columns) are small
-aggregates that join back on the sheet, and AQE splits a sheet that holds most
-of the rows.
+Rows and columns are 1-based as in the sheet. Everything a sheet decides about
+its columns fits into one small layout row per column; it is worked out once,
+in two map-side combined aggregations, and joins back on the sheet. AQE splits
+the join for a sheet that holds most of the rows.
 """
 from __future__ import annotations
 
@@ -11,86 +11,101 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
+from tessera.session import checkpointed
 
 
 def _filled() -> Column:
     return F.coalesce(F.col("value") != "", F.lit(False))
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """``[sheet, header_row]``: the first row with any content."""
-    return cells.filter(_filled()).groupBy("sheet").agg(F.min("row").alias("header_row"))
+def layout(cells: DataFrame) -> DataFrame:
+    """``[sheet, header_row, col, label, calculated, numeric]`` per used column.
 
-
-def headers(cells: DataFrame) -> DataFrame:
-    """``[sheet, col, label]`` of the header row over the sheet's used columns."""
-    used = cells.filter(_filled()).groupBy("sheet").agg(
-        F.min("row").alias("header_row"), F.max("col").alias("last")
+    The header is the first row with any content. A column with a formula below
+    it is ``calculated``; ``numeric`` says that every cell below it is a number
+    (booleans are not) and is NULL for a column without cells.
+    """
+    filled = cells.filter(_filled())
+    tops = filled.groupBy("sheet").agg(F.min("row").alias("header_row"), F.max("col").alias("last"))
+    below = F.col("row") > F.col("header_row")
+    columns = (
+        filled.join(tops, "sheet")
+        .groupBy("sheet", "col")
+        .agg(
+            F.max(F.when(~below, F.col("value"))).alias("label"),
+            F.coalesce(F.bool_or(below & F.col("is_formula")), F.lit(False)).alias("calculated"),
+            F.bool_and(F.when(below, F.col("value_type").isin("int", "float"))).alias("numeric"),
+        )
     )
-    labels = cells.filter(_filled()).join(used, "sheet").filter("row = header_row")
-    every = used.select("sheet", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("col"))
-    return every.join(labels.select("sheet", "col", F.col("value").alias("label")), ["sheet", "col"], "left").select(
-        "sheet", "col", F.coalesce("label", F.lit("")).alias("label")
+    every = tops.select("sheet", "header_row", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("col"))
+    joined = every.join(columns, ["sheet", "col"], "left").select(
+        "sheet",
+        "header_row",
+        "col",
+        F.coalesce("label", F.lit("")).alias("label"),
+        F.coalesce("calculated", F.lit(False)).alias("calculated"),
+        "numeric",
     )
+    return checkpointed(cells.sparkSession, joined)
 
 
-def _data(cells: DataFrame) -> DataFrame:
-    return (
-        cells.filter(_filled())
-        .join(header_rows(cells), "sheet")
-        .filter("row > header_row")
-        .drop("header_row")
-    )
+def headers(shape: DataFrame) -> DataFrame:
+    return shape.select("sheet", "col", "label")
 
 
-def formula_columns(cells: DataFrame) -> DataFrame:
-    """``[sheet, col]`` with at least one formula below the header."""
-    return (
-        _data(cells)
-        .groupBy("sheet", "col")
-        .agg(F.bool_or("is_formula").alias("calculated"))
-        .filter("calculated")
-        .select("sheet", "col")
-    )
+def formula_columns(shape: DataFrame) -> DataFrame:
+    """``[sheet, col]`` with at least one formula; they are left out of storage."""
+    return shape.filter("calculated").select("sheet", "col")
+
 
+def _data(cells: DataFrame, shape: DataFrame) -> DataFrame:
+    placed = cells.filter(_filled()).join(shape.select("sheet", "col", "header_row", "calculated"), ["sheet", "col"])
+    return placed.filter("row > header_row").drop("header_row")
 
-def stored_cells(cells: DataFrame) -> DataFrame:
+
+def stored_cells(cells: DataFrame, shape: DataFrame) -> DataFrame:
     """Filled data cells outside formula columns; rows left empty vanish."""
-    return _data(cells).join(formula_columns(cells), ["sheet", "col"], "left_anti")
+    return _data(cells, shape).filter("not calculated").drop("calculated")
 
 
-def stored_rows(cells: DataFrame) -> DataFrame:
-    """``[sheet, row]`` that keep some value of their own."""
-    return stored_cells(cells).select("sheet", "row").distinct()
+def stored_spread(cells: DataFrame, shape: DataFrame) -> DataFrame:
+    """``[sheet, first_row, last_row]`` of the rows that keep some value."""
+    return stored_cells(cells, shape).groupBy("sheet").agg(
+        F.min("row").alias("first_row"), F.max("row").alias("last_row")
+    )
 
 
-def dropped_rows(cells: DataFrame) -> DataFrame:
+def dropped_rows(cells: DataFrame, shape: DataFrame) -> DataFrame:
     """``[sheet, row]`` whose only content is in formula columns."""
-    return _data(cells).select("sheet", "row").distinct().join(stored_rows(cells), ["sheet", "row"], "left_anti")
+    return (
+        _data(cells, shape)
+        .groupBy("sheet", "row")
+        .agg(F.bool_and("calculated").alias("only_formulas"))
+        .filter("only_formulas")
+        .select("sheet", "row")
+    )
 
 
-def numeric_columns(cells: DataFrame) -> DataFrame:
-    """``[sheet, col, numeric]`` over stored cells; booleans are not numbers."""
-    return stored_cells(cells).groupBy("sheet", "col").agg(
-        F.bool_and(F.col("value_type").isin("int", "float")).alias("numeric")
-    )
+def numeric_columns(shape: DataFrame) -> DataFrame:
+    """``[sheet, col, numeric]`` of the stored columns with content."""
+    return shape.filter("not calculated and numeric is not null").select("sheet", "col", "numeric")
 
 
-def to_cells(cells: DataFrame) -> DataFrame:
+def to_cells(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """Sheets with a header and data as long cells, one dataset per sheet.
 
     Every stored row answers every stored column, so absent cells come out as
     NULL. A row has at most as many cells as a sheet has columns, so grouping
     by row is bounded; the labels of a sheet travel as one array.
     """
-    rows = stored_cells(cells).groupBy("sheet", "row").agg(
+    shape = layout(cells) if shape is None else shape
+    rows = stored_cells(cells, shape).groupBy("sheet", "row").agg(
         F.map_from_entries(
             F.collect_list(F.struct("col", F.struct(F.col("value").alias("text"), F.col("value_type").alias("tag"))))
         ).alias("filled")
     )
     labels = (
-        headers(cells)
-        .join(formula_columns(cells), ["sheet", "col"], "left_anti")
+        shape.filter("not calculated")
         .groupBy("sheet")
         .agg(F.array_sort(F.collect_list(F.struct("col", "label"))).alias("labels"))
     )
@@ -113,12 +128,16 @@ def to_cells(cells: DataFrame) -> DataFrame:
 
 def to_table(cells: DataFrame, sheet: str) -> DataFrame:
     """One sheet as a wide table of texts."""
-    long = to_cells(cells.filter(F.col("sheet") == sheet))
-    labels = [
-        row.label
-        for row in headers(cells.filter(F.col("sheet") == sheet))
-        .join(formula_columns(cells), ["sheet", "col"], "left_anti")
-        .orderBy("col")
-        .collect()
-    ]
-    return long.groupBy(ROW).pivot("column", labels).agg(F.first("text"))
+    own = cells.filter(F.col("sheet") == sheet)
+    shape = layout(own)
+    labels = [row.label for row in shape.filter("not calculated").orderBy("col").collect()]
+    return to_cells(own, shape).groupBy(ROW).pivot("column", labels).agg(F.first("text"))
+
+
+def duplicate_labels(shape: DataFrame) -> DataFrame:
+    """Labels a sheet uses twice, two blank ones included, with their places."""
+    return (
+        shape.groupBy("sheet", "label")
+        .agg(F.count("*").alias("n"), F.min("col").alias("first_pos"), F.max("col").alias("last_pos"))
+        .filter("n > 1")
+    )

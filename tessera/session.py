@@ -13,6 +13,9 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes of bytecode. Stages that
+    # would need one run through smaller generated functions instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
