@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.naming import PROVENANCE, distinct_names, identifier, unique_identifiers
+from tessera.functions.naming import PROVENANCE, RESERVED, distinct_names, identifier, unique_identifiers
 from tessera.functions.normalize import SPARK_TYPES, typed
 from tessera.functions.temporal import with_moments
 from tessera.operators.cells import ROW, as_text, melt, with_row

@@ -58,4 +58,8 @@ def manifest_cells(manifests: DataFrame) -> DataFrame:
         .otherwise("other")
     )
     exploded = rows.select("*", F.posexplode("columns").alias("pos", "column")).drop("columns")
-    return exploded.withColumns({"text": cell.cast("string"), "tag": tag}).drop("cells")
+    printed = cell.cast("string")
+    # A variant drops trailing zeros; a number written with a point keeps one.
+    whole = (tag == "float") & printed.rlike(r"\A-?[0-9]+\z")
+    text = F.when(whole, F.concat(printed, F.lit(".0"))).otherwise(printed)
+    return exploded.withColumns({"text": text, "tag": tag}).drop("cells")

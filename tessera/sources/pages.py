@@ -5,11 +5,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """``[path, body]`` of every ``*.md`` below ``root``, paths relative to it."""
+def read_pages(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """``[path, body]`` of every matching file below ``root``, paths relative to it."""
     texts = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
+        .option("pathGlobFilter", pattern)
         .text(root, wholetext=True)
     )
     below = F.regexp_replace(F.col("_metadata.file_path"), r"\A[a-z0-9]+:/*", "/")

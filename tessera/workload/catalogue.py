@@ -1,5 +1,5 @@
 """Collects every registered query."""
-from tessera.workload import columns, sheets, values  # noqa: F401
+from tessera.workload import columns, scans, sheets, stores, values  # noqa: F401
 from tessera.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
