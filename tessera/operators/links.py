@@ -70,8 +70,9 @@ def missing_crossrefs(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     names = names.select("to_path", F.array_join("words", " ").alias("run"), F.size("words").alias("n")).filter("n > 0")
     # As many values as titles have lengths.
     lengths = sorted(row.n for row in names.select("n").distinct().collect())
-    prose = concept_pages(parsed).select("path", F.regexp_replace("content", WIKILINK, " . ").alias("text"))
-    # Sentence ends separate runs as well as links do.
+    # A link or the end of a paragraph cuts a run: both become a word no title has.
+    cut = F.regexp_replace("content", rf"{WIKILINK}|\n\s*\n", " _#_ ")
+    prose = concept_pages(parsed).select("path", cut.alias("text"))
     words = prose.select("path", F.filter(F.split(F.lower("text"), word), lambda w: w != "").alias("words"))
     runs = F.flatten(
         F.array(
