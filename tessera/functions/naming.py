@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import checkpointed
+
 # Columns that say where a row came from.
 PROVENANCE = (
     ("source_id", "VARCHAR"),
@@ -70,29 +72,30 @@ def unique_names(
 ) -> DataFrame:
     """Distributed form of :func:`distinct_names`: adds ``name``.
 
-    Names can only collide inside a *family*: same scope and same stem once
-    numeric suffixes are removed. In a family whose members all have the same
-    base the n-th member simply gets suffix n. Families that mix ``a`` with
-    ``a_2`` are rare, and each is settled in order by a small grouped function.
+    The n-th member with a base gets suffix n, unless a base that repeats (``a``)
+    meets another one that looks like its suffixed form (``a_2``). Such families
+    (same scope, same stem without numeric suffixes) are settled in order by a
+    grouped function; a family of labels that belong to one file or source.
     """
     taken = sorted(set(taken))
-    stem = F.regexp_replace(F.col(base), "(?:_[0-9]+)+$", "")
-    marked = df.withColumn("_stem", stem)
-    reserved = [name for name in taken if re.search(r"_[0-9]+$", name)]
+    spark = df.sparkSession
+    marked = df.withColumn("_stem", F.regexp_replace(F.col(base), "(?:_[0-9]+)+$", ""))
     keys = [*scope, "_stem"]
-    mixed = (
-        marked.groupBy(*keys)
-        .agg(F.min(base).alias("_lo"), F.max(base).alias("_hi"))
-        .filter((F.col("_lo") != F.col("_hi")) | F.col("_lo").isin(reserved))
-        .select(*keys, F.lit(True).alias("_mixed"))
+    bases = marked.groupBy(*keys, base).agg(F.count("*").alias("_n"))
+    repeated = bases.filter((F.col("_n") > 1) | F.col(base).isin(taken)).select(
+        *keys, F.col(base).alias("_parent")
+    )
+    shadowed = bases.withColumn("_parent", F.regexp_replace(F.col(base), "_[0-9]+$", "")).filter(
+        F.col("_parent") != F.col(base)
     )
-    tagged = marked.join(mixed, keys, "left")
+    mixed = shadowed.join(repeated, [*keys, "_parent"], "left_semi").select(*keys).distinct()
+    mixed = checkpointed(spark, mixed)
 
     first = F.when(F.col(base).isin(taken), 2).otherwise(1)
-    position = F.row_number().over(W.partitionBy(*scope, base).orderBy(order)) + first - 1
-    simple = tagged.filter("_mixed is null").withColumn(
+    position = F.col("_rank") + first - 1
+    simple = ranked(marked.join(mixed, keys, "left_anti"), [*scope, base], order).withColumn(
         "name",
-        F.when(position == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), position)),
+        F.when(position == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), position.cast("string"))),
     )
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
@@ -100,8 +103,30 @@ def unique_names(
         return group.assign(name=distinct_names(group[base], taken))
 
     schema = marked.withColumn("name", F.lit("")).schema
-    settled = tagged.filter("_mixed").drop("_mixed").groupBy(*keys).applyInPandas(settle, schema)
-    return simple.drop("_mixed").unionByName(settled).drop("_stem")
+    settled = marked.join(mixed, keys, "left_semi").groupBy(*keys).applyInPandas(settle, schema)
+    return simple.drop("_rank").unionByName(settled).drop("_stem")
+
+
+def ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``_rank`` within ``keys`` by ``order`` without one task per key.
+
+    Rows are range partitioned by key and order, so a key that holds a third of
+    all rows spreads over many partitions. Each partition ranks its own rows and
+    adds what the same key has in earlier partitions: one number per pair.
+    The partitioned rows are checkpointed, so that a repeated task sees them
+    where they were.
+    """
+    parted = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    parted = checkpointed(df.sparkSession, parted)
+    counts = parted.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_part", *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = parted.withColumn("_local", F.row_number().over(W.partitionBy("_part", *keys).orderBy(order)))
+    return (
+        local.join(offsets, ["_part", *keys])
+        .withColumn("_rank", F.col("_local") + F.col("_before"))
+        .drop("_part", "_local", "_before")
+    )
 
 
 def header_forms(label: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.worksheet import layout, numeric_columns, stored_spread
+from tessera.session import small
 
 # Functions with a query-time equivalent, and the text recorded
 # for a formula without one.
@@ -39,7 +40,7 @@ def formulas(cells: DataFrame, shape: DataFrame) -> DataFrame:
     kept = numeric_columns(shape).select("sheet").distinct()
     return (
         cells.filter("is_formula and value <> ''")
-        .join(shape.select("sheet", "col", "label", "header_row"), ["sheet", "col"])
+        .join(small(shape.select("sheet", "col", "label", "header_row")), ["sheet", "col"])
         .filter("row > header_row")
         .join(kept, "sheet", "left_semi")
         .select("sheet", "row", "col", F.col("label").alias("column"), F.col("value").alias("formula"))

@@ -10,6 +10,7 @@ from tessera.functions.normalize import DIGIT_COUNTS, INTEGER_TEXT, KIND_TYPES,
 from tessera.functions.temporal import iso_calendar_date, parse_timestamp, with_moments
 from tessera.functions.text import digits, is_blank, strip
 from tessera.operators.cells import ROW, melt
+from tessera.session import checkpointed, small
 
 # Parts of a header that hint at a kind.
 DATE_HINTS = ("data", "nasc", "venc", "exped")
@@ -178,7 +179,7 @@ def nulled_examples(cells: DataFrame, kinds: DataFrame, keep: int = 3) -> DataFr
     per-task group limit, so a column that loses billions of cells still sends
     at most ``keep`` of them to the ranking task.
     """
-    known = F.broadcast(kinds.filter("kind is not null").select(*KEYS, "kind"))
+    known = small(kinds.filter("kind is not null").select(*KEYS, "kind"))
     filled = cells.join(known, KEYS).filter(~is_blank(F.col("text")))
     lost = (
         filled.filter(normalized_text(F.col("text"), F.col("kind")).isNull())
@@ -195,7 +196,7 @@ def nulled_examples(cells: DataFrame, kinds: DataFrame, keep: int = 3) -> DataFr
 
 def normalization_report(cells: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """Per normalized column: counts and up to three lost texts."""
-    kinds = profile(cells) if kinds is None else kinds
+    kinds = checkpointed(cells.sparkSession, profile(cells)) if kinds is None else kinds
     ranked = nulled_examples(cells, kinds)
     shown = ranked.groupBy(*KEYS).agg(
         *[F.max(F.when(F.col("rank") == n, F.col("example"))).alias(f"example_{n}") for n in (1, 2, 3)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
-from tessera.session import checkpointed
+from tessera.session import checkpointed, small
 
 
 def _filled() -> Column:
@@ -59,7 +59,8 @@ def formula_columns(shape: DataFrame) -> DataFrame:
 
 
 def _data(cells: DataFrame, shape: DataFrame) -> DataFrame:
-    placed = cells.filter(_filled()).join(shape.select("sheet", "col", "header_row", "calculated"), ["sheet", "col"])
+    facts = small(shape.select("sheet", "col", "header_row", "calculated"))
+    placed = cells.filter(_filled()).join(facts, ["sheet", "col"])
     return placed.filter("row > header_row").drop("header_row")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 REQUIRED = {
     # Naive timestamps are compared and printed in UTC everywhere.
@@ -75,6 +76,15 @@ def checkpointed(spark: SparkSession, df):
     return df.checkpoint()
 
 
+def small(df, rows: int = 100_000):
+    """A broadcast hint for a materialized side, if counting shows it is small.
+
+    Meant for checkpointed facts (one row per column, sheet or file). Beyond the
+    limit the join is left to the optimizer, which shuffles and splits skew.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hadoop_path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
-from tessera.session import checkpointed
+from tessera.session import checkpointed, small
 from tessera.sources.files import default_separator, listing
 
 # Separators tried when the default gives ragged rows.
@@ -272,7 +272,7 @@ def read_cells(spark: SparkSession, path: str | list[str], sep: str | None = Non
     names = labels.groupBy("file").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("names")
     )
-    rows = found.records.join(good.join(names, "file"), "file")
+    rows = found.records.join(small(checkpointed(spark, good.join(names, "file"))), "file")
     rows = rows.filter(F.struct("block", "id") != F.col("head"))
     parts = []
     shapes = good.groupBy("use").agg(F.max("width").alias("width")).collect()
@@ -318,7 +318,7 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None =
     labels = header_labels(complete).select("pos", "label").distinct().orderBy("pos")
     names = [row.label for row in labels.collect()]
     _require_distinct(names)
-    rows = found.records.join(complete.select("file", "head"), "file").filter(
+    rows = found.records.join(small(complete.select("file", "head")), "file").filter(
         (F.struct("block", "id") != F.col("head")) & ~_is_blank_record(F.col("record"), shape.sep)
     )
     values = _fields(F.col("record"), shape.sep, shape.width)

@@ -37,9 +37,11 @@ delegated(
 )
 delegated(
     "delegated_asof",
-    # The latest earlier order of the same client, by rank within the match.
-    f"""SELECT k, earlier FROM (SELECT a.k, b.k AS earlier, row_number() OVER (PARTITION BY a.k ORDER BY b.registro DESC, b.k DESC) AS place
-    FROM {ORDERS} a JOIN {ORDERS} b ON a.cliente = b.cliente AND b.registro < a.registro) x WHERE place = 1""",
+    # The latest earlier order of the same client: one row per moment, then the
+    # moment before, so no pairs of orders are ever formed.
+    f"""SELECT o.k, p.earlier FROM {ORDERS} o JOIN (SELECT cliente, registro, lag(latest) OVER (PARTITION BY cliente ORDER BY registro) AS earlier
+      FROM (SELECT cliente, registro, max(k) AS latest FROM {ORDERS} GROUP BY cliente, registro) m) p
+    ON o.cliente = p.cliente AND o.registro = p.registro WHERE p.earlier IS NOT NULL""",
 )
 delegated(
     "delegated_rollup",
