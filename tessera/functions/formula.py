@@ -42,7 +42,8 @@ def row_stddev(*cells: Column, pop: bool = False) -> Column:
     present = _count(cells)
     mean = row_average(*cells)
     squares = [F.coalesce(F.pow(number(cell) - mean, F.lit(2)), F.lit(0.0)) for cell in cells]
-    return F.sqrt(reduce(add, squares) / F.nullif(present if pop else present - 1, F.lit(0)))
+    divisor = present if pop else F.greatest(present - 1, F.lit(0))
+    return F.sqrt(reduce(add, squares) / F.nullif(divisor, F.lit(0)))
 
 
 def column_sum(cell: Column) -> Column:

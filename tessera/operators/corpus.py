@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.temporal import parse_timestamp
+from tessera.functions.text import strip
 
 # Keys with a meaning, names that are not pages, type per section.
 KEYS = ("type", "title", "description", "resource", "tags", "sources", "generated", "verified")
@@ -23,9 +24,12 @@ _TOP = r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):"
 
 def _present(value: Column) -> Column:
     """Quotes and trailing comments off, empty to NULL."""
-    plain = F.regexp_replace(F.trim(value), r"\s+#.*\z", "")
-    plain = F.regexp_replace(plain, r"""\A(['"])(.*)\1\z""", "$2")
-    return F.nullif(F.trim(plain), F.lit(""))
+    text = strip(value)
+    quoted = r"""\A(['"])(.*?)\1\s*(?:#.*)?\z"""
+    plain = F.when(text.rlike(quoted), F.regexp_extract(text, quoted, 2)).otherwise(
+        strip(F.regexp_replace(text, r"(?:\A|\s+)#.*\z", ""))
+    )
+    return F.nullif(plain, F.lit(""))
 
 
 def _scalar(block: Column, key: str) -> Column:

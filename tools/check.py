@@ -33,6 +33,25 @@ def canonical(value):
     return str(value)
 
 
+def compare(df, oracle, sql: str | None) -> tuple[str, int]:
+    """What differs between a result and its SQL ('' for nothing), and the row count."""
+    columns = sorted(df.columns)
+    rows = [tuple(row[c] for c in columns) for row in df.collect()]
+    if sql is None:
+        return "", len(rows)
+    cursor = oracle.execute(sql)
+    names = [d[0] for d in cursor.description]
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    if [names[i] for i in order] != columns:
+        return f"columns {columns} != {sorted(names)}", len(rows)
+    a = sorted(tuple(map(canonical, row)) for row in rows)
+    b = sorted(tuple(canonical(row[i]) for i in order) for row in cursor.fetchall())
+    if a == b:
+        return "", len(rows)
+    first = next(((x, y) for x, y in zip(a, b) if x != y), None)
+    return f"{len(a)} vs {len(b)} rows; {first}", len(rows)
+
+
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
@@ -46,31 +65,12 @@ def main() -> int:
     for name in args.names or QUERIES:
         started = time.time()
         try:
-            df = QUERIES[name](spark, args.sf)
-            columns = sorted(df.columns)
-            rows = [tuple(row[c] for c in columns) for row in df.collect()]
-            took = time.time() - started
-            if name not in ORACLES:
-                print(f"rows {name:28s} {len(rows):7d} rows {took:6.1f}s", flush=True)
-                continue
-            cursor = oracle.execute(ORACLES[name])
-            names = [d[0] for d in cursor.description]
-            order = sorted(range(len(names)), key=lambda i: names[i])
-            wanted = [tuple(row[i] for i in order) for row in cursor.fetchall()]
-            problem = ""
-            if [names[i] for i in order] != columns:
-                problem = f"columns {columns} != {sorted(names)}"
-            else:
-                a = sorted(tuple(map(canonical, row)) for row in rows)
-                b = sorted(tuple(map(canonical, row)) for row in wanted)
-                if a != b:
-                    diff = next(((x, y) for x, y in zip(a, b) if x != y), None)
-                    problem = f"{len(a)} vs {len(b)} rows; {diff}"
-            print(f"{'FAIL' if problem else 'ok  '} {name:28s} {len(rows):7d} rows {took:6.1f}s {problem[:600]}", flush=True)
-            if problem:
-                failed.append(name)
+            problem, n_rows = compare(QUERIES[name](spark, args.sf), oracle, ORACLES.get(name))
         except Exception as error:  # noqa: BLE001
-            print(f"FAIL {name:28s} {type(error).__name__}: {str(error)[:700]}", flush=True)
+            problem, n_rows = f"{type(error).__name__}: {error}", 0
+        verdict = "FAIL" if problem else "ok  " if name in ORACLES else "rows"
+        print(f"{verdict} {name:28s} {n_rows:7d} rows {time.time() - started:6.1f}s {problem[:600]}", flush=True)
+        if problem:
             failed.append(name)
     print("failed:", failed)
     return 1 if failed else 0
