@@ -1,6 +1,9 @@
 """Column kinds, column types and normalization reports in one pass over the cells."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,61 +37,80 @@ def _is_iso_date() -> Column:
     )
 
 
+def _flags() -> dict[str, Column]:
+    """What is recorded about a cell, one bit each."""
+    text, tag, size = F.col("text"), F.col("tag"), F.col("only")
+    filled = F.col("filled")
+    number = numeric_class(text)
+    flags = {
+        "present": tag != "null",
+        "filled": filled,
+        "parsed": filled & F.col("moment.ts").isNotNull(),
+        "timed": filled & F.coalesce(F.col("moment.has_time"), F.lit(False)),
+        "bool": tag == "bool",
+        "int": tag == "int",
+        "float": tag == "float",
+        "integer_text": (tag == "str") & (number == "BIGINT"),
+        "decimal_text": (tag == "str") & (number == "DOUBLE"),
+        "iso": _is_iso_date(),
+        # Only an integer that long can be beyond 64 bits.
+        "too_big": (size > 18) & text.rlike(INTEGER_TEXT) & text.try_cast("bigint").isNull(),
+        "telefone": filled & (size > 0),
+        "phone_like": filled & (size >= 4) & ~text.contains("@"),
+    }
+    return flags | {kind: filled & (size == count) for kind, count in DIGIT_COUNTS.items()}
+
+
+FLAGS = (
+    "present filled parsed timed bool int float integer_text decimal_text iso too_big telefone phone_like cpf cnpj cep"
+).split()
+BITS = {name: 1 << place for place, name in enumerate(FLAGS)}
+
+
 def _measured(cells: DataFrame) -> DataFrame:
-    """Per-cell facts; each text is parsed exactly once, here."""
-    text, tag = F.col("text"), F.col("tag")
+    """``[dataset, column, mask]``; each text is parsed exactly once, here."""
+    text = F.col("text")
     # Blank spellings never parse, so the moments need no guard.
     parsed = with_moments(cells.select(*KEYS, "text", "tag"), {"moment": text})
-    return parsed.withColumns({"filled": ~is_blank(text), "only": F.length(digits(text))}).select(
-        *KEYS,
-        "tag",
-        "filled",
-        F.col("moment.ts").isNotNull().alias("parsed"),
-        F.col("moment.has_time").alias("has_time"),
-        F.when(F.col("filled"), F.col("only")).alias("n_digits"),
-        text.contains("@").alias("has_at"),
-        F.when(tag == "str", numeric_class(text)).alias("number"),
-        # Only an integer that long can be beyond 64 bits.
-        ((F.col("only") > 18) & text.rlike(INTEGER_TEXT) & text.try_cast("bigint").isNull()).alias("too_big"),
-        _is_iso_date().alias("iso"),
-    )
+    staged = parsed.withColumns({"filled": ~is_blank(text), "only": F.length(digits(text))})
+    bits = [F.when(flag, BITS[name]).otherwise(0) for name, flag in _flags().items()]
+    return staged.select(*KEYS, reduce(add, bits).alias("mask"))
 
 
 def column_facts(cells: DataFrame) -> DataFrame:
-    """One row per (dataset, column): everything kinds, types and reports need."""
-    filled = F.col("filled")
-    parsed = filled & F.col("parsed")
-    tag = F.col("tag")
-    present = tag != "null"
+    """One row per (dataset, column): everything kinds, types and reports need.
 
-    def every(condition: Column) -> Column:
-        """Over non-NULL cells; an empty column answers true and is caught earlier."""
-        return F.coalesce(F.bool_and(F.when(present, condition)), F.lit(True))
+    Cells are first counted by their mask. A column has a handful of distinct
+    masks, so the counting is one cheap hash aggregation whose map side leaves
+    almost nothing to shuffle; all further facts come from those few rows.
+    """
+    counted = _measured(cells).groupBy(*KEYS, "mask").agg(F.count("*").alias("n"))
 
-    counts = [
-        F.count_if(filled & (F.col("n_digits") == size)).alias(f"n_{kind}")
-        for kind, size in DIGIT_COUNTS.items()
-    ]
-    return (
-        _measured(cells)
-        .groupBy(*KEYS)
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.count_if(present).alias("n_present"),
-            F.count_if(filled).alias("n_filled"),
-            F.count_if(parsed).alias("n_parsed"),
-            F.coalesce(F.bool_or(parsed & F.col("has_time")), F.lit(False)).alias("any_time"),
-            *counts,
-            F.count_if(filled & (F.col("n_digits") > 0)).alias("n_telefone"),
-            F.count_if(filled & (F.col("n_digits") >= 4) & ~F.col("has_at")).alias("n_phone_like"),
-            every(tag == "bool").alias("all_bool"),
-            every(tag == "int").alias("all_int"),
-            every(tag.isin("int", "float")).alias("all_number"),
-            every(F.col("number").isNotNull()).alias("all_numeric_text"),
-            every(F.col("number") == "BIGINT").alias("all_integer_text"),
-            every(F.col("iso")).alias("all_iso"),
-            F.coalesce(F.bool_or(F.col("too_big")), F.lit(False)).alias("too_big"),
-        )
+    def has(*names: str) -> Column:
+        wanted = sum(BITS[name] for name in names)
+        return F.col("mask").bitwiseAND(F.lit(wanted)) != 0
+
+    def cells_with(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(has(name), F.col("n"))), F.lit(0))
+
+    def every(*names: str) -> Column:
+        """Over non-NULL cells; an empty column answers true and is caught earlier."""
+        return F.coalesce(F.bool_and(F.when(has("present"), has(*names))), F.lit(True))
+
+    return counted.groupBy(*KEYS).agg(
+        F.sum("n").alias("n_rows"),
+        cells_with("present").alias("n_present"),
+        cells_with("filled").alias("n_filled"),
+        cells_with("parsed").alias("n_parsed"),
+        F.bool_or(has("timed")).alias("any_time"),
+        *[cells_with(kind).alias(f"n_{kind}") for kind in (*DIGIT_COUNTS, "telefone", "phone_like")],
+        every("bool").alias("all_bool"),
+        every("int").alias("all_int"),
+        every("int", "float").alias("all_number"),
+        every("integer_text", "decimal_text").alias("all_numeric_text"),
+        every("integer_text").alias("all_integer_text"),
+        every("iso").alias("all_iso"),
+        F.bool_or(has("too_big")).alias("too_big"),
     )
 
 
@@ -179,7 +201,7 @@ def nulled_examples(cells: DataFrame, kinds: DataFrame, keep: int = 3) -> DataFr
     per-task group limit, so a column that loses billions of cells still sends
     at most ``keep`` of them to the ranking task.
     """
-    known = small(kinds.filter("kind is not null").select(*KEYS, "kind"))
+    known = small(kinds.filter("kind is not null and nulled > 0").select(*KEYS, "kind"))
     filled = cells.join(known, KEYS).filter(~is_blank(F.col("text")))
     lost = (
         filled.filter(normalized_text(F.col("text"), F.col("kind")).isNull())

@@ -25,7 +25,7 @@ from tessera.functions.normalize import SPARK_TYPES, typed
 from tessera.functions.temporal import with_moments
 from tessera.operators.cells import ROW, as_text, melt, with_row
 from tessera.operators.profile import first_rows, normalization_report, profile
-from tessera.session import checkpointed, filesystem, hadoop_path
+from tessera.session import checkpointed, filesystem, hadoop_path, spread
 from tessera.sources.files import checksums, is_contained
 
 SOURCES = (
@@ -222,7 +222,7 @@ def stored_columns(dataset: Dataset) -> list[str]:
 
 
 def _write(spark, path, name, source_id, dataset: Dataset, pinned) -> Manifest:
-    df = with_row(dataset.df)
+    df = spread(with_row(dataset.df))
     columns = stored_columns(dataset)
     physical = unique_identifiers(columns)
     normalizations: list[dict] = []
@@ -236,7 +236,10 @@ def _write(spark, path, name, source_id, dataset: Dataset, pinned) -> Manifest:
             raise RuntimeError(f"failed to persist source {source_id!r}: integer beyond 64 bits in {too_big}")
         decided = [(found[c].type, found[c].kind) if c in found else ("VARCHAR", None) for c in columns]
         if any(row.kind for row in found.values()):
-            reported = {r.column: r for r in normalization_report(cells, facts).collect()}
+            # Only columns that lost something are read again for examples.
+            lossy = [column for column in columns if column in found and found[column].nulled]
+            again = melt(df, lossy) if lossy else cells.filter("false")
+            reported = {r.column: r for r in normalization_report(again, facts).collect()}
             for column in columns:
                 if column in reported:
                     r = reported[column]
@@ -252,13 +255,18 @@ def _write(spark, path, name, source_id, dataset: Dataset, pinned) -> Manifest:
                     )
     else:
         decided = pinned
-    typed_rows = typed_table(df, columns, physical, decided)
-    stamped = append_provenance(
-        typed_rows, source_id, dataset.source_page, dataset.source_section, dataset.source_sheet
-    )
-    stamped.drop(ROW).write.parquet(path)
+
+    def stored(rows: DataFrame) -> DataFrame:
+        typed_rows = typed_table(rows, columns, physical, decided)
+        return append_provenance(
+            typed_rows, source_id, dataset.source_page, dataset.source_section, dataset.source_sheet
+        )
+
+    stored(df).drop(ROW).write.parquet(path)
     schema = [*zip(physical, [t for t, _ in decided]), *PROVENANCE]
-    sample = [row.asDict() for row in first_rows(stamped).drop(ROW).collect()]
+    # The sample is cut from the raw rows, so only its own rows are converted again.
+    shown = stored(first_rows(df)).orderBy(ROW).drop(ROW)
+    sample = [row.asDict() for row in shown.collect()]
     if pinned is None and found:
         row_count = max(row.row_count for row in found.values())
     else:

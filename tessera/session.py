@@ -85,6 +85,19 @@ def small(df, rows: int = 100_000):
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df):
+    """Use all cores for costly work on an input that comes in a few splits.
+
+    A large input already has more splits than there are cores and is returned
+    as it is; only one that would fit into a split per core is redistributed.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if int(str(size)) < cores * int(split) else df
+
+
 def hadoop_path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 

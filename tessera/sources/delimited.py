@@ -68,19 +68,20 @@ def _chained(reset: Column, flips: Column, start: Column) -> Column:
 
 def stitch(lines: DataFrame, sep: str) -> DataFrame:
     """Lines to records: join the lines that share a quoted field."""
+    quoted = F.col("record").contains('"')
     after_out = _leaves_open(F.col("record"), sep).cast("int")
-    after_in = _leaves_open(F.concat(F.lit('"'), F.col("record")), sep).cast("int")
+    after_in = F.when(quoted, _leaves_open(F.concat(F.lit('"'), F.col("record")), sep).cast("int")).otherwise(1)
     inside_split = W.partitionBy("file", "block").orderBy("id")
     so_far = inside_split.rowsBetween(W.unboundedPreceding, 0)
     mapped = lines.withColumns({"_out": after_out, "_in": after_in})
+    # A line forgets the state before it (same outcome either way), flips it or keeps it.
     flips = F.sum(F.when((F.col("_out") == 1) & (F.col("_in") == 0), 1).otherwise(0)).over(so_far)
     counted = mapped.withColumn("_flips", flips % 2)
     constant = F.when(F.col("_out") == F.col("_in"), (F.col("_out") + F.col("_flips")) % 2)
     known = counted.withColumn("_reset", F.last(constant, ignorenulls=True).over(so_far))
 
-    ends = known.groupBy("file", "block").agg(
-        F.max_by(F.struct("_reset", "_flips"), "id").alias("end")
-    )
+    # One row per split, chained in order.
+    ends = known.groupBy("file", "block").agg(F.max_by(F.struct("_reset", "_flips"), "id").alias("end"))
     splits = W.partitionBy("file").orderBy("block")
     upto = splits.rowsBetween(W.unboundedPreceding, 0)
     ends = ends.withColumn("_flips", F.sum("end._flips").over(upto) % 2)
@@ -89,34 +90,37 @@ def stitch(lines: DataFrame, sep: str) -> DataFrame:
     )
     ends = ends.withColumn("_reset", F.last(settled, ignorenulls=True).over(upto))
     ends = ends.withColumn("_state", _chained(F.col("_reset"), F.col("_flips"), F.lit(0)))
-    starts = ends.select("file", "block", F.coalesce(F.lag("_state").over(splits), F.lit(0)).alias("_start"))
+    starts = ends.select(
+        "file", "block", F.coalesce(F.lag("_state").over(splits), F.lit(0)).alias("_start")
+    )
+    starts = checkpointed(lines.sparkSession, starts)
 
-    placed = known.join(starts, ["file", "block"]).withColumn(
+    placed = known.join(small(starts), ["file", "block"]).withColumn(
         "_after", _chained(F.col("_reset"), F.col("_flips"), F.col("_start"))
     )
-    before = F.coalesce(F.lag("_after").over(inside_split), F.col("_start"))
-    placed = placed.withColumn("_before", before)
-    whole = placed.filter("_before = 0 and _after = 0").select("file", "block", "id", "record")
-
-    broken = placed.filter("_before = 1 or _after = 1").select("file", "block", "id", "record", "_before")
-    opened = F.when(F.col("_before") == 0, F.struct("block", "id"))
-    # Lines before the first opening of a split continue an earlier split's record.
-    local = broken.withColumn("_open", F.last(opened, ignorenulls=True).over(so_far))
-    carried = local.groupBy("file", "block").agg(F.max("_open").alias("_last")).withColumn(
-        "_carry", F.last("_last", ignorenulls=True).over(splits.rowsBetween(W.unboundedPreceding, -1))
+    placed = placed.withColumn("_before", F.coalesce(F.lag("_after").over(inside_split), F.col("_start")))
+    # Lines of a record share the place of its first line; those that continue a
+    # record of an earlier split have none yet.
+    first = F.when(F.col("_before") == 0, F.col("id"))
+    grouped = placed.withColumn("_first", F.last(first, ignorenulls=True).over(so_far))
+    # The rows already lie together by split, so this grouping moves nothing.
+    pieces = grouped.groupBy("file", "block", "_first").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "record"))), lambda x: x["record"]), "\n").alias("record"),
+        F.max_by("_after", "id").alias("_open"),
     )
-    joined = (
-        local.join(carried.select("file", "block", "_carry"), ["file", "block"])
-        .withColumn("_open", F.coalesce("_open", "_carry"))
-        .groupBy("file", "_open")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "id", "record"))).alias("_lines"))
-        .select(
-            "file",
-            F.col("_open.block").alias("block"),
-            F.col("_open.id").alias("id"),
-            F.array_join("_lines.record", "\n").alias("record"),
+    cut = F.col("_first").isNull() | (F.col("_open") == 1)
+    whole = pieces.filter(~cut).select("file", "block", F.col("_first").alias("id"), "record")
+    # At most two pieces per split reach over its edge.
+    edges = pieces.filter(cut).withColumn(
+        "_head", F.last(F.when(F.col("_first").isNotNull(), F.struct("block", F.col("_first").alias("id"))), ignorenulls=True).over(
+            W.partitionBy("file").orderBy("block", F.col("_first").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
         )
     )
+    joined = edges.groupBy("file", "_head").agg(
+        F.array_sort(F.collect_list(F.struct("block", F.coalesce("_first", F.lit(-1)).alias("_first"), "record"))).alias("_parts")
+    ).select(
+        "file", F.col("_head.block").alias("block"), F.col("_head.id").alias("id"), F.array_join("_parts.record", "\n").alias("record")
+    )
     return whole.unionByName(joined)
 
 
@@ -310,6 +314,10 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None =
     """
     found = scan(spark, path, sep)
     complete = found.status.filter("status = 'complete'")
+    # A part with nothing but its header says little about the separator.
+    filled = complete.filter("n_rows > 0")
+    if not filled.isEmpty():
+        complete = filled
     shapes = complete.select("sep", "width", "header").distinct().take(2)
     if len(shapes) != 1:
         reason = "no readable file" if not shapes else "files with different headers"

@@ -18,6 +18,7 @@ from tessera.operators.profile import (
     profile,
 )
 from tessera.plans.store import typed_table
+from tessera.session import spread
 from tessera.workload.inputs import CLEAN_ORDERS, MESSY_COLUMNS, ORACLE_MESSY, messy_orders, run
 from tessera.workload.registry import query
 
@@ -70,7 +71,7 @@ FACTS = _facts(MESSY_COLUMNS)
 
 
 def cells(spark, sf_dir):
-    return melt(messy_orders(spark, sf_dir).withColumnRenamed("k", ROW), MESSY_COLUMNS, "orders")
+    return melt(spread(messy_orders(spark, sf_dir).withColumnRenamed("k", ROW)), MESSY_COLUMNS, "orders")
 
 
 @query("detect_column_kind", f'{FACTS} SELECT "column", kind FROM typed')
@@ -139,8 +140,8 @@ def row_count(spark, sf_dir):
 
 @query("typed_cast", f"SELECT * FROM ({CLEAN_ORDERS}) c")
 def typed_cast(spark, sf_dir):
-    df = messy_orders(spark, sf_dir).withColumnRenamed("k", ROW)
-    found = {r.column: r for r in profile(cells(spark, sf_dir)).collect()}
+    df = spread(messy_orders(spark, sf_dir).withColumnRenamed("k", ROW))
+    found = {r.column: r for r in profile(melt(df, MESSY_COLUMNS)).collect()}
     decided = [(found[c].type, found[c].kind) for c in MESSY_COLUMNS]
     return typed_table(df, MESSY_COLUMNS, MESSY_COLUMNS, decided).withColumnRenamed(ROW, "k")
 
