@@ -40,7 +40,11 @@ TABLES = (
 
 @dataclass
 class Dataset:
-    """A logical table before it is stored: texts or typed columns in source order."""
+    """A logical table before it is stored: texts or typed columns in source order.
+
+    ``cells`` holds the same table in long form where cells of one column may
+    have different native types; kinds and types are then decided from it.
+    """
 
     name: str
     df: DataFrame
@@ -48,6 +52,7 @@ class Dataset:
     source_section: str | None = None
     source_sheet: str | None = None
     formula_columns: tuple[str, ...] = ()
+    cells: DataFrame | None = None
 
 
 @dataclass
@@ -227,7 +232,8 @@ def _write(spark, path, name, source_id, dataset: Dataset, pinned) -> Manifest:
     physical = unique_identifiers(columns)
     normalizations: list[dict] = []
     if pinned is None:
-        cells = melt(df, columns)
+        cells = melt(df, columns) if dataset.cells is None else dataset.cells
+        cells = cells.withColumn("dataset", F.lit(dataset.name))
         # One row per column: small whatever the size of the dataset.
         facts = checkpointed(spark, profile(cells))
         found = {row.column: row for row in facts.collect()}
@@ -238,7 +244,10 @@ def _write(spark, path, name, source_id, dataset: Dataset, pinned) -> Manifest:
         if any(row.kind for row in found.values()):
             # Only columns that lost something are read again for examples.
             lossy = [column for column in columns if column in found and found[column].nulled]
-            again = melt(df, lossy) if lossy else cells.filter("false")
+            if dataset.cells is None and lossy:
+                again = melt(df, lossy, dataset.name)
+            else:
+                again = cells.filter(F.col("column").isin(lossy))
             reported = {r.column: r for r in normalization_report(again, facts).collect()}
             for column in columns:
                 if column in reported:

@@ -320,8 +320,11 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None =
         complete = filled
     shapes = complete.select("sep", "width", "header").distinct().take(2)
     if len(shapes) != 1:
-        reason = "no readable file" if not shapes else "files with different headers"
-        raise ValueError(f"{reason} below {path}")
+        if shapes:
+            raise ValueError(f"files with different headers below {path}")
+        if not found.status.filter("status = 'malformed'").isEmpty():
+            raise ValueError(f"inconsistent row width in {path}")
+        raise LookupError(f"no tabular content below {path}")
     shape = shapes[0]
     labels = header_labels(complete).select("pos", "label").distinct().orderBy("pos")
     names = [row.label for row in labels.collect()]
