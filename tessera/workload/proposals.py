@@ -11,13 +11,15 @@ NL = "chr(10)"
 P = "cast(p_partkey AS varchar(20))"
 PRICE = "cast(cast(p_retailprice AS decimal(18, 2)) AS varchar(30))"
 
-# Every document as it is, and one listing per part with three records.
-DOCS = f"""
-SELECT doc_id, text FROM documents
-UNION ALL SELECT -1 - p_partkey, 'Catalogo ' || {P} || {NL} || 'nome;codigo;valor' || {NL} || p_name || ';' || {P} || ';' || {PRICE} || {NL}
-  || p_brand || ';0' || {P} || ';' || {PRICE} || {NL} || p_type || ';' || {P} || ';n/a' || {NL} || 'Fim' FROM part
+# A listing of three records per part.
+LISTINGS = f"""
+SELECT -1 - p_partkey AS doc_id, 'Catalogo ' || {P} || {NL} || 'nome;codigo;valor' || {NL} || p_name || ';' || {P} || ';' || {PRICE} || {NL}
+  || p_brand || ';0' || {P} || ';' || {PRICE} || {NL} || p_type || ';' || {P} || ';n/a' || {NL} || 'Fim' AS text FROM part
 """
 
+# Every document as it is, and every listing.
+DOCS = f"SELECT doc_id, text FROM documents UNION ALL {LISTINGS}"
+
 _WIDTHS = """
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM docs),
 widths AS (SELECT *, length(line) - length(replace(line, sep, '')) + 1 AS w FROM lines CROSS JOIN (VALUES (','), (';'), (chr(9)), ('|')) s(sep)),
@@ -98,9 +100,6 @@ def html(spark, sf_dir):
     return rows.select("doc", "table_no", "row_no", F.array_join("fields", "/").alias("fields"))
 
 
-LISTINGS = f"SELECT * FROM ({DOCS}) d WHERE doc_id < 0"
-
-
 @query(
     "candidate_proposal",
     """SELECT -1 - p_partkey AS doc, t.label, 'VARCHAR' AS type, 3 AS estimated_rows
