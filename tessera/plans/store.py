@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from tessera.functions.naming import PROVENANCE, RESERVED, distinct_names, ident
 from tessera.functions.normalize import SPARK_TYPES, typed
 from tessera.functions.temporal import with_moments
 from tessera.operators.cells import ROW, as_text, melt, with_row
-from tessera.operators.profile import first_rows, normalization_report, profile
+from tessera.operators.profile import first_rows, nulled_examples, profile
 from tessera.session import checkpointed, filesystem, hadoop_path, spread
 from tessera.sources.files import checksums, is_contained
 
@@ -196,11 +197,12 @@ def _persist(
     prefix = f"{identifier(source_id)}__"
     taken = [r.table_name for r in others.filter(F.col("table_name").startswith(prefix)).collect()]
     names = distinct_names([prefix + identifier(d.name) for d in datasets], taken)
+    frames = [spread(with_row(dataset.df)) for dataset in datasets]
+    decided = _decide(spark, source_id, datasets, frames, kinds or {})
     manifests, rows = [], []
-    for name, dataset in zip(names, datasets):
+    for name, dataset, df, decision in zip(names, datasets, frames, decided):
         location = f"data/{name}/c={token}"
-        pinned = (kinds or {}).get(dataset.name)
-        manifest = _write(spark, f"{root}/{location}", name, source_id, dataset, pinned)
+        manifest = _write(spark, f"{root}/{location}", name, source_id, dataset, df, decision)
         manifests.append(manifest)
         schema_json = json.dumps([{"name": n, "type": t} for n, t in manifest.columns])
         rows.append((name, source_id, dataset.name, schema_json, manifest.row_count, location))
@@ -226,44 +228,81 @@ def stored_columns(dataset: Dataset) -> list[str]:
     return [n for n in dataset.df.columns if n != ROW and n not in dataset.formula_columns]
 
 
-def _write(spark, path, name, source_id, dataset: Dataset, pinned) -> Manifest:
-    df = spread(with_row(dataset.df))
-    columns = stored_columns(dataset)
-    physical = unique_identifiers(columns)
-    normalizations: list[dict] = []
-    if pinned is None:
-        cells = melt(df, columns) if dataset.cells is None else dataset.cells
-        cells = cells.withColumn("dataset", F.lit(dataset.name))
-        # One row per column: small whatever the size of the dataset.
-        facts = checkpointed(spark, profile(cells))
-        found = {row.column: row for row in facts.collect()}
-        too_big = [column for column, row in found.items() if row.overflow]
+@dataclass
+class _Decision:
+    """What a dataset's columns become: ``(type, kind)`` each, and what was counted."""
+
+    columns: list[tuple[str, str | None]]
+    row_count: int | None = None
+    normalizations: list[dict] = field(default_factory=list)
+
+
+# Datasets profiled by one job; a source with more takes several jobs.
+PROFILED_TOGETHER = 64
+
+
+def _decide(spark, source_id, datasets, frames, pinned) -> list[_Decision]:
+    """Kinds and types of all datasets, many per job, before anything is written."""
+    found: dict[int, _Decision] = {}
+    open_ones = []
+    for n, dataset in enumerate(datasets):
+        if dataset.name in pinned:
+            found[n] = _Decision(pinned[dataset.name])
+        else:
+            open_ones.append(n)
+    for start in range(0, len(open_ones), PROFILED_TOGETHER):
+        batch = open_ones[start : start + PROFILED_TOGETHER]
+        cells = [_cells(datasets[n], frames[n], str(n)).select("dataset", "column", "text", "tag") for n in batch]
+        # One row per column: small whatever the size of the datasets.
+        facts = checkpointed(spark, profile(reduce(DataFrame.unionByName, cells)))
+        by_column = {(row.dataset, row.column): row for row in facts.collect()}
+        too_big = [column for (_, column), row in by_column.items() if row.overflow]
         if too_big:
             raise RuntimeError(f"failed to persist source {source_id!r}: integer beyond 64 bits in {too_big}")
-        decided = [(found[c].type, found[c].kind) if c in found else ("VARCHAR", None) for c in columns]
-        if any(row.kind for row in found.values()):
-            # Only columns that lost something are read again for examples.
-            lossy = [column for column in columns if column in found and found[column].nulled]
-            if dataset.cells is None and lossy:
-                again = melt(df, lossy, dataset.name)
-            else:
-                again = cells.filter(F.col("column").isin(lossy))
-            reported = {r.column: r for r in normalization_report(again, facts).collect()}
-            for column in columns:
-                if column in reported:
-                    r = reported[column]
-                    normalizations.append(
-                        {
-                            "column": column,
-                            "kind": r.kind,
-                            "type": r.type,
-                            "normalized": r.normalized,
-                            "nulled": r.nulled,
-                            "nulled_examples": [e for e in (r.example_1, r.example_2, r.example_3) if e is not None],
-                        }
-                    )
-    else:
-        decided = pinned
+        for n in batch:
+            columns = stored_columns(datasets[n])
+            rows = {c: by_column[str(n), c] for c in columns if (str(n), c) in by_column}
+            found[n] = _Decision(
+                [(rows[c].type, rows[c].kind) if c in rows else ("VARCHAR", None) for c in columns],
+                max((row.row_count for row in rows.values()), default=0 if columns else None),
+                _normalizations(datasets[n], frames[n], str(n), facts, rows),
+            )
+    return [found[n] for n in range(len(datasets))]
+
+
+def _cells(dataset: Dataset, df: DataFrame, label: str, columns: list[str] | None = None) -> DataFrame:
+    columns = stored_columns(dataset) if columns is None else columns
+    if dataset.cells is None:
+        return melt(df, columns, label)
+    return dataset.cells.filter(F.col("column").isin(columns)).withColumn("dataset", F.lit(label))
+
+
+def _normalizations(dataset: Dataset, df: DataFrame, label: str, facts: DataFrame, rows: dict) -> list[dict]:
+    normalized = {column: row for column, row in rows.items() if row.kind is not None}
+    examples: dict[str, list[str]] = {}
+    # Only columns that lost something are read again, for examples.
+    lossy = [column for column, row in normalized.items() if row.nulled]
+    if lossy:
+        own = facts.filter(F.col("dataset") == label)
+        for row in nulled_examples(_cells(dataset, df, label, lossy), own).orderBy("rank").collect():
+            examples.setdefault(row.column, []).append(row.example)
+    return [
+        {
+            "column": column,
+            "kind": row.kind,
+            "type": row.type,
+            "normalized": row.normalized,
+            "nulled": row.nulled,
+            "nulled_examples": examples.get(column, []),
+        }
+        for column, row in normalized.items()
+    ]
+
+
+def _write(spark, path, name, source_id, dataset: Dataset, df: DataFrame, decision: _Decision) -> Manifest:
+    columns = stored_columns(dataset)
+    physical = unique_identifiers(columns)
+    decided = decision.columns
 
     def stored(rows: DataFrame) -> DataFrame:
         typed_rows = typed_table(rows, columns, physical, decided)
@@ -276,11 +315,10 @@ def _write(spark, path, name, source_id, dataset: Dataset, pinned) -> Manifest:
     # The sample is cut from the raw rows, so only its own rows are converted again.
     shown = stored(first_rows(df)).orderBy(ROW).drop(ROW)
     sample = [row.asDict() for row in shown.collect()]
-    if pinned is None and found:
-        row_count = max(row.row_count for row in found.values())
-    else:
+    row_count = decision.row_count
+    if row_count is None:
         row_count = spark.read.parquet(path).count()
-    return Manifest(name, dataset.name, row_count, schema, sample, normalizations)
+    return Manifest(name, dataset.name, row_count, schema, sample, decision.normalizations)
 
 
 def typed_table(df: DataFrame, columns, physical, decided) -> DataFrame:
