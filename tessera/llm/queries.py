@@ -4,6 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from tessera.llm.quality import quality
+from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
 from tessera.llm.url_filter import judge
 
@@ -32,6 +33,11 @@ def op4_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
 
 
+@registered
+def op5_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op7_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
