@@ -136,10 +136,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = (
         measured(texts, None)
-        .join(chosen, "doc_id")
+        .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "features", "quality")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)

@@ -6,6 +6,7 @@ import public_tokenizers
 from tessera.llm.quality import quality
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
+from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import judge
 
 #: The file every executor finds under the same path.
@@ -38,6 +39,11 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@registered
+def op6_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @registered
 def op7_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
