@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from tessera.llm.decontaminate import decontaminate
 from tessera.llm.quality import quality
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
@@ -24,6 +25,11 @@ def registered(function):
     return function
 
 
+@registered
+def op1_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @registered
 def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), MODEL)
