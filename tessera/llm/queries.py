@@ -5,6 +5,7 @@ import public_tokenizers
 
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.quality import quality
+from tessera.llm.sentencepieces import round_trip
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
@@ -53,3 +54,8 @@ def op6_toxicity(spark, sf_dir):
 @registered
 def op7_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered
+def op8_sentencepiece(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"), MODEL)
