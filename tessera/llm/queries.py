@@ -4,6 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.line_dedup import summary as line_summary
 from tessera.llm.quality import quality
 from tessera.llm.sentencepieces import round_trip
 from tessera.llm.simhash import near_duplicates
@@ -36,6 +37,11 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), MODEL)
 
 
+@registered
+def op3_line_dedup(spark, sf_dir):
+    return line_summary(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op4_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
