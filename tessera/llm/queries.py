@@ -1,8 +1,11 @@
 """The registered queries of the training-data operators, over whole tables."""
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 
+from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.line_dedup import summary as line_summary
 from tessera.llm.quality import quality
@@ -22,8 +25,12 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def registered(function):
+def registered(function=None, *, sql: str | None = None):
+    if function is None:
+        return partial(registered, sql=sql)
     QUERIES[function.__name__] = function
+    if sql is not None:
+        ORACLES[function.__name__] = sql
     return function
 
 
@@ -65,3 +72,37 @@ def op7_quality_rules(spark, sf_dir):
 @registered
 def op8_sentencepiece(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), MODEL)
+
+
+#: The turns of the table hold no JSON: users call ``reply``, assistants answer the turn before.
+CHAT_SQL = """
+WITH e AS (
+  SELECT conv_id, turn, role, text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN concat(conv_id, ':', turn) WHEN 'assistant' THEN concat(conv_id, ':', turn - 1) END AS call_id
+  FROM conversations
+), s AS (
+  SELECT e.*,
+    CASE kind WHEN 'message' THEN 'message'
+      WHEN 'call' THEN CASE WHEN EXISTS (SELECT 1 FROM e o WHERE o.call_id = e.call_id AND o.kind = 'result') THEN 'answered' ELSE 'open' END
+      ELSE CASE WHEN EXISTS (SELECT 1 FROM e o WHERE o.call_id = e.call_id AND o.kind = 'call') THEN 'linked' ELSE 'orphan' END END AS status
+  FROM e
+)
+SELECT conv_id, turn AS at, 0 AS depth, turn, 0 AS seq, kind, call_id, status,
+  CASE WHEN kind = 'call' AND coalesce(text, '') = '' THEN 1 ELSE 0 END AS n_errors,
+  concat('{',
+    CASE WHEN kind = 'call' THEN concat('"arguments":{', CASE WHEN text IS NOT NULL THEN concat('"prompt":', CAST(to_json(text) AS VARCHAR), ',') ELSE '' END, '"turn":', turn, '},') ELSE '' END,
+    CASE WHEN call_id IS NOT NULL THEN concat('"call_id":"', call_id, '",') ELSE '' END,
+    CASE WHEN kind <> 'call' AND text IS NOT NULL THEN concat('"content":', CAST(to_json(text) AS VARCHAR), ',') ELSE '' END,
+    '"conv_id":', conv_id, ',',
+    CASE WHEN kind = 'call' AND text IS NULL THEN '"errors":["missing prompt"],' WHEN kind = 'call' AND text = '' THEN '"errors":["small prompt"],' ELSE '' END,
+    '"kind":"', kind, '",',
+    CASE WHEN kind = 'call' THEN '"name":"reply",' ELSE '' END,
+    '"role":"', role, '","status":"', status, '","turn":', turn, '}') AS line
+FROM s
+"""
+
+
+@registered(sql=CHAT_SQL)
+def op9_chat_format(spark, sf_dir):
+    return format_chats(table(spark, sf_dir, "conversations"))
