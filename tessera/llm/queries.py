@@ -8,6 +8,7 @@ import public_tokenizers
 from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.line_dedup import summary as line_summary
+from tessera.llm.passages import summary as passage_summary
 from tessera.llm.quality import quality
 from tessera.llm.sentencepieces import round_trip
 from tessera.llm.simhash import near_duplicates
@@ -106,3 +107,8 @@ FROM s
 @registered(sql=CHAT_SQL)
 def op9_chat_format(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations"))
+
+
+@registered
+def op10_suffix_dedup(spark, sf_dir):
+    return passage_summary(table(spark, sf_dir, "documents"))
