@@ -1,14 +1,71 @@
-"""Documents through the training-data stages."""
+"""Documents through the training-data stages.
+
+Each stage works on all that the one before it kept. The driver, or ``run``,
+writes what a stage returns as Parquet and reads it again, so a lost executor
+never costs more than the stage it was lost in.
+"""
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.decontaminate import clean
+from tessera.llm.line_dedup import line_dedup
+from tessera.llm.queries import MODEL
+from tessera.llm.sentencepieces import encode
+from tessera.llm.simhash import one_of_each
+from tessera.llm.toxicity import learn, scored
+from tessera.session import scratch
+
+#: Documents that score as much are rejected.
+TOXIC = 0.5
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below ``TOXIC``, under a model learned from the labelled ones among them."""
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(docs, model, into="_toxic").where(F.col("_toxic") < TOXIC).drop("_toxic")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without repeated passages of lines; ``n_chars`` follows the text."""
+    out = line_dedup(docs)
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their ``token_ids``, and whether those decode to the text (``decodes``)."""
+    return encode(docs, MODEL, into="token_ids", checked="decodes")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", tokens),
+]
 
 #: Trained scores and token ids are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` through all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        path = scratch(spark, "stage")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -183,17 +183,31 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", into: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of column ``text`` in the new (or replaced) column ``into``; all other columns stay."""
-    kept = [c for c in docs.columns if c != into]
-    schema = docs.select(kept).schema.add(into, T.ArrayType(T.IntegerType()))
+def same(coder: Codec, ids: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+    """Whether ids decode to the texts, word starts being spaces."""
+    space = START.encode()
+    return np.array([coder.decode(i) == x.replace(space, b" ") for i, x in zip(ids, texts)], bool)
+
+
+def encode(docs: DataFrame, model: str, text: str = "text", into: str = "token_ids", checked: str | None = None) -> DataFrame:
+    """``docs`` with the ids of column ``text`` in the new (or replaced) column ``into``; all other columns stay.
+
+    ``checked`` names a further column that tells whether the ids decode to the text.
+    """
+    new = [into] if checked is None else [into, checked]
+    kept = [c for c in docs.columns if c not in new]
+    schema = T.StructType([*docs.select(kept).schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    if checked is not None:
+        schema.add(checked, T.BooleanType())
 
     def work():
         coder = codec(model)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = lists(coder.encode([x.decode() for x in raw(batch, text)]))
-            return pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept, into])
+            texts = raw(batch, text)
+            ids = coder.encode([x.decode() for x in texts])
+            columns = [lists(ids)] if checked is None else [lists(ids), pa.array(same(coder, ids, texts))]
+            return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
         return step
 
@@ -228,12 +242,11 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = raw(batch, "text")
             coded = coder.encode([x.decode() for x in texts])
-            space = START.encode()
             return batch_of(
                 doc_id=batch.column("doc_id"),
                 n_ids=np.array([len(x) for x in coded], np.int64),
                 ids_hash=pa.array([xxhash.xxh64_hexdigest(x.tobytes()) for x in coded], pa.string()),
-                same=np.array([coder.decode(ids) == x.replace(space, b" ") for ids, x in zip(coded, texts)], bool),
+                same=same(coder, coded, texts),
             )
 
         return step

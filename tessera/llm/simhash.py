@@ -279,3 +279,21 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     roots = components(dealt.mapInArrow(link_buckets, "a bigint, b bigint"))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, with all columns.
+
+    Of rows that share an id one stays. Rows without an id stay if no row of
+    their component has one.
+    """
+    spark = docs.sparkSession
+    found = checkpointed(spark, near_duplicates(docs).select("doc_id", "component_id"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    several = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).count().where(F.col("count") > 1)
+    several = checkpointed(spark, several.select("_id"))
+    if several.isEmpty():
+        return rows
+    once = rows.join(several, rows["doc_id"] == several["_id"], "left_anti")
+    return once.unionByName(rows.join(several, rows["doc_id"] == several["_id"], "left_semi").dropDuplicates(["doc_id"]))

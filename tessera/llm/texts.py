@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text worked on at once by one task.
 PORTION = 4 << 20
@@ -35,7 +36,7 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 def per_portion(
     df: DataFrame,
-    schema: str,
+    schema: str | StructType,
     work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
     column: str = "text",
 ) -> DataFrame:

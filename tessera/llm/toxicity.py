@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.texts import batch_of, per_portion, raw
+from tessera.llm.texts import per_portion, raw
 
 #: Labelled rows learned from at most, and the bytes of a text among them at most.
 SAMPLE, LONGEST = 6_000, 1 << 15
@@ -162,9 +163,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([text for text, _ in rows], np.array([label for _, label in rows]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every whole text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def scored(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """``docs`` with the score of every whole text in the new (or replaced) column ``into``."""
+    kept = [c for c in docs.columns if c != into]
+    schema = T.StructType([*docs.select(kept).schema.fields, T.StructField(into, T.DoubleType())])
 
     def work():
         known: dict[bytes, complex] = {}
@@ -176,14 +178,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             new = list(set().union(*split) - known.keys())
             known.update(zip(new, model.worth(new).tolist()))
             sums = np.array([sum(map(known.__getitem__, words), 0j) for words in split], complex)
-            return batch_of(doc_id=batch.column("doc_id"), score=model.score(sums.real / np.maximum(sums.imag, 1)))
+            score = pa.array(model.score(sums.real / np.maximum(sums.imag, 1)))
+            return pa.RecordBatch.from_arrays([*batch.columns, score], names=schema.names)
 
         return step
 
-    return per_portion(docs.select("doc_id", "text"), f"doc_id {kind}, score double", work)
+    return per_portion(docs.select(kept), schema, work)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
-    out = scored(docs, learn(docs, labels, sample))
+    out = scored(docs.select("doc_id", "text"), learn(docs, labels, sample))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
