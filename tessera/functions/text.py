@@ -30,11 +30,3 @@ def digits(text: Column) -> Column:
 def at(array: Column, index: int) -> Column:
     """Element by 0-based position, NULL past the end (ANSI-safe)."""
     return F.get(array, F.lit(index))
-
-
-def all_present(columns: list[Column]) -> Column:
-    """True when at least one of the cells holds something."""
-    condition = F.lit(False)
-    for column in columns:
-        condition = condition | F.coalesce(column != "", F.lit(False))
-    return condition

@@ -42,7 +42,7 @@ def _top_scalar(front: Column, key: str) -> Column:
 
 def _section_of(front: Column, key: str) -> Column:
     """Everything that belongs to a top-level key, without the key itself."""
-    return F.regexp_extract(front, rf"(?m)^{key}:((?:.*)(?:\n(?:[ \t-].*)?)*)", 1)
+    return F.regexp_extract(front, rf"(?m)^{key}:((?:.*)(?:\n(?:[ \t-].*+)?+)*+)", 1)
 
 
 def _lines(entry: Column) -> Column:

@@ -16,8 +16,6 @@ _EDGE = "(?<![A-Za-z0-9_])"
 _END = "(?![A-Za-z0-9_])"
 _ADDRESS = r"[$]?[A-Za-z]{1,3}[$]?[0-9]+"
 REFERENCE = rf"{_EDGE}({_ADDRESS}(?:\s*:\s*{_ADDRESS})?){_END}"
-_SUM = "[+-]*0(?:[-+*/][+-]*0)*"
-MAX_NESTING = 8
 SINGLE = r"\A[A-Za-z]{1,3}[0-9]+\z"
 RANGE = r"\A[A-Za-z]{1,3}[0-9]+:[A-Za-z]{1,3}[0-9]+\z"
 
@@ -104,6 +102,31 @@ def formula_inputs(cells: DataFrame, shape: DataFrame | None = None) -> DataFram
     )
 
 
+def _is_arithmetic(tokens: Column) -> Column:
+    """Whether ``0`` operands, signs, operators and parentheses follow each other well.
+
+    One fold over the characters: how deep the parentheses are, and whether an
+    operand has to come next. Any nesting is judged alike.
+    """
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("operand"), F.lit(True).alias("ok"))
+
+    def step(state: Column, token: Column) -> Column:
+        wanted = state["operand"]
+        fits = (
+            F.when(token.isin("0", "("), wanted)
+            .when(token == ")", ~wanted & (state["depth"] > 0))
+            .when(token.isin("*", "/"), ~wanted)
+            .otherwise(token.isin("+", "-", ""))
+        )
+        return F.struct(
+            (state["depth"] + (token == "(").cast("int") - (token == ")").cast("int")).alias("depth"),
+            F.when(token.isin("0", ")"), F.lit(False)).when(token == "", wanted).otherwise(F.lit(True)).alias("operand"),
+            (state["ok"] & fits).alias("ok"),
+        )
+
+    return F.aggregate(F.split(tokens, ""), begin, step, lambda end: end["ok"] & ~end["operand"] & (end["depth"] == 0))
+
+
 def formula_eligibility(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """``[sheet, row, col, formula, shape, verdict]`` per formula cell.
 
@@ -114,7 +137,7 @@ def formula_eligibility(cells: DataFrame, shape: DataFrame | None = None) -> Dat
     """
     shape = layout(cells) if shape is None else shape
     found = formulas(cells, shape)
-    body = F.trim(F.substring("formula", 2, 1 << 20))
+    body = F.trim(F.expr("substr(formula, 2)"))
     call = rf"(?i)\A({FUNCTIONS})\s*[(](.*)[)]\z"
     name = F.regexp_extract(body, call, 1)
     inner = F.regexp_extract(body, call, 2)
@@ -128,14 +151,10 @@ def formula_eligibility(cells: DataFrame, shape: DataFrame | None = None) -> Dat
     # A call takes only whole references; arithmetic is checked token by token.
     bare = F.regexp_replace("body", rf"{_EDGE}[A-Za-z]{{1,3}}[0-9]+{_END}|(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)", "0")
     signed = F.regexp_replace(bare, r"\s+", "")
-    collapsed = signed
-    for _ in range(MAX_NESTING):
-        # Innermost parentheses around a well-formed sum count as one operand.
-        collapsed = F.regexp_replace(collapsed, rf"[(]{_SUM}[)]", "0")
     shaped = shaped.select(
         "*",
         F.forall("arguments", lambda a: a.rlike(f"{SINGLE}|{RANGE}")).alias("whole_arguments"),
-        collapsed.rlike(rf"\A{_SUM}\z").alias("plain_arithmetic"),
+        _is_arithmetic(signed).alias("plain_arithmetic"),
         F.col("body").contains("$").alias("absolute"),
         signed.contains("--").alias("doubled_sign"),
     )

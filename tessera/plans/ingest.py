@@ -21,17 +21,18 @@ def load_file(spark: SparkSession, path: str, raw_root: str) -> list[Dataset]:
         is_contained(F.lit(path), raw_root).alias("inside"), reader_for(F.lit(path)).alias("reader")
     ).first()
     if not checked.inside:
-        raise ValueError(f"source path must be inside the configured raw folder: {path}")
+        raise ValueError(f"{path} does not lie below the raw folder {raw_root}")
     if checked.reader == "worksheet":
-        raise ValueError(f"a workbook is read from its table of cells, see sheet_datasets: {path}")
+        raise ValueError(f"{path} is a workbook: pass its cells to sheet_datasets")
     if checked.reader == "unsupported":
-        raise ValueError(f"unsupported tabular file extension: {path}")
+        raise ValueError(f"no reader for {path}")
     try:
         df, status = read_delimited(spark, path)
     except LookupError:
         return []
-    if not status.filter("status = 'malformed'").isEmpty():
-        raise ValueError(f"inconsistent row width in {path}")
+    bad = status.filter("status IN ('malformed', 'unclosed quote')").first()
+    if bad is not None:
+        raise ValueError(f"{bad.file} has no constant row width ({bad.status})")
     return [Dataset(posixpath.splitext(posixpath.basename(path))[0], df)]
 
 
@@ -44,7 +45,7 @@ def manifest_datasets(spark: SparkSession, path: str, source_id: str) -> list[Da
     """The datasets of a manifest that names ``source_id``; formula columns are left out."""
     found = read_manifests(spark, path)
     if not mismatched(found, source_id).isEmpty():
-        raise ValueError("manifest source_id must match")
+        raise ValueError(f"the manifest at {path} belongs to another source than {source_id!r}")
     # One row per dataset: its name, labels and provenance, not its rows.
     listed = found.select(
         "file", "pos", "dataset.name", "dataset.columns", "dataset.source_page", "dataset.source_section",

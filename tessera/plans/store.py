@@ -14,10 +14,12 @@ tables only through the newest commit; a failed run leaves unreferenced files.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from tessera.functions.temporal import with_moments
 from tessera.operators.cells import ROW, as_text, melt, with_row
 from tessera.operators.profile import first_rows, nulled_examples, profile
 from tessera.session import checkpointed, filesystem, hadoop_path, spread
-from tessera.sources.files import checksums, is_contained
+from tessera.sources.files import combined_checksum, is_contained
 
 SOURCES = (
     "source_id string, source_resource string, summary_page string, content_checksum string, "
@@ -149,20 +151,11 @@ def _resource_checksum(spark: SparkSession, resource: str, raw_root: str | None)
     if raw_root is not None:
         inside = spark.range(1).select(is_contained(F.lit(resource), raw_root).alias("ok")).first().ok
         if not inside:
-            raise ValueError(f"source path must be inside the configured raw folder: {resource}")
-    sums = checksums(spark, resource)
-    # One file has its own checksum; the parts of a folder are combined without
-    # regard to order, in four words, so that any number of them fits.
-    words = [
-        F.bit_xor(F.conv(F.substring("checksum", 1 + 16 * n, 16), 16, -10).cast("bigint")).alias(f"w{n}")
-        for n in range(4)
-    ]
-    found = sums.agg(F.count("*").alias("n"), F.min("checksum").alias("one"), *words).first()
-    if found.n == 0:
-        raise FileNotFoundError(f"source file does not exist: {resource}")
-    if found.n == 1:
-        return found.one
-    return "".join(f"{found[f'w{n}'] & (2**64 - 1):016x}" for n in range(4))
+            raise ValueError(f"{resource} does not lie below the raw folder {raw_root}")
+    n_files, checksum = combined_checksum(spark, resource)
+    if n_files == 0:
+        raise FileNotFoundError(f"nothing to read at {resource}")
+    return checksum
 
 
 def _persist(
@@ -180,14 +173,14 @@ def _persist(
 ) -> list[Manifest]:
     """``kinds`` pins ``[(type, kind)]`` per dataset instead of detecting them."""
     if not source_id:
-        raise ValueError("source_id must not be empty")
+        raise ValueError("a source needs a non-empty id")
     commits = _commits(spark, root)
     sources, tables = catalog(spark, root, "sources"), catalog(spark, root, "tables")
     known = not sources.filter(F.col("source_id") == source_id).isEmpty()
     if known and not rebuild:
-        raise ValueError(f"source {source_id!r} already exists; call rebuild_source to replace it")
+        raise ValueError(f"{source_id!r} is cataloged already; rebuild_source replaces a source")
     if rebuild and not known:
-        raise ValueError(f"source {source_id!r} does not exist; call persist_source first")
+        raise ValueError(f"{source_id!r} is not in the catalog; persist_source adds a source")
     if checksum is None:
         checksum = _resource_checksum(spark, resource, raw_root)
 
@@ -196,6 +189,7 @@ def _persist(
     others = tables.filter(F.col("source_id") != source_id)
     prefix = f"{identifier(source_id)}__"
     taken = [r.table_name for r in others.filter(F.col("table_name").startswith(prefix)).collect()]
+    mine = _owned(spark, root, source_id)
     names = distinct_names([prefix + identifier(d.name) for d in datasets], taken)
     frames = [spread(with_row(dataset.df)) for dataset in datasets]
     decided = _decide(spark, source_id, datasets, frames, kinds or {})
@@ -217,11 +211,30 @@ def _persist(
         "source_id string, source_resource string, summary_page string, content_checksum string, "
         "extraction_status string",
     ).withColumn("ingested_at", now)
-    where = f"catalog/c={token}"
-    others.unionByName(added).write.parquet(f"{root}/{where}/tables")
-    sources.filter(F.col("source_id") != source_id).unionByName(source).write.parquet(f"{root}/{where}/sources")
-    _publish(spark, root, number, {"number": number, "catalog": where, "source_id": source_id})
-    return manifests
+    while True:
+        where = f"catalog/c={number:012d}-{uuid.uuid4().hex[:8]}"
+        others.unionByName(added).write.parquet(f"{root}/{where}/tables")
+        sources.filter(F.col("source_id") != source_id).unionByName(source).write.parquet(f"{root}/{where}/sources")
+        try:
+            _publish(spark, root, number, {"number": number, "catalog": where, "source_id": source_id})
+            return manifests
+        except Py4JJavaError as error:
+            if not error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                raise
+        # Another writer was first. What it did to other sources is taken over; the data stays as written.
+        number = _commits(spark, root)[-1] + 1
+        sources, tables = catalog(spark, root, "sources"), catalog(spark, root, "tables")
+        others = tables.filter(F.col("source_id") != source_id)
+        if _owned(spark, root, source_id) != mine:
+            raise RuntimeError(f"another writer stored {source_id!r} meanwhile")
+        if not others.filter(F.col("table_name").isin(names)).isEmpty():
+            raise RuntimeError(f"another writer took a table name of {source_id!r} meanwhile")
+
+
+def _owned(spark: SparkSession, root: str, source_id: str) -> tuple:
+    """What the newest commit knows of a source: its checksum and where its tables lie."""
+    known = catalog(spark, root, "sources").filter(F.col("source_id") == source_id).select("content_checksum").collect()
+    return known, sorted(r.location for r in owned_tables(spark, root, source_id).select("location").collect())
 
 
 def stored_columns(dataset: Dataset) -> list[str]:
@@ -258,7 +271,7 @@ def _decide(spark, source_id, datasets, frames, pinned) -> list[_Decision]:
         by_column = {(row.dataset, row.column): row for row in facts.collect()}
         too_big = [column for (_, column), row in by_column.items() if row.overflow]
         if too_big:
-            raise RuntimeError(f"failed to persist source {source_id!r}: integer beyond 64 bits in {too_big}")
+            raise RuntimeError(f"nothing of {source_id!r} was stored: {too_big} hold whole numbers beyond 64 bits")
         for n in batch:
             columns = stored_columns(datasets[n])
             rows = {c: by_column[str(n), c] for c in columns if (str(n), c) in by_column}
@@ -342,7 +355,7 @@ def typed_table(df: DataFrame, columns, physical, decided) -> DataFrame:
 
 def append_provenance(df: DataFrame, source_id: str, page=None, section=None, sheet=None) -> DataFrame:
     if not source_id:
-        raise ValueError("source_id must not be empty")
+        raise ValueError("a source needs a non-empty id")
     values = (source_id, page, section, sheet)
     return df.withColumns(
         {n: F.lit(v).cast(SPARK_TYPES[t]) for (n, t), v in zip(PROVENANCE, values)}
@@ -351,8 +364,12 @@ def append_provenance(df: DataFrame, source_id: str, page=None, section=None, sh
 
 def citations(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of a table with the summary page and resource they can be cited by."""
-    cited = catalog(spark, root, "sources").select("source_id", "summary_page", "source_resource")
-    return table(spark, root, name).join(cited, "source_id", "left")
+    owner = catalog(spark, root, "tables").filter(F.col("table_name") == name).select("source_id")
+    # A table belongs to one source: its one catalog row becomes literals, and no row moves.
+    cited = catalog(spark, root, "sources").join(owner, "source_id", "left_semi").first()
+    found = table(spark, root, name)
+    values = {c: F.lit(cited[c] if cited else None).cast("string") for c in ("summary_page", "source_resource")}
+    return found.select("source_id", *(c for c in found.columns if c != "source_id"), *(v.alias(c) for c, v in values.items()))
 
 
 def source_inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -362,8 +379,13 @@ def source_inventory(spark: SparkSession, root: str) -> DataFrame:
     return sources.join(tables, "source_id", "left")
 
 
-def vacuum(spark: SparkSession, root: str) -> int:
-    """Remove table versions and catalogs the newest commit no longer refers to."""
+def vacuum(spark: SparkSession, root: str, min_age_hours: float = 24 * 7) -> int:
+    """Remove table versions and catalogs the newest commit no longer refers to.
+
+    Younger folders stay: a running writer may not have committed them yet, and
+    a reader may still be on the version before.
+    """
+    before = (time.time() - 3600 * min_age_hours) * 1000
     commit = current(spark, root)
     if commit is None:
         return 0
@@ -373,11 +395,11 @@ def vacuum(spark: SparkSession, root: str) -> int:
     removed = 0
     for status in fs.globStatus(hadoop_path(spark, f"{root}/data/*/c=*")):
         location = "/".join(["data", *status.getPath().toString().rsplit("/", 2)[-2:]])
-        if location not in live:
+        if location not in live and status.getModificationTime() <= before:
             fs.delete(status.getPath(), True)
             removed += 1
     for status in fs.globStatus(hadoop_path(spark, f"{root}/catalog/c=*")):
-        if f"catalog/{status.getPath().getName()}" not in live:
+        if f"catalog/{status.getPath().getName()}" not in live and status.getModificationTime() <= before:
             fs.delete(status.getPath(), True)
             removed += 1
     return removed

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,13 +48,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a machine-local folder; a cluster
-    without the setting is an error, because executors would write to disks
-    the driver never sees.
+    Only a session whose executor is the driver itself may fall back to a
+    machine-local folder; a cluster (``local-cluster`` too) without the setting
+    is an error, because executors would write to disks the driver never sees.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = os.path.join(tempfile.gettempdir(), "tessera-scratch")
     return configured.rstrip("/")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
 from tessera.session import checkpointed, small
-from tessera.sources.files import default_separator, listing
+from tessera.sources.files import default_separator, listing, source_path
 
 # Separators tried when the default gives ragged rows.
 CANDIDATES = (",", ";", "\t", "|")
@@ -50,15 +50,30 @@ def _is_blank_record(record: Column, sep: str) -> Column:
     return record.rlike(f'\\A(?:"")?(?:{mark}(?:"")?)*+\\z')
 
 
+def _pinned(spark: SparkSession) -> SparkSession:
+    """A session whose files are cut into the same splits by every job.
+
+    Places in a file are told by split and row, in several jobs; settings that
+    change in between, or executors that come and go, must not move them.
+    """
+    pinned = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    key = "spark.sql.files.minPartitionNum"
+    pinned.conf.set(key, spark.conf.get(key, None) or spark.sparkContext.defaultParallelism)
+    return pinned
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``[file, block, id, record]``; (block, id) is source order inside a file."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    text = F.when(F.col("_metadata.file_block_start") == 0, F.ltrim("value", F.lit("\ufeff")))
+    """``[file, block, id, record]``; (block, id) is source order inside a file.
+
+    The reader drops a byte order mark from the first line of a file.
+    """
+    read = _pinned(spark).read.option("recursiveFileLookup", "true").text(path)
+    lines = DataFrame(read._jdf, spark)
     return lines.select(
-        F.col("_metadata.file_path").alias("file"),
+        source_path().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
-        text.otherwise(F.col("value")).alias("record"),
+        F.col("value").alias("record"),
     )
 
 
@@ -66,8 +81,11 @@ def _chained(reset: Column, flips: Column, start: Column) -> Column:
     return (F.coalesce(reset, start) + flips) % 2
 
 
-def stitch(lines: DataFrame, sep: str) -> DataFrame:
-    """Lines to records: join the lines that share a quoted field."""
+def stitch(lines: DataFrame, sep: str) -> tuple[DataFrame, DataFrame]:
+    """Lines to records, joining lines that share a quoted field; and the files whose last quote stays open.
+
+    Such files have no records: what follows the quote is never regrouped.
+    """
     quoted = F.col("record").contains('"')
     after_out = _leaves_open(F.col("record"), sep).cast("int")
     after_in = F.when(quoted, _leaves_open(F.concat(F.lit('"'), F.col("record")), sep).cast("int")).otherwise(1)
@@ -90,12 +108,18 @@ def stitch(lines: DataFrame, sep: str) -> DataFrame:
     )
     ends = ends.withColumn("_reset", F.last(settled, ignorenulls=True).over(upto))
     ends = ends.withColumn("_state", _chained(F.col("_reset"), F.col("_flips"), F.lit(0)))
+    whole_file = splits.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     starts = ends.select(
-        "file", "block", F.coalesce(F.lag("_state").over(splits), F.lit(0)).alias("_start")
+        "file",
+        "block",
+        F.coalesce(F.lag("_state").over(splits), F.lit(0)).alias("_start"),
+        (F.last("_state").over(whole_file) == 1).alias("_unclosed"),
     )
     starts = checkpointed(lines.sparkSession, starts)
+    unclosed = starts.filter("_unclosed").select("file").distinct()
 
-    placed = known.join(small(starts), ["file", "block"]).withColumn(
+    closed = starts.filter("not _unclosed").drop("_unclosed")
+    placed = known.join(small(closed), ["file", "block"]).withColumn(
         "_after", _chained(F.col("_reset"), F.col("_flips"), F.col("_start"))
     )
     placed = placed.withColumn("_before", F.coalesce(F.lag("_after").over(inside_split), F.col("_start")))
@@ -121,7 +145,7 @@ def stitch(lines: DataFrame, sep: str) -> DataFrame:
     ).select(
         "file", F.col("_head.block").alias("block"), F.col("_head.id").alias("id"), F.array_join("_parts.record", "\n").alias("record")
     )
-    return whole.unionByName(joined)
+    return whole.unionByName(joined), unclosed
 
 
 def _by_separator(sep: Column, rule) -> Column:
@@ -159,47 +183,67 @@ class Scan:
     status: DataFrame
 
 
+def _settle(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of ``lines`` (with the separator of their file) and what they measure per file.
+
+    Only files with a quoted line break are stitched.
+    """
+    measured = checkpointed(spark, _measure(lines)).withColumn("unclosed", F.lit(False))
+    broken = measured.filter("spans").select("file")
+    seps = [row.sep for row in lines.join(broken, "file", "left_semi").select("sep").distinct().collect()] if not broken.isEmpty() else []
+    if not seps:
+        return lines, measured
+    parts, facts = [lines.join(broken, "file", "left_anti")], [measured.filter("not spans")]
+    for sep in seps:
+        own = lines.join(broken, "file", "left_semi").filter(F.col("sep") == sep).drop("sep")
+        records, unclosed = stitch(own, sep)
+        parts.append(records.withColumn("sep", F.lit(sep)))
+        facts.append(_measure(parts[-1]).withColumn("unclosed", F.lit(False)))
+        facts.append(unclosed.withColumn("unclosed", F.lit(True)))
+    together = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts)
+    return reduce(DataFrame.unionByName, parts), checkpointed(spark, together)
+
+
 def scan(spark: SparkSession, path: str | list[str], sep: str | None = None) -> Scan:
     """Records and ``[file, sep, header, n_rows, width, status]``.
 
-    A file whose rows all have the width of its header is ``complete``. A ragged
-    file is tried under the other separators and accepted only if one of them
-    gives a constant width of at least two; otherwise it is ``malformed``.
+    A file whose rows all have the width of its header is ``complete``. Any other
+    is read again, from its lines on, under each of the other separators, and
+    accepted if one of them gives a constant width of at least two; otherwise it
+    is ``malformed``, or has an ``unclosed quote``.
     """
     files = listing(spark, path).select(F.col("path").alias("file"))
     default = F.lit(sep) if sep else default_separator(F.col("file"))
-    records = read_lines(spark, path).withColumn("sep", default)
-    measured = checkpointed(spark, _measure(records))
-    broken = [row.sep for row in measured.filter("spans").select(default.alias("sep")).distinct().collect()]
-    if broken:
-        names = measured.filter("spans").select("file")
-        parts = [records.join(names, "file", "left_anti")]
-        for one in broken:
-            lines = records.join(names, "file", "left_semi").filter(F.col("sep") == one)
-            parts.append(stitch(lines.drop("sep"), one).withColumn("sep", F.lit(one)))
-        records = reduce(DataFrame.unionByName, parts)
-        measured = checkpointed(
-            spark,
-            measured.filter("not spans").unionByName(
-                _measure(reduce(DataFrame.unionByName, parts[1:]))
-            ),
+    lines = read_lines(spark, path)
+    records, measured = _settle(spark, lines.withColumn("sep", default))
+    constant = (F.col("low") == F.col("high")) & ~F.col("unclosed")
+    measured = measured.withColumn("use", F.when(constant, default))
+    ragged = measured.filter("use IS NULL AND (unclosed OR head IS NOT NULL)").select("file")
+    if not ragged.isEmpty():
+        again = lines.join(small(ragged), "file", "left_semi")
+        tries = {c: _settle(spark, again.withColumn("sep", F.lit(c))) for c in CANDIDATES}
+        regular = [
+            facts.filter(constant & (F.col("low") >= 2)).withColumns({"use": F.lit(c), "_prefer": F.lit(-n)})
+            for n, (c, (_, facts)) in enumerate(tries.items())
+        ]
+        rank = W.partitionBy("file").orderBy(F.col("low").desc(), F.col("_prefer").desc())
+        options = reduce(DataFrame.unionByName, regular).withColumn("_rank", F.row_number().over(rank))
+        best = checkpointed(spark, options.filter("_rank = 1").drop("_rank", "_prefer"))
+        measured = measured.join(best, "file", "left_anti").unionByName(best)
+        records = reduce(
+            DataFrame.unionByName,
+            [records.join(small(best.select("file")), "file", "left_anti")]
+            + [tries[c][0].join(small(best.filter(F.col("use") == c).select("file")), "file", "left_semi") for c in CANDIDATES],
         )
-    constant = F.col("low") == F.col("high")
-    ragged = measured.filter(~constant).select("file")
-    best = "struct<width:int,prefer:int,sep:string>"
-    if ragged.isEmpty():
-        first = measured.withColumn("best", F.lit(None).cast(best))
-    else:
-        retried = _retry(records.join(ragged, "file", "left_semi"))
-        first = measured.join(retried, "file", "left")
-    status = files.join(first, "file", "left").select(
+    status = files.join(measured, "file", "left").select(
         "file",
-        F.when(constant, default).otherwise(F.col("best.sep")).alias("sep"),
+        F.col("use").alias("sep"),
         F.col("head.record").alias("header"),
         F.greatest(F.coalesce(F.col("n_records") - 1, F.lit(0)), F.lit(0)).alias("n_rows"),
-        F.when(constant, F.col("low")).otherwise(F.col("best.width")).alias("width"),
-        F.when(F.col("head").isNull(), "empty")
-        .when(constant | F.col("best").isNotNull(), "complete")
+        F.when(F.col("use").isNotNull(), F.col("low")).alias("width"),
+        F.when(F.col("use").isNotNull(), "complete")
+        .when(F.col("unclosed"), "unclosed quote")
+        .when(F.col("head").isNull(), "empty")
         .otherwise("malformed")
         .alias("status"),
         F.struct(F.col("head.block"), F.col("head.id")).alias("head"),
@@ -207,25 +251,6 @@ def scan(spark: SparkSession, path: str | list[str], sep: str | None = None) ->
     return Scan(records, checkpointed(spark, status))
 
 
-def _retry(records: DataFrame) -> DataFrame:
-    """``[file, best]``: the separator under which a ragged file is regular."""
-    record, sep = F.col("record"), F.col("sep")
-    filled = ~_by_separator(sep, lambda c: _is_blank_record(record, c))
-    widths = {f"_w{n}": _width(record, c) for n, c in enumerate(CANDIDATES)}
-    ranges = [
-        edge(name).alias(f"{edge.__name__}{name}") for name in widths for edge in (F.min, F.max)
-    ]
-    measured = records.filter(filled).withColumns(widths).groupBy("file").agg(*ranges)
-    options = [
-        F.when(
-            (F.col(f"min_w{n}") == F.col(f"max_w{n}")) & (F.col(f"min_w{n}") >= 2),
-            F.struct(F.col(f"min_w{n}").alias("width"), F.lit(-n).alias("prefer"), F.lit(c).alias("sep")),
-        )
-        for n, c in enumerate(CANDIDATES)
-    ]
-    return measured.select("file", F.array_max(F.array(*options)).alias("best"))
-
-
 def _fields(record: Column, sep: str, width: int) -> Column:
     schema = ", ".join(f"c{n} string" for n in range(width))
     options = {
@@ -322,8 +347,9 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None =
     if len(shapes) != 1:
         if shapes:
             raise ValueError(f"files with different headers below {path}")
-        if not found.status.filter("status = 'malformed'").isEmpty():
-            raise ValueError(f"inconsistent row width in {path}")
+        bad = found.status.filter("status IN ('malformed', 'unclosed quote')").first()
+        if bad is not None:
+            raise ValueError(f"{bad.file} has no constant row width ({bad.status})")
         raise LookupError(f"no tabular content below {path}")
     shape = shapes[0]
     labels = header_labels(complete).select("pos", "label").distinct().orderBy("pos")

@@ -2,19 +2,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Extension -> reader.
 READERS = {"csv": "delimited", "tsv": "delimited", "xlsx": "worksheet"}
 
-# Above this size a file is hashed as a stream instead of as one value.
-WHOLE_FILE_LIMIT = 256 * 1024 * 1024
-
 
 def reader_for(path: Column) -> Column:
     """``delimited``, ``worksheet`` or ``unsupported``."""
@@ -53,6 +47,11 @@ def is_contained(path: Column, raw_root: str) -> Column:
     return resolved(path).startswith(raw_root.rstrip("/") + "/")
 
 
+def source_path(column: str = "_metadata.file_path") -> Column:
+    """The plain path of the file a row was read from; Spark keeps it percent-encoded."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+
+
 def content_checksum(content: Column) -> Column:
     return F.sha2(content, 256)
 
@@ -64,39 +63,33 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """``[path, length, checksum]`` of every file below ``path``.
+    """``[path, length, checksum]`` of every file below ``path``, hashed inside the JVM.
 
-    Ordinary files are hashed inside the JVM. A file too large for one value is
-    read block by block on the task that owns its row.
+    One way for every size and every file system Spark reads. A file beyond what
+    one value holds (2 GB) is an error of the read, never another checksum.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.filter(F.col("length") <= WHOLE_FILE_LIMIT).select(
-        "path", "length", content_checksum(F.col("content")).alias("checksum")
-    )
-    large = files.filter(F.col("length") > WHOLE_FILE_LIMIT).select("path", "length")
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            sums = []
-            for name in batch["path"]:
-                source, inner = fs.FileSystem.from_uri(name)
-                total = hashlib.sha256()
-                with source.open_input_stream(inner) as handle:
-                    while block := handle.read(8 * 1024 * 1024):
-                        total.update(block)
-                sums.append(total.hexdigest())
-            yield batch.assign(checksum=sums)
-
-    schema = T.StructType(
-        [
-            T.StructField("path", T.StringType()),
-            T.StructField("length", T.LongType()),
-            T.StructField("checksum", T.StringType()),
-        ]
-    )
-    return small.unionByName(large.mapInPandas(stream, schema))
+    return files.select("path", "length", content_checksum(F.col("content")).alias("checksum"))
+
+
+def combined_checksum(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number of files below ``path`` and one checksum of them all.
+
+    A single file has its own. Several are summed up in four words, over hashes
+    of relative path and checksum, so that order does not matter, any number fits
+    and equal files do not cancel out.
+    """
+    root = resolved(F.lit(path))
+    plain = F.regexp_replace(resolved(F.col("path")), r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    inner = F.expr("substr(_plain, length(_root) + 1)")
+    sums = checksums(spark, path).withColumns({"_plain": plain, "_root": F.regexp_replace(root, r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")})
+    each = sums.select("checksum", F.sha2(F.concat_ws("\n", inner, "checksum"), 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", 1 + 16 * n, 16), 16, 10).cast("decimal(20,0)")).alias(f"w{n}") for n in range(4)]
+    found = each.agg(F.count("*").alias("n"), F.min("checksum").alias("one"), *words).first()
+    if found.n <= 1:
+        return found.n, found.one
+    total = f"{found.n}\n" + "\n".join(str(found[f"w{n}"]) for n in range(4))
+    return found.n, hashlib.sha256(total.encode()).hexdigest()
 
 
 def change_status(incoming: DataFrame, cataloged: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
+from tessera.sources.files import source_path
 
 DATASETS = (
     "array<struct<name:string, columns:array<string>, rows:array<map<string,variant>>, "
@@ -21,7 +22,7 @@ def read_manifests(spark: SparkSession, path: str, per_line: bool = False) -> Da
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     texts = reader.text(path, wholetext=not per_line).select(
-        F.col("_metadata.file_path").alias("file"),
+        source_path().alias("file"),
         F.from_json("value", f"struct<source_id:string, datasets:{DATASETS}>").alias("m"),
     )
     return texts.filter("m.source_id is not null or m.datasets is not null").select(
@@ -35,6 +36,11 @@ def mismatched(manifests: DataFrame, expected: str) -> DataFrame:
     return manifests.filter(other).select("file", "source_id").distinct()
 
 
+def _beyond_64_bits(cell, kind):
+    """A whole number too large for a BIGINT: a decimal without a fraction."""
+    return kind.rlike(r"^DECIMAL\(\d+,0\)$") & (F.abs(cell.cast("decimal(38,0)")) > F.lit(2**63 - 1).cast("decimal(38,0)"))
+
+
 def manifest_cells(manifests: DataFrame) -> DataFrame:
     """Typed cells of all datasets: every listed column of every row, in row order."""
     calculated = F.coalesce(F.col("dataset.formulas.column"), F.array().cast("array<string>"))
@@ -51,7 +57,7 @@ def manifest_cells(manifests: DataFrame) -> DataFrame:
     kind = F.schema_of_variant(cell)
     tag = (
         F.when(cell.isNull() | (kind == "VOID"), "null")
-        .when(kind == "BIGINT", "int")
+        .when((kind == "BIGINT") | _beyond_64_bits(cell, kind), "int")
         .when(kind == "BOOLEAN", "bool")
         .when(kind == "STRING", "str")
         .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")

@@ -1,39 +1,68 @@
 """Streams over a raw landing area, run to the end of what has arrived."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.plans.store import Dataset, catalog, persist_source, rebuild_source
-from tessera.sources.files import content_checksum, reader_for
+from tessera.sources.delimited import header_labels, read_delimited, scan
+from tessera.sources.files import checksums, reader_for
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
+#: Files of a micro-batch at most; their paths and statuses pass through the driver.
+FILES_PER_BATCH = 1000
+#: What one value can hold. Larger files get a status instead of a checksum.
+LARGEST = 2**31 - 16
 
-def raw_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str) -> DataFrame:
-    """New files below ``raw`` -> ``[path, length, checksum, status, batch]`` below ``out``.
 
-    Every micro-batch overwrites its own folder, so a batch that is replayed
-    after a failure leaves one copy. The sink is what a later run appends to.
-    """
+def _arrivals(spark: SparkSession, raw: str) -> DataFrame:
+    """Paths and lengths of arriving files; their contents are not read."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY)
         .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", FILES_PER_BATCH)
         .load(raw)
     )
+    return files.select("path", "length")
+
+
+def literal(path: str) -> str:
+    """A path that is not taken for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def _checked(spark: SparkSession, batch: DataFrame) -> DataFrame:
+    """``[path, length, checksum, status]`` of the files of a batch."""
+    paths = [literal(r.path) for r in batch.filter(F.col("length") <= LARGEST).select("path").collect()]
+    sums = checksums(spark, paths) if paths else spark.createDataFrame([], "path string, length bigint, checksum string")
     reader = reader_for(F.col("path"))
-    rows = files.select(
-        "path",
-        "length",
-        content_checksum(F.col("content")).alias("checksum"),
-        F.when(reader == "unsupported", "unsupported").when(F.col("length") == 0, "empty").otherwise("pending").alias("status"),
+    status = (
+        F.when(F.col("length") > LARGEST, "too large")
+        .when(reader == "unsupported", "unsupported")
+        .when(F.col("length") == 0, "empty")
+        .otherwise("pending")
     )
+    return batch.join(sums.select("path", "checksum"), "path", "left").select("path", "length", "checksum", status.alias("status"))
+
+
+def raw_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str) -> DataFrame:
+    """New files below ``raw`` -> ``[path, length, checksum, status, batch]`` below ``out``.
+
+    Every micro-batch overwrites its own folder, so a batch that is replayed
+    after a failure leaves one copy. The sink is what a later run appends to.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        _checked(spark, batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    _drain(rows, save, checkpoint)
+    _drain(_arrivals(spark, raw), save, checkpoint)
     schema = "path string, length bigint, checksum string, status string, batch bigint"
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 
@@ -46,31 +75,59 @@ def normalize_upsert(
     source_id: str,
     kinds: list[tuple[str, str | None]],
     checkpoint: str,
-    **csv_options: str,
-) -> None:
-    """Normalize arriving CSV rows with pinned kinds; one owned source per batch.
+    sep: str | None = None,
+) -> DataFrame:
+    """Normalize arriving delimited files with pinned kinds; one owned source per batch.
 
-    A batch is stored under ``<source_id>-<batch>``. Replaying a batch rebuilds
-    exactly that source, which makes the sink idempotent; earlier batches are
-    never rewritten.
+    Files go through the scanner with all its checks. Only those with the columns
+    of ``schema`` are stored; each file gets a row ``[path, checksum, status,
+    n_rows, batch]``, and one with a content that arrived before is a
+    ``duplicate``. A batch is stored under ``<source_id>-<batch>``; replaying it
+    rebuilds exactly that source, and earlier batches are never rewritten.
     """
-    rows = (
-        spark.readStream.schema(schema)
-        .options(header="true", quote='"', escape='"', recursiveFileLookup="true", **csv_options)
-        .csv(raw)
-    )
+    statuses = f"{root}/arrivals/{source_id}"
+    row = "path string, checksum string, status string, n_rows bigint, batch bigint"
+    names = T.StructType.fromDDL(schema).names
 
     def save(batch: DataFrame, number: int) -> None:
-        name = f"{source_id}-{number}"
-        known = not catalog(spark, root, "sources").filter(F.col("source_id") == name).isEmpty()
-        store = rebuild_source if known else persist_source
-        digest = batch.agg(F.coalesce(F.bit_xor(F.xxhash64(*batch.columns)), F.lit(0)).alias("h")).first().h
-        store(
-            spark, root, name, raw, f"wiki/sources/{source_id}.md", [Dataset("rows", batch)],
-            checksum=f"{digest & (2**64 - 1):016x}", kinds={"rows": kinds},
-        )
-
-    _drain(rows, save, checkpoint)
+        found = _checked(spark, batch)
+        try:
+            before = spark.read.schema(row).option("basePath", statuses).parquet(statuses)
+        except AnalysisException:  # the first batch
+            before = spark.createDataFrame([], row)
+        before = before.filter((F.col("batch") < number) & F.col("status").isin("stored", "duplicate")).select("checksum").distinct()
+        rank = F.row_number().over(Window.partitionBy("checksum").orderBy("path"))
+        seen = found.join(before.withColumn("_seen", F.lit(True)), "checksum", "left").withColumn("_rank", rank)
+        twice = (F.col("status") == "pending") & (F.col("_seen").isNotNull() | (F.col("_rank") > 1))
+        rows = seen.select("path", "checksum", F.when(twice, "duplicate").otherwise(F.col("status")).alias("status")).collect()
+        pending = [literal(r.path) for r in rows if r.status == "pending"]
+        scanned = {}
+        if pending:
+            shape = scan(spark, pending, sep).status
+            labels = header_labels(shape).groupBy("file").agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels")
+            )
+            same = F.coalesce(F.col("labels") == F.lit(names), F.lit(False))
+            judged = shape.join(labels, "file", "left").select(
+                "file", "n_rows", F.when(F.col("status") != "complete", F.col("status")).when(same, "stored").otherwise("other header").alias("status")
+            )
+            scanned = {r.file: r for r in judged.collect()}
+        good = [literal(path) for path, r in scanned.items() if r.status == "stored"]
+        if good:
+            df, _ = read_delimited(spark, good, sep)
+            digest = hashlib.sha256("\n".join(sorted(r.checksum for r in rows if r.path in scanned)).encode()).hexdigest()
+            name = f"{source_id}-{number}"
+            known = not catalog(spark, root, "sources").filter(F.col("source_id") == name).isEmpty()
+            store = rebuild_source if known else persist_source
+            store(
+                spark, root, name, raw, f"wiki/sources/{source_id}.md", [Dataset("rows", df)],
+                checksum=digest, kinds={"rows": kinds},
+            )
+        lines = [(r.path, r.checksum, scanned[r.path].status if r.path in scanned else r.status, scanned[r.path].n_rows if r.path in scanned else 0) for r in rows]
+        spark.createDataFrame(lines, row.rpartition(",")[0]).write.mode("overwrite").parquet(f"{statuses}/batch={number}")
+
+    _drain(_arrivals(spark, raw), save, checkpoint)
+    return spark.read.schema(row).option("basePath", statuses).parquet(statuses)
 
 
 def _drain(rows: DataFrame, save, checkpoint: str) -> None:

@@ -128,3 +128,10 @@ def test_candidates(spark):
     approvals = rows.selectExpr("candidate", "false AS approved").distinct()
     assert candidates.approved(rows, approvals).count() == 0
     assert [r.status for r in candidates.gate_status(rows, approvals).collect()] == ["rejected"]
+
+
+def test_a_long_front_matter(spark):
+    entries = "".join(f"  - id: s{i}\n    resource: raw/{i}.csv\n" for i in range(50_000))
+    body = f"---\ntype: Entity\nsources:\n{entries}title: T\n---\ntext"
+    row = corpus.page_frontmatter(spark.createDataFrame([("wiki/entities/a.md", body)], "path string, body string")).first()
+    assert len(row.sources) == 50_000 and row.sources[-1].resource == "raw/49999.csv" and row.title == "T"

@@ -81,10 +81,9 @@ def test_a_row_that_repeats_the_header_is_data(spark, raw):
     assert wide(df) == [("1", "2"), ("a", "b")]
 
 
-def test_checksums_and_listing(spark, raw, monkeypatch):
+def test_checksums_and_listing(spark, raw):
     raw("a.bin", "content")
     raw("b.bin", "x" * 5000)
-    monkeypatch.setattr(files, "WHOLE_FILE_LIMIT", 1000)
     got = sorted(r.checksum for r in files.checksums(spark, raw.folder).collect())
     assert got == sorted(hashlib.sha256(t.encode()).hexdigest() for t in ("content", "x" * 5000))
 
@@ -127,3 +126,56 @@ def test_read_pages(spark, tmp_path):
     (tmp_path / "wiki" / "note.txt").write_text("no", encoding="utf-8")
     rows = read_pages(spark, str(tmp_path)).collect()
     assert [(r.path, r.body) for r in rows] == [("wiki/entities/A.md", "---\ntype: Entity\n---\nx")]
+
+
+def test_paths_with_spaces_and_accents(spark, tmp_path):
+    folder = tmp_path / "Área 1 + 50%" / "Minhas Notas"
+    folder.mkdir(parents=True)
+    (folder / "a b.csv").write_text('x,y\n1,"p\nq"\n', encoding="utf-8")
+    (folder / "Minha Nota.md").write_text("oi", encoding="utf-8")
+    df, status = delimited.read_delimited(spark, str(folder / "a b.csv"))
+    assert wide(df) == [("1", "p\nq")] and status.first().status == "complete"
+    assert [r.path for r in read_pages(spark, str(tmp_path)).collect()] == ["Área 1 + 50%/Minhas Notas/Minha Nota.md"]
+
+
+def test_another_separator_is_a_full_re_read(spark, raw):
+    raw("a.csv", '1;"two\nlines";3,50\n2;"x;y";4,1\n')
+    raw("b.csv", ';;\nh1;h2;h3\n1;"p\n\nq";2,5\n;;\n3;4;5\n')
+    cells, status = delimited.read_cells(spark, raw.folder)
+    assert {(r.status, r.sep, r.width) for r in status.collect()} == {("complete", ";", 3)}
+    got = {}
+    for r in cells.collect():
+        got.setdefault((r.dataset[-5:], r["_row"]), {})[r.column] = r.text
+    assert sorted(tuple(x.values()) for (d, _), x in got.items() if d == "a.csv") == [("2", "x;y", "4,1")]
+    assert sorted(tuple(x.values()) for (d, _), x in got.items() if d == "b.csv") == [("1", "p\n\nq", "2,5"), ("3", "4", "5")]
+
+
+def test_a_quote_that_never_closes_is_a_status(spark, raw):
+    path = raw("a.csv", 'a,b\n1,2\n3,"x\n' + "4,5\n" * 500)
+    assert delimited.scan(spark, path).status.first().status == "unclosed quote"
+    with pytest.raises(ValueError, match="unclosed quote"):
+        delimited.read_delimited(spark, path)
+
+
+def test_a_changed_split_layout_moves_no_header(spark, raw):
+    for n in range(6):
+        raw(f"{n}.csv", "a,b\n" + "".join(f"{i},x{n}\n" for i in range(2000)))
+    keys = {"spark.sql.files.minPartitionNum": "23", "spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "10"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        df, _ = delimited.read_delimited(spark, raw.folder)
+        cells, _ = delimited.read_cells(spark, raw.folder)
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        assert df.count() == 12_000 and df.filter("a = 'a'").isEmpty()
+        assert cells.count() == 24_000
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_whole_numbers_beyond_64_bits_stay_whole(spark, raw):
+    rows = [{"n": 99999999999999999999}, {"n": -9223372036854775809}, {"n": 9223372036854775807}, {"n": 5.0}]
+    raw("m.json", json.dumps({"source_id": "s", "datasets": [{"name": "N", "columns": ["n"], "rows": rows}]}))
+    got = [(r.text, r.tag) for r in manifest_cells(read_manifests(spark, raw.folder)).orderBy("_row").collect()]
+    assert got == [("99999999999999999999", "int"), ("-9223372036854775809", "int"), ("9223372036854775807", "int"), ("5.0", "float")]

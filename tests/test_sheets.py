@@ -65,6 +65,16 @@ def test_eligibility(spark):
     assert all((r.note is None) == (r.verdict == "derivable") for r in got)
 
 
+def test_any_nesting_and_any_length_is_judged(spark):
+    deep, long = "=" + "(" * 50 + "A2" + ")" * 50 + "*2", "=A2" + "+B2*1" * 250_000
+    texts = {deep: "arithmetic", deep + ")": None, long: "arithmetic", long + "+": None, "=()": None, "=A2(B2)": None}
+    rows = []
+    for n, text in enumerate(texts):
+        rows += sheet(spark, f"s{n}", ["a", "b", "t"], [1, 2, text], [3, 4, None])
+    got = formulas.formula_eligibility(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.formula: r.shape for r in got} == texts
+
+
 def test_column_numbers(spark):
     letters = {"A": 1, "Z": 26, "aa": 27, "XFD": 16384, "ZZZ": 18278}
     df = spark.createDataFrame([(k,) for k in letters], "l string")
