@@ -33,17 +33,23 @@ def _runs(widths: Column) -> Column:
     )
 
 
-def _found(docs: DataFrame, key: str, text: str, sep: str, widths: Column) -> DataFrame:
+def _found(docs: DataFrame, key: str, text: str, widths: dict[str, Column]) -> DataFrame:
+    """Runs of lines of one width under each separator, all from one reading of the texts."""
     staged = docs.select(F.col(key).alias("doc"), F.split(F.col(text), "\n").alias("lines"))
-    staged = staged.withColumn("widths", widths)
-    runs = staged.select("doc", "lines", F.explode(_runs(F.col("widths"))).alias("run"))
-    return runs.filter("run.width >= 2 and run.last > run.first").select(
+    staged = staged.withColumns({f"_w{n}": width for n, width in enumerate(widths.values())})
+
+    def runs(n: int, sep: str) -> Column:
+        wide = F.filter(_runs(F.col(f"_w{n}")), lambda r: (r["width"] >= 2) & (r["last"] > r["first"]))
+        return F.transform(wide, lambda r: F.struct(F.lit(sep).alias("sep"), r.alias("run")))
+
+    listed = staged.select("doc", "lines", F.explode(F.concat(*(runs(n, sep) for n, sep in enumerate(widths)))).alias("x"))
+    return listed.select(
         "doc",
-        F.lit(sep).alias("sep"),
-        F.col("run.width").alias("width"),
-        F.col("run.first").alias("first_line"),
-        F.col("run.last").alias("last_line"),
-        F.slice("lines", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + 1).alias("lines"),
+        F.col("x.sep").alias("sep"),
+        F.col("x.run.width").alias("width"),
+        F.col("x.run.first").alias("first_line"),
+        F.col("x.run.last").alias("last_line"),
+        F.expr("slice(lines, x.run.first + 1, x.run.last - x.run.first + 1)").alias("lines"),
     )
 
 
@@ -53,11 +59,7 @@ def text_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def width(sep: str) -> Column:
         return F.transform("lines", lambda line: F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit(""))) + 1)
 
-    found = [_found(docs, key, text, sep, width(sep)) for sep in SEPARATORS]
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return _found(docs, key, text, {sep: width(sep) for sep in SEPARATORS})
 
 
 def pipe_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,7 +68,7 @@ def pipe_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         fields = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) - 1
         return F.when(line.rlike(PIPE_ROW), fields).otherwise(F.lit(0))
 
-    found = _found(docs, key, text, "|", F.transform("lines", width))
+    found = _found(docs, key, text, {"|": F.transform("lines", width)})
     rows = F.filter("lines", lambda line: ~line.rlike(PIPE_RULE))
     return found.withColumn("lines", rows).filter(F.size("lines") >= 2)
 

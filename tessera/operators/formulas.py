@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.worksheet import layout, numeric_columns, stored_spread
-from tessera.session import small
+from tessera.session import checkpointed, small
 
 # Functions with a query-time equivalent, and the text recorded
 # for a formula without one.
@@ -65,33 +65,37 @@ def _corners(reference: Column) -> dict[str, Column]:
     }
 
 
-def _references(found: DataFrame, text: Column, *keep: str) -> DataFrame:
-    listed = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
-    exploded = found.select(*keep, F.posexplode(listed).alias("ref_pos", "reference"))
-    corners = _corners(F.col("reference"))
-    return exploded.select("*", *[value.alias(name) for name, value in corners.items()])
+def _references(text: Column) -> Column:
+    """The references of a formula in order: ``array<struct<left,right,top,bottom>>``."""
+
+    def corners(reference: Column) -> Column:
+        return F.struct(*[value.alias(name) for name, value in _corners(reference).items()])
+
+    return F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), corners)
+
+
+def _with_columns(found: DataFrame, columns: DataFrame, into: str) -> DataFrame:
+    """Attach what is known of a sheet's columns (``sheet, entry``) as one sorted array."""
+    listed = columns.groupBy("sheet").agg(F.array_sort(F.collect_list("entry")).alias(into))
+    return found.join(small(checkpointed(found.sparkSession, listed)), "sheet", "left")
 
 
 def formula_inputs(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """``[sheet, col, formula, input, first_use]``: headers a formula reads.
 
     Ranges count by column; formula columns and columns outside the sheet do
-    not count. ``first_use`` orders the inputs by appearance.
+    not count. ``first_use`` orders the inputs by appearance. Every column of the
+    sheet is held against the ranges, so a range costs nothing by its width.
     """
     shape = layout(cells) if shape is None else shape
-    inventory = formula_inventory(cells, shape).select("sheet", "col", "formula")
-    used = _references(inventory, F.col("formula"), "sheet", "col", "formula").select(
-        "sheet",
-        "col",
-        "formula",
-        "ref_pos",
-        F.explode(F.sequence(F.greatest("left", F.lit(1)), F.least("right", F.lit(18278)))).alias("input_col"),
-    )
-    stored = shape.filter("not calculated").select("sheet", F.col("col").alias("input_col"), "label")
+    inventory = formula_inventory(cells, shape).select("sheet", "col", "formula", _references(F.col("formula")).alias("refs"))
+    stored = shape.filter("not calculated").select("sheet", F.struct("col", "label").alias("entry"))
+    used = _with_columns(inventory, stored, "stored").select("sheet", "col", "formula", "refs", F.explode("stored").alias("entry"))
+    covers = F.transform("refs", lambda r: F.coalesce(F.col("entry.col").between(r["left"], r["right"]), F.lit(False)))
+    placed = used.withColumn("ref_pos", F.array_position(covers, F.lit(True)) - 1).filter("ref_pos >= 0")
     return (
-        used.join(stored, ["sheet", "input_col"])
-        .groupBy("sheet", "col", "formula", F.col("label").alias("input"))
-        .agg(F.min(F.struct("ref_pos", "input_col")).alias("_first"))
+        placed.groupBy("sheet", "col", "formula", F.col("entry.label").alias("input"))
+        .agg(F.min(F.struct("ref_pos", F.col("entry.col").alias("input_col"))).alias("_first"))
         .select(
             "sheet",
             "col",
@@ -158,37 +162,27 @@ def formula_eligibility(cells: DataFrame, shape: DataFrame | None = None) -> Dat
         F.col("body").contains("$").alias("absolute"),
         signed.contains("--").alias("doubled_sign"),
     )
-    keys = ["sheet", "row", "col"]
-    references = _references(shaped, F.col("body"), *keys)
-    spread = stored_spread(cells, shape)
-    flat = F.col("top") == F.col("bottom")
-    placed = references.join(spread, "sheet", "left").select(
-        *keys,
-        "reference",
-        "left",
-        "right",
-        flat.alias("flat"),
-        F.when(flat, F.col("top") == F.col("row"))
-        .otherwise((F.col("top") <= F.col("first_row")) & (F.col("bottom") >= F.col("last_row")))
-        .alias("in_place"),
+    numeric = numeric_columns(shape).filter("numeric").select("sheet", F.col("col").alias("entry"))
+    spread = small(checkpointed(cells.sparkSession, stored_spread(cells, shape)))
+    placed = _with_columns(shaped, numeric, "numeric_cols").join(spread, "sheet", "left").withColumn("refs", _references(F.col("body")))
+    refs = F.col("refs")
+    flat = lambda r: r["top"] == r["bottom"]
+    covered = lambda r: (r["top"] <= F.col("first_row")) & (r["bottom"] >= F.col("last_row"))
+    numbers = F.coalesce("numeric_cols", F.array().cast("array<int>"))
+    inside = lambda r: F.size(F.filter(numbers, lambda c: c.between(r["left"], r["right"])))
+    spans = F.array_sort(F.transform(refs, lambda r: F.struct(r["left"].alias("left"), r["right"].alias("right"))))
+    # Of ranges in order, two that share a column stand side by side.
+    shared = F.exists(
+        F.transform("spans", lambda r, i: F.coalesce(F.get("spans", i + 1)["left"] <= r["right"], F.lit(False))), lambda x: x
     )
-    columns = placed.select(
+    joined = placed.withColumn("spans", spans).select(
         "*",
-        F.explode(F.sequence(F.greatest("left", F.lit(1)), F.least("right", F.lit(18278)))).alias("ref_col"),
-    )
-    numeric = numeric_columns(shape).withColumnRenamed("col", "ref_col")
-    judged = (
-        columns.join(numeric, ["sheet", "ref_col"], "left")
-        .groupBy(*keys)
-        .agg(
-            F.bool_and("in_place").alias("in_place"),
-            F.bool_and(F.coalesce("numeric", F.lit(False))).alias("numeric"),
-            F.bool_and("flat").alias("all_flat"),
-            F.bool_or("flat").alias("any_flat"),
-            (F.count("*") > F.count_distinct("ref_col")).alias("repeated"),
-        )
+        F.forall(refs, lambda r: F.when(flat(r), r["top"] == F.col("row")).otherwise(covered(r))).alias("in_place"),
+        F.forall(refs, lambda r: inside(r) == r["right"] - r["left"] + 1).alias("numeric"),
+        F.forall(refs, flat).alias("all_flat"),
+        F.exists(refs, flat).alias("any_flat"),
+        shared.alias("repeated"),
     )
-    joined = shaped.join(judged, keys, "left")
     called, known = F.col("is_call"), F.coalesce(F.col("in_place"), F.lit(True))
     reason = (
         F.when(F.col("absolute"), "absolute reference")

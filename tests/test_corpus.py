@@ -135,3 +135,12 @@ def test_a_long_front_matter(spark):
     body = f"---\ntype: Entity\nsources:\n{entries}title: T\n---\ntext"
     row = corpus.page_frontmatter(spark.createDataFrame([("wiki/entities/a.md", body)], "path string, body string")).first()
     assert len(row.sources) == 50_000 and row.sources[-1].resource == "raw/49999.csv" and row.title == "T"
+
+
+def test_text_records_read_documents_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a,b\n1,2\n\nx;y\n3;4")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    found = candidates.text_records(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted((r.sep, r.width, r.first_line, r.last_line, tuple(r.lines)) for r in found.collect()) == [
+        (",", 2, 0, 1, ("a,b", "1,2")), (";", 2, 3, 4, ("x;y", "3;4")),
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1

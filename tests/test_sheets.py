@@ -102,3 +102,13 @@ def test_column_and_block_formulas(spark):
     assert math.isclose(spread, math.sqrt(sum((v - 8.5) ** 2 for v in (1, 3, 10, 20)) / 3))
     empty = df.filter("false").agg(X.column_sum(a), X.column_average(a)).first()
     assert tuple(empty) == (0.0, None)
+
+
+def test_ranges_cost_nothing_by_their_width(spark):
+    rows = sheet(spark, "S", ["a", "b", "t"], [1, 2, "=SUM(A2:ZZZ2)"], [3, 4, "=SUM(A3:B3)"])
+    cells = spark.createDataFrame(rows, SCHEMA)
+    inputs = formulas.formula_inputs(cells)
+    assert sorted((r.formula, r.input) for r in inputs.collect()) == [(f, i) for f in ("=SUM(A2:ZZZ2)", "=SUM(A3:B3)") for i in "ab"]
+    judged = formulas.formula_eligibility(cells)
+    assert {r.formula: r.shape for r in judged.collect()} == {"=SUM(A2:ZZZ2)": None, "=SUM(A3:B3)": "horizontal"}
+    assert "sequence" not in judged._jdf.queryExecution().optimizedPlan().toString()
