@@ -90,9 +90,15 @@ def formula_inputs(cells: DataFrame, shape: DataFrame | None = None) -> DataFram
     shape = layout(cells) if shape is None else shape
     inventory = formula_inventory(cells, shape).select("sheet", "col", "formula", _references(F.col("formula")).alias("refs"))
     stored = shape.filter("not calculated").select("sheet", F.struct("col", "label").alias("entry"))
-    used = _with_columns(inventory, stored, "stored").select("sheet", "col", "formula", "refs", F.explode("stored").alias("entry"))
-    covers = F.transform("refs", lambda r: F.coalesce(F.col("entry.col").between(r["left"], r["right"]), F.lit(False)))
-    placed = used.withColumn("ref_pos", F.array_position(covers, F.lit(True)) - 1).filter("ref_pos >= 0")
+    sheets = _with_columns(inventory, stored, "stored")
+
+    def place(refs: Column, entry: Column) -> Column:
+        covers = F.transform(refs, lambda r: F.coalesce(entry["col"].between(r["left"], r["right"]), F.lit(False)))
+        return F.struct(entry.alias("entry"), (F.array_position(covers, F.lit(True)) - 1).alias("ref_pos"))
+
+    # The array of one binds the references, which are worked out once per formula.
+    bound = F.transform(F.array("refs"), lambda refs: F.transform("stored", lambda entry: place(refs, entry)))
+    placed = sheets.select("sheet", "col", "formula", F.explode(bound[0]).alias("x")).select("sheet", "col", "formula", "x.*").filter("ref_pos >= 0")
     return (
         placed.groupBy("sheet", "col", "formula", F.col("entry.label").alias("input"))
         .agg(F.min(F.struct("ref_pos", F.col("entry.col").alias("input_col"))).alias("_first"))

@@ -137,12 +137,6 @@ def containment(spark, sf_dir):
     return run(spark, sf_dir, PATHS).select("doc_id", files.is_contained(F.col("path"), "/kb/raw").alias("accepted"))
 
 
-@query("scan_checksum", "SELECT doc_id, sha256(text) AS checksum FROM documents")
-def checksum(spark, sf_dir):
-    df = run(spark, sf_dir, "SELECT doc_id, encode(text, 'UTF-8') AS content FROM documents")
-    return df.select("doc_id", files.content_checksum(F.col("content")).alias("checksum"))
-
-
 MANIFEST = """
 SELECT '{"source_id":"o-' || cast(o_orderkey AS varchar(20)) || '","datasets":[{"name":"pedido","columns":["Cliente","Valor","Nota","Total"],' ||
   '"rows":[{"Cliente":' || cast(o_custkey AS varchar(20)) || ',"Valor":' || cast(cast(o_totalprice AS decimal(18, 2)) AS varchar(30)) ||
@@ -183,3 +177,12 @@ def page_corpus(spark, sf_dir):
     run(spark, sf_dir, SUPPLIER_PAGE).write.partitionBy("name").text(path)
     pages = read_pages(spark, path, "*.txt")
     return pages.select(F.regexp_extract("path", r"\Aname=([^/]+)/", 1).alias("name"), "body")
+
+
+@query("scan_checksum", f"SELECT name, cast(strlen(body) + 1 AS bigint) AS length, sha256(body || chr(10)) AS checksum FROM ({SUPPLIER_PAGE}) p")
+def checksum(spark, sf_dir):
+    """Lengths and checksums of real files, one for each supplier."""
+    path = scratch(spark, "wiki") + "/wiki"
+    run(spark, sf_dir, SUPPLIER_PAGE).write.partitionBy("name").text(path)
+    sums = files.checksums(spark, path).filter(F.col("path").endswith(".txt"))
+    return sums.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "length", "checksum")

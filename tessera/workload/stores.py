@@ -1,6 +1,7 @@
 """Storage, catalogs, citations and the read-only query surface."""
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.operators.audit import audit
@@ -126,16 +127,18 @@ def idempotent(spark, sf_dir):
     """SELECT 'stable' AS source_id, 'stable__good' AS table_name, count(*) AS row_count, count(*) AS readable FROM orders""",
 )
 def atomic(spark, sf_dir):
-    """A source whose second dataset cannot be stored leaves nothing behind."""
+    """A source whose second dataset fails while it is written leaves nothing behind."""
     root = scratch(spark, "store")
     good = run(spark, sf_dir, "SELECT o_orderkey AS v FROM orders")
-    bad = run(spark, sf_dir, "SELECT cast(o_orderkey + 1 AS string) || '00000000000000000000' AS v FROM orders")
+    bad = run(spark, sf_dir, "SELECT CASE WHEN o_orderkey > 0 THEN raise_error('cannot be read') ELSE o_orderkey END AS v FROM orders")
+    kinds = {"good": [("BIGINT", None)], "bad": [("BIGINT", None)]}
     store.persist_source(spark, root, "stable", "raw/a.csv", "a.md", [Dataset("good", good)], checksum="1")
     try:
         store.persist_source(
-            spark, root, "broken", "raw/b.csv", "b.md", [Dataset("good", good), Dataset("bad", bad)], checksum="2"
-        )
-    except RuntimeError:
+            spark, root, "broken", "raw/b.csv", "b.md", [Dataset("good", good), Dataset("bad", bad.selectExpr("cast(v AS bigint) AS v"))],
+            checksum="2", kinds=kinds,
+        )
+    except PySparkException:
         pass
     readable = store.table(spark, root, "stable__good").agg(F.count("*").alias("readable"))
     readable = readable.withColumn("table_name", F.lit("stable__good"))
