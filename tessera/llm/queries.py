@@ -35,7 +35,30 @@ def registered(function=None, *, sql: str | None = None):
     return function
 
 
-@registered
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"[x for x in regexp_split_to_array({LOWERED}, '[\\x20\\x09-\\x0D]+') if x <> '']"
+SHINGLES = "[array_to_string(w[p:p + k - 1], ' ') for p in range(1, len(w) - k + 2)]"
+
+#: Every window that shares a shingle with an item of its size, without fingerprints.
+LEAK_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, {WORDS} AS w FROM documents),
+i AS (SELECT DISTINCT item_id, {WORDS} AS w FROM benchmark),
+sized AS (SELECT *, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+item AS (SELECT item_id, len(w) AS n, k, len(w) - k + 1 AS m, unnest({SHINGLES}) AS s FROM sized),
+bag AS (SELECT item_id, n, k, m, s, count(*) AS c FROM item GROUP BY ALL),
+place AS (SELECT doc_id, len(w) AS size, k, unnest(range(len(w) - k + 1)) AS pos, unnest({SHINGLES}) AS s
+  FROM d JOIN (SELECT DISTINCT k FROM sized) ON len(w) >= k),
+hit AS (SELECT DISTINCT doc_id, item_id, n, k, m, size, pos, least(n, size) - k + 1 AS mw FROM place JOIN bag USING (s, k)),
+win AS (SELECT DISTINCT doc_id, item_id, k, m, mw, unnest(range(greatest(0, pos - mw + 1), least(pos, greatest(size - n, 0)) + 1)) AS start FROM hit),
+held AS (SELECT win.*, s, count(*) AS c FROM win JOIN place USING (doc_id, k) WHERE pos BETWEEN start AND start + mw - 1 GROUP BY ALL),
+common AS (SELECT doc_id, item_id, start, held.m + mw AS total, sum(least(held.c, bag.c)) AS c FROM held JOIN bag USING (item_id, s) GROUP BY ALL),
+good AS (SELECT doc_id, item_id, start, c / (total - c) AS similarity FROM common WHERE c / (total - c) >= 0.8)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(-max((similarity, -start))[2] AS INTEGER) AS start, count(*) AS n_windows
+FROM good GROUP BY ALL
+"""
+
+
+@registered(sql=LEAK_SQL)
 def op1_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +73,21 @@ def op3_line_dedup(spark, sf_dir):
     return line_summary(table(spark, sf_dir, "documents"))
 
 
-@registered
+URL_SQL = """
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(v, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict
+  FROM p JOIN rules ON ends_with('.' || host, '.' || h) AND starts_with(path, q) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches('.' || host || path,
+  '^[^/]*[.](adult-|casino-|spam-|cheap-|free-bets|ads-)[^/]*/') OR contains('.' || host || path, '/wp-login') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id)
+"""
+
+
+@registered(sql=URL_SQL)
 def op4_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
 
