@@ -110,7 +110,8 @@ def to_cells(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
         .groupBy("sheet")
         .agg(F.array_sort(F.collect_list(F.struct("col", "label"))).alias("labels"))
     )
-    listed = rows.join(labels, "sheet").select(
+    # The checked labels go to the rows, which stay where they were grouped.
+    listed = rows.join(small(checkpointed(cells.sparkSession, labels)), "sheet").select(
         F.col("sheet").alias("dataset"),
         F.col("row").alias(ROW),
         "filled",

@@ -77,13 +77,16 @@ def checkpointed(spark: SparkSession, df):
     return df.checkpoint()
 
 
-def small(df, rows: int = 100_000):
-    """A broadcast hint for a materialized side, if counting shows it is small.
+def small(df, rows: int = 100_000, size: int = 64 << 20):
+    """A broadcast hint for a materialized side, if rows and bytes show it is small.
 
-    Meant for checkpointed facts (one row per column, sheet or file). Beyond the
+    Meant for checkpointed facts (one row per column, sheet or file). Beyond a
     limit the join is left to the optimizer, which shuffles and splits skew.
+    Bytes are counted as text, so that long arrays in few rows are seen too.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["size"] <= size else df
 
 
 def spread(df):

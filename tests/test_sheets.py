@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import formula as X
 from tessera.operators import formulas, worksheet
+from tessera.session import small
 
 SCHEMA = "sheet string, row int, col int, value string, value_type string, is_formula boolean"
 
@@ -112,3 +113,16 @@ def test_ranges_cost_nothing_by_their_width(spark):
     judged = formulas.formula_eligibility(cells)
     assert {r.formula: r.shape for r in judged.collect()} == {"=SUM(A2:ZZZ2)": None, "=SUM(A3:B3)": "horizontal"}
     assert "sequence" not in judged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_sheets_are_shuffled_once(spark):
+    cells = spark.createDataFrame(sheet(spark, "S", ["a", "b"], [1, 2], [3, 4]), SCHEMA)
+    shape = worksheet.layout(cells)
+    plan = worksheet.to_cells(cells, shape)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_broadcast_counts_bytes(spark):
+    few = spark.createDataFrame([("x" * 1000,)] * 50, "a string")
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(few)) and not hinted(small(few, rows=49)) and not hinted(small(few, size=10_000))
