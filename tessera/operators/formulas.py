@@ -210,3 +210,27 @@ def formula_eligibility(cells: DataFrame, shape: DataFrame | None = None) -> Dat
         F.coalesce(reason, F.lit("derivable")).alias("verdict"),
         F.when(reason.isNotNull(), NO_EQUIVALENT).alias("note"),
     )
+
+
+def column_formulas(cells: DataFrame, shape: DataFrame | None = None) -> DataFrame:
+    """``[sheet, col, column, formula, inputs, verdict, n_cells, n_derivable]`` of the calculated columns.
+
+    ``formula``, its inputs and its verdict are those of the first cell; a
+    column of any length is one row.
+    """
+    shape = layout(cells) if shape is None else shape
+    judged = formula_eligibility(cells, shape).groupBy("sheet", "col").agg(
+        F.min(F.struct("row", "formula", "verdict")).alias("first"),
+        F.count("*").alias("n_cells"),
+        F.count_if(F.col("verdict") == "derivable").alias("n_derivable"),
+    )
+    firsts = judged.select("sheet", "col", "n_cells", "n_derivable", "first.formula", "first.verdict")
+    used = formula_inputs(cells, shape).join(firsts.select("sheet", "col", "formula"), ["sheet", "col", "formula"])
+    ordered = F.array_sort(F.collect_list(F.struct("first_use", "input")))
+    used = used.groupBy("sheet", "col").agg(F.transform(ordered, lambda x: x["input"]).alias("inputs"))
+    labels = shape.select("sheet", "col", F.col("label").alias("column"))
+    return (
+        firsts.join(labels, ["sheet", "col"])
+        .join(used, ["sheet", "col"], "left")
+        .select("sheet", "col", "column", "formula", F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"), "verdict", "n_cells", "n_derivable")
+    )

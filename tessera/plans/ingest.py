@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW, as_text, melt
+from tessera.operators.formulas import column_formulas
 from tessera.operators.profile import first_rows, normalized_text, profile
 from tessera.operators.worksheet import duplicate_labels, layout, to_cells
 from tessera.plans.store import Dataset, stored_columns
@@ -49,7 +50,7 @@ def manifest_datasets(spark: SparkSession, path: str, source_id: str) -> list[Da
     # One row per dataset: its name, labels and provenance, not its rows.
     listed = found.select(
         "file", "pos", "dataset.name", "dataset.columns", "dataset.source_page", "dataset.source_section",
-        "dataset.source_sheet", F.coalesce("dataset.formulas.column", F.array().cast("array<string>")).alias("calculated"),
+        "dataset.source_sheet", F.coalesce("dataset.formulas.column", F.array().cast("array<string>")).alias("calculated"), "dataset.formulas",
     ).orderBy("file", "pos")
     datasets = []
     for row in listed.collect():
@@ -57,7 +58,8 @@ def manifest_datasets(spark: SparkSession, path: str, source_id: str) -> list[Da
         cells = manifest_cells(own)
         columns = [c for c in row.columns if c not in row.calculated]
         datasets.append(
-            Dataset(row.name, _wide(cells, columns), row.source_page, row.source_section, row.source_sheet, cells=cells)
+            Dataset(row.name, _wide(cells, columns), row.source_page, row.source_section, row.source_sheet, cells=cells,
+                    formulas=[{k: f[k] for k in ("column", "formula", "inputs")} for f in row.formulas or ()])
         )
     return datasets
 
@@ -75,15 +77,20 @@ def sheet_datasets(cells: DataFrame) -> list[Dataset]:
     labels: dict[str, list[str]] = {}
     for row in kept.orderBy("sheet", "col").collect():
         labels.setdefault(row.sheet, []).append(row.label)
+    # One row per calculated column.
+    calculated: dict[str, list[dict]] = {}
+    for row in column_formulas(cells, shape).orderBy("sheet", "col").collect():
+        facts = row.asDict()
+        calculated.setdefault(facts.pop("sheet"), []).append(facts)
     return [
-        Dataset(sheet, _wide(own, names), source_sheet=sheet, cells=own)
+        Dataset(sheet, _wide(own, names), source_sheet=sheet, cells=own, formulas=calculated.get(sheet, []))
         for sheet, names in labels.items()
         for own in [long.filter(F.col("dataset") == sheet)]
     ]
 
 
 def inspect(dataset: Dataset) -> dict:
-    """Columns with type and kind, row count and five normalized rows; nothing is written."""
+    """Columns with type and kind, row count, formulas and five normalized rows; nothing is written."""
     columns = stored_columns(dataset)
     cells = melt(dataset.df, columns) if dataset.cells is None else dataset.cells
     found = {row.column: row for row in profile(cells).collect()}
@@ -98,6 +105,7 @@ def inspect(dataset: Dataset) -> dict:
         "columns": [{"name": c, "type": decided[c][0], "kind": decided[c][1]} for c in columns],
         "row_count": max((row.row_count for row in found.values()), default=0),
         "sample": [row.asDict() for row in sample],
+        "formulas": dataset.formulas,
         "source_page": dataset.source_page,
         "source_section": dataset.source_section,
         "source_sheet": dataset.source_sheet,

@@ -56,6 +56,8 @@ class Dataset:
     source_sheet: str | None = None
     formula_columns: tuple[str, ...] = ()
     cells: DataFrame | None = None
+    #: What is known of calculated columns, one entry each; they are inspected, never stored.
+    formulas: list[dict] = field(default_factory=list)
 
 
 @dataclass

@@ -55,6 +55,8 @@ def test_manifest_to_table_keeps_cell_types(spark, raw):
     made = store.persist_source(
         spark, root, "carga", path, "carga.md", ingest.manifest_datasets(spark, path, "carga"), raw_root=raw.folder
     )[0]
+    (inspected,) = ingest.manifest_datasets(spark, path, "carga")
+    assert ingest.inspect(inspected)["formulas"] == [{"column": "Soma", "formula": "=A2+B2", "inputs": None}]
     assert made.columns[:5] == [
         ("lote", "BIGINT"), ("peso", "DOUBLE"), ("marca", "VARCHAR"), ("vazio", "VARCHAR"), ("rota", "VARCHAR"),
     ]
@@ -82,6 +84,10 @@ def test_sheets_to_tables(spark):
     ]
     cells = spark.createDataFrame(rows, "sheet string, row int, col int, value string, value_type string, is_formula boolean")
     root = scratch(spark, "test-store")
+    seen = {d.name: ingest.inspect(d)["formulas"] for d in ingest.sheet_datasets(cells)}
+    assert seen == {"Other": [], "Results": [{
+        "col": 2, "column": "Total", "formula": "=SUM(A2:A2)", "inputs": ["A"], "verdict": "derivable", "n_cells": 1, "n_derivable": 1,
+    }]}
     made = store.persist_source(spark, root, "book", "raw/b.xlsx", "b.md", ingest.sheet_datasets(cells), checksum="0")
     assert {m.table_name: m.columns[0] for m in made} == {"book__other": ("code", "VARCHAR"), "book__results": ("a", "BIGINT")}
     assert store.table(spark, root, "book__results").select("a", "source_sheet").collect() == [(2, "Results")]
