@@ -31,6 +31,8 @@ from tessera.llm.texts import per_portion, raw
 #: Labelled rows learned from at most, and the bytes of a text among them at most.
 SAMPLE, LONGEST = 6_000, 1 << 15
 BUCKETS, WIDTH = 1 << 17, 8
+#: Documents whose bags are worked on at once while training.
+TOGETHER = 256
 GRAMS = (3, 4, 5)
 #: Distinct words a task remembers; what is dropped is worked out again.
 CACHED = 1_000_000
@@ -116,12 +118,13 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 100, rate: float
     bias = float(np.log(prior / (1 - prior)))
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS), bias)
-    bags = [bag(x) for x in texts]
-    sizes = np.array([len(b) for b, _ in bags])
-    filled = np.flatnonzero(sizes)
-    starts = (np.cumsum(sizes) - sizes)[filled]
-    buckets, shares = (np.concatenate(x) for x in zip(*bags))
-    del bags
+    chunks = []
+    for start in range(0, len(texts), TOGETHER):
+        bags = [bag(x) for x in texts[start : start + TOGETHER]]
+        sizes = np.array([len(b) for b, _ in bags])
+        filled = np.flatnonzero(sizes)
+        buckets, shares = (np.concatenate(x) for x in zip(*bags))
+        chunks.append((slice(start, start + len(bags)), sizes, filled, (np.cumsum(sizes) - sizes)[filled], buckets, shares))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     w = rng.normal(0, 1.0, WIDTH)
@@ -129,11 +132,15 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 100, rate: float
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, steps + 1):
         table, w, b = values
-        logits = np.full(len(y), b[0])
-        logits[filled] += np.add.reduceat((table @ w)[buckets] * shares, starts)
-        wrong = (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - y) / len(y)
-        pull = np.bincount(buckets, np.repeat(wrong, sizes) * shares, BUCKETS)
-        slopes = [np.outer(pull, w) + decay * table, table.T @ pull + decay * w, np.array([wrong.sum()])]
+        worth, pull, off = table @ w, np.zeros(BUCKETS), 0.0
+        for rows, sizes, filled, starts, buckets, shares in chunks:
+            logits = np.full(len(sizes), b[0])
+            if len(filled):
+                logits[filled] += np.add.reduceat(worth[buckets] * shares, starts)
+            wrong = (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - y[rows]) / len(y)
+            pull += np.bincount(buckets, np.repeat(wrong, sizes) * shares, BUCKETS)
+            off += wrong.sum()
+        slopes = [np.outer(pull, w) + decay * table, table.T @ pull + decay * w, np.array([off])]
         for v, g, m, s in zip(values, slopes, first, second):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
