@@ -35,8 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import batch_of, portions, raw
-from tessera.session import checkpointed
+from tessera.llm.texts import batch_of, portions, raw, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -153,6 +152,8 @@ def cut(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             counts = np.asarray(pa.compute.list_value_length(listed))
             anchor, place = (np.asarray(x) for x in listed.flatten().flatten())
             owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((place, owner))  # neighbours overlap, which the table's compression sees
+            anchor, place = anchor[order], place[order]
             first = place >> 31
             end = first + (place >> 24 & 0x7F) + LENGTH - 1
             texts = raw(batch, "text")
@@ -174,7 +175,7 @@ def rotations(data: np.ndarray, depth: int) -> np.ndarray:
     key = data.astype(np.uint64)
     for shift in (1, 2, 4):  # eight bytes at once
         key = (key << np.uint64(8 * shift)) | np.roll(key, -shift)
-    size, order = 8, np.argsort(key, kind="stable")
+    size, order = 8, np.argsort(key)
     while True:
         ranked = key[order]
         rank = np.empty(n, np.uint64)
@@ -182,7 +183,7 @@ def rotations(data: np.ndarray, depth: int) -> np.ndarray:
         if size >= depth or int(rank[order[-1]]) == n - 1:
             return order
         key = rank * np.uint64(n) + np.roll(rank, -size)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         size *= 2
 
 
@@ -214,8 +215,8 @@ def common_prefixes(bwt: np.ndarray, least: int) -> np.ndarray:
         first, last = rows[before[rows] < low[interval]], rows[after[rows] >= high[interval]]
         # Both list each byte of each interval once; steps of one byte keep the order of rows.
         code = lambda r, owner: owner.astype(np.int64) * 256 + bwt[r]
-        one = np.argsort(code(first, interval[before[rows] < low[interval]]), kind="stable")
-        two = np.argsort(code(last, interval[after[rows] >= high[interval]]), kind="stable")
+        one = np.argsort(code(first, interval[before[rows] < low[interval]]))
+        two = np.argsort(code(last, interval[after[rows] >= high[interval]]))
         low, high = step[first[one]], step[last[two]] + 1
         fresh = found[high] < 0
         if length == 0:  # the ends of the blocks of single bytes; the last one is the end of all
@@ -308,15 +309,15 @@ def hot_windows(parts: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``id, tag, spots``: the segments of each document that hold repeats, with those windows (null: all)."""
-    spark = docs.sparkSession
+    # Each step is written before the next: shuffle files of several would not fit beside each other.
     often = anchors(docs, True).groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
     found = anchors(docs, False).join(often, "anchor").withColumn("tag", F.col("place").bitwiseAND(0xFFFFFF))
-    parts = cut(docs, found)
+    parts = written(cut(docs, written(found, "anchors")), "segments")
     tag, start = F.col("place").bitwiseAND(0xFFFFFF).alias("tag"), F.shiftright("place", 31).alias("start")
     one = parts.groupBy("anchor", "segment").agg(F.min(F.struct("id", tag, start, "name", "place")).alias("first"))
     dealt = one.select("anchor", "first.name", "segment", F.col("first.id").cast("bigint").alias("id"), "first.place")
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor")
-    verdicts = checkpointed(spark, dealt.mapInArrow(settle, "name binary, id bigint, place bigint, late array<int>, segment binary"))
+    verdicts = written(dealt.mapInArrow(settle, "name binary, id bigint, place bigint, late array<int>, segment binary"), "repeats")
     hot = verdicts.where(F.col("segment").isNotNull())
     known = verdicts.where(F.col("segment").isNull()).drop("segment")
     if not hot.isEmpty():

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from tessera.session import scratch
+
 #: Bytes of text worked on at once by one task.
 PORTION = 4 << 20
 
@@ -58,5 +60,22 @@ def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that nothing before it is needed again.
+
+    A lost executor costs no earlier step, and the shuffle files of the steps
+    before go as soon as the table is complete.
+    """
+    spark = df.sparkSession
+    path, key = scratch(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: A run of word starts with what follows up to the next one.
 RUNS = re.compile("▁+[^▁]*")
