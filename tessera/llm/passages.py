@@ -170,20 +170,30 @@ def cut(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def rotations(data: np.ndarray, depth: int) -> np.ndarray:
-    """The rotations of ``data`` sorted by their first ``depth`` bytes or more."""
+    """The rotations of ``data`` sorted by their first ``depth`` bytes or more.
+
+    Sorted by eight bytes, then twice as many in each round; only rotations that
+    are still equal are sorted again, by what follows.
+    """
     n = len(data)
     key = data.astype(np.uint64)
     for shift in (1, 2, 4):  # eight bytes at once
         key = (key << np.uint64(8 * shift)) | np.roll(key, -shift)
-    size, order = 8, np.argsort(key)
+    order = np.argsort(key)
+    ranked, places = key[order], np.arange(n)
+    rank = np.empty(n, np.int64)  # where the equals of a rotation begin
+    size, sub = 8, order
     while True:
-        ranked = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(np.uint64)
-        if size >= depth or int(rank[order[-1]]) == n - 1:
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        rank[sub] = np.maximum.accumulate(np.where(new, places, 0))
+        tied = ~(new & np.append(new[1:], True))
+        if size >= depth or not tied.any():
             return order
-        key = rank * np.uint64(n) + np.roll(rank, -size)
-        order = np.argsort(key)
+        places, sub = places[tied], sub[tied]
+        key = rank[sub] * n + rank[(sub + size) % n]
+        by_key = np.argsort(key)
+        ranked, sub = key[by_key], sub[by_key]
+        order[places] = sub
         size *= 2
 
 
@@ -195,34 +205,35 @@ def common_prefixes(bwt: np.ndarray, least: int) -> np.ndarray:
     left, lies between the steps of the first and the last row that hold it.
     """
     n = len(bwt)
-    by_byte = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)
-    step[by_byte] = np.arange(n)
+    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)
+    step[by_byte] = np.arange(n, dtype=np.int32)
     equal = bwt[by_byte[1:]] == bwt[by_byte[:-1]]
-    before, after = np.full(n, -1), np.full(n, n)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     before[by_byte[1:][equal]] = by_byte[:-1][equal]
     after[by_byte[:-1][equal]] = by_byte[1:][equal]
-    found = np.full(n + 1, -1, np.int32)
+    found = np.full(n + 1, -1, np.int16)
     found[0] = found[n] = 0
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for length in range(least):
         sizes = high - low
-        total = int(sizes.sum())
-        if not total:
-            break
-        interval = np.repeat(np.arange(len(low)), sizes)
-        rows = np.arange(total) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-        first, last = rows[before[rows] < low[interval]], rows[after[rows] >= high[interval]]
-        # Both list each byte of each interval once; steps of one byte keep the order of rows.
-        code = lambda r, owner: owner.astype(np.int64) * 256 + bwt[r]
-        one = np.argsort(code(first, interval[before[rows] < low[interval]]))
-        two = np.argsort(code(last, interval[after[rows] >= high[interval]]))
-        low, high = step[first[one]], step[last[two]] + 1
+        alone = sizes == 1  # one row, one byte: nothing to look for
+        single = step[low[alone]]
+        low, high, sizes = low[~alone], high[~alone], sizes[~alone]
+        interval = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
+        rows = np.arange(len(interval), dtype=np.int32) + (low - (np.cumsum(sizes) - sizes).astype(np.int32))[interval]
+        first, last = before[rows] < low[interval], after[rows] >= high[interval]
+        # Both list each byte of each interval once, and are paired by interval and byte.
+        one, two = (np.argsort(interval[x].astype(np.int64) * 256 + bwt[rows[x]]) for x in (first, last))
+        low = np.concatenate([single, step[rows[first][one]]])
+        high = np.concatenate([single, step[rows[last][two]]]) + 1
         fresh = found[high] < 0
-        if length == 0:  # the ends of the blocks of single bytes; the last one is the end of all
+        if length == 0:  # the blocks of single bytes; the last one ends with all
             fresh |= high == n
-        found[high[fresh]] = length
         low, high = low[fresh], high[fresh]
+        found[high] = length
+        if not len(low):
+            break
     return found[:n]
 
 
@@ -309,8 +320,10 @@ def hot_windows(parts: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``id, tag, spots``: the segments of each document that hold repeats, with those windows (null: all)."""
-    # Each step is written before the next: shuffle files of several would not fit beside each other.
+    # Each step is written before the next: shuffle files of several would not fit beside each other,
+    # and a join of two tables can be split where an anchor is frequent.
     often = anchors(docs, True).groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
+    often = written(often, "often")
     found = anchors(docs, False).join(often, "anchor").withColumn("tag", F.col("place").bitwiseAND(0xFFFFFF))
     parts = written(cut(docs, written(found, "anchors")), "segments")
     tag, start = F.col("place").bitwiseAND(0xFFFFFF).alias("tag"), F.shiftright("place", 31).alias("start")
@@ -326,20 +339,26 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place"))
     spots = parts.select("name", "id", "place").join(known, "name").withColumn("late", F.when(first, F.col("late")))
     spots = spots.where(F.col("late").isNull() | (F.size("late") > 0))
-    return spots.groupBy("id", tag).agg(F.collect_set(F.struct("place", "late")).alias("spots"))
-
-
-def spans(spots) -> tuple[np.ndarray, np.ndarray]:
-    """Where the maximal runs of repeated bytes of a document begin and end."""
-    starts = []
-    for spot in spots or ():
-        first, count = spot["place"] >> 31, spot["place"] >> 24 & 0x7F
-        starts.append(first + (np.arange(count) if spot["late"] is None else np.array(spot["late"], np.int64)))
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.sort(np.concatenate(starts))
-    new = np.concatenate([[True], start[1:] > start[:-1] + LENGTH])
-    return start[new], start[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)] + LENGTH
+    return written(spots.groupBy("id", tag).agg(F.collect_set(F.struct("place", "late")).alias("spots")), "spots")
+
+
+def spans(spots: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document (by position), begin and end of the maximal runs of repeated bytes, in order."""
+    document = np.repeat(np.arange(len(spots)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(spots), 0)))
+    place, late = spots.flatten().flatten()
+    place = np.asarray(place)
+    some = np.asarray(late.is_valid())  # else all windows of the segment
+    counts = np.where(some, np.asarray(pa.compute.fill_null(pa.compute.list_value_length(late), 0)), place >> 24 & 0x7F)
+    spot = np.repeat(np.arange(len(place)), counts)
+    inside = np.arange(len(spot)) - np.repeat(np.cumsum(counts) - counts, counts)
+    inside[some[spot]] = np.asarray(late.flatten())
+    document, start = document[spot], (place >> 31)[spot] + inside
+    order = np.lexsort((start, document))
+    document, start = document[order], start[order]
+    new = np.ones(len(start), bool)
+    new[1:] = (document[1:] != document[:-1]) | (start[1:] > start[:-1] + LENGTH)
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1) if len(start) else np.zeros(0, np.int64)
+    return document[new], start[new], start[last] + LENGTH
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -351,16 +370,19 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in portions(batches, "text"):
-            runs, kept, texts = [], [], raw(batch, "text")
-            for text, spots in zip(texts, batch.column("spots").to_pylist()):
-                start, end = spans(spots)
-                runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())])
-                edges = zip([0, *end.tolist()], [*start.tolist(), len(text)])
-                kept.append(b"".join(text[a:b] for a, b in edges) if len(start) else text)
+            texts = raw(batch, "text")
+            document, start, end = spans(batch.column("spots"))
+            ends = np.searchsorted(document, np.arange(len(texts) + 1))
+            kept = []
+            for i, text in enumerate(texts):
+                own = slice(ends[i], ends[i + 1])
+                edges = zip([0, *end[own].tolist()], [*start[own].tolist(), len(text)])
+                kept.append(b"".join(text[a:b] for a, b in edges) if ends[i] < ends[i + 1] else text)
+            run_of = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])
             yield batch_of(
                 doc_id=batch.column("id"),
                 n_bytes=np.array(list(map(len, texts)), np.int64),
-                spans=pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                spans=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), run_of),
                 kept=pa.array(kept, pa.binary()),
             )
 
