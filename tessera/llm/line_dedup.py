@@ -123,13 +123,14 @@ def removals(docs: DataFrame) -> DataFrame:
     """``id, hash, gone``: the numbers of the chunks to remove from each row that loses some."""
     all_chunks = checkpointed(docs.sparkSession, digests(docs))
     often = all_chunks.groupBy("digest").count().where(F.col("count") > 1).select("digest")
-    # Both joins on the digest have a side with one row for each, so a frequent chunk can be split.
+    # A join of two tables, one with a row for each digest, can be split where a chunk is frequent.
+    often = checkpointed(docs.sparkSession, often)
     repeated = checkpointed(docs.sparkSession, all_chunks.join(often, "digest").select(*ROW, "number", "digest"))
     groups = texts_of(docs, repeated).groupBy("digest").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     same = groups.where(F.col("low") == F.col("high")).select("digest")
     place = F.struct(*ROW, "number")
     first = repeated.groupBy("digest").agg(F.min(place).alias("first"))
-    judged = repeated.join(same.join(first, "digest"), "digest")
+    judged = repeated.join(checkpointed(docs.sparkSession, same.join(first, "digest")), "digest")
     return judged.where(~place.eqNullSafe(F.col("first"))).groupBy(*ROW).agg(F.sort_array(F.collect_set("number")).alias("gone"))
 
 
