@@ -35,7 +35,7 @@ BUCKETS, WIDTH = 1 << 17, 8
 TOGETHER = 256
 GRAMS = (3, 4, 5)
 #: Distinct words a task remembers; what is dropped is worked out again.
-CACHED = 1_000_000
+CACHED = 500_000
 
 #: ASCII punctuation and controls part words, but for signs that stand in for letters.
 APART = bytes.maketrans(
