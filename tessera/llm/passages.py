@@ -328,7 +328,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     parts = written(cut(docs, written(found, "anchors")), "segments")
     tag, start = F.col("place").bitwiseAND(0xFFFFFF).alias("tag"), F.shiftright("place", 31).alias("start")
     one = parts.groupBy("anchor", "segment").agg(F.min(F.struct("id", tag, start, "name", "place")).alias("first"))
-    dealt = one.select("anchor", "first.name", "segment", F.col("first.id").cast("bigint").alias("id"), "first.place")
+    one = one.select("anchor", "first.name", "segment", F.col("first.id").cast("bigint").alias("id"), "first.place")
+    dealt = written(one, "distinct")
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor")
     verdicts = written(dealt.mapInArrow(settle, "name binary, id bigint, place bigint, late array<int>, segment binary"), "repeats")
     hot = verdicts.where(F.col("segment").isNotNull())
