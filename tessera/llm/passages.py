@@ -39,8 +39,10 @@ from tessera.llm.texts import batch_of, portions, raw, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-#: Bytes of text hashed at once, and of segments sorted at once; an anchor above the second is hot.
-PIECE, HOT = 1 << 20, 1 << 21
+#: Bytes of text hashed at once, and of segments sorted at once (arrays that fit into a core's cache).
+PIECE, TOGETHER = 1 << 20, 1 << 19
+#: Bytes of different segments above which an anchor is hot.
+HOT = 1 << 21
 #: Ends a segment: no byte of UTF-8.
 END = 0xFF
 
@@ -290,7 +292,7 @@ def settle(batches):
                 else:
                     done, size = done + group, size + group_size
                 group, group_size = [], 0
-                if size >= HOT:
+                if size >= TOGETHER:
                     yield judged(done)
                     done, size = [], 0
             group.append(row)
