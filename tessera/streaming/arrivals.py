@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.plans.store import Dataset, catalog, persist_source, rebuild_source
-from tessera.sources.delimited import header_labels, read_delimited, scan
+from tessera.sources.delimited import header_labels, line_checksums, read_delimited, scan
 from tessera.sources.files import checksums, reader_for
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 #: Files of a micro-batch at most; their paths and statuses pass through the driver.
 FILES_PER_BATCH = 1000
-#: What one value can hold. Larger files get a status instead of a checksum.
+#: What one value can hold. Larger files that are not read as lines have no checksum.
 LARGEST = 2**31 - 16
 
 
@@ -39,17 +39,29 @@ def literal(path: str) -> str:
 
 
 def _checked(spark: SparkSession, batch: DataFrame) -> DataFrame:
-    """``[path, length, checksum, status]`` of the files of a batch."""
-    paths = [literal(r.path) for r in batch.filter(F.col("length") <= LARGEST).select("path").collect()]
-    sums = checksums(spark, paths) if paths else spark.createDataFrame([], "path string, length bigint, checksum string")
+    """``[path, length, checksum, status]`` of the files of a batch.
+
+    Delimited files of every size are hashed line by line, over as many tasks as
+    they have splits. All others are hashed as one value, worksheets above it are
+    ``too large``.
+    """
     reader = reader_for(F.col("path"))
+    kinds = batch.select("path", (reader == "delimited").alias("lines"), (F.col("length") <= LARGEST).alias("fits")).collect()
+    lines, values = [literal(r.path) for r in kinds if r.lines], [literal(r.path) for r in kinds if not r.lines and r.fits]
+    sums = spark.createDataFrame([], "path string, _sum string")
+    if values:
+        sums = sums.unionByName(checksums(spark, values).select("path", F.col("checksum").alias("_sum")))
+    if lines:
+        sums = sums.unionByName(line_checksums(spark, lines).select(F.col("file").alias("path"), F.col("checksum").alias("_sum")))
+    whole = F.sha2(F.concat_ws("\n", F.col("length").cast("string"), "_sum"), 256)
     status = (
-        F.when(F.col("length") > LARGEST, "too large")
-        .when(reader == "unsupported", "unsupported")
+        F.when(reader == "unsupported", "unsupported")
+        .when((reader != "delimited") & (F.col("length") > LARGEST), "too large")
         .when(F.col("length") == 0, "empty")
         .otherwise("pending")
     )
-    return batch.join(sums.select("path", "checksum"), "path", "left").select("path", "length", "checksum", status.alias("status"))
+    checksum = F.when(reader == "delimited", whole).otherwise(F.col("_sum"))
+    return batch.join(sums, "path", "left").select("path", "length", checksum.alias("checksum"), status.alias("status"))
 
 
 def raw_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str) -> DataFrame:

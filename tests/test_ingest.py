@@ -4,6 +4,8 @@ import pytest
 
 from tessera.plans import ingest, store
 from tessera.session import scratch
+from tessera.sources.delimited import line_checksums, read_lines
+from tessera.streaming import arrivals
 from tessera.streaming.arrivals import normalize_upsert, raw_arrivals
 
 
@@ -120,3 +122,36 @@ def test_csv_stream_goes_through_the_scanner(spark, raw, tmp_path):
     names = [r.table_name for r in store.catalog(spark, root, "tables").collect()]
     rows = sorted(tuple(r)[:3] for n in names for r in store.table(spark, root, n).collect())
     assert rows == [(1, "um\ndois", 3), (2, "x", 4), (9, "z", 8)]
+
+
+def test_files_above_one_value_are_stored(spark, raw, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrivals, "LARGEST", 8)
+    root = str(tmp_path / "store")
+    go = lambda: normalize_upsert(spark, raw.folder, "a string, b string", root, "s", [("BIGINT", None)] * 2, str(tmp_path / "checkpoint"))
+    raw("big.csv", "a,b\n1,2\n3,4\n")
+    raw("swapped.csv", "a,b\n3,4\n1,2\n")
+    raw("big.pdf", "no reader")
+    raw("big.xlsx", "not read as lines")
+    got = {r.path.rsplit("/", 1)[1]: r for r in go().collect()}
+    assert {n: (r.status, r.n_rows) for n, r in got.items()} == {"big.csv": ("stored", 2), "swapped.csv": ("stored", 2), "big.pdf": ("unsupported", 0), "big.xlsx": ("too large", 0)}
+    monkeypatch.setattr(arrivals, "LARGEST", 2**31 - 16)
+    raw("copy.csv", "a,b\n1,2\n3,4\n")  # the bound makes no other checksum
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in go().collect()}["copy.csv"] == "duplicate"
+    (name,) = [r.table_name for r in store.catalog(spark, root, "tables").collect()]
+    assert sorted(tuple(r)[:2] for r in store.table(spark, root, name).collect()) == [(1, 2), (1, 2), (3, 4), (3, 4)]
+
+
+def test_line_checksums_do_not_depend_on_splits(spark, raw):
+    lines = [f"{i % 7},ä {i}" for i in range(200)]
+    path, other = raw("a.csv", "\n".join(lines)), raw("b.csv", "\n".join(lines[:50] + lines[51:] + lines[50:51]))
+    total = lambda p: line_checksums(spark, p).select("n_lines", "checksum").first()
+    whole = total(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    try:
+        assert read_lines(spark, path).select("block").distinct().count() > 10
+        assert total(path) == whole and whole.n_lines == 200
+        assert total(other).checksum != whole.checksum
+    finally:
+        spark.conf.set(key, before)
