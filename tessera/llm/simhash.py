@@ -17,8 +17,9 @@ component; components are closed by alternating stars, checkpointed each round.
 
 Defined results: a text without words (null too) has fingerprint zero and links
 like any other; fewer words than a shingle are one shingle; repeated rows share
-a component; a null id never names a component (if a component has no other, its
-id is null); other columns are ignored.
+a component; rows without an id link like any other, but a null id never names a
+component (if a component has no other, its id is null); different texts under
+one id are linked each on its own; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -29,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.texts import batch_of, per_portion, raw
 from tessera.session import checkpointed
@@ -257,16 +259,15 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row of ``docs``."""
+def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``doc_id, fp, node, component_id`` of every row; ``node`` is the smallest fingerprint of its component."""
     spark = docs.sparkSession
     prints = checkpointed(spark, fingerprints(docs))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF).alias("value")) for i in range(4)))
     zero = F.lit(0).cast("bigint")
     rows = (
-        reps.where(F.col("rep").isNotNull())
-        .select("fp", F.col("rep").cast("bigint").alias("rep"), F.explode(blocks).alias("key"))
+        reps.select("fp", F.col("fp").alias("rep"), F.explode(blocks).alias("key"))
         .select(F.col("key.block").alias("block"), F.col("key.value").alias("value"), "fp", "rep")
     )
     sizes = rows.groupBy("block", "value").count()
@@ -276,24 +277,52 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
         tasks = tasks.join(large, ["block", "value"], "left_anti").select(tasks.columns)
         tasks = tasks.unionByName(ranges(rows.join(large, ["block", "value"]), hot))
     dealt = tasks.repartition("block", "value", "one", "two").sortWithinPartitions("block", "value", "one", "two")
-    roots = components(dealt.mapInArrow(link_buckets, "a bigint, b bigint"))
-    named = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = components(dealt.mapInArrow(link_buckets, "a bigint, b bigint")).withColumnsRenamed({"node": "fp", "root": "node"})
+    placed = checkpointed(spark, reps.join(roots, "fp", "left").select("fp", F.coalesce("node", "fp").alias("node"), "least"))
+    # A join of two tables, one with a row for each component, can be split where a component is large.
+    named = placed.join(placed.groupBy("node").agg(F.min("least").alias("component_id")), "node")
+    return prints.join(named, "fp").select("doc_id", "fp", "node", "component_id")
+
+
+def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row of ``docs``."""
+    return linked(docs, hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_print(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs`` with their fingerprint as ``_fp``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+
+    def work():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            prints = np.array([fingerprint(shingle_hashes(x)) for x in raw(batch, "text")], np.uint64)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=schema.names)
+
+        return step
+
+    return per_portion(docs, schema, work)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all columns.
 
-    Of rows that share an id one stays. Rows without an id stay if no row of
-    their component has one.
+    Of rows of a component that share its id one stays; texts under one id that
+    are in different components all stay if the id names these. Rows without an
+    id stay if no row of their component has one.
     """
     spark = docs.sparkSession
-    found = checkpointed(spark, near_duplicates(docs).select("doc_id", "component_id"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    several = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).count().where(F.col("count") > 1)
+    found = checkpointed(spark, linked(docs))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print"), F.col("node").alias("_node")).distinct()
+    ids = kept.select("_id").distinct()
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    several = found.groupBy(F.col("doc_id").alias("_id")).count().where(F.col("count") > 1)
     several = checkpointed(spark, several.select("_id"))
     if several.isEmpty():
         return rows
-    once = rows.join(several, rows["doc_id"] == several["_id"], "left_anti")
-    return once.unionByName(rows.join(several, rows["doc_id"] == several["_id"], "left_semi").dropDuplicates(["doc_id"]))
+    once = rows.join(several, rows["doc_id"].eqNullSafe(several["_id"]), "left_anti")
+    # An id does not tell which of its rows stay; their fingerprints do.
+    again = with_print(rows.join(several, rows["doc_id"].eqNullSafe(several["_id"]), "left_semi"))
+    again = again.join(kept, again["doc_id"].eqNullSafe(kept["_id"]) & (again["_fp"] == kept["_print"]))
+    nameless = again.where(F.col("doc_id").isNull()).select(docs.columns)
+    named = again.where(F.col("doc_id").isNotNull()).dropDuplicates(["_node"]).select(docs.columns)
+    return once.unionByName(named).unionByName(nameless)

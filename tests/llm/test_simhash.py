@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm.queries import QUERIES
-from tessera.llm.simhash import GrayIndex, components, gray_rank, near_duplicates
+from tessera.llm.simhash import GrayIndex, components, gray_rank, near_duplicates, one_of_each
 
 
 def brute_print(text):
@@ -98,3 +98,20 @@ def test_hash_is_the_engine_hash(spark):
     text = "The Quick brown"
     here = int(np.uint64(simhash.shingle_hashes(text.encode())[0]).view(np.int64))
     assert spark.range(1).select(F.xxhash64(F.lower(F.lit(text)))).first()[0] == here
+
+
+def test_rows_without_an_id_link(spark, monkeypatch):
+    rows = [(7, 0b0), (None, 0b111), (3, 0b111111), (None, 0xFF << 40), (4, 0xFF << 20), (4, 0x7F << 50)]  # 7 and 3 meet over the null id only
+    frame = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", "fp"))
+    got = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in near_duplicates(frame).collect()}
+    assert [got[r] for r in rows] == [3, 3, 3, None, 4, 4]
+
+
+def test_one_of_each_keeps_texts_that_share_an_id(spark):
+    texts = [" ".join(f"{c}{i * i % 97}" for i in range(60)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (None, texts[0]), (None, texts[2]), (3, texts[3])]
+    frame = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, fp string")
+    got = one_of_each(frame)
+    assert got.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3])], key=str)
