@@ -7,6 +7,7 @@ import public_tokenizers
 
 from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.filter_audit import filter_audit
 from tessera.llm.line_dedup import summary as line_summary
 from tessera.llm.passages import summary as passage_summary
 from tessera.llm.quality import quality
@@ -149,3 +150,38 @@ def op9_chat_format(spark, sf_dir):
 @registered
 def op10_suffix_dedup(spark, sf_dir):
     return passage_summary(table(spark, sf_dir, "documents"))
+
+
+#: Every order walked filter by filter over cells of equal failures.
+AUDIT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+  [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY ALL),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, MAP {
+  'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+  'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+  'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT part, filter_order, step, filter_order[step] AS letter, n, good, toxic, fails[filter_order[step]] AS now,
+  list_bool_or([false] || [fails[x] for x in string_split(filter_order[1:step - 1], '') if x <> '']) AS before,
+  list_bool_or([fails[x] for x in ['A', 'B', 'C', 'D', 'E'] if x <> filter_order[step]]) AS others FROM c, s),
+g AS (SELECT part, filter_order, step, letter,
+  CAST(sum(CASE WHEN NOT now AND NOT before THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN now AND NOT before THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN now AND before THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN now AND NOT others THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN now AND NOT before THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN now AND NOT before THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g
+"""
+
+
+@registered(sql=AUDIT_SQL)
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
