@@ -9,6 +9,7 @@ from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.filter_audit import filter_audit
 from tessera.llm.line_dedup import summary as line_summary
+from tessera.llm.line_quality import line_quality
 from tessera.llm.passages import summary as passage_summary
 from tessera.llm.quality import quality
 from tessera.llm.sentencepieces import round_trip
@@ -185,3 +186,8 @@ SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant,
 @registered(sql=AUDIT_SQL)
 def op11_filter_audit(spark, sf_dir):
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered
+def op12_quality_classifier(spark, sf_dir):
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
