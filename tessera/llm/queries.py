@@ -4,10 +4,12 @@ from __future__ import annotations
 from functools import partial
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.filter_audit import filter_audit
+from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.line_dedup import summary as line_summary
 from tessera.llm.line_quality import line_quality
 from tessera.llm.passages import summary as passage_summary
@@ -191,3 +193,31 @@ def op11_filter_audit(spark, sf_dir):
 @registered
 def op12_quality_classifier(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+NEGATIVES_SQL = """
+WITH r AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@registered(sql=NEGATIVES_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    id_, label = F.col("vec_id"), F.col("label")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & finite).select(
+        id_.alias("id"),
+        F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"),
+    )
+    return hard_negatives(rows, F.col("id") % 50 == 0)
