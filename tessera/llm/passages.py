@@ -18,12 +18,16 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier
 4. What was found for a segment holds for the first of its places; at its other
    places all windows are repeats. Documents get their spans back and lose them.
 
-An anchor with more than ``HOT`` bytes of different segments is passed through
-and settled window by window under the windows' own bytes.
+An anchor with one segment needs no transform: two windows of a segment hold the
+anchor at different places, so they differ. An anchor with more than ``HOT`` bytes
+of different segments goes to no task as a whole; its windows are settled one by
+one under their own bytes.
 
 Defined results: null and empty texts have 0 bytes; matches never cross
 documents; rows that are equal in id and text are one document and lose the
-same; null ids come first; a text may lose characters' halves, since bytes count.
+same; texts under one id are told apart by 64-bit hashes and come in their order;
+null ids come first; ids are whole numbers (others fail); a text may lose
+characters' halves, since bytes count; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -36,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.texts import batch_of, portions, raw, written
+from tessera.session import checkpointed
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -105,48 +110,47 @@ def joined(held):
     return data, np.array([i for i, _, _ in held]), np.array([o for _, o, _ in held]), np.cumsum(lengths) - lengths, lengths
 
 
-#: A place in one number: first window, number of windows (7 bits), tag of the text (24 bits).
-def packed(window, count, tag):
-    return (window << 31) | (count << 24) | tag
+#: A place in one number: first window and number of windows (7 bits).
+def packed(window, count):
+    return (window << 7) | count
 
 
-def tag_of(text):
-    """Tells texts under one id apart."""
-    return F.xxhash64(text).bitwiseAND(0xFFFFFF)
+#: What names a text, and what sorts it among the others.
+TEXT = "id", "hash"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), tag_of(F.col("text")).alias("tag"), "text")
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"), "text")
+
+
+def on_text(left: DataFrame, right: DataFrame):
+    return left["id"].eqNullSafe(right["id"]) & (left["hash"] == right["hash"])
 
 
 def anchors(docs: DataFrame, counted: bool) -> DataFrame:
-    """``anchor, n`` of the texts of a task at a time, or ``anchor, id, place`` of every segment."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """``anchor, n`` of the texts of a task at a time, or ``anchor, id, hash, place`` of every segment."""
 
     def run(batches):
         for batch in portions(batches, "text"):
-            tags = np.asarray(batch.column("tag"))
             for data, owner, offset, starts, lengths in pieces(raw(batch, "text")):
                 part, window, count, anchor = segments(data, starts, lengths)
                 if counted:
                     anchor, n = np.unique(anchor, return_counts=True)
                     yield batch_of(anchor=anchor, n=np.minimum(n, 2))
                     continue
-                place = packed(window + offset[part], count, tags[owner[part]])
-                yield batch_of(anchor=anchor, id=batch.column("id").take(pa.array(owner[part])), place=place)
+                own = pa.array(owner[part])
+                yield batch_of(anchor=anchor, id=batch.column("id").take(own), hash=batch.column("hash").take(own), place=packed(window + offset[part], count))
 
     # Equal rows are one document; dealing them out by id would cost a shuffle of all texts,
     # so their anchors count twice, which only means that they are looked at.
-    return keyed(docs).mapInArrow(run, "anchor bigint, n bigint" if counted else f"anchor bigint, id {kind}, place bigint")
+    return keyed(docs).mapInArrow(run, "anchor bigint, n bigint" if counted else "anchor bigint, id bigint, hash bigint, place bigint")
 
 
 def cut(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``name, anchor, segment, id, place`` of the listed segments; ``name`` is a 128-bit digest of the bytes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = repeated.groupBy("id", "tag").agg(F.collect_set(F.struct("anchor", "place")).alias("places"))
+    """``name, anchor, segment, id, hash, place`` of the listed segments; ``name`` is a 128-bit digest of the bytes."""
+    lists = repeated.groupBy(*TEXT).agg(F.collect_set(F.struct("anchor", "place")).alias("places"))
     rows = keyed(docs)
-    same = rows["id"].eqNullSafe(lists["id"]) & (rows["tag"] == lists["tag"])
-    rows = rows.join(lists, same).select(rows["id"], "text", "places")
+    rows = rows.join(lists, on_text(rows, lists)).select(rows["id"], rows["hash"], "text", "places")
 
     def run(batches):
         for batch in portions(batches, "text"):
@@ -156,8 +160,8 @@ def cut(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(counts)), counts)
             order = np.lexsort((place, owner))  # neighbours overlap, which the table's compression sees
             anchor, place = anchor[order], place[order]
-            first = place >> 31
-            end = first + (place >> 24 & 0x7F) + LENGTH - 1
+            first = place >> 7
+            end = first + (place & 0x7F) + LENGTH - 1
             texts = raw(batch, "text")
             segment = [texts[i][a:b] for i, a, b in zip(owner.tolist(), first.tolist(), end.tolist())]
             yield batch_of(
@@ -165,10 +169,11 @@ def cut(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 anchor=anchor,
                 segment=pa.array(segment, pa.binary()),
                 id=batch.column("id").take(pa.array(owner)),
+                hash=batch.column("hash").take(pa.array(owner)),
                 place=place,
             )
 
-    return rows.mapInArrow(run, f"name binary, anchor bigint, segment binary, id {kind}, place bigint")
+    return rows.mapInArrow(run, "name binary, anchor bigint, segment binary, id bigint, hash bigint, place bigint")
 
 
 def rotations(data: np.ndarray, depth: int) -> np.ndarray:
@@ -239,110 +244,117 @@ def common_prefixes(bwt: np.ndarray, least: int) -> np.ndarray:
     return found[:n]
 
 
-def repeats(parts: list[bytes], id_: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """For each segment which of its windows start earlier somewhere else among the segments."""
-    data = np.frombuffer(b"".join(part + bytes([END]) for part in parts), np.uint8)
-    sizes = np.array([len(part) + 1 for part in parts])
+def repeats(segment: pa.BinaryArray, id_: np.ndarray, hash_: np.ndarray, place: np.ndarray) -> pa.ListArray:
+    """For each segment the windows that start earlier somewhere else among the segments."""
+    lengths = np.asarray(pa.compute.binary_length(segment)).astype(np.int64)
+    sizes = lengths + 1
     starts = np.cumsum(sizes) - sizes
+    data = np.full(sizes.sum(), END, np.uint8)
+    first = segment.offset
+    edges = np.frombuffer(segment.buffers()[1], np.int32)[first : first + len(segment) + 1]
+    bytes_ = np.frombuffer(segment.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    data[np.arange(len(bytes_)) + np.repeat(np.arange(len(sizes)), lengths)] = bytes_
     order = rotations(data, LENGTH)
     prefix = common_prefixes(data[order - 1], LENGTH)
     group = np.cumsum(prefix >= 0)
     counts = sizes - LENGTH
-    owner = np.repeat(np.arange(len(parts)), counts)
+    owner = np.repeat(np.arange(len(sizes)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     groups = np.empty(len(data), np.int64)
     groups[order] = group
     mine = groups[starts[owner] + inside]
-    document = np.stack([id_[owner], place[owner] & 0xFFFFFF])
-    rank = np.lexsort(((place[owner] >> 31) + inside, document[1], document[0], mine))
+    rank = np.lexsort(((place[owner] >> 7) + inside, hash_[owner], id_[owner], mine))
     later = np.zeros(len(mine), bool)
     later[rank[1:]] = mine[rank[1:]] == mine[rank[:-1]]
-    return np.split(later, np.cumsum(counts)[:-1])
+    offsets = np.append(0, np.cumsum(np.bincount(owner[later], minlength=len(sizes))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(inside[later], pa.int32()))
 
 
-def settle(batches):
-    """``name, id, place, late, segment``: which windows of the first place of each segment are repeats.
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``name, id, hash, place, late``: which windows of the first place of each segment are repeats.
 
-    Rows come sorted by anchor. A group above ``HOT`` bytes passes through with
-    its bytes and without a verdict.
+    Rows come sorted by anchor. Anchors with one segment have no repeats; the
+    segments of the others are settled some ``TOGETHER`` bytes at a time.
     """
 
-    def rows(held, late) -> pa.RecordBatch:
-        _, name, segment, ids, place = zip(*held)
-        return batch_of(
-            name=pa.array(name, pa.binary()),
-            id=pa.array(ids, pa.int64()),
-            place=pa.array(place, pa.int64()),
-            late=pa.array(late, pa.list_(pa.int32())),
-            segment=pa.array(segment if late[0] is None else [None] * len(held), pa.binary()),
-        )
-
-    def judged(held) -> pa.RecordBatch:
-        _, _, segment, ids, place = zip(*held)
+    def rows(part: pa.RecordBatch, late: pa.ListArray) -> pa.RecordBatch:
+        return batch_of(**{name: part.column(name) for name in ("name", *TEXT, "place")}, late=late)
+
+    def judged(part: pa.RecordBatch) -> pa.RecordBatch:
         lowest = np.iinfo(np.int64).min  # null ids come first
-        found = repeats(list(segment), np.array([lowest if x is None else x for x in ids]), np.array(place))
-        return rows(held, [np.flatnonzero(x) for x in found])
+        ids = np.asarray(pa.compute.fill_null(part.column("id"), lowest))
+        return rows(part, repeats(part.column("segment"), ids, np.asarray(part.column("hash")), np.asarray(part.column("place"))))
+
+    def whole(*parts: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    done, group, size, group_size = [], [], 0, 0
+    waiting, open_ = None, None  # rows of closed anchors with several segments, and of the last anchor
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "segment", "id", "place"))):
-            if group and group[-1][0] != row[0]:
-                if group_size > HOT:
-                    yield rows(group, [None] * len(group))
-                else:
-                    done, size = done + group, size + group_size
-                group, group_size = [], 0
-                if size >= TOGETHER:
-                    yield judged(done)
-                    done, size = [], 0
-            group.append(row)
-            group_size += len(row[2])
-            if group_size > HOT and len(group) > 4096:
-                yield rows(group, [None] * len(group))
-                group = group[-1:]  # shows which group is open; passing it twice does no harm
-    if group_size > HOT:
-        yield rows(group, [None] * len(group))
-    elif group:
-        done += group
-    if done:
-        yield judged(done)
+        if not batch.num_rows:
+            continue
+        batch = batch if open_ is None else whole(open_, batch)
+        anchor = np.asarray(batch.column("anchor"))
+        begins = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)
+        batch, open_ = batch.slice(0, begins[-1]), batch.slice(begins[-1])
+        if not batch.num_rows:
+            continue
+        alone = np.repeat(np.diff(begins) == 1, np.diff(begins))
+        one = batch.filter(pa.array(alone))
+        if one.num_rows:
+            yield rows(one, pa.array([[]] * one.num_rows, pa.list_(pa.int32())))
+        several = batch.filter(pa.array(~alone))
+        if not several.num_rows:
+            continue
+        waiting = several if waiting is None else whole(waiting, several)
+        ends = np.cumsum(np.asarray(pa.compute.binary_length(waiting.column("segment"))).astype(np.int64))
+        closes = np.append(np.flatnonzero(np.diff(np.asarray(waiting.column("anchor")))), waiting.num_rows - 1)
+        start, done = 0, 0
+        while ends[-1] - done >= TOGETHER:
+            stop = int(closes[np.searchsorted(ends[closes], done + TOGETHER)]) + 1
+            yield judged(waiting.slice(start, stop - start))
+            start, done = stop, int(ends[stop - 1])
+            if stop == waiting.num_rows:
+                break
+        waiting = waiting.slice(start) if start < waiting.num_rows else None
+    left = [x for x in (waiting, open_) if x is not None]
+    if left:
+        yield judged(whole(*left))
 
 
 def hot_windows(parts: DataFrame) -> DataFrame:
-    """``name, id, place, late`` of segments that passed through, each window under its own bytes."""
-    first, count = F.shiftright("place", 31), F.shiftright("place", 24).bitwiseAND(0x7F).cast("int")
-    parts = parts.dropDuplicates(["name"])
-    spread = parts.select("name", "id", "place", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"), "segment")
+    """What ``settle`` returns, for segments of hot anchors: each window under its own bytes."""
+    first, count = F.shiftright("place", 7), F.col("place").bitwiseAND(0x7F).cast("int")
+    spread = parts.select("name", *TEXT, "place", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"), "segment")
     spread = spread.withColumn("window", F.expr(f"substring(segment, i + 1, {LENGTH})")).drop("segment")
-    here = F.struct("id", F.col("place").bitwiseAND(0xFFFFFF).alias("tag"), (first + F.col("i")).alias("at"))
+    here = F.struct(*TEXT, (first + F.col("i")).alias("at"))
     earliest = spread.groupBy("window").agg(F.min(here).alias("earliest"))
     late = F.when(~here.eqNullSafe(F.col("earliest")), F.col("i"))
-    return spread.join(earliest, "window").groupBy("name", "id", "place").agg(F.collect_list(late).alias("late"))
+    return spread.join(earliest, "window").groupBy("name", *TEXT, "place").agg(F.collect_list(late).alias("late"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``id, tag, spots``: the segments of each document that hold repeats, with those windows (null: all)."""
+    """``id, hash, spots``: the segments of each document that hold repeats, with those windows (null: all)."""
     # Each step is written before the next: shuffle files of several would not fit beside each other,
     # and a join of two tables can be split where an anchor is frequent.
     often = anchors(docs, True).groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
     often = written(often, "often")
-    found = anchors(docs, False).join(often, "anchor").withColumn("tag", F.col("place").bitwiseAND(0xFFFFFF))
-    parts = written(cut(docs, written(found, "anchors")), "segments")
-    tag, start = F.col("place").bitwiseAND(0xFFFFFF).alias("tag"), F.shiftright("place", 31).alias("start")
-    one = parts.groupBy("anchor", "segment").agg(F.min(F.struct("id", tag, start, "name", "place")).alias("first"))
-    one = one.select("anchor", "first.name", "segment", F.col("first.id").cast("bigint").alias("id"), "first.place")
-    dealt = written(one, "distinct")
-    dealt = dealt.repartition("anchor").sortWithinPartitions("anchor")
-    verdicts = written(dealt.mapInArrow(settle, "name binary, id bigint, place bigint, late array<int>, segment binary"), "repeats")
-    hot = verdicts.where(F.col("segment").isNotNull())
-    known = verdicts.where(F.col("segment").isNull()).drop("segment")
-    if not hot.isEmpty():
-        known = known.unionByName(hot_windows(hot))
-    known = known.select("name", F.col("id").alias("first_id"), F.col("place").alias("first_place"), "late")
-    first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place"))
-    spots = parts.select("name", "id", "place").join(known, "name").withColumn("late", F.when(first, F.col("late")))
+    parts = written(cut(docs, written(anchors(docs, False).join(often, "anchor"), "anchors")), "segments")
+    start = F.shiftright("place", 7).alias("start")
+    one = parts.groupBy("anchor", "segment").agg(F.min(F.struct(*TEXT, start, "name", "place")).alias("first"))
+    dealt = written(one.select("anchor", "first.name", "segment", "first.id", "first.hash", "first.place"), "distinct")
+    size = F.sum(F.col("place").bitwiseAND(0x7F) + LENGTH - 1)
+    hot = checkpointed(docs.sparkSession, dealt.groupBy("anchor").agg(size.alias("size")).where(F.col("size") > HOT).select("anchor"))
+    some = not hot.isEmpty()
+    whole = dealt.join(hot, "anchor", "left_anti") if some else dealt
+    whole = whole.repartition("anchor").sortWithinPartitions("anchor")
+    known = whole.mapInArrow(settle, "name binary, id bigint, hash bigint, place bigint, late array<int>")
+    if some:
+        known = known.unionByName(hot_windows(dealt.join(hot, "anchor", "left_semi")))
+    known = written(known, "repeats").select("name", *(F.col(c).alias(f"first_{c}") for c in (*TEXT, "place")), "late")
+    first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")) & (F.col("place") == F.col("first_place"))
+    spots = parts.select("name", *TEXT, "place").join(known, "name").withColumn("late", F.when(first, F.col("late")))
     spots = spots.where(F.col("late").isNull() | (F.size("late") > 0))
-    return written(spots.groupBy("id", tag).agg(F.collect_set(F.struct("place", "late")).alias("spots")), "spots")
+    return written(spots.groupBy(*TEXT).agg(F.collect_set(F.struct("place", "late")).alias("spots")), "spots")
 
 
 def spans(spots: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,11 +363,11 @@ def spans(spots: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place, late = spots.flatten().flatten()
     place = np.asarray(place)
     some = np.asarray(late.is_valid())  # else all windows of the segment
-    counts = np.where(some, np.asarray(pa.compute.fill_null(pa.compute.list_value_length(late), 0)), place >> 24 & 0x7F)
+    counts = np.where(some, np.asarray(pa.compute.fill_null(pa.compute.list_value_length(late), 0)), place & 0x7F)
     spot = np.repeat(np.arange(len(place)), counts)
     inside = np.arange(len(spot)) - np.repeat(np.cumsum(counts) - counts, counts)
     inside[some[spot]] = np.asarray(late.flatten())
-    document, start = document[spot], (place >> 31)[spot] + inside
+    document, start = document[spot], (place >> 7)[spot] + inside
     order = np.lexsort((start, document))
     document, start = document[order], start[order]
     new = np.ones(len(start), bool)
@@ -367,9 +379,8 @@ def spans(spots: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def removed(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: the runs (start, end) to remove from each row and the bytes that stay."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, gone = keyed(docs), repeated_windows(docs)
-    same = rows["id"].eqNullSafe(gone["id"]) & (rows["tag"] == gone["tag"])
-    rows = rows.join(gone, same, "left").select(rows["id"], "text", "spots")
+    rows, gone = keyed(docs).withColumn("doc_id", F.col("id").cast(kind)), repeated_windows(docs)
+    rows = rows.join(gone, on_text(rows, gone), "left").select("doc_id", "text", "spots")
 
     def run(batches):
         for batch in portions(batches, "text"):
@@ -383,7 +394,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 kept.append(b"".join(text[a:b] for a, b in edges) if ends[i] < ends[i + 1] else text)
             run_of = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])
             yield batch_of(
-                doc_id=batch.column("id"),
+                doc_id=batch.column("doc_id"),
                 n_bytes=np.array(list(map(len, texts)), np.int64),
                 spans=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), run_of),
                 kept=pa.array(kept, pa.binary()),
