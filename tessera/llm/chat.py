@@ -9,23 +9,34 @@ Calls and results meet in a hash join on conversation and identifier, which both
 sides reach pre-aggregated to one row per identifier. They are ordered so that a
 call comes before its result and after the results it names: every event has the
 place ``(at, depth)``, its own turn unless something it needs comes later, then
-that turn and a greater depth. Arguments are checked against the tool's schema
-and written as canonical JSON (sorted keys, no white space). Nothing is gathered
-by conversation, so one may hold any share of all rows.
-
-Everything is DataFrame expressions.
+that turn and a greater depth (the longest way from there). Only conversations in
+which something needs what comes later are looked at further. There every event
+chooses the need that pushes it back furthest; where the chosen ways lead is found
+by doubling pointers, and events whose other needs turn out to lead further choose
+again, until none does. So the rounds grow with the logarithm of the depth, times
+the few times that choices change; each round is a written table. A way with more
+steps than there are events never ends.
+
+Arguments are checked against the tool's schema and written as canonical JSON
+(sorted keys, no white space). Nothing is gathered by conversation, so one may hold
+any share of all rows. Everything is DataFrame expressions.
 
 Defined results: one row per event; a null id names nothing (its call is
 ``open``, its result an ``orphan``); null conversations are one conversation; of
 equal identifiers the first in turn order is linked (all of them, if a turn
-comes twice), others are ``duplicate``; events that need each other are ``cyclic``; arguments
-that are no JSON object are an error and are kept as a string.
+comes twice), others are ``duplicate``; events that need each other, and all that
+need one of these, are ``cyclic`` and stay at their turn; events without a turn
+stay where they are and push nothing; arguments that are no JSON object are an
+error and are kept as a string; an empty table has no events; other columns are
+ignored.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.llm.texts import written
 from tessera.session import checkpointed
 
 #: What a tool takes: field: (JSON type, required, least length or value).
@@ -108,36 +119,66 @@ def linked(found: DataFrame) -> DataFrame:
     return found.join(ids, same, "left").drop("_conv", "_call")
 
 
-def ordered(spark, events_linked: DataFrame) -> DataFrame:
-    """``conv_id, turn, seq, at, depth, cyclic`` of the events that something later pushes back."""
-    here = F.struct("turn", "seq")
-    child = ["conv_id", "turn", "seq"]
+def conversation() -> Column:
+    """A conversation's id as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+
+
+def needs(spark, events_linked: DataFrame) -> DataFrame:
+    """``conv, node, parent``: which event (turn, seq) comes after which, in conversations where one needs a later one."""
+    here, child = F.struct("turn", "seq"), ["conv_id", "turn", "seq"]
     answers = events_linked.where((F.col("kind") == "result") & F.col("call_at").isNotNull()).select(*child, F.col("call_at").alias("parent"))
     asked = events_linked.where((F.col("kind") == "call") & (F.size("after") > 0)).select(*child, F.explode("after").alias("needed"))
     ids = events_linked.where(F.col("call_id").isNotNull()).groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call")).agg(F.coalesce(F.first("result_at", True), F.first("call_at", True)).alias("parent"))
     chains = asked.join(ids, asked["conv_id"].eqNullSafe(ids["_conv"]) & (asked["needed"] == ids["_call"])).select(*child, "parent")
-    edges = checkpointed(spark, answers.unionByName(chains).distinct())
-    if edges.where(F.col("parent") >= here).isEmpty():
-        return edges.limit(0).select(*child, F.col("turn").alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic"))
-    kids = edges.select(*child)
-    parents = edges.select("conv_id", "parent.turn", "parent.seq")
-    keys = checkpointed(spark, kids.unionByName(parents).distinct().select(*child, F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth")).alias("place"), F.lit(False).alias("cyclic")))
+    edges = answers.unionByName(chains).where(F.col("turn").isNotNull() & F.col("parent.turn").isNotNull())
+    edges = checkpointed(spark, edges.select(conversation().alias("conv"), here.alias("node"), "parent").distinct())
+    late = edges.where(F.col("parent") >= F.col("node")).select("conv").distinct()
+    return edges.join(late, "conv", "left_semi")
+
+
+def followed(chosen: DataFrame, most: int) -> DataFrame:
+    """``conv, node, end, far``: where the chosen ways of ``chosen`` (conv, node, choice) end, and after how many steps.
+
+    Pointers are doubled until all of them are at an end or longer than ``most``.
+    """
+    far = F.when(F.col("choice").isNull(), 0).otherwise(1).cast("bigint")
+    ways = written(chosen.select("conv", "node", F.coalesce("choice", "node").alias("end"), far.alias("far"), F.lit(True).alias("open")), "ways")
+    while not ways.where("open").isEmpty():
+        onward = ways.select("conv", F.col("node").alias("end"), F.col("end").alias("_end"), F.col("far").alias("_far"))
+        doubled = F.col("far") + F.col("_far")
+        ways = written(ways.join(onward, ["conv", "end"]).select("conv", "node", F.col("_end").alias("end"), doubled.alias("far"), ((F.col("_far") > 0) & (doubled <= most)).alias("open")), "ways")
+    return ways.drop("open")
+
+
+def ordered(spark, events_linked: DataFrame) -> DataFrame:
+    """``conv, turn, seq, at, depth, cyclic`` of the events that something later pushes back."""
+    edges = needs(spark, events_linked)
+    turn = edges.schema["node"].dataType["turn"].dataType
+    if edges.isEmpty():
+        return spark.createDataFrame([], T.StructType([T.StructField("conv", T.StringType()), T.StructField("turn", turn), T.StructField("seq", T.IntegerType()), T.StructField("at", turn), T.StructField("depth", T.IntegerType()), T.StructField("cyclic", T.BooleanType())]))
+    edges = written(edges, "needs")
+    place = lambda cyclic, at, depth: F.struct(cyclic.alias("cyclic"), at.cast(turn).alias("at"), depth.cast("bigint").alias("depth"))
+    own = place(F.lit(False), F.col("node.turn"), F.lit(0))
+    nodes = edges.select("conv", "node").unionByName(edges.select("conv", F.col("parent").alias("node"))).distinct()
+    state = written(nodes.select("conv", "node", own.alias("place"), F.lit(None).cast(edges.schema["node"].dataType).alias("choice")), "places")
+    most = state.groupBy("conv").count().agg(F.max("count")).first()[0]
     while True:
-        up = keys.select(F.col("conv_id").alias("_conv"), F.struct("turn", "seq").alias("_parent"), F.col("place").alias("_place"))
-        pushed = edges.join(up, edges["conv_id"].eqNullSafe(up["_conv"]) & (edges["parent"] == up["_parent"]))
-        pushed = pushed.groupBy(*(F.col(c).alias(f"_{c}") for c in child)).agg(F.max(F.struct(F.col("_place.at").alias("at"), (F.col("_place.depth") + 1).alias("depth"))).alias("_to"))
-        same = keys["conv_id"].eqNullSafe(pushed["_conv_id"]) & (keys["turn"] == pushed["_turn"]) & (keys["seq"] == pushed["_seq"])
-        moved = keys.join(pushed, same, "left")
-        moves = ~F.col("cyclic") & F.col("_to").isNotNull() & (F.col("_to") > F.col("place"))
-        moved = moved.select(*child, F.when(moves, F.col("_to")).otherwise(F.col("place")).alias("place"), "cyclic", F.coalesce(moves, F.lit(False)).alias("moved"))
-        # Without a cycle no depth exceeds the number of events of the conversation that were pushed back.
-        back = moved.where((F.col("place.depth") > 0)).groupBy(F.col("conv_id").alias("_conv")).agg(F.count("*").alias("_back"))
-        moved = moved.join(back, moved["conv_id"].eqNullSafe(back["_conv"]), "left")
-        now = moved.select(*child, "place", (F.col("cyclic") | F.coalesce(F.col("place.depth") > F.col("_back"), F.lit(False))).alias("cyclic"), "moved")
-        now = checkpointed(spark, now)
-        keys = now.drop("moved")
-        if now.where("moved").isEmpty():
-            return keys.where("cyclic OR place.depth > 0").select(*child, F.col("place.at").alias("at"), F.col("place.depth").alias("depth"), "cyclic")
+        up = state.select("conv", F.col("node").alias("parent"), F.col("place").alias("_up"))
+        pushed = F.when(F.col("_up.cyclic"), F.col("_up")).otherwise(place(F.lit(False), F.col("_up.at"), F.col("_up.depth") + 1))
+        best = edges.join(up, ["conv", "parent"]).groupBy("conv", "node").agg(F.max(F.struct(pushed.alias("place"), "parent")).alias("best"))
+        further = F.coalesce(F.col("best.place") > F.col("place"), F.lit(False))
+        chosen = state.join(best, ["conv", "node"], "left").select("conv", "node", F.when(further, F.col("best.parent")).otherwise(F.col("choice")).alias("choice"), further.alias("further"))
+        chosen = written(chosen, "choices")
+        if chosen.where("further").isEmpty():
+            break
+        endless = F.col("far") > most
+        found = F.when(endless, place(F.lit(True), F.lit(0), F.lit(0))).otherwise(place(F.lit(False), F.col("end.turn"), F.col("far")))
+        ended = followed(chosen, most).select("conv", "node", found.alias("place"))
+        state = written(ended.join(chosen.select("conv", "node", "choice"), ["conv", "node"]), "places")
+    moved = state.where("place.cyclic OR place.depth > 0")
+    at = F.when(F.col("place.cyclic"), F.col("node.turn")).otherwise(F.col("place.at"))
+    return moved.select("conv", "node.turn", "node.seq", at.alias("at"), F.col("place.depth").cast("int").alias("depth"), F.col("place.cyclic").alias("cyclic"))
 
 
 def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple]] = TOOLS) -> DataFrame:
@@ -150,7 +191,7 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple]] =
     found = checkpointed(spark, linked(events(conversations)))
     places = ordered(spark, found)
     places = places.select(*(F.col(c).alias(f"_{c}") for c in places.columns))
-    same = found["conv_id"].eqNullSafe(places["_conv_id"]) & found["turn"].eqNullSafe(places["_turn"]) & (found["seq"] == places["_seq"])
+    same = (conversation() == places["_conv"]) & (found["turn"] == places["_turn"]) & (found["seq"] == places["_seq"])
     here = F.struct("turn", "seq")
     first = F.when(F.col("kind") == "call", F.col("call_at")).otherwise(F.col("result_at"))
     several = F.when(F.col("kind") == "call", F.col("n_calls")).otherwise(F.col("n_results")) > 1

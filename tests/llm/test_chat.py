@@ -1,9 +1,11 @@
 import json
+import random
 import sys
 from pathlib import Path
 
 import duckdb
 
+from tessera.llm import chat
 from tessera.llm.chat import format_chats
 from tessera.llm.queries import ORACLES, QUERIES
 
@@ -82,6 +84,62 @@ def test_cycles(spark):
     assert got[3, "x", "call"] == "answered" and got[3, "x", "result"] == "linked"
 
 
+def brute_places(needs, turn):
+    """(at, depth, cyclic) of every event, by recursion; ``needs`` maps an event to those before it."""
+    endless, known = set(), {}
+    for start in needs:  # reachable from itself, over needs
+        todo, seen = list(needs[start]), set()
+        while todo:
+            e = todo.pop()
+            if e not in seen:
+                seen.add(e)
+                todo += needs[e]
+        if start in seen:
+            endless.add(start)
+    grown = True
+    while grown:
+        grown = {e for e in needs if e not in endless and endless & set(needs[e])}
+        endless |= grown
+
+    def place(e):
+        if e not in known:
+            known[e] = max([(turn[e], 0)] + [(at, depth + 1) for at, depth in map(place, needs[e])])
+        return known[e]
+
+    return {e: (turn[e], 0, True) if e in endless else (*place(e), False) for e in needs}
+
+
+def test_order_of_any_graph(spark):
+    rng = random.Random(6)
+    rows, expected = [], {}
+    for conv in range(12):
+        n = rng.choice([3, 8, 25])
+        turns = rng.sample(range(200), 2 * n)
+        names = [f"c{i}" for i in range(n)]
+        after = {x: rng.sample(names, rng.choice([0, 0, 0, 1, 1, 2])) for x in names}
+        for i, x in enumerate(names):
+            rows.append((conv, turns[i], "assistant", call((x, "find", '{"q":"xx"}', after[x] or None))))
+            rows.append((conv, turns[n + i], "tool", result(x, x)))
+        needs = {("call", x): [("result", y) for y in after[x]] for x in names} | {("result", x): [("call", x)] for x in names}
+        turn = {("call", x): turns[i] for i, x in enumerate(names)} | {("result", x): turns[n + i] for i, x in enumerate(names)}
+        expected |= {(conv, *e): p for e, p in brute_places(needs, turn).items()}
+    got = {(r["conv_id"], r["kind"], r["call_id"]): (r["at"], r["depth"], r["status"] == "cyclic") for r in chats(spark, rows)}
+    assert got == expected and 10 < sum(c for _, _, c in got.values()) < len(got) - 10
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """1,000 calls of which each waits for the one a turn later, beside a cycle that more calls wait for."""
+    n, written, rounds = 1000, chat.written, []
+    monkeypatch.setattr(chat, "written", lambda df, label: rounds.append(label) or written(df, label))
+    rows = [(1, i, "assistant", call((str(i), "find", '{"q":"xx"}', [str(i + 1)]))) for i in range(n)]
+    rows += [(1, n, "assistant", call((str(n), "find", '{"q":"xx"}', None), ("x", "find", '{"q":"xx"}', ["y"]), ("y", "find", '{"q":"xx"}', ["x"])))]
+    rows += [(1, n + 1 + i, "assistant", call((f"z{i}", "find", '{"q":"xx"}', [f"z{i + 1}" if i < 20 else "x"]))) for i in range(21)]
+    got = {r["call_id"]: r for r in chats(spark, rows)}
+    assert len(rounds) < 45
+    assert all((got[str(i)]["at"], got[str(i)]["depth"], got[str(i)]["status"]) == (n, n - i, "open") for i in range(n + 1))
+    assert all(got[x]["status"] == "cyclic" and got[x]["depth"] == 0 and got[x]["at"] == got[x]["turn"] for x in ("x", "y", *(f"z{i}" for i in range(21))))
+
+
 def test_schemas(spark):
     cases = {
         '{"q":"x"}': ["small q"],
