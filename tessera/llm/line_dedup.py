@@ -1,22 +1,34 @@
 """Repeated passages of several lines, found by content-defined chunks of lines.
 
-Lines are hashed, and a rolling hash over the last ``WINDOW`` line hashes ends a
-chunk where it is a multiple of ``SPACING``. Boundaries depend on the lines
-around them only, so a passage is cut alike wherever it stands. Chunks of two or
-more lines that occur again anywhere are removed but for their first occurrence
-(smallest doc_id, then place). Only digests travel for all chunks; the texts of
-those with repeated digests are brought together, reduced to one smallest and
-one largest text by the tasks that cut them, and compared byte by byte: where
-the two differ, chunks that are not the same share a digest and all stay.
-
-Defined results: lines end at ``\\n`` only; a null text stays null and an empty
-one empty; a chunk of a single line is never removed; rows that are equal in id
-and text are one document, so both lose or keep the same; null ids come first.
-All rows and columns stay; a text that is repeated as a whole may become empty.
+Lines are hashed, and a hash rolls over each two neighbouring ones. Where it leaves
+a given rest, a set of boundaries has a cut: cuts depend on the lines beside them
+only, so a passage is cut alike wherever it stands. A single set misses nearly all
+passages of a few lines, so the sets of all rests are used together; in one of them
+any two neighbouring lines are the edge of a chunk, and these edges are the chunks
+that are looked up:
+
+1. Rolled hashes are counted, one number per edge and task; those that occur once
+   are dropped.
+2. The edges with the other hashes are listed with their places. Of equal ones the
+   first occurrence (smallest id, then place) stays, later ones are repeats.
+3. The lines of repeated edges are compared byte by byte: each different text of a
+   line hash travels once per task, and where a hash has two texts, all edges with
+   it stay.
+4. In a document neighbouring repeats grow into passages, line by line both ways;
+   passages of ``LEAST`` words or more are removed.
+
+Defined results: lines end at ``\\n`` only; a line without a word (anything but
+space and the characters 9 to 13) stands between lines but is none, and goes with
+a passage that goes on after it; a line goes if it and a neighbour occur together
+earlier, counted on the input, overlaps too; a single repeated line never goes; a
+null text stays null and an empty one empty; rows that are equal in id and text
+are one document, so both lose or keep the same; texts under one id come in the
+order of their 64-bit hashes; null ids come first. All rows and columns stay; a
+text that is repeated as a whole becomes empty.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,147 +37,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.texts import batch_of, portions, raw
-from tessera.session import checkpointed
+from tessera.llm.texts import batch_of, portions, raw, written
 
-WINDOW, SPACING = 2, 4
+#: Words of the shortest passage that is removed.
+LEAST = 6
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-
-def boundaries(lines: list[bytes]) -> list[int]:
-    """Where chunks begin and end, as line numbers."""
-    n = len(lines)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, n)
-    rolled = np.zeros(n, np.uint64)
-    weight = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for back in range(min(WINDOW, n)):  # the hash of each run of WINDOW lines, by its last line
-            rolled[back:] += hashes[: n - back] * weight
-            weight *= FACTOR
-        rolled = (rolled ^ (rolled >> np.uint64(31))) * MIX
-    ends = np.flatnonzero((rolled >> np.uint64(20)) % np.uint64(SPACING) == 0) + 1
-    ends = ends[(ends >= WINDOW) & (ends < n)]
-    return [0, *ends.tolist(), n]
+ROW = "id", "hash"
+EDGE = "rolled", "one", "two"
 
 
-def chunks(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Number, first line and lines of each chunk."""
+def solid_lines(text: bytes) -> tuple[list[bytes], list[int]]:
+    """All lines, and the numbers of those that have a word."""
     lines = text.split(b"\n")
-    edges = boundaries(lines)
-    for number, (start, end) in enumerate(zip(edges, edges[1:])):
-        yield number, start, lines[start:end]
-
+    return lines, [i for i, line in enumerate(lines) if line.strip()]
+
+
+def edges(texts: list[bytes], hashed: Callable[[bytes], int]) -> tuple[np.ndarray, ...]:
+    """Text, number of the second line (among those with words), rolled hash and both line hashes of each edge."""
+    hashes, counts = [], []
+    for text in texts:
+        lines, solid = solid_lines(text)
+        hashes += [hashed(lines[i]) for i in solid]
+        counts.append(len(solid))
+    line, counts = np.array(hashes, np.uint64), np.array(counts, np.int64)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    number = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
+    second = np.flatnonzero(number > 0)
+    with np.errstate(over="ignore"):
+        rolled = line[second - 1] * FACTOR + line[second]
+        rolled = (rolled ^ (rolled >> np.uint64(31))) * MIX
+    return owner[second], number[second], *(x.view(np.int64) for x in (rolled, line[second - 1], line[second]))
 
 
-ROW = "id", "hash"
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``id, hash, number, digest`` of every chunk of several lines."""
+def listed(docs: DataFrame, hashed: Callable[[bytes], int], counted: bool) -> DataFrame:
+    """``rolled, n`` of the texts of a portion at a time, or ``rolled, one, two, id, hash, number`` of every edge."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
-            owner, number, digest = [], [], []
-            for i, text in enumerate(raw(batch, "text")):
-                for k, _, lines in chunks(text):
-                    if len(lines) > 1:
-                        owner.append(i)
-                        number.append(k)
-                        digest.append(xxhash.xxh3_128_digest(b"\n".join(lines)))
-            owner = pa.array(owner, pa.int64())
-            yield batch_of(
-                id=batch.column("id").take(owner),
-                hash=batch.column("hash").take(owner),
-                number=pa.array(number, pa.int64()),
-                digest=pa.array(digest, pa.binary()),
-            )
-
-    return rows.mapInArrow(run, f"id {kind}, hash bigint, number bigint, digest binary").distinct()
+            owner, number, rolled, one, two = edges(raw(batch, "text"), hashed)
+            if counted:
+                rolled, n = np.unique(rolled, return_counts=True)
+                yield batch_of(rolled=rolled, n=np.minimum(n, 2))
+            else:
+                own = pa.array(owner, pa.int64())
+                yield batch_of(rolled=rolled, one=one, two=two, id=batch.column("id").take(own), hash=batch.column("hash").take(own), number=number)
+
+    return keyed(docs).mapInArrow(run, "rolled bigint, n bigint" if counted else f"rolled bigint, one bigint, two bigint, id {kind}, hash bigint, number bigint")
 
 
 def on_row(left: DataFrame, right: DataFrame):
     return left["id"].eqNullSafe(right["id"]) & (left["hash"] == right["hash"])
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, hash, number, digest, chunk`` of the chunks listed in ``wanted``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("number", "digest")).alias("wanted"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    rows = rows.join(lists, on_row(rows, lists)).select(rows["id"], rows["hash"], "text", "wanted")
+def texts_of(docs: DataFrame, wanted: DataFrame, hashed: Callable[[bytes], int]) -> DataFrame:
+    """``line, text``: the different lines of the edges in ``wanted`` (id, hash, numbers), by their hashes."""
+    rows = keyed(docs)
+    rows = rows.join(wanted, on_row(rows, wanted)).select("text", "numbers")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
-            owner, number, digest, chunk = [], [], [], []
-            for i, (text, some) in enumerate(zip(raw(batch, "text"), batch.column("wanted").to_pylist())):
-                by_number = {x["number"]: x["digest"] for x in some}
-                for k, _, lines in chunks(text):
-                    if k in by_number:
-                        owner.append(i)
-                        number.append(k)
-                        digest.append(by_number[k])
-                        chunk.append(b"\n".join(lines).decode())
-            owner = pa.array(owner, pa.int64())
-            yield batch_of(
-                id=batch.column("id").take(owner),
-                hash=batch.column("hash").take(owner),
-                number=pa.array(number, pa.int64()),
-                digest=pa.array(digest, pa.binary()),
-                chunk=pa.array(chunk, pa.string()),
-            )
-
-    return rows.mapInArrow(run, f"id {kind}, hash bigint, number bigint, digest binary, chunk string")
-
-
-def removals(docs: DataFrame) -> DataFrame:
-    """``id, hash, gone``: the numbers of the chunks to remove from each row that loses some."""
-    all_chunks = checkpointed(docs.sparkSession, digests(docs))
-    often = all_chunks.groupBy("digest").count().where(F.col("count") > 1).select("digest")
-    # A join of two tables, one with a row for each digest, can be split where a chunk is frequent.
-    often = checkpointed(docs.sparkSession, often)
-    repeated = checkpointed(docs.sparkSession, all_chunks.join(often, "digest").select(*ROW, "number", "digest"))
-    groups = texts_of(docs, repeated).groupBy("digest").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    same = groups.where(F.col("low") == F.col("high")).select("digest")
+            found = set()
+            for text, numbers in zip(raw(batch, "text"), batch.column("numbers").to_pylist()):
+                lines, solid = solid_lines(text)
+                found.update(lines[solid[k]] for number in numbers for k in (number - 1, number))
+            found = list(found)
+            line = np.array([hashed(x) for x in found], np.uint64).view(np.int64)
+            yield batch_of(line=line, text=pa.array(found, pa.binary()))
+
+    return rows.mapInArrow(run, "line bigint, text binary")
+
+
+def repeats(docs: DataFrame, hashed: Callable[[bytes], int]) -> DataFrame:
+    """``id, hash, numbers``: the edges of each document that occur earlier."""
+    # Each step is written: nothing before it is needed again, and a join of two tables,
+    # one with a row for each hash, can be split where an edge is frequent.
+    often = listed(docs, hashed, True).groupBy("rolled").agg(F.sum("n").alias("n")).where("n > 1").select("rolled")
+    found = written(listed(docs, hashed, False).join(written(often, "often"), "rolled"), "edges")
     place = F.struct(*ROW, "number")
-    first = repeated.groupBy("digest").agg(F.min(place).alias("first"))
-    judged = repeated.join(checkpointed(docs.sparkSession, same.join(first, "digest")), "digest")
-    return judged.where(~place.eqNullSafe(F.col("first"))).groupBy(*ROW).agg(F.sort_array(F.collect_set("number")).alias("gone"))
-
-
-def line_dedup(docs: DataFrame, report: bool = False) -> DataFrame:
+    places = found.groupBy(*EDGE).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    places = written(places.where(~F.col("first").eqNullSafe(F.col("last"))).select(*EDGE, "first"), "places")
+    several = written(found.join(places, list(EDGE)), "several")
+    numbers = F.sort_array(F.collect_set("number")).alias("numbers")
+    texts = texts_of(docs, several.groupBy(*ROW).agg(numbers), hashed).distinct().groupBy("line").count()
+    unlike = written(texts.where("count > 1").select("line"), "unlike")
+    later = several.where(~place.eqNullSafe(F.col("first")))
+    if not unlike.isEmpty():
+        for side in ("one", "two"):
+            later = later.join(unlike, later[side] == unlike["line"], "left_anti")
+    return later.groupBy(*ROW).agg(numbers)
+
+
+def passages(lines: list[bytes], solid: list[int], numbers: list[int], least: int) -> list[tuple[int, int]]:
+    """The lines (from, up to) that repeated edges make up, where they have ``least`` words."""
+    runs: list[list[int]] = []
+    for number in numbers:
+        if runs and number - 1 <= runs[-1][1]:
+            runs[-1][1] = number
+        else:
+            runs.append([number - 1, number])
+    found = ((solid[a], solid[b] + 1) for a, b in runs)
+    return [(a, b) for a, b in found if sum(len(line.split()) for line in lines[a:b]) >= least]
+
+
+def line_dedup(docs: DataFrame, report: bool = False, least: int = LEAST, hashed: Callable[[bytes], int] = xxhash.xxh64_intdigest) -> DataFrame:
     """``docs`` with repeated passages removed from ``text``; all other columns stay as they are.
 
     With ``report`` the columns ``_n_lines``, ``_n_removed`` (lines) and
-    ``_n_chunks`` (removed) are added.
+    ``_n_chunks`` (passages removed) are added.
     """
-    gone = removals(docs)
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["id"]) & (keyed["_hash"] == gone["hash"]), "left").select(*(keyed[c] for c in docs.columns), gone["gone"].alias("_gone"))
+    gone = written(repeats(docs, hashed), "gone")
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["id"]) & (rows["_hash"] == gone["hash"]), "left").select(*(rows[c] for c in docs.columns), gone["numbers"].alias("_numbers"))
     schema = T.StructType(list(docs.schema.fields))
     if report:
         for name in ("_n_lines", "_n_removed", "_n_chunks"):
             schema.add(name, T.LongType())
     at = docs.columns.index("text")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            counts = []
-            for i, (text, some) in enumerate(zip(raw(batch, "text"), batch.column("_gone").to_pylist())):
-                n_lines = n_removed = 0
-                if some or report:
-                    some, kept = set(some or ()), []
-                    for number, _, lines in chunks(text):
-                        n_lines += len(lines)
-                        if number in some:
-                            n_removed += len(lines)
-                        else:
-                            kept.extend(lines)
-                    if some:
-                        texts[i] = b"\n".join(kept).decode()
-                counts.append((n_lines, n_removed, len(some or ())))
+            texts, counts = batch.column("text").to_pylist(), []
+            for i, (text, numbers) in enumerate(zip(raw(batch, "text"), batch.column("_numbers").to_pylist())):
+                spans = []
+                if numbers:
+                    lines, solid = solid_lines(text)
+                    spans = passages(lines, solid, numbers, least)
+                if spans:
+                    stays = [(a, b) for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(lines)])]
+                    texts[i] = b"\n".join(line for a, b in stays for line in lines[a:b]).decode()
+                counts.append((text.count(b"\n") + 1, sum(b - a for a, b in spans), len(spans)))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
             if report:
