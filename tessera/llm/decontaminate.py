@@ -7,18 +7,22 @@ weighted Jaccard similarity of the bags, the weight of a shingle being how often
 it occurs, reaches ``SIMILARITY`` in some window.
 
 1. A window without an exact shingle of the item has similarity 0. A window that
-   reaches s lacks less than (1-s) of the item's shingles, so some of the first
-   ``floor((1-s)m)+1`` of its m distinct ones, counted with weight, must occur:
-   these anchors are looked up while documents are scanned, and only windows
-   around them are looked at further. This drops no window that can qualify.
+   reaches s lacks less than (1-s) of the item's shingles, so some of any
+   ``floor((1-s)m)+1`` of its m distinct ones, counted with weight, must occur.
+   The rarest in the benchmark are taken as the item's anchors, looked up while
+   documents are scanned, and each names its items: only windows that hold an
+   anchor of an item are looked at, and with this item only. This drops no window
+   that can qualify.
 2. Those windows get SimHash fingerprints. Bits of all hashes are summed in 32
    words of two lanes as running sums over the document, so a window of any
    length is a difference of two rows.
 3. Fingerprints are cut into ``RADIUS``+1 blocks; those within ``RADIUS`` bits of
-   an item agree with it in a block at least, so an equality join on size, block
-   and value meets all of them.
+   an item agree with it in a block at least, so of the pairs that met by an
+   anchor those with an equal block, and among them those within the radius, go on.
 4. What is left is compared shingle by shingle, on the words themselves.
 
+Items with equal words are one until the end, when each gets its row.
+
 Everything is DataFrame expressions. At similarity 0.8 two fingerprints are some
 10 of 64 bits apart, with a deviation below 3, so the radius of 19 misses less
 than one in a thousand windows right at the threshold, and an item is missed
@@ -62,21 +66,25 @@ JOINED = "array_join({x}, ' ')"
 HASHED = "xxhash64({x})"
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """``item_id, n, k, m, shingles``: items of n words as m shingles of k words; equal rows are one."""
-    split = benchmark.select("item_id", words(F.col("text").cast("string")).alias("w")).distinct()
-    sized = split.where(F.size("w") > 0).withColumn("n", F.size("w")).withColumn("k", F.least(F.lit(SHINGLE), "n"))
-    return sized.select("item_id", "n", "k", (F.col("n") - F.col("k") + 1).alias("m"), "w", F.expr(shingled("w", "k", JOINED)).alias("shingles"))
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``item, n, k, m, w, shingles``: texts of n words as m shingles of k words, each once; and ``item, item_id``."""
+    split = benchmark.select("item_id", words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
+    split = split.select("item_id", "w", F.unhex(F.md5(F.array_join("w", " "))).alias("item"))  # words hold no spaces
+    sized = split.select("item", "w").dropDuplicates(["item"]).withColumn("n", F.size("w")).withColumn("k", F.least(F.lit(SHINGLE), "n"))
+    texts = sized.select("item", "n", "k", (F.col("n") - F.col("k") + 1).alias("m"), "w", F.expr(shingled("w", "k", JOINED)).alias("shingles"))
+    return texts, split.select("item", "item_id").distinct()
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """``h, n, k``: hashes of which every window that can reach an item of n words holds one."""
-    runs = items.select("w", "n", "k", "m", F.posexplode(F.expr(shingled("w", "k", HASHED))).alias("pos", "h"))
-    rows = runs.groupBy("w", "n", "k", "m", "h").agg(F.count("*").alias("weight"), F.min("pos").alias("pos"))
-    before = Window.partitionBy("w").orderBy("pos", "h").rowsBetween(Window.unboundedPreceding, -1)
+    """``h, n, k, items``: hashes of which every window that can reach an item of n words holds one, and their items."""
+    runs = items.select("item", "n", "k", "m", F.explode(F.expr(shingled("w", "k", HASHED))).alias("h"))
+    rows = runs.groupBy("item", "n", "k", "m", "h").agg(F.count("*").alias("weight"))
+    shared = rows.groupBy("h", "k").agg(F.count("*").alias("shared"))
+    before = Window.partitionBy("item").orderBy("shared", "h").rowsBetween(Window.unboundedPreceding, -1)
     # The common weight is at least s times all, so a window lacks at most (1-s)m of the item's.
-    kept = rows.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    return kept.where(F.col("before") <= F.floor((1 - SIMILARITY) * F.col("m") + 1e-9)).select("h", "n", "k").distinct()
+    kept = rows.join(shared, ["h", "k"]).withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    kept = kept.where(F.col("before") <= F.floor((1 - SIMILARITY) * F.col("m") + 1e-9))
+    return kept.groupBy("h", "n", "k").agg(F.collect_set("item").alias("items"))
 
 
 def lane(h, k: int):
@@ -93,14 +101,14 @@ def fingerprint(sums, m):
 
 
 def blocks(fp):
-    """``RADIUS``+1 blocks of 3 or 4 bits as (block, value)."""
+    """``RADIUS``+1 blocks of 3 or 4 bits, each with its number."""
     count, parts, at = RADIUS + 1, [], 0
     for i in range(count):
         width = 64 // count + (i < 64 % count)
         value = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-        parts.append(F.struct(F.lit(i).alias("block"), value.alias("value")))
+        parts.append(value + (i << 8))
         at += width
-    return F.explode(F.array(*parts))
+    return F.array(*parts)
 
 
 def row_of():
@@ -109,24 +117,26 @@ def row_of():
 
 
 def around_anchors(docs: DataFrame, anchors: DataFrame, sizes: list[int]) -> DataFrame:
-    """``row, n, mw, pos, shingle, starts``: shingles of windows that hold an anchor.
+    """``row, n, k, mw, first, last, items, w``: where windows of n words begin that hold an anchor, their words, the anchor's items.
 
-    ``mw`` is the number of shingles of a window in this row, ``starts`` tells
-    where such a window begins. Each (row, n, pos) comes once.
+    ``mw`` is the number of shingles of a window in this row.
     """
     split = docs.select(row_of().alias("row"), words(F.col("text").cast("string")).alias("w"))
     hashes = F.concat(*(F.expr(shingled("w", str(k), f"struct({k} AS k, i - 1 AS pos, {HASHED} AS h)")) for k in sizes))
     found = split.select("row", "w", F.explode(hashes).alias("x")).select("row", "w", "x.k", "x.pos", "x.h")
     # A document shorter than the item is one window.
     mw = F.least(F.col("n"), F.size("w")) - F.col("k") + 1
-    near = (
+    return (
         found.join(anchors, ["h", "k"])
-        .select("row", "w", "n", "k", mw.alias("mw"), F.greatest(F.lit(0), F.col("pos") - mw + 1).alias("first"),
+        .select("row", "w", "n", "k", "items", mw.alias("mw"), F.greatest(F.lit(0), F.col("pos") - mw + 1).alias("first"),
                 F.least(F.col("pos"), F.greatest(F.size("w") - F.col("n"), F.lit(0))).alias("last"))
         .where("first <= last")
-        .select("row", "n", "k", "mw", "first", "last", F.expr("slice(w, first + 1, last - first + mw + k - 1)").alias("w"))
-        .distinct()
+        .select("row", "n", "k", "mw", "first", "last", "items", F.expr("slice(w, first + 1, last - first + mw + k - 1)").alias("w"))
     )
+
+
+def shingles_of(near: DataFrame) -> DataFrame:
+    """``row, n, mw, pos, shingle, starts``: each shingle of the windows, and whether one of them starts with it."""
     rows = near.select("row", "n", "mw", "first", "last", F.posexplode(F.expr(shingled("w", "k", JOINED))).alias("i", "shingle"))
     pos = F.col("first") + F.col("i")
     rows = rows.select("row", "n", "mw", pos.alias("pos"), "shingle", (pos <= F.col("last")).alias("starts"))
@@ -134,6 +144,12 @@ def around_anchors(docs: DataFrame, anchors: DataFrame, sizes: list[int]) -> Dat
     return rows.repartition("row", "n").groupBy("row", "n", "mw", "pos", "shingle").agg(F.max("starts").alias("starts"))
 
 
+def candidates(near: DataFrame) -> DataFrame:
+    """``row, n, start, item``: windows with the items of which they hold an anchor."""
+    found = near.select("row", "n", "first", "last", F.explode("items").alias("item"))
+    return found.select("row", "n", "item", F.explode(F.sequence("first", "last")).alias("start")).distinct()
+
+
 def fingerprints(near: DataFrame) -> DataFrame:
     """``row, n, mw, start, fp`` of the windows that start in ``near``."""
     order = Window.partitionBy("row", "n").orderBy("pos")
@@ -160,32 +176,31 @@ def tagged(bag: str) -> str:
     return f"transform(array({bag}), p -> CASE WHEN size(array_distinct(p)) = size(p) THEN p ELSE {repeats} END)[0]"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``row, item_id, start, similarity`` of every window within the radius that reaches an item."""
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``row, item, start, similarity`` of every window within the radius that reaches an item of ``items_of``."""
     spark = docs.sparkSession
-    items = checkpointed(spark, items_of(benchmark))
+    items = checkpointed(spark, items)
     sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()] or [SHINGLE]  # at most SHINGLE values
     anchors = small(checkpointed(spark, anchors_of(items)), SMALL)
-    near = around_anchors(docs, anchors, sizes)
-    spread = items.withColumn("bag", F.expr(tagged("shingles"))).select("item_id", "n", "m", "bag", F.explode("shingles").alias("shingle"))
+    near = checkpointed(spark, around_anchors(docs, anchors, sizes))
+    shingles = shingles_of(near)
+    spread = items.withColumn("bag", F.expr(tagged("shingles"))).select("item", "n", "m", "bag", F.explode("shingles").alias("shingle"))
     sums = (F.sum(lane(F.xxhash64("shingle"), k)).alias(f"s{k}") for k in LANES)
-    summed = spread.groupBy("item_id", "n", "m", "bag").agg(*sums)
-    known = checkpointed(spark, summed.select("item_id", "n", "m", "bag", fingerprint([F.col(f"s{k}") for k in LANES], F.col("m")).alias("item_fp")))
-    probe = known.select("item_id", "n", "item_fp", blocks(F.col("item_fp")).alias("key"))
-    windows = fingerprints(near).select("row", "n", "mw", "start", "fp", blocks(F.col("fp")).alias("key"))
+    summed = spread.groupBy("item", "n", "m", "bag").agg(*sums)
+    item_fp = fingerprint([F.col(f"s{k}") for k in LANES], F.col("m"))
+    known = small(checkpointed(spark, summed.select("item", "n", "m", "bag", item_fp.alias("item_fp"), blocks(item_fp).alias("item_blocks"))), SMALL)
+    windows = fingerprints(shingles).withColumn("blocks", blocks(F.col("fp")))
     close = (
-        windows.join(small(probe, SMALL), ["n", "key"])
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-        .select("row", "n", "mw", "start", "item_id")
-        .distinct()
+        windows.join(candidates(near), ["row", "n", "start"])
+        .join(known, ["item", "n"])
+        .where(F.arrays_overlap("blocks", "item_blocks") & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
+        .select("row", "n", "mw", "start", "item", "m", "bag")
     )
-    regions = near.groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("region"))
-    bag = F.expr("slice(region.shingle, array_position(region.pos, start), mw)")
-    held = close.join(regions, ["row", "n"]).join(small(known.select("item_id", "n", "m", F.col("bag").alias("item")), SMALL), ["item_id", "n"])
-    held = held.select("row", "item_id", "start", "m", "mw", "item", bag.alias("part"))
-    common = F.size(F.array_intersect(F.expr(tagged("part")), "item"))
-    held = held.select("row", "item_id", "start", "m", "mw", common.alias("c"))
-    return held.select("row", "item_id", "start", (F.col("c") / (F.col("m") + F.col("mw") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    regions = shingles.groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("region"))
+    part = F.expr("slice(region.shingle, array_position(region.pos, start), mw)")
+    held = close.join(regions, ["row", "n"]).select("row", "item", "start", "m", "mw", "bag", part.alias("part"))
+    held = held.select("row", "item", "start", "m", "mw", F.size(F.array_intersect(F.expr(tagged("part")), "bag")).alias("c"))
+    return held.select("row", "item", "start", (F.col("c") / (F.col("m") + F.col("mw") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -194,13 +209,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``start`` is the first word of the best window, ``n_windows`` counts those
     that reach the similarity.
     """
+    items, ids = items_of(benchmark)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
-    found = matches(docs, benchmark).groupBy(F.col("row.id").alias("doc_id"), "item_id").agg(best.alias("best"), F.count("*").alias("n_windows"))
+    found = matches(docs, items).groupBy(F.col("row.id").alias("doc_id"), "item").agg(best.alias("best"), F.count("*").alias("n_windows"))
+    found = found.join(ids, "item").groupBy("doc_id", "item_id").agg(F.max("best").alias("best"), F.sum("n_windows").alias("n_windows"))
     return found.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"), "n_windows")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    found = matches(docs, benchmark).select("row.id", "row.text").distinct()
+    found = matches(docs, items_of(benchmark)[0]).select("row.id", "row.text").distinct()
     same = F.col("doc_id").eqNullSafe(found["id"]) & (F.xxhash64(docs["text"]) == found["text"])
     return docs.join(found, same, "left_anti")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.llm.decontaminate import clean, decontaminate
+from tessera.llm.decontaminate import SHINGLE, anchors_of, around_anchors, candidates, clean, decontaminate, items_of
 from tessera.llm.queries import QUERIES
 
 
@@ -96,3 +96,20 @@ def test_empty_tables(spark):
 def test_plan_is_native(spark, sf):
     plan = QUERIES["op1_decontamination"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_windows_meet_only_items_whose_anchor_they_hold(spark):
+    """Thousands of items of one length that begin alike: a window is compared with the few it may reach."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    begin = "which of the following statements is true"
+    items = [(i, begin + " " + " ".join(word() for _ in range(23))) for i in range(5000)]
+    docs = [(d, " ".join(word() for _ in range(40)) + " " + begin + " " + " ".join(word() for _ in range(40))) for d in range(200)]
+    docs += [(1000 + d, docs[d][1] + " " + items[7 * d][1] + " " + docs[d + 50][1]) for d in range(100)]
+    documents, benchmark = frames(spark, docs, items)
+    texts, _ = items_of(benchmark)
+    pairs = candidates(around_anchors(documents, anchors_of(texts), [SHINGLE])).count()
+    # 100 copies, each met by some 50 windows around it; the common beginning is no anchor.
+    assert 100 <= pairs < 100 * 60
+    got = found(decontaminate(documents, benchmark))
+    assert {(d, i) for d, i in got} == {(1000 + d, 7 * d) for d in range(100)} and all(s == 1.0 for s, _, _ in got.values())

@@ -65,5 +65,5 @@ def test_registered():
     names = driver.queries()
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
     numbers = sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(driver.oracle_sql()) <= set(names)
