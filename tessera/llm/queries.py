@@ -85,7 +85,7 @@ rules(v, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'
   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 fit AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict
   FROM p JOIN rules ON ends_with('.' || host, '.' || h) AND starts_with(path, q) GROUP BY page_id)
-SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches('.' || host || path,
+SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches('.' || host || CASE WHEN path = '' THEN '/' ELSE path END,
   '^[^/]*[.](adult-|casino-|spam-|cheap-|free-bets|ads-)[^/]*/') OR contains('.' || host || path, '/wp-login') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit USING (page_id)
 """

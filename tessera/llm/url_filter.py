@@ -4,12 +4,17 @@ Every rule becomes a glob over the canonical URL, a dot, the lower-cased host
 and the path. All globs are packed one behind the other into the bits of a few
 64-bit words. One Shift-And step moves every glob of every URL of a batch by one
 byte: bits shift where the byte fits the next token, and stay where the token
-before them is a star. Cost per byte is the number of words, not of rules.
+before them is a star. Cost per byte is the number of words, not of rules. As many
+URLs go side by side as keep their states within ``STATES`` bytes, whatever the
+number of rules.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
-which fits no rule; without a fitting rule a URL is blocked if a glob of
-``blocked`` fits it and allowed otherwise. Rules of equal length that both fit
-are told apart by their order. Rows are kept one to one.
+which fits no rule; a host without a path has the path ``/`` for the globs of
+``blocked`` (so both spellings are judged alike) and none for the rules; without a
+fitting rule a URL is blocked if one of these globs fits it and allowed otherwise.
+Rules of equal length that both fit are told apart by their order. Rows are kept
+one to one, a repeated one as often as it comes; URLs of any length are matched
+whole; an empty table has no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -31,6 +36,11 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
+#: Bytes of states that move side by side.
+STATES = 16 << 20
+#: Globs that a table of them may hold: the masks that each task makes have some 100 KB for 100 of them.
+GLOBS = 20_000
+
 #: Globs for hosts no rule speaks of: labels that sell, track or lure.
 BLOCKED = (
     "*.adult-*/**",
@@ -96,6 +106,11 @@ class Automaton:
 
     def match(self, urls: list[bytes]) -> np.ndarray:
         """A row for each URL, a column for each glob: whether it fits the whole URL."""
+        together = max(1, STATES // (8 * self.words))
+        parts = [self.matched(urls[i : i + together]) for i in range(0, len(urls), together)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.ends)), bool)
+
+    def matched(self, urls: list[bytes]) -> np.ndarray:
         lengths = np.fromiter(map(len, urls), np.int64, len(urls))
         order = np.argsort(-lengths, kind="stable")  # URLs that ended drop off the end
         flat = np.frombuffer(b"".join(urls), np.uint8)
@@ -125,24 +140,37 @@ def parts(url):
     return F.translate(host, capitals, capitals.lower()), path
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = BLOCKED) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every row of ``pages`` (page_id, url)."""
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] | DataFrame = BLOCKED) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` of every row of ``pages`` (page_id, url).
+
+    ``blocked`` may be a table with a column ``glob``, of up to ``GLOBS`` globs.
+    """
     kind = pages.schema["page_id"].dataType.simpleString()
     split = pages.select("page_id", F.col("url").cast("string").alias("_url"))
     host, path = parts(F.col("_url"))
     split = split.select("page_id", host.alias("host"), path.alias("path"))
-    split = split.withColumn("canonical", F.concat(F.lit("."), "host", "path"))
+    rootless = (F.col("path") == "") & (F.col("host") != "")
+    path = F.when(rootless, F.lit("/")).otherwise(F.col("path"))
+    split = split.withColumns({"rootless": rootless, "canonical": F.concat(F.lit("."), "host", path)})
     ranked = sorted(rules, key=lambda rule: -len(rule[1] + rule[2]))  # the longest first
+    if isinstance(blocked, DataFrame):
+        found = blocked.select(F.col("glob").cast("string").alias("glob")).where("glob <> ''").distinct().orderBy("glob").limit(GLOBS + 1)
+        blocked = [row["glob"] for row in found.collect()]
+        if len(blocked) > GLOBS:
+            raise ValueError(f"more than {GLOBS} globs")
 
     def work():
         automaton = Automaton([f"*.{literal(host)}{literal(path)}**" for _, host, path in ranked] + list(blocked))
         names = pa.array([host + path for _, host, path in ranked] + [None], pa.string())
         n = len(ranked)
+        rooted = np.array([path != "" for _, _, path in ranked], bool)
         verdicts = np.array([verdict for verdict, _, _ in ranked] + ["allow", "block"], object)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             hit = automaton.match(raw(batch, "canonical"))
-            ruled = np.concatenate([hit[:, :n], np.ones((len(hit), 1), bool)], axis=1).argmax(axis=1)
+            bare = np.asarray(batch.column("rootless").to_numpy(zero_copy_only=False), bool)
+            fits = hit[:, :n] & ~(bare[:, None] & rooted)  # a path that is not there begins with no rule's
+            ruled = np.concatenate([fits, np.ones((len(hit), 1), bool)], axis=1).argmax(axis=1)
             own = n + hit[:, n:].any(axis=1)
             return batch_of(
                 page_id=batch.column("page_id"),

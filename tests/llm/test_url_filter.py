@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 
+from tessera.llm import url_filter
 from tessera.llm.queries import QUERIES
 from tessera.llm.url_filter import RULES, Automaton, judge
 
@@ -39,6 +40,31 @@ def test_rules(spark):
     assert [got[i]["verdict"] for i in (0, 20, 21, 22)] == ["allow", "block", "block", "allow"]
 
 
+def test_a_host_alone_is_judged_like_its_root(spark):
+    urls = ["http://adult-x.com", "http://adult-x.com/", "http://adult-x.com?a", "http://adult-x.org", "http://adult-x.org/", "http://", "x://?q"]
+    got = {r["page_id"]: (r["path"], r["rule"], r["verdict"]) for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[i] for i in range(7)] == [
+        ("", None, "block"), ("/", None, "block"), ("", None, "block"), ("", None, "block"), ("/", "org/", "allow"), ("", None, "allow"), ("", None, "allow"),
+    ]
+    # A rule for a host alone fits without a path, too.
+    alone = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=[("allow", "adult-x.com", "")])
+    assert [r["rule"] for r in sorted(alone.collect())][:4] == ["adult-x.com", "adult-x.com", "adult-x.com", None]
+
+
+def test_many_rules_and_long_urls_in_bounded_memory(spark, monkeypatch):
+    globs = [f"*.host{i}.net/**" for i in range(3000)]
+    automaton = Automaton(globs)
+    sizes, whole = [], automaton.matched
+    monkeypatch.setattr(automaton, "matched", lambda urls: sizes.append(len(urls) * automaton.words * 8) or whole(urls))
+    urls = [f".a.host{i}.net/".encode() for i in range(0, 12000, 2)]
+    got = automaton.match(urls)
+    assert max(sizes) <= url_filter.STATES and len(sizes) > 1
+    assert np.argwhere(got).tolist() == [[i // 2, i] for i in range(0, 3000, 2)]
+    pages = spark.createDataFrame([(1, "http://x.host7.net/" + "y" * 200_000), (2, "http://host3000.net/"), (2, "http://host3000.net/"), (3, "http://a.host0.net")], "page_id long, url string")
+    table = spark.createDataFrame([(g, 1) for g in [*globs, globs[0], None, ""]], "glob string, page_id int")
+    assert sorted((r["page_id"], r["verdict"]) for r in judge(pages, blocked=table).collect()) == [(1, "block"), (2, "allow"), (2, "allow"), (3, "block")]
+
+
 def test_whole_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
     got = {r["page_id"]: r for r in QUERIES["op4_url_filter"](spark, sf).collect()}
