@@ -20,8 +20,8 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier
 
 An anchor with one segment needs no transform: two windows of a segment hold the
 anchor at different places, so they differ. An anchor with more than ``HOT`` bytes
-of different segments goes to no task as a whole; its windows are settled one by
-one under their own bytes.
+of different segments goes to no task as a whole; its windows are dealt out one by
+one under their own digests.
 
 Defined results: null and empty texts have 0 bytes; matches never cross
 documents; rows that are equal in id and text are one document and lose the
@@ -32,6 +32,7 @@ characters' halves, since bytes count; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import batch_of, portions, raw, written
-from tessera.session import checkpointed
+from tessera.llm.texts import batch_of, dropped, portions, raw, written
+from tessera.session import checkpointed, small
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -322,10 +323,11 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hot_windows(parts: DataFrame) -> DataFrame:
-    """What ``settle`` returns, for segments of hot anchors: each window under its own bytes."""
+    """What ``settle`` returns, for segments of hot anchors: each window by itself."""
     first, count = F.shiftright("place", 7), F.col("place").bitwiseAND(0x7F).cast("int")
     spread = parts.select("name", *TEXT, "place", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"), "segment")
-    spread = spread.withColumn("window", F.expr(f"substring(segment, i + 1, {LENGTH})")).drop("segment")
+    # 128 bits of a digest stand for the bytes, as they do for whole segments.
+    spread = spread.withColumn("window", F.expr(f"substring(unhex(sha2(substring(segment, i + 1, {LENGTH}), 256)), 1, 16)")).drop("segment")
     here = F.struct(*TEXT, (first + F.col("i")).alias("at"))
     earliest = spread.groupBy("window").agg(F.min(here).alias("earliest"))
     late = F.when(~here.eqNullSafe(F.col("earliest")), F.col("i"))
@@ -338,23 +340,28 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # and a join of two tables can be split where an anchor is frequent.
     often = anchors(docs, True).groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
     often = written(often, "often")
-    parts = written(cut(docs, written(anchors(docs, False).join(often, "anchor"), "anchors")), "segments")
+    found = written(anchors(docs, False).join(often, "anchor"), "anchors")
+    parts = written(cut(docs, found), "segments")
+    dropped(often, found)
     start = F.shiftright("place", 7).alias("start")
     one = parts.groupBy("anchor", "segment").agg(F.min(F.struct(*TEXT, start, "name", "place")).alias("first"))
     dealt = written(one.select("anchor", "first.name", "segment", "first.id", "first.hash", "first.place"), "distinct")
     size = F.sum(F.col("place").bitwiseAND(0x7F) + LENGTH - 1)
-    hot = checkpointed(docs.sparkSession, dealt.groupBy("anchor").agg(size.alias("size")).where(F.col("size") > HOT).select("anchor"))
+    hot = small(checkpointed(docs.sparkSession, dealt.groupBy("anchor").agg(size.alias("size")).where(F.col("size") > HOT).select("anchor")))
     some = not hot.isEmpty()
     whole = dealt.join(hot, "anchor", "left_anti") if some else dealt
     whole = whole.repartition("anchor").sortWithinPartitions("anchor")
-    known = whole.mapInArrow(settle, "name binary, id bigint, hash bigint, place bigint, late array<int>")
+    verdicts = [written(whole.mapInArrow(settle, "name binary, id bigint, hash bigint, place bigint, late array<int>"), "repeats")]
     if some:
-        known = known.unionByName(hot_windows(dealt.join(hot, "anchor", "left_semi")))
-    known = written(known, "repeats").select("name", *(F.col(c).alias(f"first_{c}") for c in (*TEXT, "place")), "late")
+        verdicts.append(written(hot_windows(dealt.join(hot, "anchor", "left_semi")), "repeats"))
+    dropped(dealt)
+    known = reduce(DataFrame.unionByName, verdicts).select("name", *(F.col(c).alias(f"first_{c}") for c in (*TEXT, "place")), "late")
     first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")) & (F.col("place") == F.col("first_place"))
     spots = parts.select("name", *TEXT, "place").join(known, "name").withColumn("late", F.when(first, F.col("late")))
     spots = spots.where(F.col("late").isNull() | (F.size("late") > 0))
-    return written(spots.groupBy(*TEXT).agg(F.collect_set(F.struct("place", "late")).alias("spots")), "spots")
+    spots = written(spots.groupBy(*TEXT).agg(F.collect_set(F.struct("place", "late")).alias("spots")), "spots")
+    dropped(parts, *verdicts)
+    return spots
 
 
 def spans(spots: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from tessera.session import scratch
+from tessera.session import filesystem, hadoop_path, scratch
 
 #: Bytes of text worked on at once by one task.
 PORTION = 4 << 20
@@ -74,7 +74,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` whose every use has been written itself."""
+    for table in tables:
+        path = table.written_to
+        filesystem(table.sparkSession, path).delete(hadoop_path(table.sparkSession, path), True)
 
 
 #: A run of word starts with what follows up to the next one.
