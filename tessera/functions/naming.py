@@ -4,6 +4,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain, count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,83 +52,132 @@ def sanitize(label: Column) -> Column:
 
 
 def distinct_names(bases: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
-    """First come keeps the name; later ones get the first free ``_2, _3, ...``."""
-    used, result = set(taken), []
-    next_suffix: dict[str, int] = {}
-    for base in bases:
-        name, suffix = base, next_suffix.get(base, 2)
-        while name in used:
-            name, suffix = f"{base}_{suffix}", suffix + 1
-        next_suffix[base] = suffix
-        used.add(name)
-        result.append(name)
-    return result
+    """Every base in turn gets the first name of ``base, base_2, base_3, ...`` nobody holds yet; for short lists."""
+    holders = dict.fromkeys(taken)
+    for place, base in enumerate(bases):
+        spellings = chain([base], (f"{base}_{n}" for n in count(2)))
+        holders[next(name for name in spellings if name not in holders)] = place
+    return [name for name, place in holders.items() if place is not None]
 
 
 def unique_identifiers(labels: Iterable[str], taken: Iterable[str] = RESERVED) -> list[str]:
     return distinct_names([identifier(label) for label in labels], taken)
 
 
-def unique_names(
-    df: DataFrame, scope: list[str], base: str, order: str, taken: Iterable[str] = ()
-) -> DataFrame:
-    """Distributed form of :func:`distinct_names`: adds ``name``.
+def unique_names(df: DataFrame, scope: list[str], base: str, order: str, taken: Iterable[str] | DataFrame = ()) -> DataFrame:
+    """Distributed form of :func:`distinct_names` within each ``scope``: adds ``name``.
 
-    The n-th member with a base gets suffix n, unless a base that repeats (``a``)
-    meets another one that looks like its suffixed form (``a_2``). Such families
-    (same scope, same stem without numeric suffixes) are settled in order by a
-    grouped function; a family of labels that belong to one file or source.
+    The n-th member of a base gets number n, plus one for each number below that
+    it finds in use. A number k of base ``a`` is in use if ``a_k`` is taken, or is
+    a base itself that came before the member who would get it: these contested
+    numbers, and nothing else, are settled by joins on (base, place) and counted in
+    running sums over ranges. ``a_k`` in its turn finds its own name in use if that
+    member came first, so bases are settled in the order of their endings.
+
+    ``taken`` may be a table, whose first column is read. ``order`` tells all rows
+    of a scope apart.
     """
-    taken = sorted(set(taken))
     spark = df.sparkSession
-    marked = df.withColumn("_stem", F.regexp_replace(F.col(base), "(?:_[0-9]+)+$", ""))
-    keys = [*scope, "_stem"]
-    bases = marked.groupBy(*keys, base).agg(F.count("*").alias("_n"))
-    repeated = bases.filter((F.col("_n") > 1) | F.col(base).isin(taken)).select(
-        *keys, F.col(base).alias("_parent")
-    )
-    shadowed = bases.withColumn("_parent", F.regexp_replace(F.col(base), "_[0-9]+$", "")).filter(
-        F.col("_parent") != F.col(base)
-    )
-    mixed = shadowed.join(repeated, [*keys, "_parent"], "left_semi").select(*keys).distinct()
-    mixed = checkpointed(spark, mixed)
-
-    first = F.when(F.col(base).isin(taken), 2).otherwise(1)
-    position = F.col("_rank") + first - 1
-    simple = ranked(marked.join(mixed, keys, "left_anti"), [*scope, base], order).withColumn(
-        "name",
-        F.when(position == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), position.cast("string"))),
-    )
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        return group.assign(name=distinct_names(group[base], taken))
-
-    schema = marked.withColumn("name", F.lit("")).schema
-    settled = marked.join(mixed, keys, "left_semi").groupBy(*keys).applyInPandas(settle, schema)
-    return simple.drop("_rank").unionByName(settled).drop("_stem")
-
-
-def ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds ``_rank`` within ``keys`` by ``order`` without one task per key.
+    if isinstance(taken, DataFrame):
+        held = taken.select(F.col(taken.columns[0]).cast("string").alias("_held")).distinct()
+    else:
+        held = spark.createDataFrame([(name,) for name in sorted(set(taken))], "_held string")
+    keys = [*scope, "_base"]
+    members = ranked(df.withColumn("_base", F.col(base)), keys, order)
+    bases = members.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_at"))
+    bases = bases.join(held, F.col("_base") == F.col("_held"), "left")
+    bases = checkpointed(spark, bases.withColumn("_late", F.when(F.col("_held").isNotNull(), 1).otherwise(0)).drop("_held"))
+
+    def numbered(name: str) -> list[Column]:
+        ending = r"\A(.+)_([1-9][0-9]{0,17})\z"
+        return [F.regexp_extract(name, ending, 1).alias("_base"), F.regexp_extract(name, ending, 2).try_cast("bigint").alias("_k")]
+
+    literal = bases.select(*scope, F.col("_base").alias("_self"), "_at", (F.col("_late") == 1).alias("_always"))
+    literal = literal.select(*scope, "_self", "_at", "_always", *numbered("_self"))
+    reserved = held.select(*numbered("_held")).join(bases.select(*keys).distinct(), "_base")
+    contested = literal.unionByName(reserved.withColumn("_always", F.lit(True)).dropDuplicates([*keys, "_k"]), allowMissingColumns=True)
+    # A number may come as a base and as a taken name; the latter decides.
+    contested = contested.where("_k >= 2").groupBy(*keys, "_k").agg(F.max("_self").alias("_self"), F.min("_at").alias("_at"), F.max("_always").alias("_always"))
+    several = bases.where("_n > 1 OR _late = 1 OR _base RLIKE '_[0-9]+$'").select(*keys)
+    contested = checkpointed(spark, _same(contested, several, keys, "left_semi"))
+    numbers = members.withColumn("_shift", F.lit(0).cast("bigint"))
+    if not contested.isEmpty():
+        members = checkpointed(spark, members)
+        skipped, bases = _settled(spark, scope, members, bases, contested, order)
+        numbers = _shifted(members, bases, skipped, keys)
+    named = _same(numbers, bases.select(*keys, "_late"), keys, "inner")
+    number = F.col("_rank") + F.col("_late") + F.col("_shift")
+    name = F.when(number == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), number.cast("string")))
+    return named.withColumn("name", name).select(*df.columns, "name")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on equal keys, nulls too, that keeps the columns of the left side and new ones of the right."""
+    other = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
+    met = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys))
+    return left.join(other, met, how).drop(*(f"_r_{c}" for c in keys))
+
+
+def _settled(spark, scope, members, bases, contested, order) -> tuple[DataFrame, DataFrame]:
+    """The contested numbers that are skipped, and ``bases`` with all that find their own name in use marked."""
+    keys = [*scope, "_base"]
+    found, left = None, contested
+    while not left.isEmpty():
+        # Bases whose own name is still open wait for the one whose ending is shorter.
+        open_ = left.where("_self IS NOT NULL").select(*scope, F.col("_self").alias("_base")).distinct()
+        now = checkpointed(spark, _same(_same(left, open_, keys, "left_anti"), bases.select(*keys, "_late"), keys, "inner"))
+        left = checkpointed(spark, _same(left, open_, keys, "left_semi"))
+        now = now.withColumn("_skip", F.lit(1))
+        places = members.select(*keys, F.col("_rank").alias("_place"), F.col(order).alias("_by"))
+        while True:
+            counted = running(now, keys, ["_k"], "_skip", "_upto").drop("_by", "_place")
+            counted = counted.withColumn("_place", F.col("_k") - (F.col("_upto") - F.col("_skip")) - F.col("_late"))
+            met = _same(counted, places, [*keys, "_place"], "left")
+            skip = F.when(F.col("_always") | F.col("_by").isNull() | (F.col("_at") < F.col("_by")), 1).otherwise(0)
+            met = checkpointed(spark, met.withColumn("_now", skip))
+            same = met.where("_now <> _skip").isEmpty()
+            now = met.withColumn("_skip", F.col("_now")).drop("_now", "_upto")
+            if same:
+                break
+        found = now if found is None else found.unionByName(now)
+        late = now.where("_skip = 0 AND _self IS NOT NULL").select(*scope, F.col("_self").alias("_base"), F.lit(1).alias("_now"))
+        bases = _same(bases, late, keys, "left").withColumn("_late", F.greatest("_late", F.coalesce("_now", F.lit(0)))).drop("_now")
+        bases = checkpointed(spark, bases)
+    return found.where("_skip = 1").select(*keys, "_k", "_skip"), bases
+
+
+def _shifted(members, bases, skipped, keys) -> DataFrame:
+    """``members`` with ``_shift``, how many skipped numbers lie below the one they get."""
+    ranks = running(skipped, keys, ["_k"], "_skip", "_m")
+    # The m-th skipped number s moves all members on whose number without it would be s - m + 1 or more.
+    steps = ranks.select(*keys, (F.col("_k") - F.col("_m") + 1).alias("_number"), F.lit(1).alias("_step"))
+    own = _same(members, bases.select(*keys, "_late"), keys, "inner").withColumn("_number", F.col("_rank") + F.col("_late")).drop("_late")
+    both = own.withColumn("_step", F.lit(0)).unionByName(steps, allowMissingColumns=True).withColumn("_back", -F.col("_step"))
+    return running(both, keys, ["_number", "_back"], "_step", "_shift").where("_step = 0").drop("_number", "_step", "_back")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, into: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row within ``keys`` by ``order``, without one task per key.
 
     Rows are range partitioned by key and order, so a key that holds a third of
-    all rows spreads over many partitions. Each partition ranks its own rows and
+    all rows spreads over many partitions. Each partition sums up its own rows and
     adds what the same key has in earlier partitions: one number per pair.
     The partitioned rows are checkpointed, so that a repeated task sees them
     where they were.
     """
-    parted = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    parted = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
     parted = checkpointed(df.sparkSession, parted)
-    counts = parted.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    sums = parted.groupBy("_part", *keys).agg(F.sum(value).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_part", *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = parted.withColumn("_local", F.row_number().over(W.partitionBy("_part", *keys).orderBy(order)))
-    return (
-        local.join(offsets, ["_part", *keys])
-        .withColumn("_rank", F.col("_local") + F.col("_before"))
-        .drop("_part", "_local", "_before")
-    )
+    offsets = sums.select("_part", *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    upto = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = parted.withColumn("_local", F.sum(value).over(upto))
+    return _same(local, offsets, ["_part", *keys], "inner").withColumn(into, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+
+
+def ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``_rank`` within ``keys`` by ``order``, however many rows a key has."""
+    return running(df.withColumn("_one", F.lit(1)), keys, [order], "_one", "_rank").drop("_one")
 
 
 def header_forms(label: Column) -> Column:

@@ -139,6 +139,26 @@ def test_unique_names_matches_the_driver_form(spark):
         assert [got[scope, pos] for pos, _ in own] == wanted
 
 
+def test_unique_names_of_chained_endings(spark):
+    """Bases that look like numbered forms of each other, over taken names given as a table."""
+    import random
+
+    rnd = random.Random(8)
+    pool = ["a", "a_2", "a_3", "a_4", "a_2_2", "a_2_3", "a_2_2_2", "a_10", "b", "b_2", "b_02", "b_1", "c_2"]
+    rows = [(scope, pos, rnd.choice(pool[: 4 + scope])) for scope in range(9) for pos in range(60)]
+    rows += [(None, pos, "a" if pos % 3 else f"a_{pos}") for pos in range(200)]  # one family, each third row a number of it
+    df = spark.createDataFrame(rows, "scope int, pos int, base string")
+    taken = ["a_5", "b", "b_3", "a_2_4", "zz"]
+    table = spark.createDataFrame([(x, 1) for x in taken], "name string, pos int")
+    named = unique_names(df, ["scope"], "base", "pos", table)
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert named.columns == [*df.columns, "name"] and "Python" not in plan and "Pandas" not in plan
+    got = {(r.scope, r.pos): r.name for r in named.collect()}
+    for scope in [*range(9), None]:
+        own = [(pos, base) for s, pos, base in rows if s == scope]
+        assert [got[scope, pos] for pos, _ in own] == distinct_names([base for _, base in own], taken)
+
+
 def test_ranked_splits_a_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     rows = ranked(df.repartition(7), ["k"], "id").filter("k = 'hot'").orderBy("id").collect()
