@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.audit import refusal
-from tessera.plans.store import _spark_schema, catalog
+from tessera.plans.store import catalog, stored_rows
 from tessera.session import prepare
 
 # Names under which a query sees the two registries.
@@ -68,8 +68,7 @@ def query(spark: SparkSession, root: str, sql: str, args: Sequence | dict = ())
     # As many rows as the statement names tables.
     tables = mentioned.collect()
     for row in tables:
-        rows = session.read.schema(_spark_schema(row.schema_json)).parquet(f"{root}/{row.location}")
-        rows.createOrReplaceTempView(row.table_name)
+        stored_rows(session, root, row.location, row.schema_json).createOrReplaceTempView(row.table_name)
     views = {row.table_name for row in tables} | set(REGISTRIES)
     for name, which in REGISTRIES.items():
         catalog(session, root, which).createOrReplaceTempView(name)

@@ -3,6 +3,7 @@
 Layout below a store root::
 
     data/<table>/c=<commit>/*.parquet     rows of one table at one commit
+    data/many/c=<commit>/table=<table>/   rows of tables that one job wrote
     catalog/c=<commit>/{sources,tables}   the whole catalog after that commit
     commits/<number>                      one small file per commit
 
@@ -121,15 +122,28 @@ def catalog(spark: SparkSession, root: str, which: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{commit['catalog']}/{which}")
 
 
-def _spark_schema(schema_json: str) -> str:
-    return ", ".join(f"`{c['name']}` {SPARK_TYPES[c['type']]}" for c in json.loads(schema_json))
+def stored_rows(spark: SparkSession, root: str, location: str, schema_json: str) -> DataFrame:
+    """The rows of a table as its catalog entry describes them.
+
+    A column lies under its own name or under that of a ``slot``, or is a
+    ``constant`` of one ``value`` for all rows.
+    """
+    columns = json.loads(schema_json)
+    read = [c for c in columns if "constant" not in c]
+    rows = spark.read.schema(", ".join(f"`{c.get('slot', c['name'])}` {SPARK_TYPES[c['type']]}" for c in read)).parquet(f"{root}/{location}")
+    return rows.select(
+        *(
+            (F.lit(c.get("value")).cast(SPARK_TYPES[c["type"]]) if "constant" in c else F.col(f"`{c.get('slot', c['name'])}`")).alias(c["name"])
+            for c in columns
+        )
+    )
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     found = catalog(spark, root, "tables").filter(F.col("table_name") == name).first()
     if found is None:
         raise LookupError(f"no table {name!r} in {root}")
-    return spark.read.schema(_spark_schema(found.schema_json)).parquet(f"{root}/{found.location}")
+    return stored_rows(spark, root, found.location, found.schema_json)
 
 
 def owned_tables(spark: SparkSession, root: str, source_id: str) -> DataFrame:
@@ -176,7 +190,6 @@ def _persist(
     """``kinds`` pins ``[(type, kind)]`` per dataset instead of detecting them."""
     if not source_id:
         raise ValueError("a source needs a non-empty id")
-    commits = _commits(spark, root)
     sources, tables = catalog(spark, root, "sources"), catalog(spark, root, "tables")
     known = not sources.filter(F.col("source_id") == source_id).isEmpty()
     if known and not rebuild:
@@ -186,12 +199,12 @@ def _persist(
     if checksum is None:
         checksum = _resource_checksum(spark, resource, raw_root)
 
-    number = (commits[-1] if commits else 0) + 1
-    token = f"{number:012d}-{uuid.uuid4().hex[:8]}"
+    token = new_token(spark, root)
     others = tables.filter(F.col("source_id") != source_id)
     prefix = f"{identifier(source_id)}__"
     taken = [r.table_name for r in others.filter(F.col("table_name").startswith(prefix)).collect()]
-    mine = _owned(spark, root, source_id)
+    mine = spark.createDataFrame([(source_id,)], "source_id string")
+    before = owned_state(spark, root, mine)
     names = distinct_names([prefix + identifier(d.name) for d in datasets], taken)
     frames = [spread(with_row(dataset.df)) for dataset in datasets]
     decided = _decide(spark, source_id, datasets, frames, kinds or {})
@@ -213,30 +226,43 @@ def _persist(
         "source_id string, source_resource string, summary_page string, content_checksum string, "
         "extraction_status string",
     ).withColumn("ingested_at", now)
+    commit(spark, root, added, source, before)
+    return manifests
+
+
+def new_token(spark: SparkSession, root: str) -> str:
+    """Names a folder of data nobody else writes to."""
+    return f"{(_commits(spark, root) or [0])[-1] + 1:012d}-{uuid.uuid4().hex[:8]}"
+
+
+def owned_state(spark: SparkSession, root: str, ids: DataFrame) -> tuple:
+    """What the newest commit knows of the sources ``ids``, in a few numbers."""
+    known = [
+        catalog(spark, root, which).join(ids, "source_id", "left_semi").agg(F.count("*"), F.sum(F.xxhash64("source_id", column).cast("decimal(38,0)"))).first()
+        for which, column in (("sources", "content_checksum"), ("tables", "location"))
+    ]
+    return tuple(map(tuple, known))
+
+
+def commit(spark: SparkSession, root: str, added: DataFrame, source: DataFrame, before: tuple) -> None:
+    """Publish tables and their sources in place of all that these sources had, in one catalog."""
+    ids = source.select("source_id")
     while True:
+        number = (_commits(spark, root) or [0])[-1] + 1
+        others = catalog(spark, root, "tables").join(ids, "source_id", "left_anti")
+        if owned_state(spark, root, ids) != before:
+            raise RuntimeError(f"another writer stored {source.first().source_id!r} meanwhile")
+        if not others.join(added, "table_name", "left_semi").isEmpty():
+            raise RuntimeError(f"another writer took a table name of {source.first().source_id!r} meanwhile")
         where = f"catalog/c={number:012d}-{uuid.uuid4().hex[:8]}"
         others.unionByName(added).write.parquet(f"{root}/{where}/tables")
-        sources.filter(F.col("source_id") != source_id).unionByName(source).write.parquet(f"{root}/{where}/sources")
+        catalog(spark, root, "sources").join(ids, "source_id", "left_anti").unionByName(source).write.parquet(f"{root}/{where}/sources")
         try:
-            _publish(spark, root, number, {"number": number, "catalog": where, "source_id": source_id})
-            return manifests
+            return _publish(spark, root, number, {"number": number, "catalog": where, "source_id": source.first().source_id})
         except Py4JJavaError as error:
+            # Another writer was first. What it did to other sources is taken over; the data stays as written.
             if not error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
                 raise
-        # Another writer was first. What it did to other sources is taken over; the data stays as written.
-        number = _commits(spark, root)[-1] + 1
-        sources, tables = catalog(spark, root, "sources"), catalog(spark, root, "tables")
-        others = tables.filter(F.col("source_id") != source_id)
-        if _owned(spark, root, source_id) != mine:
-            raise RuntimeError(f"another writer stored {source_id!r} meanwhile")
-        if not others.filter(F.col("table_name").isin(names)).isEmpty():
-            raise RuntimeError(f"another writer took a table name of {source_id!r} meanwhile")
-
-
-def _owned(spark: SparkSession, root: str, source_id: str) -> tuple:
-    """What the newest commit knows of a source: its checksum and where its tables lie."""
-    known = catalog(spark, root, "sources").filter(F.col("source_id") == source_id).select("content_checksum").collect()
-    return known, sorted(r.location for r in owned_tables(spark, root, source_id).select("location").collect())
 
 
 def stored_columns(dataset: Dataset) -> list[str]:
@@ -392,7 +418,8 @@ def vacuum(spark: SparkSession, root: str, min_age_hours: float = 24 * 7) -> int
     if commit is None:
         return 0
     fs = filesystem(spark, root)
-    live = {row.location for row in catalog(spark, root, "tables").select("location").collect()}
+    folder = F.substring_index("location", "/", 3)  # tables that were written together go together
+    live = {row.folder for row in catalog(spark, root, "tables").select(folder.alias("folder")).distinct().collect()}
     live.add(commit["catalog"])
     removed = 0
     for status in fs.globStatus(hadoop_path(spark, f"{root}/data/*/c=*")):
