@@ -98,7 +98,7 @@ def on_row(left: DataFrame, right: DataFrame):
 def texts_of(docs: DataFrame, wanted: DataFrame, hashed: Callable[[bytes], int]) -> DataFrame:
     """``line, text``: the different lines of the edges in ``wanted`` (id, hash, numbers), by their hashes."""
     rows = keyed(docs)
-    rows = rows.join(wanted, on_row(rows, wanted)).select("text", "numbers")
+    rows = rows.hint("merge").join(wanted, on_row(rows, wanted)).select("text", "numbers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
@@ -153,7 +153,7 @@ def line_dedup(docs: DataFrame, report: bool = False, least: int = LEAST, hashed
     """
     gone = written(repeats(docs, hashed), "gone")
     rows = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["id"]) & (rows["_hash"] == gone["hash"]), "left").select(*(rows[c] for c in docs.columns), gone["numbers"].alias("_numbers"))
+    joined = rows.hint("merge").join(gone, rows["doc_id"].eqNullSafe(gone["id"]) & (rows["_hash"] == gone["hash"]), "left").select(*(rows[c] for c in docs.columns), gone["numbers"].alias("_numbers"))
     schema = T.StructType(list(docs.schema.fields))
     if report:
         for name in ("_n_lines", "_n_removed", "_n_chunks"):
