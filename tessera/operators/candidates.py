@@ -50,6 +50,8 @@ def _found(docs: DataFrame, key: str, text: str, widths: dict[str, Column]) -> D
         F.col("x.run.first").alias("first_line"),
         F.col("x.run.last").alias("last_line"),
         F.expr("slice(lines, x.run.first + 1, x.run.last - x.run.first + 1)").alias("lines"),
+        # What stands above a table may be its name.
+        F.trim(F.get("lines", F.col("x.run.first") - 1)).alias("title"),
     )
 
 
@@ -63,14 +65,14 @@ def text_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def pipe_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs of ``| a | b |`` lines of one width; the dashed rule is not a row."""
+    """Runs of ``| a | b |`` lines of one width; the dashed rule is not a row, and null among ``lines``."""
     def width(line: Column) -> Column:
         fields = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) - 1
         return F.when(line.rlike(PIPE_ROW), fields).otherwise(F.lit(0))
 
     found = _found(docs, key, text, {"|": F.transform("lines", width)})
-    rows = F.filter("lines", lambda line: ~line.rlike(PIPE_RULE))
-    return found.withColumn("lines", rows).filter(F.size("lines") >= 2)
+    rows = F.transform("lines", lambda line: F.when(~line.rlike(PIPE_RULE), line))
+    return found.withColumn("lines", rows).filter(F.size(F.array_compact("lines")) >= 2)
 
 
 def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -94,24 +96,26 @@ def _parts(line: Column, sep: Column) -> Column:
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """``[candidate, doc, sep, header, line_no, fields]``: data rows per logical table.
+    """``[candidate, doc, sep, header, title, line_no, fields]``: data rows per logical table.
 
     Runs of a document that open with the same header are pieces of one table
     (a page break repeats the header); every repetition of the header is dropped.
     """
-    header = F.get("lines", F.lit(0))
+    header = F.get(F.array_compact("lines"), F.lit(0))
     rows = found.select(
         "doc",
         "sep",
         header.alias("header"),
         F.posexplode(F.col("lines")).alias("offset", "line"),
         "first_line",
+        "title",
     ).filter("line <> header")
     return rows.select(
         F.concat_ws("/", F.col("doc").cast("string"), F.hex(F.xxhash64("sep", "header"))).alias("candidate"),
         "doc",
         "sep",
         "header",
+        "title",
         (F.col("first_line") + F.col("offset")).alias("line_no"),
         _parts(F.col("line"), F.col("sep")).alias("fields"),
     )
@@ -141,6 +145,33 @@ def proposal(rows: DataFrame) -> DataFrame:
     )
 
 
+def candidate_names(rows: DataFrame) -> DataFrame:
+    """``[candidate, doc, name, first_line, last_line]``: a name to propose, and where a table stands.
+
+    The name is the line above the first piece of the table, or the table's labels.
+    """
+    title = F.nullif(F.min_by("title", "line_no"), F.lit(""))
+    labels = F.concat_ws(" ", F.filter(_parts(F.first("header"), F.first("sep")), lambda label: label != ""))
+    return rows.groupBy("candidate", "doc").agg(F.coalesce(title, labels).alias("name"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+def proposals(rows: DataFrame, n: int = 5) -> DataFrame:
+    """One row per candidate: all that an approval is decided on.
+
+    ``[candidate, doc, name, first_line, last_line, labels, types, estimated_rows,
+    caveats, first_rows]``; labels, types and rows are in their order in the text.
+    """
+    places = candidate_cells(rows).select(F.col("dataset").alias("candidate"), F.col("column").alias("label"), "pos").distinct()
+    column = F.struct("pos", "label", "type", F.when(F.col("caveat").isNotNull(), F.concat("label", F.lit(": "), "caveat")).alias("caveat"))
+    # A table has as many columns as a line has fields.
+    columns = proposal(rows).join(places, ["candidate", "label"]).groupBy("candidate").agg(F.array_sort(F.collect_list(column)).alias("c"), F.max("estimated_rows").alias("estimated_rows"))
+    shown = preview(rows, n).groupBy("candidate").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row"))), lambda x: x["row"]).alias("first_rows"))
+    return candidate_names(rows).join(columns, "candidate").join(shown, "candidate", "left").select(
+        "candidate", "doc", "name", "first_line", "last_line", F.col("c.label").alias("labels"), F.col("c.type").alias("types"),
+        "estimated_rows", F.filter("c.caveat", lambda x: x.isNotNull()).alias("caveats"), "first_rows",
+    )
+
+
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:
     """The first rows of every candidate in source order."""
     order = W.partitionBy("candidate").orderBy("line_no")
@@ -156,6 +187,26 @@ def approved(proposed: DataFrame, approvals: DataFrame) -> DataFrame:
     return proposed.join(approvals.filter("approved").select("candidate"), "candidate", "left_semi")
 
 
+def approved_tables(proposed: DataFrame, rows: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources, cells and provenance of what was approved, as a store takes them.
+
+    A document is a source, a candidate one of its datasets, by the name it was
+    proposed with; of candidates of a document that share a name, those below the
+    first have their first line in it. ``proposed`` are :func:`candidate_names`.
+    """
+    kept = approved(proposed, approvals)
+    order = W.partitionBy("doc", "name").orderBy("first_line", "candidate")
+    named = kept.withColumn("_nth", F.row_number().over(order))
+    name = F.when(F.col("_nth") == 1, F.col("name")).otherwise(F.concat_ws(" ", "name", "first_line", "_nth"))
+    source = F.concat(F.lit("document "), F.col("doc").cast("string"))
+    named = named.select("candidate", source.alias("source_id"), name.alias("dataset"), "doc", "first_line", "last_line")
+    cells = candidate_cells(rows).withColumnRenamed("dataset", "candidate").join(named.select("candidate", "source_id", "dataset"), "candidate").drop("candidate")
+    lines = F.concat(F.lit("lines "), (F.col("first_line") + 1).cast("string"), F.lit("-"), (F.col("last_line") + 1).cast("string"))
+    provenance = named.select("source_id", "dataset", F.lit(None).cast("bigint").alias("source_page"), lines.alias("source_section"), F.lit(None).cast("string").alias("source_sheet"))
+    sources = named.groupBy("source_id").agg(F.concat(F.lit("documents/"), F.first("doc").cast("string")).alias("source_resource"))
+    return sources, cells, provenance
+
+
 def gate_status(proposed: DataFrame, approvals: DataFrame) -> DataFrame:
     """``[candidate, status]``: approved, rejected or pending."""
     verdict = F.when(F.col("approved"), "approved").when(~F.col("approved"), "rejected").otherwise("pending")

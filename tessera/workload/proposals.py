@@ -4,6 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import candidates
+from tessera.operators.cells import melt
+from tessera.plans import bulk, store
+from tessera.session import checkpointed, scratch
 from tessera.workload.inputs import run
 from tessera.workload.registry import query
 
@@ -38,7 +41,7 @@ def docs(spark, sf_dir):
     f"WITH docs AS ({DOCS}), {_WIDTHS} SELECT doc_id AS doc, sep, w AS width, first_line, last_line FROM runs",
 )
 def records(spark, sf_dir):
-    return candidates.text_records(docs(spark, sf_dir)).drop("lines")
+    return candidates.text_records(docs(spark, sf_dir)).drop("lines", "title")
 
 
 @query(
@@ -68,7 +71,7 @@ SELECT p_partkey AS doc_id, 'Lista de ' || p_brand || {NL} || '| nome | codigo |
 )
 def pipes(spark, sf_dir):
     found = candidates.pipe_tables(run(spark, sf_dir, BROKEN))
-    return found.select("doc", "width", "first_line", "last_line", F.size("lines").alias("n_lines"))
+    return found.select("doc", "width", "first_line", "last_line", F.size(F.array_compact("lines")).alias("n_lines"))
 
 
 @query(
@@ -102,13 +105,14 @@ def html(spark, sf_dir):
 
 @query(
     "candidate_proposal",
-    """SELECT -1 - p_partkey AS doc, t.label, 'VARCHAR' AS type, 3 AS estimated_rows
-    FROM part CROSS JOIN (VALUES ('nome'), ('codigo'), ('valor')) t(label)""",
+    f"""SELECT -1 - p_partkey AS doc, 'Catalogo ' || p_partkey AS name, 2 AS first_line, 4 AS last_line, 'nome|codigo|valor' AS labels,
+    'VARCHAR|VARCHAR|VARCHAR' AS types, 3 AS estimated_rows, p_name || ' | ' || p_partkey || ' | ' || {PRICE} || chr(10) || p_brand || ' | 0' || p_partkey
+      || ' | ' || {PRICE} || chr(10) || p_type || ' | ' || p_partkey || ' | n/a' AS first_rows FROM part""",
 )
 def proposal(spark, sf_dir):
-    rows = candidates.merged(candidates.text_records(run(spark, sf_dir, LISTINGS)))
-    doc = F.split_part("candidate", F.lit("/"), F.lit(1)).cast("bigint")
-    return candidates.proposal(rows).select(doc.alias("doc"), "label", "type", "estimated_rows")
+    found = candidates.proposals(candidates.merged(candidates.text_records(run(spark, sf_dir, LISTINGS))))
+    joined = {"labels": "|", "types": "|", "first_rows": "\n"}
+    return found.select("doc", "name", "first_line", "last_line", "estimated_rows", *(F.array_join(c, sep).alias(c) for c, sep in joined.items()))
 
 
 @query(
@@ -125,19 +129,57 @@ def preview(spark, sf_dir):
 
 @query(
     "approval_gate",
-    """SELECT p_partkey AS doc, CASE p_partkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status,
-    CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 0 END AS stored_rows FROM part""",
+    f"""SELECT p_partkey AS doc, CASE p_partkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, t.*
+    FROM part LEFT JOIN LATERAL (SELECT 3 AS stored_rows, 'document_' || p_partkey || '__lista_de_' || lower(replace(p_brand, '#', '_')) AS table_name,
+      'lines 4-9' AS section, p_name || ' | ' || p_partkey || chr(10) || p_type || ' | 0' || p_partkey || chr(10) || p_brand || ' | ' || {PRICE} AS first_rows
+      WHERE p_partkey % 3 = 0) t ON true""",
 )
 def gate(spark, sf_dir):
-    rows = candidates.merged(candidates.pipe_tables(run(spark, sf_dir, BROKEN)))
-    proposed = rows.select("candidate", "doc").distinct()
+    """Proposals, decisions, and what the store holds of the approved: counts, provenance and first rows are read from there."""
+    rows = checkpointed(spark, candidates.merged(candidates.pipe_tables(run(spark, sf_dir, BROKEN))))
+    proposed = checkpointed(spark, candidates.candidate_names(rows))
     approvals = proposed.filter("doc % 3 < 2").select("candidate", (F.col("doc") % 3 == 0).alias("approved"))
-    stored = candidates.approved(rows, approvals).groupBy("candidate").agg(F.count("*").alias("n"))
-    status = candidates.gate_status(proposed, approvals)
-    doc = F.split_part("candidate", F.lit("/"), F.lit(1)).cast("bigint")
-    return status.join(stored, "candidate", "left").select(
-        doc.alias("doc"), "status", F.coalesce("n", F.lit(0)).alias("stored_rows")
-    )
+    sources, cells, provenance = candidates.approved_tables(proposed, rows, approvals)
+    sources = sources.withColumns({"summary_page": F.concat(F.lit("wiki/sources/"), "source_id"), "content_checksum": F.sha2("source_resource", 256)})
+    root = scratch(spark, "store")
+    bulk.persist_many(spark, root, sources, cells, provenance)
+    held = store.catalog(spark, root, "tables")
+    first = bulk.many_first_rows(spark, root, held)
+    fields = F.array_join(F.map_values(F.from_json("row", "map<string,string>")), " | ")
+    shown = first.groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", fields.alias("t")))), lambda x: x["t"]), "\n").alias("first_rows"))
+    listed = F.from_json("schema_json", "array<struct<name:string,value:string>>")
+    section = F.filter(listed, lambda c: c["name"] == "source_section")[0]["value"]
+    doc = F.regexp_extract("source_id", "[-0-9]+", 0).cast("bigint").alias("doc")
+    stored = held.join(shown, "table_name").select(doc, F.col("row_count").alias("stored_rows"), "table_name", section.alias("section"), "first_rows")
+    status = candidates.gate_status(proposed, approvals).join(proposed.select("candidate", "doc"), "candidate")
+    return status.join(stored, "doc", "left").select("doc", "status", "stored_rows", "table_name", "section", "first_rows")
+
+
+@query(
+    "sink_persist_many",
+    """SELECT 'supplier_' || l_suppkey || '__entregas' AS table_name, count(*) AS n_rows, cast(sum(l_orderkey) AS bigint) AS orders, sum(l_quantity) AS quantity,
+    min(cast(l_shipdate AS date)) AS first_day, max(CASE WHEN l_linenumber % 2 = 0 THEN lpad(cast(l_partkey AS varchar), 8, '0') END) AS last_code
+    FROM lineitem GROUP BY l_suppkey""",
+)
+def many(spark, sf_dir):
+    """A dataset for each supplier, all of them typed, stored and cataloged together, and asked through the catalog."""
+    source = """SELECT cast(l_suppkey AS varchar(20)) AS s, monotonically_increasing_id() AS _row, l_orderkey AS pedido, cast(l_quantity AS varchar(20)) AS qtd,
+      date_format(l_shipdate, 'dd/MM/yyyy') AS data, CASE WHEN l_linenumber % 2 = 0 THEN lpad(cast(l_partkey AS varchar(20)), 8, '0') END AS cep FROM lineitem"""
+    rows = run(spark, sf_dir, source)
+    labels = ["pedido", "qtd", "data", "cep"]
+    cells = melt(rows, labels, F.concat(F.lit("Supplier "), "s")).withColumnRenamed("dataset", "source_id")
+    cells = cells.withColumns({"dataset": F.lit("Entregas"), "pos": F.array_position(F.array(*map(F.lit, labels)), F.col("column")).cast("int") - 1})
+    sources = run(spark, sf_dir, "SELECT DISTINCT 'Supplier ' || cast(l_suppkey AS varchar(20)) AS source_id FROM lineitem")
+    sources = sources.withColumns({"source_resource": F.lit("raw/lines.csv"), "summary_page": F.lit("wiki/sources/lines.md"), "content_checksum": F.sha2("source_id", 256)})
+    root = scratch(spark, "store")
+    bulk.persist_many(spark, root, sources, cells)
+    # All tables have one shape, so the folder they lie in is one table as well.
+    held = store.catalog(spark, root, "tables")
+    first = held.first()
+    whole = store.stored_rows(spark, root, first.location.rpartition("/")[0], first.schema_json).select("pedido", "qtd", "data", "cep", F.regexp_extract("_metadata.file_path", "table=([^/]+)/", 1).alias("table_name"))
+    return whole.groupBy("table_name").agg(
+        F.count("*").alias("n_rows"), F.sum("pedido").alias("orders"), F.sum("qtd").alias("quantity"), F.min("data").alias("first_day"), F.max("cep").alias("last_code")
+    ).join(held.select("table_name"), "table_name")
 
 
 CHECKS = """
