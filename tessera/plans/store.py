@@ -186,8 +186,9 @@ def _persist(
     checksum: str | None = None,
     raw_root: str | None = None,
     kinds: dict[str, list[tuple[str, str | None]]] | None = None,
+    sample: bool = True,
 ) -> list[Manifest]:
-    """``kinds`` pins ``[(type, kind)]`` per dataset instead of detecting them."""
+    """``kinds`` pins ``[(type, kind)]`` per dataset instead of detecting them; ``sample`` shows first rows in the manifests."""
     if not source_id:
         raise ValueError("a source needs a non-empty id")
     sources, tables = catalog(spark, root, "sources"), catalog(spark, root, "tables")
@@ -211,7 +212,7 @@ def _persist(
     manifests, rows = [], []
     for name, dataset, df, decision in zip(names, datasets, frames, decided):
         location = f"data/{name}/c={token}"
-        manifest = _write(spark, f"{root}/{location}", name, source_id, dataset, df, decision)
+        manifest = _write(spark, f"{root}/{location}", name, source_id, dataset, df, decision, sample)
         manifests.append(manifest)
         schema_json = json.dumps([{"name": n, "type": t} for n, t in manifest.columns])
         rows.append((name, source_id, dataset.name, schema_json, manifest.row_count, location))
@@ -340,7 +341,7 @@ def _normalizations(dataset: Dataset, df: DataFrame, label: str, facts: DataFram
     ]
 
 
-def _write(spark, path, name, source_id, dataset: Dataset, df: DataFrame, decision: _Decision) -> Manifest:
+def _write(spark, path, name, source_id, dataset: Dataset, df: DataFrame, decision: _Decision, shown: bool) -> Manifest:
     columns = stored_columns(dataset)
     physical = unique_identifiers(columns)
     decided = decision.columns
@@ -354,8 +355,7 @@ def _write(spark, path, name, source_id, dataset: Dataset, df: DataFrame, decisi
     stored(df).drop(ROW).write.parquet(path)
     schema = [*zip(physical, [t for t, _ in decided]), *PROVENANCE]
     # The sample is cut from the raw rows, so only its own rows are converted again.
-    shown = stored(first_rows(df)).orderBy(ROW).drop(ROW)
-    sample = [row.asDict() for row in shown.collect()]
+    sample = [row.asDict() for row in stored(first_rows(df)).orderBy(ROW).drop(ROW).collect()] if shown else []
     row_count = decision.row_count
     if row_count is None:
         row_count = spark.read.parquet(path).count()

@@ -77,25 +77,6 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def line_checksums(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``[file, n_lines, checksum]`` of text files of any size; an empty file has no row.
-
-    Every line is hashed with its number in the file, and the hashes are summed up
-    in four words, so it does not matter how the file is cut into splits. Line
-    ends are those of the scanner and are not told apart; with the length of the
-    file, which the caller adds, all else is.
-    """
-    lines = read_lines(spark, path)
-    splits = lines.groupBy("file", "block").agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("file").orderBy("block")) - F.col("_n")
-    splits = checkpointed(spark, splits.select("file", "block", (before - F.col("_first")).alias("_shift")))
-    number = F.encode(F.concat((F.col("id") + F.col("_shift")).cast("string"), F.lit("\n")), "UTF-8")
-    hashed = lines.join(small(splits), ["file", "block"]).select("file", F.sha2(F.concat(number, F.col("record").cast("binary")), 256).alias("h"))
-    words = [F.sum(F.conv(F.substring("h", 1 + 16 * n, 16), 16, 10).cast("decimal(20,0)")).cast("string") for n in range(4)]
-    found = hashed.groupBy("file").agg(F.count("*").alias("n_lines"), F.concat_ws("\n", *words).alias("_words"))
-    return found.select("file", "n_lines", F.sha2(F.concat_ws("\n", F.col("n_lines").cast("string"), "_words"), 256).alias("checksum"))
-
-
 def _chained(reset: Column, flips: Column, start: Column) -> Column:
     return (F.coalesce(reset, start) + flips) % 2
 
@@ -350,13 +331,15 @@ def read_cells(spark: SparkSession, path: str | list[str], sep: str | None = Non
     return reduce(DataFrame.unionByName, parts), status
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None = None):
+def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None = None, found: Scan | None = None):
     """``(df, status)`` of files that share one header, as a wide table of texts.
 
+    A ``found`` scan of the files is not repeated.
+
     The files of one dataset are usually the parts of one export. Files with
     different headers are several datasets: use :func:`read_cells` for those.
     """
-    found = scan(spark, path, sep)
+    found = scan(spark, path, sep) if found is None else found
     complete = found.status.filter("status = 'complete'")
     # A part with nothing but its header says little about the separator.
     filled = complete.filter("n_rows > 0")

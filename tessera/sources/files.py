@@ -2,10 +2,16 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
 # Extension -> reader.
 READERS = {"csv": "delimited", "tsv": "delimited", "xlsx": "worksheet"}
 
@@ -52,24 +58,81 @@ def source_path(column: str = "_metadata.file_path") -> Column:
     return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 
 
-def content_checksum(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """Every file below ``path``; contents are not read unless selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "modificationTime", "length")
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """``[path, length, checksum]`` of every file below ``path``, hashed inside the JVM.
+#: Bytes of a range that is hashed at once, and hashes that are hashed together.
+RANGE, FANOUT = 8 << 20, 1024
+
 
-    One way for every size and every file system Spark reads. A file beyond what
-    one value holds (2 GB) is an error of the read, never another checksum.
+def checksums(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``[path, length, checksum]`` of every file below ``path``, whatever its size."""
+    return file_checksums(listing(spark, path).select("path", "length"), RANGE, FANOUT)
+
+
+def file_checksums(files: DataFrame, size: int = RANGE, fanout: int = FANOUT) -> DataFrame:
+    """``[path, length, checksum]`` of the files listed in ``files`` (path, length).
+
+    A tree of SHA-256 hashes: one for each range of ``size`` bytes, one for each
+    ``fanout`` of these in order, and so on up to a single one. A file of one range
+    has the plain hash of its bytes. Ranges are read by their place in the file, as
+    tasks of their own, so a file of any size is spread and never held as a whole.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", content_checksum(F.col("content")).alias("checksum"))
+    spark = files.sparkSession
+    files = checkpointed(spark, files.select("path", "length").distinct())
+    found = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / size) + 1), F.lit(0)).alias("ranges"), F.coalesce(F.max("length"), F.lit(0)).alias("most")).first()
+    scheme = F.regexp_extract("path", SCHEME, 1)
+    direct = [r.scheme for r in files.select(scheme.alias("scheme")).distinct().collect() if _opened(r.scheme) is not None]
+    by_range = scheme.isin(*direct) if direct else F.lit(False)
+    node = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0)).cast("bigint"))).alias("node")
+    # Few bytes name much work, so the number of tasks is not left to their size.
+    tasks = int(max(1, min(found.ranges, max(4 * spark.sparkContext.defaultParallelism, found.ranges // 16))))
+    parts = files.where(by_range).select("path", node).repartition(tasks, "path", "node")
+    hashed = parts.mapInArrow(_range_hashes(size), "path string, node bigint, hash string")
+    others = [r.path for r in files.where(~by_range).select("path").collect()]
+    if others:  # stores that only Spark reads: whole values, cut into the same ranges
+        start = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.length("content") / size) - 1, F.lit(0)).cast("bigint"))
+        cut = F.transform(start, lambda n: F.struct(n.alias("node"), F.sha2(F.substring("content", (n * size + 1).cast("int"), F.lit(size)), 256).alias("hash")))
+        whole = spark.read.format("binaryFile").load(others).select("path", F.inline(cut))
+        hashed = hashed.unionByName(whole)
+    while True:
+        if found.most <= size:
+            return files.join(hashed.select("path", F.col("hash").alias("checksum")), "path", "left")
+        pair = F.struct("node", "hash")
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["hash"]), "")
+        several = F.count("*") > 1
+        up = hashed.groupBy("path", F.floor(F.col("node") / fanout).alias("node")).agg(F.when(several, F.sha2(text, 256)).otherwise(F.first("hash")).alias("hash"))
+        hashed, size = up, size * fanout
+
+
+def _opened(scheme: str):
+    """A file system that reads by offset, or None if there is none for the scheme."""
+    name = scheme.partition(":")[0].lower()
+    if name in ("", "file"):
+        return fs.LocalFileSystem()
+    try:
+        return fs.FileSystem.from_uri(scheme.rstrip("/") + "/")[0]
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
+def _range_hashes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict[str, fs.FileSystem] = {}
+        for batch in batches:
+            hashes = []
+            for path, node in zip(batch.column("path").to_pylist(), batch.column("node").to_pylist()):
+                scheme = re.match(SCHEME, path).group(1) or ""
+                if scheme not in systems:
+                    systems[scheme] = _opened(scheme)
+                with systems[scheme].open_input_file(path[len(scheme) :]) as file:
+                    hashes.append(hashlib.sha256(file.read_at(min(size, max(0, file.size() - node * size)), node * size)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("node"), pa.array(hashes, pa.string())], names=["path", "node", "hash"])
+
+    return run
 
 
 def combined_checksum(spark: SparkSession, path: str) -> tuple[int, str | None]:

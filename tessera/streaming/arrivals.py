@@ -3,24 +3,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.plans.store import Dataset, catalog, persist_source, rebuild_source
-from tessera.sources.delimited import header_labels, line_checksums, read_delimited, scan
-from tessera.sources.files import checksums, reader_for
+from tessera.session import checkpointed, filesystem, hadoop_path
+from tessera.sources.delimited import Scan, header_labels, read_delimited, scan
+from tessera.sources.files import file_checksums, reader_for
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+ARRIVED = "path string, length bigint, checksum string, status string"
 
 #: Files of a micro-batch at most; their paths and statuses pass through the driver.
 FILES_PER_BATCH = 1000
-#: What one value can hold. Larger files that are not read as lines have no checksum.
-LARGEST = 2**31 - 16
-
-
 def _arrivals(spark: SparkSession, raw: str) -> DataFrame:
     """Paths and lengths of arriving files; their contents are not read."""
     files = (
@@ -38,30 +38,14 @@ def literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def _checked(spark: SparkSession, batch: DataFrame) -> DataFrame:
-    """``[path, length, checksum, status]`` of the files of a batch.
-
-    Delimited files of every size are hashed line by line, over as many tasks as
-    they have splits. All others are hashed as one value, worksheets above it are
-    ``too large``.
-    """
-    reader = reader_for(F.col("path"))
-    kinds = batch.select("path", (reader == "delimited").alias("lines"), (F.col("length") <= LARGEST).alias("fits")).collect()
-    lines, values = [literal(r.path) for r in kinds if r.lines], [literal(r.path) for r in kinds if not r.lines and r.fits]
-    sums = spark.createDataFrame([], "path string, _sum string")
-    if values:
-        sums = sums.unionByName(checksums(spark, values).select("path", F.col("checksum").alias("_sum")))
-    if lines:
-        sums = sums.unionByName(line_checksums(spark, lines).select(F.col("file").alias("path"), F.col("checksum").alias("_sum")))
-    whole = F.sha2(F.concat_ws("\n", F.col("length").cast("string"), "_sum"), 256)
+def _checked(batch: DataFrame) -> DataFrame:
+    """``[path, length, checksum, status]`` of the files of a batch; every size is hashed alike."""
     status = (
-        F.when(reader == "unsupported", "unsupported")
-        .when((reader != "delimited") & (F.col("length") > LARGEST), "too large")
+        F.when(reader_for(F.col("path")) == "unsupported", "unsupported")
         .when(F.col("length") == 0, "empty")
         .otherwise("pending")
     )
-    checksum = F.when(reader == "delimited", whole).otherwise(F.col("_sum"))
-    return batch.join(sums, "path", "left").select("path", "length", checksum.alias("checksum"), status.alias("status"))
+    return file_checksums(batch).withColumn("status", status)
 
 
 def raw_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str) -> DataFrame:
@@ -72,11 +56,31 @@ def raw_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str) -> Da
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        _checked(spark, batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        _checked(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     _drain(_arrivals(spark, raw), save, checkpoint)
-    schema = "path string, length bigint, checksum string, status string, batch bigint"
-    return spark.read.schema(schema).option("basePath", out).parquet(out)
+    return spark.read.schema(f"{ARRIVED}, batch bigint").option("basePath", out).parquet(out)
+
+
+def _known(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first pending file with a checksum stays so, all later ones are duplicates; the state is whether there was one."""
+    files = pd.concat(list(frames)).sort_values("path", kind="stable")
+    pending = files["status"] == "pending"
+    later = pending & (state.exists | (pending.cumsum() > 1))
+    if pending.any() and not state.exists:
+        state.update((True,))
+    yield files.assign(status=files["status"].mask(later, "duplicate"))
+
+
+def new_contents(spark: SparkSession, arrived: str) -> DataFrame:
+    """A stream of arrivals saved by ``raw_arrivals`` in which contents seen before are ``duplicate``.
+
+    Checksums are the keys of the stream's state, so what a batch costs does not
+    depend on how much arrived before, and a replayed batch meets the state it met
+    the first time.
+    """
+    files = spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", FILES_PER_BATCH).option("recursiveFileLookup", "true").parquet(arrived)
+    return files.groupBy("checksum").applyInPandasWithState(_known, ARRIVED, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def normalize_upsert(
@@ -96,49 +100,44 @@ def normalize_upsert(
     n_rows, batch]``, and one with a content that arrived before is a
     ``duplicate``. A batch is stored under ``<source_id>-<batch>``; replaying it
     rebuilds exactly that source, and earlier batches are never rewritten.
+
+    Two streams: one hashes what arrives, the other tells what is new by its own
+    state and stores that.
     """
-    statuses = f"{root}/arrivals/{source_id}"
+    statuses, found = f"{root}/arrivals/{source_id}", f"{root}/arrivals/{source_id}-found"
     row = "path string, checksum string, status string, n_rows bigint, batch bigint"
     names = T.StructType.fromDDL(schema).names
 
     def save(batch: DataFrame, number: int) -> None:
-        found = _checked(spark, batch)
-        try:
-            before = spark.read.schema(row).option("basePath", statuses).parquet(statuses)
-        except AnalysisException:  # the first batch
-            before = spark.createDataFrame([], row)
-        before = before.filter((F.col("batch") < number) & F.col("status").isin("stored", "duplicate")).select("checksum").distinct()
-        rank = F.row_number().over(Window.partitionBy("checksum").orderBy("path"))
-        seen = found.join(before.withColumn("_seen", F.lit(True)), "checksum", "left").withColumn("_rank", rank)
-        twice = (F.col("status") == "pending") & (F.col("_seen").isNotNull() | (F.col("_rank") > 1))
-        rows = seen.select("path", "checksum", F.when(twice, "duplicate").otherwise(F.col("status")).alias("status")).collect()
+        rows = batch.select("path", "checksum", "status").collect()  # some FILES_PER_BATCH at most
         pending = [literal(r.path) for r in rows if r.status == "pending"]
         scanned = {}
         if pending:
-            shape = scan(spark, pending, sep).status
-            labels = header_labels(shape).groupBy("file").agg(
+            shape = scan(spark, pending, sep)
+            labels = header_labels(shape.status).groupBy("file").agg(
                 F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels")
             )
             same = F.coalesce(F.col("labels") == F.lit(names), F.lit(False))
-            judged = shape.join(labels, "file", "left").select(
-                "file", "n_rows", F.when(F.col("status") != "complete", F.col("status")).when(same, "stored").otherwise("other header").alias("status")
-            )
+            verdict = F.when(F.col("status") != "complete", F.col("status")).when(same, "stored").otherwise("other header")
+            judged = checkpointed(spark, shape.status.join(labels, "file", "left").select("file", "n_rows", verdict.alias("verdict")))
             scanned = {r.file: r for r in judged.collect()}
-        good = [literal(path) for path, r in scanned.items() if r.status == "stored"]
-        if good:
-            df, _ = read_delimited(spark, good, sep)
-            digest = hashlib.sha256("\n".join(sorted(r.checksum for r in rows if r.path in scanned)).encode()).hexdigest()
-            name = f"{source_id}-{number}"
-            known = not catalog(spark, root, "sources").filter(F.col("source_id") == name).isEmpty()
-            store = rebuild_source if known else persist_source
-            store(
-                spark, root, name, raw, f"wiki/sources/{source_id}.md", [Dataset("rows", df)],
-                checksum=digest, kinds={"rows": kinds},
-            )
-        lines = [(r.path, r.checksum, scanned[r.path].status if r.path in scanned else r.status, scanned[r.path].n_rows if r.path in scanned else 0) for r in rows]
+            good = shape.status.join(judged.filter("verdict = 'stored'").select("file"), "file", "left_semi")
+            if any(r.verdict == "stored" for r in scanned.values()):
+                df, _ = read_delimited(spark, pending, sep, Scan(shape.records, good))
+                digest = hashlib.sha256("\n".join(sorted(r.checksum for r in rows if r.path in scanned)).encode()).hexdigest()
+                name = f"{source_id}-{number}"
+                known = not catalog(spark, root, "sources").filter(F.col("source_id") == name).isEmpty()
+                store = rebuild_source if known else persist_source
+                store(
+                    spark, root, name, raw, f"wiki/sources/{source_id}.md", [Dataset("rows", df)],
+                    checksum=digest, kinds={"rows": kinds}, sample=False,
+                )
+        lines = [(r.path, r.checksum, scanned[r.path].verdict if r.path in scanned else r.status, scanned[r.path].n_rows if r.path in scanned else 0) for r in rows]
         spark.createDataFrame(lines, row.rpartition(",")[0]).write.mode("overwrite").parquet(f"{statuses}/batch={number}")
 
-    _drain(_arrivals(spark, raw), save, checkpoint)
+    raw_arrivals(spark, raw, found, f"{checkpoint}/found")
+    if filesystem(spark, found).exists(hadoop_path(spark, found)):
+        _drain(new_contents(spark, found), save, f"{checkpoint}/stored")
     return spark.read.schema(row).option("basePath", statuses).parquet(statuses)
 
 

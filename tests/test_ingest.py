@@ -1,11 +1,11 @@
+import hashlib
 import json
 
 import pytest
 
 from tessera.plans import ingest, store
 from tessera.session import scratch
-from tessera.sources.delimited import line_checksums, read_lines
-from tessera.streaming import arrivals
+from tessera.sources import files
 from tessera.streaming.arrivals import normalize_upsert, raw_arrivals
 
 
@@ -124,34 +124,60 @@ def test_csv_stream_goes_through_the_scanner(spark, raw, tmp_path):
     assert rows == [(1, "um\ndois", 3), (2, "x", 4), (9, "z", 8)]
 
 
-def test_files_above_one_value_are_stored(spark, raw, tmp_path, monkeypatch):
-    monkeypatch.setattr(arrivals, "LARGEST", 8)
+def tree(data, size, fanout):
+    level = [hashlib.sha256(data[i : i + size]).hexdigest() for i in range(0, max(len(data), 1), size)]
+    while len(level) > 1:
+        groups = [level[i : i + fanout] for i in range(0, len(level), fanout)]
+        level = [hashlib.sha256("".join(g).encode()).hexdigest() if len(g) > 1 else g[0] for g in groups]
+    return level[0]
+
+
+def test_checksums_of_ranges(spark, raw, monkeypatch):
+    texts = {"a b+%25.csv": "x" * 9, "exact": "ab" * 32, "long": "".join(map(str, range(5000)))}
+    for name, text in texts.items():
+        raw(name, text)
+    for size, fanout in ((64, 3), (1000, 2), (1 << 20, 1024)):
+        want = {n: (len(t), tree(t.encode(), size, fanout)) for n, t in texts.items()}
+        for opens in (files._opened, lambda scheme: None):  # by range, and as whole values
+            monkeypatch.setattr(files, "_opened", opens)
+            got = files.file_checksums(files.listing(spark, raw.folder), size, fanout).collect()
+            assert {r.path.rsplit("/", 1)[1]: (r.length, r.checksum) for r in got} == want
+            monkeypatch.undo()
+    assert files.file_checksums(files.listing(spark, raw.folder).limit(0)).collect() == []
+
+
+def test_a_file_above_two_gigabytes(spark, raw, tmp_path):
+    """A sparse file is hashed in ranges, persists and arrives."""
+    path = raw("big.bin", "x")
+    with open(path, "r+b") as file:
+        file.truncate((2 << 30) + 77)
+    seen = raw_arrivals(spark, raw.folder, str(tmp_path / "out"), str(tmp_path / "checkpoint")).collect()
+    assert [(r.length, r.status, len(r.checksum)) for r in seen] == [((2 << 30) + 77, "unsupported", 64)]
     root = str(tmp_path / "store")
-    go = lambda: normalize_upsert(spark, raw.folder, "a string, b string", root, "s", [("BIGINT", None)] * 2, str(tmp_path / "checkpoint"))
-    raw("big.csv", "a,b\n1,2\n3,4\n")
+    store.persist_source(spark, root, "big", path, "big.md", [store.Dataset("t", spark.createDataFrame([("1",)], "a string"))])
+    assert store.catalog(spark, root, "sources").first().content_checksum == seen[0].checksum
+
+
+def test_stream_state_and_replay(spark, raw, tmp_path):
+    """Contents seen in any earlier batch are duplicates, and so after a restart and a replay."""
+    root, checkpoint = str(tmp_path / "store"), tmp_path / "checkpoint"
+    go = lambda: {r.path.rsplit("/", 1)[1]: (r.status, r.n_rows, r.batch) for r in normalize_upsert(spark, raw.folder, "a string, b string", root, "s", [("BIGINT", None)] * 2, str(checkpoint)).collect()}
+    raw("a.csv", "a,b\n1,2\n3,4\n")
+    raw("b.csv", "a,b\n1,2\n3,4\n")
     raw("swapped.csv", "a,b\n3,4\n1,2\n")
-    raw("big.pdf", "no reader")
-    raw("big.xlsx", "not read as lines")
-    got = {r.path.rsplit("/", 1)[1]: r for r in go().collect()}
-    assert {n: (r.status, r.n_rows) for n, r in got.items()} == {"big.csv": ("stored", 2), "swapped.csv": ("stored", 2), "big.pdf": ("unsupported", 0), "big.xlsx": ("too large", 0)}
-    monkeypatch.setattr(arrivals, "LARGEST", 2**31 - 16)
-    raw("copy.csv", "a,b\n1,2\n3,4\n")  # the bound makes no other checksum
-    assert {r.path.rsplit("/", 1)[1]: r.status for r in go().collect()}["copy.csv"] == "duplicate"
-    (name,) = [r.table_name for r in store.catalog(spark, root, "tables").collect()]
-    assert sorted(tuple(r)[:2] for r in store.table(spark, root, name).collect()) == [(1, 2), (1, 2), (3, 4), (3, 4)]
-
-
-def test_line_checksums_do_not_depend_on_splits(spark, raw):
-    lines = [f"{i % 7},ä {i}" for i in range(200)]
-    path, other = raw("a.csv", "\n".join(lines)), raw("b.csv", "\n".join(lines[:50] + lines[51:] + lines[50:51]))
-    total = lambda p: line_checksums(spark, p).select("n_lines", "checksum").first()
-    whole = total(path)
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "64")
-    try:
-        assert read_lines(spark, path).select("block").distinct().count() > 10
-        assert total(path) == whole and whole.n_lines == 200
-        assert total(other).checksum != whole.checksum
-    finally:
-        spark.conf.set(key, before)
+    raw("x.pdf", "no reader")
+    raw("y.pdf", "no reader")
+    first = {"a.csv": ("stored", 2, 0), "b.csv": ("duplicate", 0, 0), "swapped.csv": ("stored", 2, 0), "x.pdf": ("unsupported", 0, 0), "y.pdf": ("unsupported", 0, 0)}
+    assert go() == first
+    raw("c.csv", "a,b\n1,2\n3,4\n")
+    raw("d.csv", "a,b\n5,6\n")
+    second = first | {"c.csv": ("duplicate", 0, 1), "d.csv": ("stored", 1, 1)}
+    assert go() == second
+    # The last batch of the storing stream runs again, as after a failure before its commit.
+    for name in ("1", ".1.crc"):
+        (checkpoint / "stored" / "commits" / name).unlink(missing_ok=True)
+    assert go() == second
+    names = [r.table_name for r in store.catalog(spark, root, "tables").collect()]
+    rows = sorted(tuple(r)[:2] for n in names for r in store.table(spark, root, n).collect())
+    assert rows == [(1, 2), (1, 2), (3, 4), (3, 4), (5, 6)]
+
