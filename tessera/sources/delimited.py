@@ -62,12 +62,12 @@ def _pinned(spark: SparkSession) -> SparkSession:
     return pinned
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], names: str = "*") -> DataFrame:
     """``[file, block, id, record]``; (block, id) is source order inside a file.
 
     The reader drops a byte order mark from the first line of a file.
     """
-    read = _pinned(spark).read.option("recursiveFileLookup", "true").text(path)
+    read = _pinned(spark).read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path)
     lines = DataFrame(read._jdf, spark)
     return lines.select(
         source_path().alias("file"),
@@ -204,7 +204,7 @@ def _settle(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, DataFrame
     return reduce(DataFrame.unionByName, parts), checkpointed(spark, together)
 
 
-def scan(spark: SparkSession, path: str | list[str], sep: str | None = None) -> Scan:
+def scan(spark: SparkSession, path: str | list[str], sep: str | None = None, names: str = "*") -> Scan:
     """Records and ``[file, sep, header, n_rows, width, status]``.
 
     A file whose rows all have the width of its header is ``complete``. Any other
@@ -212,9 +212,9 @@ def scan(spark: SparkSession, path: str | list[str], sep: str | None = None) ->
     accepted if one of them gives a constant width of at least two; otherwise it
     is ``malformed``, or has an ``unclosed quote``.
     """
-    files = listing(spark, path).select(F.col("path").alias("file"))
+    files = listing(spark, path, names).select(F.col("path").alias("file"))
     default = F.lit(sep) if sep else default_separator(F.col("file"))
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, names)
     records, measured = _settle(spark, lines.withColumn("sep", default))
     constant = (F.col("low") == F.col("high")) & ~F.col("unclosed")
     measured = measured.withColumn("use", F.when(constant, default))
@@ -285,13 +285,13 @@ def header_labels(status: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_cells(spark: SparkSession, path: str | list[str], sep: str | None = None):
+def read_cells(spark: SparkSession, path: str | list[str], sep: str | None = None, names: str = "*"):
     """``(cells, status)`` of files with any mixture of headers, as one job.
 
     ``cells[dataset, pos, column, text, tag, _row]``; the dataset of a cell is
     its file. Rows without any content are dropped and empty cells are NULL.
     """
-    found = scan(spark, path, sep)
+    found = scan(spark, path, sep, names)
     labels = header_labels(found.status)
     doubled = duplicate_headers(labels).select("file").distinct().withColumn("_twice", F.lit(True))
     status = found.status.join(doubled, "file", "left").withColumn(

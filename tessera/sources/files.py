@@ -58,9 +58,13 @@ def source_path(column: str = "_metadata.file_path") -> Column:
     return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below ``path``; contents are not read unless selected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+#: Names of files that the delimited reader takes, as a pattern.
+DELIMITED = "*.{[cC][sS][vV],[tT][sS][vV]}"
+
+
+def listing(spark: SparkSession, path: str | list[str], names: str = "*") -> DataFrame:
+    """Every file below ``path`` whose name fits the pattern ``names``; contents are not read, and empty files are not seen."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
     return files.select("path", "modificationTime", "length")
 
 

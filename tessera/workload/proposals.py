@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators import candidates
 from tessera.operators.cells import melt
-from tessera.plans import bulk, store
+from tessera.plans import bulk, onboard, store
 from tessera.session import checkpointed, scratch
+from tessera.sources import files
 from tessera.workload.inputs import run
 from tessera.workload.registry import query
+from tessera.workload.scans import MIXED, export_files
 
 NL = "chr(10)"
 P = "cast(p_partkey AS varchar(20))"
@@ -182,21 +184,19 @@ def many(spark, sf_dir):
     ).join(held.select("table_name"), "table_name")
 
 
-CHECKS = """
-SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'unsupported' ELSE 'delimited' END AS reader,
-  o_orderkey % 7 <> 0 AS readable, o_orderkey % 5 <> 0 AS regular, o_orderkey % 4 AS n_rows,
-  CASE o_orderkey % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'approved' ELSE 'pending' END AS decision, o_orderstatus <> 'P' AS saved FROM orders
-"""
-
-
 @query(
     "extraction_status",
-    f"""SELECT status, count(*) AS n_sources FROM (SELECT CASE WHEN reader = 'unsupported' THEN 'unsupported' WHEN NOT readable THEN 'failed'
-      WHEN NOT regular THEN 'malformed' WHEN n_rows = 0 THEN 'non-tabular' WHEN decision <> 'approved' THEN decision
-      WHEN saved THEN 'complete' ELSE 'failed' END AS status FROM ({CHECKS}) c) s GROUP BY status""",
+    f"""SELECT status, count(*) AS n_sources, cast(sum(CASE WHEN status = 'complete' THEN 1 ELSE 0 END) AS bigint) AS n_tables FROM (
+      SELECT CASE k % 7 WHEN 2 THEN 'duplicate header' WHEN 3 THEN 'malformed' WHEN 4 THEN 'non-tabular' WHEN 5 THEN 'unsupported' WHEN 6 THEN 'unread'
+      ELSE CASE k % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'rejected' ELSE 'pending' END END AS status FROM ({MIXED}) m) s GROUP BY status""",
 )
 def statuses(spark, sf_dir):
-    status = candidates.extraction_status(
-        F.col("reader"), F.col("readable"), F.col("regular"), F.col("n_rows"), F.col("decision"), F.col("saved")
-    )
-    return run(spark, sf_dir, CHECKS).groupBy(status.alias("status")).agg(F.count("*").alias("n_sources"))
+    """A folder of mixed files, read, decided on and stored: what became of each source."""
+    path = export_files(spark, run(spark, sf_dir, MIXED))
+    listed = files.listing(spark, path).select(F.col("path").alias("file"), F.regexp_extract("path", "name=f([0-9]+)/", 1).try_cast("bigint").alias("k"))
+    decisions = listed.where("k % 3 < 2").select("file", (F.col("k") % 3 == 0).alias("approved"))
+    root = scratch(spark, "store")
+    told = onboard.onboard(spark, root, path, decisions=decisions).where("file LIKE '%name=%'")
+    held = store.catalog(spark, root, "sources").select("source_id", F.lit(1).alias("held"))
+    counted = told.join(held, "source_id", "left")
+    return counted.groupBy("status").agg(F.count("*").alias("n_sources"), F.sum(F.when(F.col("held") == 1, F.col("n_tables")).otherwise(F.lit(0))).alias("n_tables"))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
+from tessera.plans import onboard
 from tessera.session import scratch
 from tessera.sources import delimited, files
 from tessera.sources.manifest import manifest_cells, read_manifests
@@ -78,15 +79,46 @@ def scan_ragged(spark, sf_dir):
     )
 
 
+def export_files(spark, files: DataFrame) -> str:
+    """Write the texts of ``files`` (name, extension, body), one file each, and return the folder.
+
+    Lines go out as they are, through a writer without quotes, in their order.
+    """
+    path = scratch(spark, "raw") + "/mixed"
+    lines = files.select("name", "extension", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    for extension in EXTENSIONS:
+        own = lines.where(F.col("extension") == extension).drop("extension").repartition("name").sortWithinPartitions("name", "n")
+        own.select("name", "line").write.mode("append").partitionBy("name").option("extension", extension).csv(
+            path, sep="\u0001", quote="", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
+    return path
+
+
+EXTENSIONS = ("csv", "tsv", "txt", "xlsx")
+S = "cast(s_suppkey AS varchar(20))"
+#: A file for each supplier: two that can be read, one each with a doubled label, a ragged row, no rows, and two nothing reads.
+MIXED = f"""
+SELECT s_suppkey AS k, 'f' || {S} AS name, CASE s_suppkey % 7 WHEN 1 THEN 'tsv' WHEN 5 THEN 'txt' WHEN 6 THEN 'xlsx' ELSE 'csv' END AS extension,
+  CASE s_suppkey % 7 WHEN 0 THEN 'nome,chave' || chr(10) || s_name || ',' || {S} || chr(10) || '"a, b",0' || {S}
+    WHEN 1 THEN 'nome' || chr(9) || 'chave' || chr(10) || s_name || chr(9) || {S}
+    WHEN 2 THEN 'nome,chave,nome,chave' || chr(10) || s_name || ',1,2,3'
+    WHEN 3 THEN 'nome,chave' || chr(10) || s_name || chr(10) || 'x,y,z'
+    WHEN 4 THEN 'nome,chave' || chr(10) || ',' ELSE 'Supplier ' || s_name END AS body FROM supplier
+"""
+
+
+def file_name():
+    return F.regexp_extract("file", "name=([^/]+)/", 1).alias("name")
+
+
 @query(
     "scan_duplicate_header_check",
-    """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS label, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents)
-    SELECT doc_id AS file, label, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM w GROUP BY ALL HAVING count(*) > 1""",
+    f"""SELECT name, label, 2 AS n, pos AS first_pos, pos + 2 AS last_pos FROM ({MIXED}) m, (VALUES ('nome', 1), ('chave', 2)) t(label, pos) WHERE k % 7 = 2""",
 )
 def scan_duplicates(spark, sf_dir):
-    df = run(spark, sf_dir, "SELECT doc_id AS file, split(text, ' ') AS words FROM documents")
-    labels = df.select("file", F.posexplode("words").alias("pos", "label"))
-    return delimited.duplicate_headers(labels.withColumn("pos", F.col("pos") + 1))
+    """Labels that real files use twice, and no others."""
+    found = delimited.scan(spark, export_files(spark, run(spark, sf_dir, MIXED)), names=files.DELIMITED)
+    return delimited.duplicate_headers(delimited.header_labels(found.status)).select(file_name(), "label", "n", "first_pos", "last_pos")
 
 
 SPARSE = """
@@ -125,11 +157,23 @@ SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '/kb/raw/' || source || '/d' || cast(
 
 @query(
     "scan_dispatch",
-    f"""SELECT doc_id, path, CASE doc_id % 6 WHEN 0 THEN 'delimited' WHEN 1 THEN 'delimited' WHEN 2 THEN 'worksheet'
-    ELSE 'unsupported' END AS reader FROM ({PATHS}) p""",
+    f"""SELECT name, CASE extension WHEN 'txt' THEN 'unsupported' WHEN 'xlsx' THEN 'worksheet' ELSE 'delimited' END AS reader,
+    strlen(body) + 1 AS length FROM ({MIXED}) m""",
 )
 def dispatch(spark, sf_dir):
-    return run(spark, sf_dir, PATHS).select("doc_id", "path", files.reader_for(F.col("path")).alias("reader"))
+    """Every file of a folder to its reader."""
+    found = files.listing(spark, export_files(spark, run(spark, sf_dir, MIXED))).where("length > 0 AND path LIKE '%name=%'")
+    return found.withColumnRenamed("path", "file").select(file_name(), files.reader_for(F.col("file")).alias("reader"), "length")
+
+
+@query(
+    "scan_mixed_folder",
+    f"""SELECT name, CASE k % 7 WHEN 2 THEN 'duplicate header' WHEN 3 THEN 'malformed' WHEN 4 THEN 'non-tabular' WHEN 5 THEN 'unsupported' WHEN 6 THEN 'unread' ELSE 'complete' END AS status,
+    CASE k % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS n_rows, CASE WHEN k % 7 = 2 THEN 'nome at columns 1 and 3' END AS detail FROM ({MIXED}) m""",
+)
+def mixed(spark, sf_dir):
+    """One status for every file of a folder, whatever became of it."""
+    return onboard.route(spark, export_files(spark, run(spark, sf_dir, MIXED))).status.select(file_name(), "status", "n_rows", "detail")
 
 
 @query("scan_raw_containment", f"SELECT doc_id, doc_id % 6 IN (0, 1, 4, 5) AS accepted FROM ({PATHS}) p")

@@ -5,14 +5,15 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.operators.audit import audit
-from tessera.operators.cells import ROW
-from tessera.plans import store
+from tessera.operators.cells import ROW, melt
+from tessera.plans import bulk, store
 from tessera.plans.query import query as ask
 from tessera.plans.store import Dataset
 from tessera.session import scratch
-from tessera.sources.files import change_status
+from tessera.sources.files import change_status, checksums
 from tessera.workload.inputs import CLEAN_ORDERS, messy_orders, run
 from tessera.workload.registry import query
+from tessera.workload.scans import SUPPLIER_PAGE
 
 PAGE = "wiki/sources/orders.md"
 
@@ -152,10 +153,24 @@ UNION ALL SELECT 'line items', 'line_items__itens', 'Itens', count(*), 'wiki/sou
 """
 
 
-@query("catalog_sources", f"SELECT source_id, summary_page, 'complete' AS extraction_status, 64 AS checksum_length FROM ({_REGISTRY}) r")
+@query(
+    "catalog_sources",
+    f"""SELECT name || '.md' AS summary_page, 'complete' AS extraction_status, sha256(body || chr(10)) AS content_checksum, length(body) + 1 AS length FROM ({SUPPLIER_PAGE}) p""",
+)
 def sources(spark, sf_dir):
-    found = store.catalog(spark, shared_store(spark, sf_dir), "sources")
-    return found.select("source_id", "summary_page", "extraction_status", F.length("content_checksum").alias("checksum_length"))
+    """The registry of sources that are files written for each supplier, with the checksums of these files."""
+    path, root = scratch(spark, "wiki") + "/wiki", scratch(spark, "store")
+    run(spark, sf_dir, SUPPLIER_PAGE).write.partitionBy("name").text(path)
+    found = checksums(spark, path).where(F.col("path").endswith(".txt"))
+    name = F.regexp_extract("path", "name=([^/]+)/", 1)
+    listed = found.select(name.alias("source_id"), F.col("path").alias("source_resource"), F.concat(name, F.lit(".md")).alias("summary_page"), F.col("checksum").alias("content_checksum"))
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "name=([^/]+)/", 1).alias("source_id"), F.col("value").alias("Text"))
+    cells = melt(texts.withColumn(ROW, F.lit(0).cast("bigint")), ["Text"], F.col("source_id")).withColumnRenamed("dataset", "source_id").withColumns({"dataset": F.lit("page"), "pos": F.lit(0)})
+    bulk.persist_many(spark, root, listed, cells)
+    held = store.catalog(spark, root, "sources")
+    first = store.catalog(spark, root, "tables").first()
+    stored = store.stored_rows(spark, root, first.location.rpartition("/")[0], first.schema_json).select(F.length("text").alias("length"), F.concat(F.regexp_extract(F.col("_metadata.file_path"), "table=(.+)__page/", 1), F.lit(".md")).alias("page"))
+    return held.join(stored, F.lower("summary_page") == F.col("page")).select("summary_page", "extraction_status", "content_checksum", "length")
 
 
 @query("catalog_tables", f"SELECT source_id, table_name, dataset_name, row_count FROM ({_REGISTRY}) r")
