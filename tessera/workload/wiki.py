@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus, links
-from tessera.session import checkpointed
+from tessera.plans import store
+from tessera.session import checkpointed, scratch
 from tessera.workload.inputs import MESSY_COLUMNS, ORACLE_MESSY, messy_orders, run
 from tessera.workload.registry import query
 
@@ -190,6 +191,29 @@ def missing_pages(spark, sf_dir):
     return links.missing_pages(parsed(spark, sf_dir), edges(spark, sf_dir))
 
 
+# Prose about guilds and harbours; some of them have a page, some are linked.
+PROSE = f"""
+SELECT 'wiki/entities/P' || {K} || '.md' AS path, '---' || {NL} || 'type: Entity' || {NL} || '---' || {NL} || 'Met Nation Guild ' || cast(c_nationkey AS varchar(9))
+  || ' near Harbor Of ' || c_mktsegment || ' twice. Guild masters said: Harbor days. ' || CASE WHEN c_custkey % 2 = 0 THEN '[[Old Linked Tower]]' ELSE 'the Stone Bridge' END AS body FROM customer
+UNION ALL SELECT 'wiki/concepts/Nation_Guild_' || cast(n_nationkey AS varchar(9)) || '.md', '---' || {NL} || 'type: Concept' || {NL}
+  || 'title: Nation Guild ' || cast(n_nationkey AS varchar(9)) || {NL} || '---' || {NL} || 'nothing here' FROM nation WHERE n_nationkey % 2 = 0
+"""
+
+
+@query(
+    "lint_missing_names",
+    """WITH seen AS (SELECT 'Nation Guild ' || c_nationkey AS name, c_nationkey % 2 = 0 AS paged, c_custkey FROM customer
+      UNION ALL SELECT 'Nation Guild', false, c_custkey FROM customer UNION ALL SELECT 'Harbor Of', false, c_custkey FROM customer
+      UNION ALL SELECT 'Harbor Of ' || c_mktsegment, false, c_custkey FROM customer UNION ALL SELECT 'Stone Bridge', false, c_custkey FROM customer WHERE c_custkey % 2 = 1),
+    counted AS (SELECT name, paged, count(*) AS n_pages FROM seen GROUP BY ALL HAVING count(*) >= 3),
+    harbor AS (SELECT name, paged, n_pages + (name = 'Harbor')::INT AS n_pages FROM counted)
+    SELECT name, n_pages FROM harbor h WHERE NOT paged AND NOT EXISTS (SELECT 1 FROM counted o WHERE o.name LIKE h.name || ' %' AND o.n_pages = h.n_pages)""",
+)
+def missing_names(spark, sf_dir):
+    """Names in at least three pages that no page is about."""
+    return links.missing_names(corpus.page_frontmatter(run(spark, sf_dir, PROSE)), 3)
+
+
 _ALL = " UNION ALL ".join(f"SELECT rule, severity, path, detail FROM ({sql}) r{n}" for n, sql in enumerate(RULES.values()))
 
 
@@ -318,23 +342,36 @@ def build_log(spark, sf_dir):
     return corpus.log_build(run(spark, sf_dir, LOG_ENTRIES))
 
 
-CLAIMS = """
-SELECT c_name AS entity, 'segment' AS key, c_mktsegment AS value FROM customer
-UNION ALL SELECT c_name, 'segment', CASE WHEN c_custkey % 6 = 0 THEN 'UNKNOWN' ELSE c_mktsegment END FROM customer
-UNION ALL SELECT c_name, 'country', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
-UNION ALL SELECT c_name, 'country', CASE WHEN c_custkey % 9 = 0 THEN r_name ELSE n_name END
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT c_name, 'priority', o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey
-"""
+CPF = "lpad(cast(c_custkey * 7919 + 12345 AS varchar(20)), 11, '0')"
+#: Two sources and a page for every customer; some of them disagree.
+REGISTER = f"SELECT c_custkey AS _row, {CPF} AS cpf, c_mktsegment AS segmento, cast(c_nationkey AS varchar(9)) AS pais, substr(cast(date '2024-01-01' AS varchar(10)), 1, 10) AS desde FROM customer"
+BRANCH = f"""SELECT c_custkey AS _row, substr({CPF}, 1, 3) || '.' || substr({CPF}, 4, 3) || '.' || substr({CPF}, 7, 3) || '-' || substr({CPF}, 10, 2) AS "CPF do cliente",
+  CASE WHEN c_custkey % 6 = 0 THEN 'UNKNOWN' ELSE c_mktsegment END AS "Segmento", '01/01/202' || cast(4 + c_custkey % 2 AS varchar(1)) AS "Desde" FROM customer"""
+CUSTOMER_PAGE = f"""SELECT 'wiki/entities/C' || {K} || '.md' AS path, '---' || {NL} || 'type: Entity' || {NL} || 'CPF: ' || substr({CPF}, 1, 9) || '-' || substr({CPF}, 10, 2) || {NL}
+  || 'pais: ' || cast(CASE WHEN c_custkey % 9 = 0 THEN 99 ELSE c_nationkey END AS varchar(9)) || {NL} || 'segmento: ' || c_mktsegment || {NL} || '---' || {NL} || 'x' AS body FROM customer"""
 
 
 @query(
     "lint_contradictions",
-    f"""SELECT entity, key, count(DISTINCT value) AS n_values, count(*) AS n_claims, min(value) AS first_value, max(value) AS last_value
-    FROM ({CLAIMS}) f GROUP BY entity, key HAVING count(DISTINCT value) > 1""",
+    f"""WITH f AS (SELECT {CPF} AS entity, 'segmento' AS key, c_mktsegment AS value, 'register__clientes' AS source FROM customer
+      UNION ALL SELECT {CPF}, 'segmento', CASE WHEN c_custkey % 6 = 0 THEN 'UNKNOWN' ELSE c_mktsegment END, 'branch__clientes' FROM customer
+      UNION ALL SELECT {CPF}, 'segmento', c_mktsegment, 'wiki/entities/C' || c_custkey || '.md' FROM customer
+      UNION ALL SELECT {CPF}, 'pais', cast(c_nationkey AS varchar), 'register__clientes' FROM customer
+      UNION ALL SELECT {CPF}, 'pais', cast(CASE WHEN c_custkey % 9 = 0 THEN 99 ELSE c_nationkey END AS varchar), 'wiki/entities/C' || c_custkey || '.md' FROM customer
+      UNION ALL SELECT {CPF}, 'desde', '2024-01-01', 'register__clientes' FROM customer
+      UNION ALL SELECT {CPF}, 'desde', '202' || (4 + c_custkey % 2) || '-01-01', 'branch__clientes' FROM customer),
+    v AS (SELECT entity, key, value, count(*) AS n, min(source) AS source FROM f GROUP BY ALL)
+    SELECT entity, key, count(*) AS n_values, cast(sum(n) AS bigint) AS n_claims, min(value) AS first_value, max(value) AS last_value,
+      arg_min(source, value) AS first_source, arg_max(source, value) AS last_source FROM v GROUP BY ALL HAVING count(*) > 1""",
 )
 def contradictions(spark, sf_dir):
-    return links.contradictions(run(spark, sf_dir, CLAIMS))
+    """What two stored sources and the pages say of one document number."""
+    root = scratch(spark, "store")
+    facts = links.page_facts(corpus.page_frontmatter(run(spark, sf_dir, CUSTOMER_PAGE)), "CPF", "cpf")
+    for source, sql, entity in (("register", REGISTER, "cpf"), ("branch", BRANCH.replace('"', "`"), "cpf_do_cliente")):
+        store.persist_source(spark, root, source, f"raw/{source}.csv", f"wiki/sources/{source}.md", [store.Dataset("clientes", run(spark, sf_dir, sql))], checksum=source)
+        facts = facts.unionByName(links.table_facts(store.table(spark, root, f"{source}__clientes"), entity, "cpf", f"{source}__clientes"))
+    return links.contradictions(facts)
 
 
 _RATES = " UNION ALL ".join(

@@ -120,7 +120,7 @@ def test_candidates(spark):
     runs = {(r.doc, r.sep, r.first_line, r.last_line) for r in candidates.text_records(docs).collect()}
     assert runs == {(1, ";", 1, 3), (1, ",", 5, 6), (1, "|", 7, 9), (1, "|", 11, 12)}
     rows = candidates.merged(candidates.pipe_tables(docs))
-    assert sorted((r.line_no, r.fields) for r in rows.collect()) == [(8, ["1", "0012"]), (12, ["2", "n/a"])]
+    assert sorted((r.line_no, r.fields) for r in rows.collect()) == [(9, ["1", "0012"]), (12, ["2", "n/a"])]
     proposed = {r.label: (r.type, r.kind, r.estimated_rows) for r in candidates.proposal(rows).collect()}
     assert proposed == {"p": ("BIGINT", None, 2), "q": ("VARCHAR", None, 2)}
     shown = candidates.preview(rows).orderBy("rank").collect()
@@ -144,3 +144,79 @@ def test_text_records_read_documents_once(spark, tmp_path):
         (",", 2, 0, 1, ("a,b", "1,2")), (";", 2, 3, 4, ("x;y", "3;4")),
     ]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_closure_doubles_its_reach(spark, monkeypatch):
+    """A chain of 1,000 pages in about ten rounds, whole or from a few starts."""
+    chain = [(f"p{i:04}", f"p{i + 1:04}") for i in range(1000)] + [("p0500", "p0000"), ("q", "p0990"), ("q", "q")]
+    parents = spark.createDataFrame(chain, "path string, parent string")
+    rounds, kept = [], links.checkpointed
+    monkeypatch.setattr(links, "checkpointed", lambda session, df: rounds.append(1) or kept(session, df))
+    starts = spark.createDataFrame([("p0900",), ("q",), ("p0499",)], "path string")
+    got = {(r.path, r.ancestor): r.depth for r in links.closure(parents, starts).collect()}
+    assert len(rounds) < 60
+    want = {("p0900", f"p{i:04}"): i - 900 for i in range(901, 1001)} | {("q", f"p{i:04}"): i - 989 for i in range(990, 1001)}
+    want |= {("p0499", f"p{i:04}"): i - 499 for i in range(500, 1001)} | {("p0499", f"p{i:04}"): i + 2 for i in range(499)}
+    assert got == want
+
+
+def test_closure_of_any_graph(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = {(str(rng.randrange(40)), str(rng.randrange(40))) for _ in range(70)}
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+    want = {}
+    for start in up:
+        level, depth = {start}, 0
+        while level := {b for a in level for b in up.get(a, ()) if b != start and (start, b) not in want}:
+            depth += 1
+            want |= {(start, b): depth for b in level}
+    parents = spark.createDataFrame(sorted(edges), "path string, parent string")
+    assert {(r.path, r.ancestor): r.depth for r in links.closure(parents).collect()} == want
+    some = spark.createDataFrame([(str(i),) for i in range(0, 40, 3)], "path string")
+    assert {(r.path, r.ancestor): r.depth for r in links.closure(parents, some).collect()} == {k: d for k, d in want.items() if int(k[0]) % 3 == 0}
+
+
+def page(path, body, front=""):
+    return (path, f"---\ntype: Entity\n{front}---\n{body}")
+
+
+def test_names_in_prose(spark):
+    rows = [
+        page("wiki/entities/A.md", "We met Ana Maria Lopes in Porto Alegre. Nobody asked. Porto is far."),
+        page("wiki/entities/B.md", "Then Ana Maria Lopes left Porto Alegre and [[Porto Velho]]; so did Ana Maria."),
+        page("wiki/entities/C.md", "In Porto Alegre and in Porto Velho, and Box 12 stays."),
+        page("wiki/entities/D.md", "Also Box 12 and Box 13.\n\nAna went. The year 2024 Box."),
+        page("wiki/entities/Porto_Alegre.md", "x", "title: Porto Alegre\n"),
+    ]
+    parsed = corpus.page_frontmatter(spark.createDataFrame(rows, "path string, body string"))
+    assert {(r.name, r.n_pages) for r in links.missing_names(parsed).collect()} == {("Ana Maria Lopes", 2), ("Box 12", 2), ("Porto", 3)} - {("Porto", 3)}
+    assert links.missing_names(parsed, 9).collect() == []
+
+
+def test_titles_by_their_first_word(spark):
+    rows = [
+        page("wiki/entities/A.md", "The sea, the sea of Crete, and the [[Cliff]] walk. the\n\nlast", "title: The Sea\n"),
+        page("wiki/entities/B.md", "Here the sea of crete ends: the last day.", "title: The sea of Crete\n"),
+        page("wiki/entities/C.md", "One cliff.", "title: the last\n"),
+        page("wiki/entities/Cliff.md", "nothing", "title: Cliff walk\n"),
+    ]
+    parsed = corpus.page_frontmatter(spark.createDataFrame(rows, "path string, body string"))
+    edges = links.wikilink_edges(parsed)
+    path = "wiki/entities/{}.md".format
+    assert sorted((r.path, r.detail) for r in links.missing_crossrefs(parsed, edges).collect()) == [
+        (path("A"), path("B")), (path("B"), path("A")), (path("B"), path("C")), (path("C"), path("Cliff")),
+    ]
+
+
+def test_facts_of_pages_and_tables(spark):
+    rows = [page("wiki/entities/A.md", "x", "CPF: 529.982.247-25\nCidade: Porto\n"), page("wiki/entities/B.md", "x", "cpf: none\ncidade: Lima\n")]
+    parsed = corpus.page_frontmatter(spark.createDataFrame(rows, "path string, body string"))
+    table = spark.createDataFrame([("52998224725", "Manaus", 3), ("x", "Lima", 4)], "doc string, cidade string, n long")
+    facts = links.page_facts(parsed, "cpf", "cpf").unionByName(links.table_facts(table, "doc", "cpf", "t"))
+    assert sorted(map(tuple, facts.collect())) == [("52998224725", "cidade", "Manaus", "t"), ("52998224725", "cidade", "Porto", "wiki/entities/A.md"), ("52998224725", "n", "3", "t")]
+    (found,) = links.contradictions(facts).collect()
+    assert (found.n_values, found.first_value, found.first_source, found.last_source) == (2, "Manaus", "t", "wiki/entities/A.md")
