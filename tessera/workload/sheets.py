@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import formula as X
 from tessera.operators import formulas, worksheet
+from tessera.operators.formula_values import formula_values
 from tessera.operators.cells import ROW
 from tessera.workload.inputs import SHEET_CELLS, SHEET_ROWS, for_oracle, run, sheet_cells
 from tessera.workload.registry import query
@@ -162,3 +163,31 @@ def block(name: str, function: str, pop: bool) -> None:
 
 block("block_stddev_samp", "stddev_samp", False)
 block("block_stddev_pop", "stddev_pop", True)
+
+
+_R = "cast(o_orderkey + 2 AS varchar(20))"
+#: A sheet for each customer, with prices, counts and one of six formulas in every row.
+BOOKS = f"""
+WITH g AS (SELECT 'c ' || cast(o_custkey AS varchar(20)) AS sheet, o_orderkey + 2 AS r, o_orderkey AS k, cast(cast(o_totalprice AS decimal(18, 2)) AS varchar(30)) AS a FROM orders)
+SELECT sheet, r AS row, 1 AS col, a AS value, 'float' AS value_type, false AS is_formula FROM g
+UNION ALL SELECT sheet, r, 2, cast(k % 7 AS varchar(9)), 'int', false FROM g
+UNION ALL SELECT sheet, r, 3, CASE k % 6 WHEN 0 THEN '=A' || cast(r AS varchar(20)) || '*(B' || cast(r AS varchar(20)) || '+2)-A' || cast(r AS varchar(20)) || '/B' || cast(r AS varchar(20))
+    WHEN 1 THEN '=AVERAGE(A' || cast(r AS varchar(20)) || ':B' || cast(r AS varchar(20)) || ')' WHEN 2 THEN '=STDEV(A2:B99999999)' WHEN 3 THEN '=SUM(A2:A99999999)'
+    WHEN 4 THEN '=STDEV.P(A' || cast(r AS varchar(20)) || ',B' || cast(r AS varchar(20)) || ')' ELSE '=-A' || cast(r AS varchar(20)) || '*2+(B' || cast(r AS varchar(20)) || '-1)*3' END, 'str', true FROM g
+UNION ALL SELECT DISTINCT sheet, cast(1 AS bigint), 1, 'Price', 'str', false FROM g
+UNION ALL SELECT DISTINCT sheet, cast(1 AS bigint), 2, 'Count', 'str', false FROM g
+UNION ALL SELECT DISTINCT sheet, cast(1 AS bigint), 3, 'Out', 'str', false FROM g
+"""
+
+
+@query(
+    "formula_values",
+    """WITH g AS (SELECT 'c ' || o_custkey AS sheet, o_orderkey + 2 AS row, o_orderkey % 6 AS f, cast(cast(o_totalprice AS decimal(18, 2)) AS double) AS a, cast(o_orderkey % 7 AS double) AS b FROM orders),
+    whole AS (SELECT sheet, stddev_samp(x) AS spread FROM (SELECT sheet, a AS x FROM g UNION ALL SELECT sheet, b FROM g) u GROUP BY sheet)
+    SELECT sheet, row, CASE f WHEN 0 THEN 'arithmetic' WHEN 5 THEN 'arithmetic' WHEN 2 THEN 'vertical' WHEN 3 THEN 'vertical' ELSE 'horizontal' END AS shape,
+      round(CASE f WHEN 0 THEN a * (b + 2) - a / nullif(b, 0) WHEN 1 THEN (a + b) / 2 WHEN 2 THEN spread WHEN 3 THEN sum(a) OVER (PARTITION BY sheet)
+        WHEN 4 THEN abs(a - b) / 2 ELSE -a * 2 + (b - 1) * 3 END, 3) AS value FROM g JOIN whole USING (sheet)""",
+)
+def values(spark, sf_dir):
+    """Formulas of all rows of a sheet per customer, in one job."""
+    return formula_values(run(spark, sf_dir, BOOKS)).select("sheet", "row", "shape", F.round("value", 3).alias("value"))

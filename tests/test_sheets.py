@@ -126,3 +126,41 @@ def test_a_broadcast_counts_bytes(spark):
     few = spark.createDataFrame([("x" * 1000,)] * 50, "a string")
     hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(small(few)) and not hinted(small(few, rows=49)) and not hinted(small(few, size=10_000))
+
+
+def test_formula_values(spark):
+    import math
+    import statistics
+
+    from tessera.operators.formula_values import formula_values
+
+    a, b = [4.0, None, 10.0, -3.5], [1.0, 2.0, 0.0, 5.0]
+    texts = {
+        "=A{r}+B{r}*2": lambda x, y: x + y * 2,
+        "=(A{r}-B{r})/B{r}": lambda x, y: (x - y) / y if y else None,
+        "=-(A{r}+1)*-B{r}": lambda x, y: -(x + 1) * -y,
+        "= 2 * ( 3 - A{r} / ( 1 + 1 ) ) - .5": lambda x, y: 2 * (3 - x / 2) - 0.5,
+        "=A{r}-B{r}-1": lambda x, y: x - y - 1,
+        "=A{r}/B{r}/2": lambda x, y: x / y / 2 if y else None,
+    }
+    rows, want = [], {}
+    for n, (text, value) in enumerate(texts.items()):
+        sheet = f"s{n}"
+        rows += [(sheet, 1, k, label, "str", False) for k, label in enumerate(("A", "B", "C", "D", "E", "F"), 1)]
+        for i, (x, y) in enumerate(zip(a, b)):
+            r = i + 2
+            rows += [(sheet, r, 1, None if x is None else str(x), "float", False), (sheet, r, 2, str(y), "float", False)]
+            calls = {3: text.format(r=r), 4: f"=STDEV(A{r}:B{r})", 5: "=AVERAGE(A2:B5)", 6: "=STDDEV_POP(A2:A5)"}
+            rows += [(sheet, r, c, t, "str", True) for c, t in calls.items()]
+            row = [v for v in (x, y) if v is not None]
+            whole, first = [v for v in a + b if v is not None], [v for v in a if v is not None]
+            want |= {
+                (sheet, r, 3): value(x or 0.0, y), (sheet, r, 4): statistics.stdev(row) if len(row) > 1 else None,
+                (sheet, r, 5): statistics.mean(whole), (sheet, r, 6): statistics.pstdev(first),
+            }
+    rows += [("none", 1, 1, "A", "str", False), ("none", 1, 2, "B", "str", False), ("none", 2, 1, "x", "str", False), ("none", 2, 2, "=A2+1", "str", True)]
+    cells = spark.createDataFrame(rows, "sheet string, row long, col int, value string, value_type string, is_formula boolean")
+    got = {(r.sheet, r.row, r.col): r.value for r in formula_values(cells).collect()}
+    assert got.keys() == want.keys()
+    for key, value in want.items():
+        assert (got[key] is None) == (value is None) and (value is None or math.isclose(got[key], value, abs_tol=1e-9)), key
