@@ -1,12 +1,15 @@
 """Column kinds, column types and normalization reports in one pass over the cells."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.naming import header_forms
 from tessera.functions.normalize import DIGIT_COUNTS, INTEGER_TEXT, KIND_TYPES, normalize, numeric_class
@@ -194,26 +197,54 @@ def normalized_text(text: Column, kind: Column) -> Column:
     return result.otherwise(full.substr(F.lit(1), F.when(kind == "date", 10).otherwise(26)))
 
 
+def _earliest(keep: int, places: list[str]):
+    """A task's work: of each column the ``keep`` different texts that come first, however many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, tuple]] = {}
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for key, text, *place in zip(*(batch.column(c).to_pylist() for c in ("_key", "example", *places))):
+                place, texts = tuple(place), held.setdefault(key, {})
+                if text in texts:
+                    texts[text] = min(texts[text], place)
+                elif len(texts) < keep:
+                    texts[text] = place
+                elif place < max(texts.values()):
+                    del texts[max(texts, key=texts.get)]
+                    texts[text] = place
+        rows = [(key, text, *place) for key, texts in held.items() for text, place in texts.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def earliest_lost(cells: DataFrame, kinds: DataFrame, keep: int = 3) -> DataFrame:
+    """``[_key, example, places...]``: at most ``keep`` lost texts of a column from each task, the first ones."""
+    known = small(kinds.filter("kind is not null and nulled > 0").select(*KEYS, "kind"))
+    filled = cells.join(known, KEYS).filter(~is_blank(F.col("text")))
+    lost = filled.filter(normalized_text(F.col("text"), F.col("kind")).isNull())
+    kind = cells.schema[ROW].dataType
+    places = {f"_at{n}": F.col(f"{ROW}.{field.name}") for n, field in enumerate(kind.fields)} if isinstance(kind, T.StructType) else {"_at0": F.col(ROW)}
+    listed = lost.select(F.to_json(F.struct(*KEYS)).alias("_key"), F.substring(strip(F.col("text")), 1, 40).alias("example"), *(c.cast("bigint").alias(n) for n, c in places.items()))
+    return listed.mapInArrow(_earliest(keep, list(places)), listed.schema)
+
+
 def nulled_examples(cells: DataFrame, kinds: DataFrame, keep: int = 3) -> DataFrame:
     """First distinct lost texts per column: ``[dataset, column, rank, example]``.
 
-    Texts are grouped before they are ranked, and the rank filter becomes a
-    per-task group limit, so a column that loses billions of cells still sends
-    at most ``keep`` of them to the ranking task.
+    Every task keeps the first ``keep`` different texts of a column while it reads,
+    so a column that loses billions of cells, all of them different, shuffles at
+    most ``keep`` rows per task.
     """
-    known = small(kinds.filter("kind is not null and nulled > 0").select(*KEYS, "kind"))
-    filled = cells.join(known, KEYS).filter(~is_blank(F.col("text")))
-    lost = (
-        filled.filter(normalized_text(F.col("text"), F.col("kind")).isNull())
-        .groupBy(*KEYS, F.substring(strip(F.col("text")), 1, 40).alias("example"))
-        .agg(F.min(ROW).alias("first_row"))
-    )
-    order = W.partitionBy(*KEYS).orderBy("first_row")
-    return (
-        lost.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= keep)
-        .select(*KEYS, "rank", "example")
-    )
+    found = earliest_lost(cells, kinds, keep)
+    places = [c for c in found.columns if c.startswith("_at")]
+    lost = found.groupBy("_key", "example").agg(F.min(F.struct(*places)).alias("first_row"))
+    ranked = lost.withColumn("rank", F.row_number().over(W.partitionBy("_key").orderBy("first_row"))).filter(F.col("rank") <= keep)
+    keys = T.StructType([cells.schema[c] for c in KEYS])
+    return ranked.withColumn("_of", F.from_json("_key", keys)).select(*(F.col(f"_of.{c}").alias(c) for c in KEYS), "rank", "example")
 
 
 def normalization_report(cells: DataFrame, kinds: DataFrame | None = None) -> DataFrame:

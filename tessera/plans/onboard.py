@@ -1,6 +1,7 @@
 """A folder of mixed files: routed to their readers, every outcome in one table, and stored together."""
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from tessera.plans.bulk import persist_many
 from tessera.session import checkpointed
 from tessera.sources.delimited import duplicate_headers, header_labels, read_cells
 from tessera.sources.files import DELIMITED, SCHEME, file_checksums, is_contained, listing, reader_for, resolved
+from tessera.sources.manifest import manifest_cells, read_manifests
 
 #: Between a workbook and the name of one of its sheets.
 MARK = "\x1f"
@@ -39,7 +41,9 @@ def route(spark: SparkSession, path: str, raw_root: str | None = None, worksheet
     of content ``non-tabular``. ``detail`` names a doubled label and its places.
     """
     files = listing(spark, path).select(F.col("path").alias("file"), "length", reader_for(F.col("path")).alias("reader"))
-    files = checkpointed(spark, files.withColumn("inside", is_contained(F.col("file"), raw_root) if raw_root else F.lit(True)))
+    # A folder named without a scheme is one of the file system the files are in.
+    place = F.col("file") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", raw_root or "") else F.regexp_replace("file", SCHEME, "")
+    files = checkpointed(spark, files.withColumn("inside", is_contained(place, raw_root) if raw_root else F.lit(True)))
     cells = spark.createDataFrame([], f"file string, dataset string, pos int, column string, text string, tag string, {ROW} struct<block:bigint,id:bigint>, sheet string")
     found = spark.createDataFrame([], "file string, read string, n_rows bigint, detail string")
     if not files.where("inside AND reader = 'delimited'").isEmpty():
@@ -107,3 +111,24 @@ def onboard(spark: SparkSession, root: str, path: str, raw_root: str | None = No
     else:
         status = status.withColumn("n_tables", F.lit(0).cast("bigint"))
     return status.select("file", "reader", "status", "n_rows", "detail", "source_id", F.coalesce("n_tables", F.lit(0)).alias("n_tables"))
+
+
+def onboard_manifests(spark: SparkSession, root: str, path: str, per_line: bool = False, rebuild: bool = False) -> DataFrame:
+    """Store all datasets of the manifests below ``path``, however many sources they name, in one write and one commit.
+
+    Returns what :func:`persist_many` does. A source has one manifest, and its
+    datasets have different names.
+    """
+    found = read_manifests(spark, path, per_line)
+    listed = found.select("source_id", "file", "pos", F.col("dataset.name").alias("dataset"))
+    listed = checkpointed(spark, listed)
+    twice = listed.groupBy("source_id", "dataset").agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"nothing was stored: {twice.source_id!r} has two datasets named {twice.dataset!r}")
+    sums = file_checksums(listing(spark, path).select("path", "length"))
+    sources = listed.groupBy("source_id").agg(F.min("file").alias("path")).join(sums, "path", "left")
+    sources = sources.select("source_id", F.col("path").alias("source_resource"), F.concat(F.lit("wiki/sources/"), "source_id", F.lit(".md")).alias("summary_page"), F.col("checksum").alias("content_checksum"))
+    cells = manifest_cells(found)
+    places = found.select("source_id", F.col("dataset.name").alias("dataset"), "dataset.source_page", "dataset.source_section", "dataset.source_sheet")
+    columns = ["source_id", "dataset", "pos", "column", "text", "tag", ROW]
+    return persist_many(spark, root, sources, cells.select(columns), places, rebuild)

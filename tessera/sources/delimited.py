@@ -257,8 +257,8 @@ def _fields(record: Column, sep: str, width: int) -> Column:
         "sep": sep, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
         "maxColumns": str(max(width + 1, MAX_COLUMNS)),
     }
-    parsed = F.from_csv(record, schema, options)
-    return F.array(*[parsed[f"c{n}"] for n in range(width)])
+    # The array of one binds the parsed record to a name, so that it is parsed once.
+    return F.transform(F.array(F.from_csv(record, schema, options)), lambda parsed: F.array(*[parsed[f"c{n}"] for n in range(width)]))[0]
 
 
 def duplicate_headers(headers: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.cells import melt
+from tessera.operators.cells import ROW, melt
 from tessera.operators.profile import detect_kinds, infer_types, normalization_report, profile
 
 # One line per rule: what the header says, what the cells say, what wins.
@@ -108,3 +108,15 @@ def test_cells_are_counted_before_they_are_shuffled(spark):
     assert plan.count("Exchange") == 2
     below = plan.split("Exchange")[-1]
     assert "partial_count" in below
+
+
+def test_examples_shuffle_few_rows(spark):
+    """Every task sends at most three lost texts of a column, and the first three are found."""
+    from tessera.operators.profile import earliest_lost, nulled_examples
+
+    df = spark.range(8000).select(F.col("id").alias("_row"), F.when(F.col("id") % 2 == 0, F.lit("01/02/2024")).otherwise(F.concat(F.lit("x"), 9000 - F.col("id") % 3999)).alias("data"), F.lit("01/01/2024").alias("fim"))
+    cells = melt(df.repartition(5), ["data", "fim"], "d").withColumn(ROW, F.struct((F.col(ROW) % 2).alias("block"), F.col(ROW).alias("id")))
+    kinds = spark.createDataFrame([("d", "data", "date", 4000), ("d", "fim", "date", 0)], "dataset string, column string, kind string, nulled long")
+    assert earliest_lost(cells, kinds).count() <= 3 * cells.rdd.getNumPartitions()
+    got = [(r.dataset, r.column, r.rank, r.example) for r in nulled_examples(cells, kinds).orderBy("rank").collect()]
+    assert got == [("d", "data", 1, "x8999"), ("d", "data", 2, "x8997"), ("d", "data", 3, "x8995")]
