@@ -66,3 +66,24 @@ def test_monotone(sign):
         line[:, 0] = np.linspace(-0.2, 1.2, 60)
         assert (sign * np.diff(forest.score(line)) >= -1e-12).all()
     assert np.mean((forest.score(x) >= 0.5) == (y == 1)) > 0.85
+
+
+def test_scores_by_a_walk_through_every_tree(spark, sf):
+    """Score and verdict of each document from its statistics, one node after the other."""
+    from tessera.llm.quality import learn, statistics
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest = learn(docs, labels)
+    inner = 2**forest.depth - 1
+    got = {r["doc_id"]: r for r in QUERIES["op7_quality_rules"](spark, sf).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        _, features = statistics((text or "").encode())
+        total = forest.base
+        for feature, threshold, value in zip(forest.feature.tolist(), forest.threshold.tolist(), forest.value.tolist()):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if feature[node] >= 0 and features[feature[node]] > threshold[node] else 1)
+            total += value[node - inner]
+        score = 1 / (1 + np.exp(-total))
+        assert abs(got[doc_id]["score"] - score) < 1e-9
+        assert got[doc_id]["kept"] == (not base(text)[5] and score >= 0.5)

@@ -65,3 +65,35 @@ def test_odd_rows(spark, odd):
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity(odd.limit(0), labels).collect() == []
     assert len({r["score"] for r in toxicity(odd, labels.limit(0)).collect()}) == 1
+
+
+def test_scores_subword_by_subword(spark, sf):
+    """Every score worked out a second way: one n-gram after the other, in whole numbers and a plain mean."""
+    from tessera.llm.toxicity import learn, scored
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = learn(docs, labels)
+    base, mix, full, known = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 2**64, {}
+    apart = set(b"!\"#%&()+,./:;<=>?[\\]^`{|}~")
+
+    def bucket(h):
+        return ((h ^ (h >> 31)) * mix % full) >> 47
+
+    def worth(word):
+        if word not in known:
+            marked = b"\x02" + word + b"\x03"
+            ids = [bucket(sum(b * pow(base, k + 1, full) for k, b in enumerate(marked)) % full)]
+            for n in (3, 4, 5):
+                for i in range(len(marked) - n + 1):
+                    h = 0
+                    for k, b in enumerate(marked[i : i + n], 1):
+                        h = (h * base + b + k) % full
+                    ids.append(bucket(h))
+            known[word] = (sum(model.table[i] for i in ids), len(ids))
+        return known[word]
+
+    for row in scored(docs.select("doc_id", "text"), model).collect():
+        text = bytes(32 if b in apart else b + 32 if 65 <= b <= 90 else b for b in (row["text"] or "").encode())
+        parts = [worth(w) for w in text.split()]
+        mean = sum(x for x, _ in parts) / max(1, sum(n for _, n in parts))
+        assert abs(row["score"] - 1 / (1 + np.exp(-(mean + model.bias)))) < 1e-9
