@@ -13,6 +13,7 @@ from tessera.llm.queries import QUERIES
 def brute(rows, least=6):
     """(doc_id, text after removal, lines removed, passages removed) of every row, line by line."""
     key = lambda r: (r[0] is not None, r[0] or 0, hash_of(r[1]))
+    BEFORE.clear()
     seen, gone = set(), {}
     for row in sorted(set(rows), key=key):
         lines = (row[1] or "").encode().split(b"\n")
