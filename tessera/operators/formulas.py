@@ -12,6 +12,8 @@ from tessera.session import checkpointed, small
 FUNCTIONS = "SUM|AVERAGE|STDEV|STDEV[.]S|STDEV[.]P|STDDEV|STDDEV_SAMP|STDDEV_POP"
 NO_EQUIVALENT = "no equivalent query was generated"
 
+# How a worksheet addresses cells and ranges (one to three letters, a
+# row, a dollar sign before what stays in place), standing free of other words.
 _EDGE = "(?<![A-Za-z0-9_])"
 _END = "(?![A-Za-z0-9_])"
 _ADDRESS = r"[$]?[A-Za-z]{1,3}[$]?[0-9]+"
