@@ -300,14 +300,9 @@ def closure(parents: DataFrame, starts: DataFrame | None = None) -> DataFrame:
 
     while True:
         new = further(own)
-        if starts is None:
-            if new.isEmpty():
-                return reached
-            own = reached = checkpointed(spark, reached.unionByName(new))
-        else:
-            grown = further(reached)
-            if new.isEmpty() and own.filter(F.col("depth") >= n).isEmpty() or new.isEmpty() and grown.isEmpty():
-                return own
-            own = checkpointed(spark, own.unionByName(new))
-            reached = checkpointed(spark, reached.unionByName(grown))
+        if new.isEmpty():
+            return own
+        grown = new if starts is None else further(reached)
+        reached = checkpointed(spark, reached.unionByName(grown))
+        own = reached if starts is None else checkpointed(spark, own.unionByName(new))
         n *= 2

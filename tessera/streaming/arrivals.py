@@ -56,7 +56,8 @@ def raw_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str) -> Da
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        _checked(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # One small file for each batch, hashed before by many tasks.
+        _checked(batch).repartition(1).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     _drain(_arrivals(spark, raw), save, checkpoint)
     return spark.read.schema(f"{ARRIVED}, batch bigint").option("basePath", out).parquet(out)
@@ -79,7 +80,7 @@ def new_contents(spark: SparkSession, arrived: str) -> DataFrame:
     depend on how much arrived before, and a replayed batch meets the state it met
     the first time.
     """
-    files = spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", FILES_PER_BATCH).option("recursiveFileLookup", "true").parquet(arrived)
+    files = spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(arrived)
     return files.groupBy("checksum").applyInPandasWithState(_known, ARRIVED, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -109,7 +110,7 @@ def normalize_upsert(
     names = T.StructType.fromDDL(schema).names
 
     def save(batch: DataFrame, number: int) -> None:
-        rows = batch.select("path", "checksum", "status").collect()  # some FILES_PER_BATCH at most
+        rows = batch.select("path", "checksum", "status").collect()  # FILES_PER_BATCH at most
         pending = [literal(r.path) for r in rows if r.status == "pending"]
         scanned = {}
         if pending:
