@@ -22,7 +22,7 @@ from tessera.functions.normalize import SPARK_TYPES
 from tessera.functions.temporal import iso_calendar_date, with_moments
 from tessera.operators.cells import ROW
 from tessera.operators.profile import normalized_text, nulled_examples, profile
-from tessera.plans.store import catalog, commit, new_token, owned_state
+from tessera.plans.store import catalog, catalog_at, commit, current, new_token
 from tessera.session import checkpointed, small
 
 #: Slot names by type.
@@ -37,10 +37,10 @@ def _stop(spark: SparkSession, wrong: DataFrame, column: str, why: str) -> None:
         raise ValueError(f"nothing was stored: {', '.join(map(repr, few[:3]))}{' and others' if few[3:] else ''} {why}")
 
 
-def _check_sources(spark, root, sources: DataFrame, cells: DataFrame, rebuild: bool) -> None:
+def _check_sources(spark, root, sources: DataFrame, entry: dict | None, rebuild: bool) -> None:
     _stop(spark, sources.where("source_id IS NULL OR source_id = ''"), "summary_page", "belong to a source without an id")
     _stop(spark, sources.groupBy("source_id").count().where("count > 1"), "source_id", "are listed twice")
-    known = catalog(spark, root, "sources").select("source_id")
+    known = catalog_at(spark, root, "sources", entry).select("source_id")
     if rebuild:
         _stop(spark, sources.join(known, "source_id", "left_anti"), "source_id", "are not in the catalog")
     else:
@@ -60,10 +60,10 @@ def _columns(spark, cells: DataFrame) -> DataFrame:
     return checkpointed(spark, named.drop("_slug", "overflow").withColumn("slot", F.concat(letter, nth.cast("string"))))
 
 
-def _tables(spark, root, columns: DataFrame, sources: DataFrame) -> DataFrame:
+def _tables(spark, root, columns: DataFrame, sources: DataFrame, entry: dict | None) -> DataFrame:
     """``source_id, dataset, table_name, row_count``, names in the order of sources and datasets."""
     listed = columns.groupBy(*DATASET).agg(F.max("row_count").alias("row_count"))
-    others = catalog(spark, root, "tables").join(sources.select("source_id"), "source_id", "left_anti").select("table_name")
+    others = catalog_at(spark, root, "tables", entry).join(sources.select("source_id"), "source_id", "left_anti").select("table_name")
     base = F.concat_ws("__", sanitize(F.col("source_id")), sanitize(F.col("dataset")))
     named = unique_names(listed.withColumns({"_base": base, "_order": F.struct(*DATASET)}), [], "_base", "_order", others)
     return checkpointed(spark, named.select(*DATASET, F.col("name").alias("table_name"), "row_count"))
@@ -111,11 +111,11 @@ def persist_many(spark: SparkSession, root: str, sources: DataFrame, cells: Data
     datasets come from. Returns a row for each stored column.
     """
     sources = checkpointed(spark, sources.select(*(F.col(c).cast("string").alias(c) for c in ("source_id", "source_resource", "summary_page", "content_checksum"))))
-    _check_sources(spark, root, sources, cells, rebuild)
-    before = owned_state(spark, root, sources.select("source_id"))
+    before = current(spark, root)
+    _check_sources(spark, root, sources, before, rebuild)
     columns = _columns(spark, cells)
     _stop(spark, columns.join(sources, "source_id", "left_anti"), "source_id", "hold cells and are not listed")
-    tables = _tables(spark, root, columns, sources)
+    tables = _tables(spark, root, columns, sources, before)
     location = f"data/many/c={new_token(spark, root)}"
     if not columns.isEmpty():
         _write(spark, f"{root}/{location}", cells, columns, tables)

@@ -89,8 +89,11 @@ def current(spark: SparkSession, root: str) -> dict | None:
     commits = _commits(spark, root)
     if not commits:
         return None
-    text = spark.read.text(f"{root}/commits/{commits[-1]:012d}", wholetext=True).first().value
-    return json.loads(text)
+    stream = filesystem(spark, root).open(hadoop_path(spark, f"{root}/commits/{commits[-1]:012d}"))
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def _publish(spark: SparkSession, root: str, number: int, entry: dict) -> None:
@@ -115,11 +118,15 @@ def _publish(spark: SparkSession, root: str, number: int, entry: dict) -> None:
 
 def catalog(spark: SparkSession, root: str, which: str) -> DataFrame:
     """The ``sources`` or ``tables`` registry as of the newest commit."""
+    return catalog_at(spark, root, which, current(spark, root))
+
+
+def catalog_at(spark: SparkSession, root: str, which: str, entry: dict | None) -> DataFrame:
+    """The same as of a commit that ``current`` returned."""
     schema = {"sources": SOURCES, "tables": TABLES}[which]
-    commit = current(spark, root)
-    if commit is None:
+    if entry is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{commit['catalog']}/{which}")
+    return spark.read.schema(schema).parquet(f"{root}/{entry['catalog']}/{which}")
 
 
 def stored_rows(spark: SparkSession, root: str, location: str, schema_json: str) -> DataFrame:
@@ -191,7 +198,8 @@ def _persist(
     """``kinds`` pins ``[(type, kind)]`` per dataset instead of detecting them; ``sample`` shows first rows in the manifests."""
     if not source_id:
         raise ValueError("a source needs a non-empty id")
-    sources, tables = catalog(spark, root, "sources"), catalog(spark, root, "tables")
+    before = current(spark, root)
+    sources, tables = (catalog_at(spark, root, which, before) for which in ("sources", "tables"))
     known = not sources.filter(F.col("source_id") == source_id).isEmpty()
     if known and not rebuild:
         raise ValueError(f"{source_id!r} is cataloged already; rebuild_source replaces a source")
@@ -204,8 +212,6 @@ def _persist(
     others = tables.filter(F.col("source_id") != source_id)
     prefix = f"{identifier(source_id)}__"
     taken = [r.table_name for r in others.filter(F.col("table_name").startswith(prefix)).collect()]
-    mine = spark.createDataFrame([(source_id,)], "source_id string")
-    before = owned_state(spark, root, mine)
     names = distinct_names([prefix + identifier(d.name) for d in datasets], taken)
     frames = [spread(with_row(dataset.df)) for dataset in datasets]
     decided = _decide(spark, source_id, datasets, frames, kinds or {})
@@ -236,32 +242,36 @@ def new_token(spark: SparkSession, root: str) -> str:
     return f"{(_commits(spark, root) or [0])[-1] + 1:012d}-{uuid.uuid4().hex[:8]}"
 
 
-def owned_state(spark: SparkSession, root: str, ids: DataFrame) -> tuple:
-    """What the newest commit knows of the sources ``ids``, in a few numbers."""
-    known = [
-        catalog(spark, root, which).join(ids, "source_id", "left_semi").agg(F.count("*"), F.sum(F.xxhash64("source_id", column).cast("decimal(38,0)"))).first()
-        for which, column in (("sources", "content_checksum"), ("tables", "location"))
-    ]
-    return tuple(map(tuple, known))
+def _owned_state(spark: SparkSession, root: str, ids: DataFrame, entry: dict | None) -> list[tuple]:
+    """What a commit knows of the sources ``ids``, in a few numbers."""
+    known = {"sources": "content_checksum", "tables": "location"}
+    mine = {which: catalog_at(spark, root, which, entry).join(ids, "source_id", "left_semi") for which in known}
+    return [tuple(mine[which].agg(F.count("*"), F.sum(F.xxhash64("source_id", column).cast("decimal(38,0)"))).first()) for which, column in known.items()]
+
 
+def commit(spark: SparkSession, root: str, added: DataFrame, source: DataFrame, before: dict | None) -> None:
+    """Publish tables and their sources in place of all that these sources had, in one catalog.
 
-def commit(spark: SparkSession, root: str, added: DataFrame, source: DataFrame, before: tuple) -> None:
-    """Publish tables and their sources in place of all that these sources had, in one catalog."""
+    ``before`` is the commit that was the newest when the tables were named. What
+    other writers did to other sources since then is taken over.
+    """
     ids = source.select("source_id")
     while True:
-        number = (_commits(spark, root) or [0])[-1] + 1
-        others = catalog(spark, root, "tables").join(ids, "source_id", "left_anti")
-        if owned_state(spark, root, ids) != before:
-            raise RuntimeError(f"another writer stored {source.first().source_id!r} meanwhile")
-        if not others.join(added, "table_name", "left_semi").isEmpty():
-            raise RuntimeError(f"another writer took a table name of {source.first().source_id!r} meanwhile")
+        now = current(spark, root)
+        number = (now["number"] if now else 0) + 1
+        others = catalog_at(spark, root, "tables", now).join(ids, "source_id", "left_anti")
+        if now != before:
+            if _owned_state(spark, root, ids, now) != _owned_state(spark, root, ids, before):
+                raise RuntimeError(f"another writer stored {source.first().source_id!r} meanwhile")
+            if not others.join(added, "table_name", "left_semi").isEmpty():
+                raise RuntimeError(f"another writer took a table name of {source.first().source_id!r} meanwhile")
         where = f"catalog/c={number:012d}-{uuid.uuid4().hex[:8]}"
         others.unionByName(added).write.parquet(f"{root}/{where}/tables")
-        catalog(spark, root, "sources").join(ids, "source_id", "left_anti").unionByName(source).write.parquet(f"{root}/{where}/sources")
+        catalog_at(spark, root, "sources", now).join(ids, "source_id", "left_anti").unionByName(source).write.parquet(f"{root}/{where}/sources")
         try:
             return _publish(spark, root, number, {"number": number, "catalog": where, "source_id": source.first().source_id})
         except Py4JJavaError as error:
-            # Another writer was first. What it did to other sources is taken over; the data stays as written.
+            # Another writer was first; the data stays as written.
             if not error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
                 raise
 
