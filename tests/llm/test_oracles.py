@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_beside_its_sql(spark, name):
     oracle = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "conversations"):
+    for table in ("documents", "benchmark", "pages", "conversations", "labels", "embeddings"):
         oracle.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     problem, n_rows = compare(QUERIES[name](spark, SF), oracle, ORACLES[name])
     assert not problem and n_rows > 0
