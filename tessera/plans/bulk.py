@@ -23,7 +23,7 @@ from tessera.functions.temporal import iso_calendar_date, with_moments
 from tessera.operators.cells import ROW
 from tessera.operators.profile import normalized_text, nulled_examples, profile
 from tessera.plans.store import catalog, catalog_at, commit, current, new_token
-from tessera.session import checkpointed, small
+from tessera.session import checkpointed, small, spread
 
 #: Slot names by type.
 SLOTS = {"BIGINT": "l", "DOUBLE": "f", "BOOLEAN": "b", "DATE": "d", "TIMESTAMP": "t", "VARCHAR": "s"}
@@ -89,10 +89,11 @@ def _values(cells: DataFrame) -> DataFrame:
 
 def _write(spark, path: str, cells: DataFrame, columns: DataFrame, tables: DataFrame) -> None:
     placed = small(checkpointed(spark, columns.join(tables, DATASET).select(*DATASET, "pos", "type", "kind", "slot", "table_name")))
-    valued = _values(cells.join(placed, [*DATASET, "pos"]))
+    placed_cells = cells.join(placed, [*DATASET, "pos"]).select("table_name", ROW, "slot", "type", "kind", "text")
     # One shuffle: rows of a table lie together, those of a large one over many tasks,
     # and what is dealt out by ranges of (table, row) is grouped by them where it lies.
-    dealt = valued.select("table_name", ROW, "slot", "_value").repartitionByRange("table_name", ROW)
+    # Ranges are sampled first, so texts become values only once they are dealt out.
+    dealt = _values(placed_cells.repartitionByRange("table_name", ROW))
     rows = dealt.groupBy("table_name", ROW).agg(F.map_from_entries(F.collect_list(F.struct("slot", "_value"))).alias("_of"))
     widths = columns.groupBy(F.substring("slot", 1, 1).alias("letter")).agg(F.max(F.substring("slot", 2, 9).cast("int")).alias("last")).collect()
     slots = [(r.letter, n) for r in sorted(widths) for n in range(r.last + 1)]
@@ -113,6 +114,7 @@ def persist_many(spark: SparkSession, root: str, sources: DataFrame, cells: Data
     sources = checkpointed(spark, sources.select(*(F.col(c).cast("string").alias(c) for c in ("source_id", "source_resource", "summary_page", "content_checksum"))))
     before = current(spark, root)
     _check_sources(spark, root, sources, before, rebuild)
+    cells = spread(cells)
     columns = _columns(spark, cells)
     _stop(spark, columns.join(sources, "source_id", "left_anti"), "source_id", "hold cells and are not listed")
     tables = _tables(spark, root, columns, sources, before)
