@@ -87,7 +87,8 @@ def _once(spark, sf_dir, what, make):
 
 
 def pages(spark, sf_dir):
-    return _once(spark, sf_dir, "pages", lambda: run(spark, sf_dir, PAGES))
+    # Tables come in few splits and become pages of many times their size: pages are dealt out before they are read.
+    return _once(spark, sf_dir, "pages", lambda: run(spark, sf_dir, PAGES).repartition("path"))
 
 
 def parsed(spark, sf_dir):
