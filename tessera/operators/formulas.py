@@ -37,7 +37,7 @@ def formulas(cells: DataFrame, shape: DataFrame) -> DataFrame:
     A sheet that stores no row of its own is left out, formulas and all.
     """
     # Rows are stored exactly when some stored column has a cell.
-    kept = numeric_columns(shape).select("sheet").distinct()
+    kept = small(numeric_columns(shape).select("sheet").distinct())
     return (
         cells.filter("is_formula and value <> ''")
         .join(small(shape.select("sheet", "col", "label", "header_row")), ["sheet", "col"])
@@ -101,15 +101,17 @@ def formula_inputs(cells: DataFrame, shape: DataFrame | None = None) -> DataFram
     # The array of one binds the references, which are worked out once per formula.
     bound = F.transform(F.array("refs"), lambda refs: F.transform("stored", lambda entry: place(refs, entry)))
     placed = sheets.select("sheet", "col", "formula", F.explode(bound[0]).alias("x")).select("sheet", "col", "formula", "x.*").filter("ref_pos >= 0")
+    # Reference and column in one number, so that inputs are combined by hashing and not sorted.
+    packed = F.shiftleft("ref_pos", 32) + F.col("entry.col")
     return (
         placed.groupBy("sheet", "col", "formula", F.col("entry.label").alias("input"))
-        .agg(F.min(F.struct("ref_pos", F.col("entry.col").alias("input_col"))).alias("_first"))
+        .agg(F.min(packed).alias("_first"))
         .select(
             "sheet",
             "col",
             "formula",
             "input",
-            (F.col("_first.ref_pos") * 20000 + F.col("_first.input_col")).alias("first_use"),
+            (F.shiftright("_first", 32) * 20000 + F.col("_first").bitwiseAND(F.lit(0xFFFFFFFF))).alias("first_use"),
         )
     )
 

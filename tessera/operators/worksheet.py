@@ -27,16 +27,17 @@ def layout(cells: DataFrame) -> DataFrame:
     """
     filled = cells.filter(_filled())
     tops = filled.groupBy("sheet").agg(F.min("row").alias("header_row"), F.max("col").alias("last"))
+    # One row per sheet goes to the cells, which stay where they are.
+    tops = small(checkpointed(cells.sparkSession, tops))
+    placed = filled.join(tops.select("sheet", "header_row"), "sheet")
     below = F.col("row") > F.col("header_row")
-    columns = (
-        filled.join(tops, "sheet")
-        .groupBy("sheet", "col")
-        .agg(
-            F.max(F.when(~below, F.col("value"))).alias("label"),
-            F.coalesce(F.bool_or(below & F.col("is_formula")), F.lit(False)).alias("calculated"),
-            F.bool_and(F.when(below, F.col("value_type").isin("int", "float"))).alias("numeric"),
-        )
+    # Flags only, so that cells are combined by hashing; a text among them would have them all sorted.
+    flags = placed.groupBy("sheet", "col").agg(
+        F.coalesce(F.bool_or(below & F.col("is_formula")), F.lit(False)).alias("calculated"),
+        F.bool_and(F.when(below, F.col("value_type").isin("int", "float"))).alias("numeric"),
     )
+    labels = placed.filter(~below).groupBy("sheet", "col").agg(F.max("value").alias("label"))
+    columns = flags.join(labels, ["sheet", "col"], "left")
     every = tops.select("sheet", "header_row", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("col"))
     joined = every.join(columns, ["sheet", "col"], "left").select(
         "sheet",
