@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
-from tessera.session import checkpointed, small
+from tessera.session import checkpointed, reading, small
 from tessera.sources.files import default_separator, listing, source_path
 
 # Separators tried when the default gives ragged rows.
@@ -26,6 +26,11 @@ CANDIDATES = (",", ";", "\t", "|")
 
 MAX_COLUMNS = 20480
 
+#: Bytes of a split. The lines of a split lie in one task while they are stitched, and
+#: short lines take many times their bytes there.
+SPLIT = 2 << 20
+MAX_PARTITIONS = 20000
+
 
 def _unquoted(record: Column, sep: str) -> Column:
     """The record without its completed quoted fields."""
@@ -50,24 +55,12 @@ def _is_blank_record(record: Column, sep: str) -> Column:
     return record.rlike(f'\\A(?:"")?(?:{mark}(?:"")?)*+\\z')
 
 
-def _pinned(spark: SparkSession) -> SparkSession:
-    """A session whose files are cut into the same splits by every job.
-
-    Places in a file are told by split and row, in several jobs; settings that
-    change in between, or executors that come and go, must not move them.
-    """
-    pinned = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    key = "spark.sql.files.minPartitionNum"
-    pinned.conf.set(key, spark.conf.get(key, None) or spark.sparkContext.defaultParallelism)
-    return pinned
-
-
 def read_lines(spark: SparkSession, path: str | list[str], names: str = "*") -> DataFrame:
     """``[file, block, id, record]``; (block, id) is source order inside a file.
 
     The reader drops a byte order mark from the first line of a file.
     """
-    read = _pinned(spark).read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path)
+    read = reading(spark, SPLIT).read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path)
     lines = DataFrame(read._jdf, spark)
     return lines.select(
         source_path().alias("file"),
@@ -86,6 +79,9 @@ def stitch(lines: DataFrame, sep: str) -> tuple[DataFrame, DataFrame]:
 
     Such files have no records: what follows the quote is never regrouped.
     """
+    # Some partitions for each split: sizes left to the optimizer would put many splits into one task.
+    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    lines = lines.repartition(max(lines.sparkSession.sparkContext.defaultParallelism, min(-(-size // SPLIT), MAX_PARTITIONS)), "file", "block")
     quoted = F.col("record").contains('"')
     after_out = _leaves_open(F.col("record"), sep).cast("int")
     after_in = F.when(quoted, _leaves_open(F.concat(F.lit('"'), F.col("record")), sep).cast("int")).otherwise(1)
