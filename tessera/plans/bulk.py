@@ -1,9 +1,10 @@
 """Many tables of many sources in one write and one commit.
 
 All datasets travel as long cells. One job profiles them, one job puts the cells
-of each row together and writes every table into its own folder, and one commit
-adds all sources to the catalog, so the number of jobs does not depend on how
-many datasets there are.
+of each row together and writes all tables into one folder, in the order of tables
+and rows, and one commit adds all sources to the catalog, so neither the number of
+jobs nor that of files depends on how many datasets there are. A table is read from
+the few files, and row groups of these, whose range of tables holds it.
 
 A table is stored in slots, typed columns named by type and number (``l1`` is a
 table's second BIGINT), so tables of any shape share one write and stay typed:
@@ -22,7 +23,7 @@ from tessera.functions.normalize import SPARK_TYPES
 from tessera.functions.temporal import iso_calendar_date, with_moments
 from tessera.operators.cells import ROW
 from tessera.operators.profile import normalized_text, nulled_examples, profile
-from tessera.plans.store import catalog, catalog_at, commit, current, new_token
+from tessera.plans.store import TABLE, catalog, catalog_at, commit, current, new_token, stored_rows
 from tessera.session import checkpointed, small, spread
 
 #: Slot names by type.
@@ -98,7 +99,7 @@ def _write(spark, path: str, cells: DataFrame, columns: DataFrame, tables: DataF
     widths = columns.groupBy(F.substring("slot", 1, 1).alias("letter")).agg(F.max(F.substring("slot", 2, 9).cast("int")).alias("last")).collect()
     slots = [(r.letter, n) for r in sorted(widths) for n in range(r.last + 1)]
     shaped = rows.select(F.col("table_name").alias("table"), ROW, *(F.try_element_at("_of", F.lit(f"{x}{n}"))[x].alias(f"{x}{n}") for x, n in slots))
-    shaped.sortWithinPartitions("table", ROW).write.partitionBy("table").parquet(path)
+    shaped.sortWithinPartitions("table", ROW).write.parquet(path)
 
 
 def persist_many(spark: SparkSession, root: str, sources: DataFrame, cells: DataFrame, provenance: DataFrame | None = None, rebuild: bool = False) -> DataFrame:
@@ -139,7 +140,7 @@ def persist_many(spark: SparkSession, root: str, sources: DataFrame, cells: Data
         F.col("dataset").alias("dataset_name"),
         schema.alias("schema_json"),
         "row_count",
-        F.concat(F.lit(f"{location}/table="), "table_name").alias("location"),
+        F.concat(F.lit(location + TABLE), "table_name").alias("location"),
     )
     now = F.current_timestamp().cast("timestamp_ntz")
     added = checkpointed(spark, added.withColumn("updated_at", now))
@@ -147,6 +148,12 @@ def persist_many(spark: SparkSession, root: str, sources: DataFrame, cells: Data
     return columns.join(tables.drop("row_count"), DATASET).select("table_name", *DATASET, "pos", "label", "column", "type", "kind", "row_count", "normalized", "nulled")
 
 
+def together(spark: SparkSession, root: str, location: str, schema_json: str) -> DataFrame:
+    """The rows of all tables that lie beside the one at ``location`` and have its shape, under ``table_name``."""
+    rows = stored_rows(spark, root, location.rpartition(TABLE)[0] + TABLE, schema_json)
+    return rows.withColumnRenamed("_table", "table_name")
+
+
 def lost_examples(spark: SparkSession, cells: DataFrame, stored: DataFrame) -> DataFrame:
     """``source_id, dataset, label, rank, example``: the first texts of each stored column that became NULL."""
     labelled = cells.select(F.struct(*DATASET).alias("dataset"), "column", "text", "tag", ROW)
@@ -160,7 +167,7 @@ def many_first_rows(spark: SparkSession, root: str, names: DataFrame, n: int = 5
     ``names`` has a column ``table_name``.
     """
     entries = catalog(spark, root, "tables").join(names.select("table_name").distinct(), "table_name", "left_semi")
-    folder = F.substring_index("location", "/table=", 1)
+    folder = F.substring_index("location", TABLE, 1)
     entries = checkpointed(spark, entries.select("table_name", folder.alias("folder"), "schema_json"))
     folders = [r.folder for r in entries.select("folder").distinct().collect()]  # one for each bulk write
     out = None

@@ -178,7 +178,7 @@ def many(spark, sf_dir):
     # All tables have one shape, so the folder they lie in is one table as well.
     held = store.catalog(spark, root, "tables")
     first = held.first()
-    whole = store.stored_rows(spark, root, first.location.rpartition("/")[0], first.schema_json).select("pedido", "qtd", "data", "cep", F.regexp_extract("_metadata.file_path", "table=([^/]+)/", 1).alias("table_name"))
+    whole = bulk.together(spark, root, first.location, first.schema_json)
     return whole.groupBy("table_name").agg(
         F.count("*").alias("n_rows"), F.sum("pedido").alias("orders"), F.sum("qtd").alias("quantity"), F.min("data").alias("first_day"), F.max("cep").alias("last_code")
     ).join(held.select("table_name"), "table_name")

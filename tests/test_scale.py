@@ -1,10 +1,13 @@
 """Work that has to stay spread, small in memory or few in files, whatever the tables look like."""
+import re
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tessera.operators import formulas, worksheet
-from tessera.workload import wiki
+from tessera.plans import bulk, store
+from tessera.sources import delimited, files
+from tessera.workload import scans, wiki
 
 
 def plan_of(df) -> str:
@@ -48,3 +51,42 @@ def test_inputs_of_formulas_are_not_sorted(spark):
     found = formulas.formula_inputs(sheet(spark))
     assert [tuple(r) for r in found.collect()] == [("s", 2, "=A3*2", "Price", 1)]
     assert "SortAggregate" not in plan_of(formulas.formula_inputs(sheet(spark)))
+
+
+def test_files_are_written_by_more_than_one_task(spark):
+    rows = [(f"n{n}", "csv", "a,b\n1,2") for n in range(40)]
+    path = scans.export_files(spark, spark.createDataFrame(rows, "name string, extension string, body string").coalesce(1))
+    found = [p.name[:10] for p in Path(path).rglob("part-*.csv")]
+    assert len(found) == 40 and len(set(found)) > 4
+
+
+def test_tasks_do_not_grow_with_small_files(spark, tmp_path):
+    for n in range(2000):
+        (tmp_path / f"f{n}.txt").write_text("x")
+    assert files.listing(spark, str(tmp_path)).rdd.getNumPartitions() <= 9
+    listed = spark.range(4000).select(F.concat(F.lit("/none/f"), "id").alias("path"), F.lit(1).cast("bigint").alias("length"))
+    assert int(re.search(r"hashpartitioning\(path#\d+, node#\d+L?, (\d+)\)", plan_of(files.file_checksums(listed))).group(1)) <= 32
+
+
+def test_splits_of_lines_stay_small(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n" + ("x" * 98 + ",\n") * 240_000)
+    blocks = sorted(r.block for r in delimited.read_lines(spark, str(tmp_path)).select("block").distinct().collect())
+    assert len(blocks) > 8 and max(b - a for a, b in zip(blocks, blocks[1:])) <= 2 << 20
+
+
+def test_many_tables_take_few_files(spark, tmp_path):
+    cells = spark.range(300).select(
+        F.concat(F.lit("s"), "id").alias("source_id"), F.lit("d").alias("dataset"), F.lit(0).alias("pos"), F.lit("v").alias("column"),
+        F.col("id").cast("string").alias("text"), F.lit("int").alias("tag"), F.col("id").alias("_row"),
+    )
+    sources = cells.select("source_id", F.lit("r").alias("source_resource"), F.lit("p").alias("summary_page"), F.lit("c").alias("content_checksum"))
+    bulk.persist_many(spark, str(tmp_path), sources, cells)
+    assert len(list((tmp_path / "data").rglob("*.parquet"))) < 50
+    assert [tuple(r) for r in store.table(spark, str(tmp_path), "s7__d").select("v", "source_id").collect()] == [(7, "s7")]
+    assert store.table(spark, str(tmp_path), "s8__d").count() == 1
+
+
+def test_tables_in_folders_of_their_own_are_still_read(spark, tmp_path):
+    spark.sql("SELECT 'a__d' AS table, 0L AS _row, 5L AS l0 UNION ALL SELECT '12', 0L, 6L").write.partitionBy("table").parquet(f"{tmp_path}/data/many/c=1")
+    schema = '[{"name": "v", "type": "BIGINT", "slot": "l0"}]'
+    assert [tuple(r) for r in store.stored_rows(spark, str(tmp_path), "data/many/c=1/table=12", schema).collect()] == [(6,)]
