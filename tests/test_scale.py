@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tessera.functions import temporal
 from tessera.operators import formulas, worksheet
 from tessera.plans import bulk, store
 from tessera.sources import delimited, files
@@ -90,3 +91,17 @@ def test_tables_in_folders_of_their_own_are_still_read(spark, tmp_path):
     spark.sql("SELECT 'a__d' AS table, 0L AS _row, 5L AS l0 UNION ALL SELECT '12', 0L, 6L").write.partitionBy("table").parquet(f"{tmp_path}/data/many/c=1")
     schema = '[{"name": "v", "type": "BIGINT", "slot": "l0"}]'
     assert [tuple(r) for r in store.stored_rows(spark, str(tmp_path), "data/many/c=1/table=12", schema).collect()] == [(6,)]
+
+
+def test_numbers_do_not_reach_the_date_expression(spark):
+    texts = ["123", "12.5", "20240131", "-1.0", "31/01/2024", " 5 de maio de 2024", "2024-1-5", "1.2.24.", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", temporal._pieces(F.col("t")).isNotNull().alias("tried"), temporal.parse_timestamp(F.col("t")).isNotNull().alias("dated"))
+    assert {r.t for r in df.collect() if r.tried} == {r.t for r in df.collect() if r.dated} == set(texts[4:8])
+
+
+def test_a_sample_is_cut_where_rows_are_read(spark, tmp_path, monkeypatch):
+    cut = []
+    monkeypatch.setattr(store, "first_rows", lambda df, keep=store.first_rows: cut.append(plan_of(df)) or keep(df))
+    found = store.persist_source(spark, str(tmp_path), "s", "r", "p", [store.Dataset("d", spark.range(20, numPartitions=1))], checksum="1")
+    assert [r["id"] for r in found[0].sample] == [0, 1, 2, 3, 4]
+    assert cut and not [plan for plan in cut if "Exchange" in plan]
