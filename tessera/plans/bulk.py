@@ -1,10 +1,11 @@
 """Many tables of many sources in one write and one commit.
 
-All datasets travel as long cells. One job profiles them, one job puts the cells
-of each row together and writes all tables into one folder, in the order of tables
-and rows, and one commit adds all sources to the catalog, so neither the number of
-jobs nor that of files depends on how many datasets there are. A table is read from
-the few files, and row groups of these, whose range of tables holds it.
+All datasets come as long cells. One job packs the cells of a row that lie together,
+one profiles them, one deals the packed rows out and writes all tables into one
+folder, in the order of tables and rows, and one commit adds all sources to the
+catalog, so neither the number of jobs nor that of files depends on how many datasets
+there are. A table is read from the few files, and row groups of these, whose range of
+tables holds it.
 
 A table is stored in slots, typed columns named by type and number (``l1`` is a
 table's second BIGINT), so tables of any shape share one write and stay typed:
@@ -14,9 +15,15 @@ once. A row's place in its source is kept in ``_row``.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.naming import PROVENANCE, RESERVED, sanitize, unique_names
 from tessera.functions.normalize import SPARK_TYPES
@@ -24,11 +31,18 @@ from tessera.functions.temporal import iso_calendar_date, with_moments
 from tessera.operators.cells import ROW
 from tessera.operators.profile import normalized_text, nulled_examples, profile
 from tessera.plans.store import TABLE, catalog, catalog_at, commit, current, new_token, stored_rows
-from tessera.session import checkpointed, small, spread
+from tessera.session import checkpointed, reading, scratch, small
 
 #: Slot names by type.
 SLOTS = {"BIGINT": "l", "DOUBLE": "f", "BOOLEAN": "b", "DATE": "d", "TIMESTAMP": "t", "VARCHAR": "s"}
+LETTER_TYPES = {letter: type_ for type_, letter in SLOTS.items()}
 DATASET = ["source_id", "dataset"]
+#: What a packed row holds of each cell.
+CELL = ["pos", "column", "text", "tag"]
+#: Packed rows are written in row groups and read in splits of so many bytes, so that the rows of few tasks keep all cores
+#: busy. So many cells are dealt out to a task, at least and at most: what a task sorts stays in memory.
+GROUP, SPLIT = 1 << 20, 4 << 20
+FEWEST, MOST = 10_000, 2_000_000
 
 
 def _stop(spark: SparkSession, wrong: DataFrame, column: str, why: str) -> None:
@@ -48,6 +62,39 @@ def _check_sources(spark, root, sources: DataFrame, entry: dict | None, rebuild:
         _stop(spark, sources.join(known, "source_id", "left_semi"), "source_id", "are cataloged already")
 
 
+def _leaves(column: pa.Array) -> list[pa.Array]:
+    return [leaf for field in column.flatten() for leaf in _leaves(field)] if pa.types.is_struct(column.type) else [column]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's work: cells of one row that follow one another become one record."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in (*DATASET, ROW)]
+        begins = np.zeros(batch.num_rows, bool)
+        begins[0] = True
+        for leaf in (leaf for key in keys for leaf in _leaves(key)):
+            begins[1:] |= ~pc.fill_null(pc.equal(leaf[1:], leaf[:-1]), False).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(begins)
+        cells = pa.StructArray.from_arrays([batch.column(c) for c in CELL], CELL)
+        lists = pa.ListArray.from_arrays(pa.array([*at, batch.num_rows], pa.int32()), cells)
+        yield pa.RecordBatch.from_arrays([*(key.take(pa.array(at)) for key in keys), lists], [*DATASET, ROW, "cells"])
+
+
+def _packed(spark, cells: DataFrame) -> DataFrame:
+    """``source_id, dataset, _row, cells``: the cells, those of a row that lie together in one record, read from scratch files.
+
+    A row whose cells lie apart stays in several records.
+    """
+    cells = cells.select(*DATASET, ROW, *CELL)
+    one = T.StructType([T.StructField(c, cells.schema[c].dataType) for c in CELL])
+    kept = T.StructType([*(T.StructField(c, cells.schema[c].dataType) for c in (*DATASET, ROW)), T.StructField("cells", T.ArrayType(one))])
+    path = scratch(spark, "packed")
+    cells.mapInArrow(_runs, kept).write.mode("overwrite").option("parquet.block.size", GROUP).parquet(path)
+    return reading(spark, SPLIT).read.schema(kept).parquet(path)
+
+
 def _columns(spark, cells: DataFrame) -> DataFrame:
     """What becomes of every column: ``source_id, dataset, pos, label, column, type, kind, slot`` and its counts."""
     labelled = cells.select(F.struct("source_id", "dataset", "pos").alias("dataset"), "column", "text", "tag")
@@ -88,14 +135,26 @@ def _values(cells: DataFrame) -> DataFrame:
     return staged.withColumn("_value", F.struct(*(v.cast(SPARK_TYPES[t]).alias(SLOTS[t]) for t, v in value.items())))
 
 
-def _write(spark, path: str, cells: DataFrame, columns: DataFrame, tables: DataFrame) -> None:
-    placed = small(checkpointed(spark, columns.join(tables, DATASET).select(*DATASET, "pos", "type", "kind", "slot", "table_name")))
-    placed_cells = cells.join(placed, [*DATASET, "pos"]).select("table_name", ROW, "slot", "type", "kind", "text")
-    # One shuffle: rows of a table lie together, those of a large one over many tasks,
-    # and what is dealt out by ranges of (table, row) is grouped by them where it lies.
+def _write(spark, path: str, packed: DataFrame, columns: DataFrame, tables: DataFrame) -> None:
+    # One row for each dataset. A cell is told its slot and kind in one short text, the slot tells the type.
+    own = columns.where("pos IS NOT NULL").groupBy(*DATASET, "pos").agg(F.concat_ws(",", F.collect_list(F.concat_ws(" ", "slot", "kind"))).alias("to"))
+    own = own.groupBy(*DATASET).agg(F.array_sort(F.collect_list(F.struct("pos", "to"))).alias("own"))
+    own = own.join(tables, DATASET).select(*DATASET, "table_name", F.col("own.pos").alias("_pos"), F.col("own.to").alias("_to"))
+    rows = packed.select(*DATASET, ROW, F.col("cells.pos").alias("pos"), F.col("cells.text").alias("text"))
+    known = F.transform("pos", lambda p: F.try_element_at("_to", F.nullif(F.array_position("_pos", p), F.lit(0)).cast("int")))
+    to = F.when(F.col("pos") == F.col("_pos"), F.col("_to")).otherwise(known)  # most rows hold all columns
+    placed = rows.join(small(checkpointed(spark, own)), DATASET).select("table_name", ROW, to.alias("to"), "text")
+    # One shuffle of packed rows: rows of a table lie together, those of a large one over many
+    # tasks, and what is dealt out by ranges of (table, row) is grouped by them where it lies.
     # Ranges are sampled first, so texts become values only once they are dealt out.
-    dealt = _values(placed_cells.repartitionByRange("table_name", ROW))
-    rows = dealt.groupBy("table_name", ROW).agg(F.map_from_entries(F.collect_list(F.struct("slot", "_value"))).alias("_of"))
+    n_cells = columns.agg(F.sum("row_count")).first()[0]
+    tasks = max(1, -(-n_cells // MOST), min(2 * spark.sparkContext.defaultParallelism, n_cells // FEWEST))
+    dealt = placed.repartitionByRange(tasks, "table_name", ROW)
+    cells = dealt.select("table_name", ROW, F.inline(F.arrays_zip("to", "text"))).select("table_name", ROW, F.explode(F.split("to", ",")).alias("to"), "text")
+    slot, kind = F.split_part("to", F.lit(" "), F.lit(1)), F.split_part("to", F.lit(" "), F.lit(2))
+    type_ = F.create_map(*(F.lit(x) for pair in LETTER_TYPES.items() for x in pair))[F.substring("to", 1, 1)]
+    valued = _values(cells.select("table_name", ROW, "text", slot.alias("slot"), F.nullif(kind, F.lit("")).alias("kind"), type_.alias("type")))
+    rows = valued.groupBy("table_name", ROW).agg(F.map_from_entries(F.collect_list(F.struct("slot", "_value"))).alias("_of"))
     widths = columns.groupBy(F.substring("slot", 1, 1).alias("letter")).agg(F.max(F.substring("slot", 2, 9).cast("int")).alias("last")).collect()
     slots = [(r.letter, n) for r in sorted(widths) for n in range(r.last + 1)]
     shaped = rows.select(F.col("table_name").alias("table"), ROW, *(F.try_element_at("_of", F.lit(f"{x}{n}"))[x].alias(f"{x}{n}") for x, n in slots))
@@ -115,13 +174,13 @@ def persist_many(spark: SparkSession, root: str, sources: DataFrame, cells: Data
     sources = checkpointed(spark, sources.select(*(F.col(c).cast("string").alias(c) for c in ("source_id", "source_resource", "summary_page", "content_checksum"))))
     before = current(spark, root)
     _check_sources(spark, root, sources, before, rebuild)
-    cells = spread(cells)
-    columns = _columns(spark, cells)
+    packed = _packed(spark, cells)
+    columns = _columns(spark, packed.select(*DATASET, F.inline("cells")))
     _stop(spark, columns.join(sources, "source_id", "left_anti"), "source_id", "hold cells and are not listed")
     tables = _tables(spark, root, columns, sources, before)
     location = f"data/many/c={new_token(spark, root)}"
     if not columns.isEmpty():
-        _write(spark, f"{root}/{location}", cells, columns, tables)
+        _write(spark, f"{root}/{location}", packed, columns, tables)
     page, section, sheet = (name for name, _ in PROVENANCE[1:])
     if provenance is None:
         provenance = tables.select(*DATASET).withColumns({page: F.lit(None).cast("bigint"), section: F.lit(None).cast("string"), sheet: F.lit(None).cast("string")})

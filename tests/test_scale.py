@@ -87,6 +87,26 @@ def test_many_tables_take_few_files(spark, tmp_path):
     assert store.table(spark, str(tmp_path), "s8__d").count() == 1
 
 
+def test_cells_of_a_row_move_together(spark, tmp_path, monkeypatch):
+    """Whether or not the columns fit a broadcast, and also if cells of a row lie apart, are missing or have no row."""
+    def cells(order):
+        return spark.sql(f"""SELECT 'a' AS source_id, 'd' AS dataset, p AS pos, 'c' || p AS column, CASE WHEN p = 1 THEN 'x' || r ELSE r || '' END AS text,
+            CASE p WHEN 1 THEN 'str' ELSE 'int' END AS tag, CASE WHEN r < 7 THEN struct(0L AS block, r AS id) END AS _row
+            FROM (SELECT id AS r, explode(array(0, 1, 2)) AS p FROM range(0, 8, 1, 1)) WHERE r <> p ORDER BY {order}""")
+
+    seen, keep = [], bulk._values
+    monkeypatch.setattr(bulk, "_values", lambda df: seen.append(plan_of(df)) or keep(df))
+    sources = spark.sql("SELECT 'a' AS source_id, 'r' AS source_resource, 'p' AS summary_page, 'c' AS content_checksum")
+    for n, (order, small) in enumerate([("r, p", bulk.small), ("p, r", lambda df: df)]):
+        monkeypatch.setattr(bulk, "small", small)
+        bulk.persist_many(spark, f"{tmp_path}/{n}", sources, cells(order))
+        found = {tuple(r)[:3] for r in store.table(spark, f"{tmp_path}/{n}", "a__d").collect()}
+        assert found == {(None if r == 0 else r, None if r == 1 else f"x{r}", None if r == 2 else r) for r in range(8)}
+    for plan in seen:
+        assert "Generate" in plan[: plan.index("Exchange")] and "Generate" not in plan[plan.index("Exchange"):]
+    assert bulk._packed(spark, cells("r, p").coalesce(1)).where("_row IS NOT NULL").count() == 7
+
+
 def test_tables_in_folders_of_their_own_are_still_read(spark, tmp_path):
     spark.sql("SELECT 'a__d' AS table, 0L AS _row, 5L AS l0 UNION ALL SELECT '12', 0L, 6L").write.partitionBy("table").parquet(f"{tmp_path}/data/many/c=1")
     schema = '[{"name": "v", "type": "BIGINT", "slot": "l0"}]'
