@@ -39,9 +39,10 @@ LETTER_TYPES = {letter: type_ for type_, letter in SLOTS.items()}
 DATASET = ["source_id", "dataset"]
 #: What a packed row holds of each cell.
 CELL = ["pos", "column", "text", "tag"]
-#: Packed rows are written in row groups and read in splits of so many bytes, so that the rows of few tasks keep all cores
-#: busy. So many cells are dealt out to a task, at least and at most: what a task sorts stays in memory.
-GROUP, SPLIT = 1 << 20, 4 << 20
+#: Packed rows are written in row groups of so many bytes and read in a few splits per core, so that the rows of few tasks
+#: keep all cores busy; large inputs in splits of so many bytes, as what is counted combines within a split. So many cells
+#: are dealt out to a task, at least and at most: what a task sorts stays in memory.
+GROUP, READ_BY, SPLIT = 1 << 20, 3, 64 << 20
 FEWEST, MOST = 10_000, 2_000_000
 
 
@@ -92,7 +93,9 @@ def _packed(spark, cells: DataFrame) -> DataFrame:
     kept = T.StructType([*(T.StructField(c, cells.schema[c].dataType) for c in (*DATASET, ROW)), T.StructField("cells", T.ArrayType(one))])
     path = scratch(spark, "packed")
     cells.mapInArrow(_runs, kept).write.mode("overwrite").option("parquet.block.size", GROUP).parquet(path)
-    return reading(spark, SPLIT).read.schema(kept).parquet(path)
+    pinned = reading(spark, SPLIT)
+    pinned.conf.set("spark.sql.files.minPartitionNum", READ_BY * spark.sparkContext.defaultParallelism)
+    return pinned.read.schema(kept).parquet(path)
 
 
 def _columns(spark, cells: DataFrame) -> DataFrame:
