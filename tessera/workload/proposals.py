@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators import candidates
 from tessera.operators.cells import melt
 from tessera.plans import bulk, onboard, store
-from tessera.session import checkpointed, scratch
+from tessera.session import checkpointed, counted, scratch, spread
 from tessera.sources import files
 from tessera.workload.inputs import run
 from tessera.workload.registry import query
@@ -138,7 +138,8 @@ def preview(spark, sf_dir):
 )
 def gate(spark, sf_dir):
     """Proposals, decisions, and what the store holds of the approved: counts, provenance and first rows are read from there."""
-    rows = checkpointed(spark, candidates.merged(candidates.pipe_tables(run(spark, sf_dir, BROKEN))))
+    spark = counted(spark)
+    rows = checkpointed(spark, candidates.merged(candidates.pipe_tables(spread(run(spark, sf_dir, BROKEN)))))
     proposed = checkpointed(spark, candidates.candidate_names(rows))
     approvals = proposed.filter("doc % 3 < 2").select("candidate", (F.col("doc") % 3 == 0).alias("approved"))
     sources, cells, provenance = candidates.approved_tables(proposed, rows, approvals)

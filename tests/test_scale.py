@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions import temporal
 from tessera.operators import formulas, worksheet
 from tessera.plans import bulk, store
+from tessera.session import counted
 from tessera.sources import delimited, files
-from tessera.workload import scans, wiki
+from tessera.workload import proposals, scans, wiki
 
 
 def plan_of(df) -> str:
@@ -125,3 +126,26 @@ def test_a_sample_is_cut_where_rows_are_read(spark, tmp_path, monkeypatch):
     found = store.persist_source(spark, str(tmp_path), "s", "r", "p", [store.Dataset("d", spark.range(20, numPartitions=1))], checksum="1")
     assert [r["id"] for r in found[0].sample] == [0, 1, 2, 3, 4]
     assert cut and not [plan for plan in cut if "Exchange" in plan]
+
+
+def test_what_a_small_file_becomes_is_not_broadcast_unmeasured(spark, tmp_path, monkeypatch):
+    """Rows of text and cells taken from a table of little bytes, all of whose documents become tables."""
+    spark.sql("SELECT id AS p_partkey, 'n' || id AS p_name, 'Brand#' || id % 3 AS p_brand, 'T' AS p_type, 1.5D AS p_retailprice FROM range(0, 30, 1, 1)").write.parquet(f"{tmp_path}/part.parquet")
+    seen = recorded(monkeypatch, proposals)
+    monkeypatch.setattr(bulk, "persist_many", lambda spark, root, sources, cells, *rest, keep=bulk.persist_many: seen.extend(map(plan_of, (sources, cells, *rest))) or keep(spark, root, sources, cells, *rest))
+    found = proposals.gate(spark, str(tmp_path))
+    assert not [plan for plan in [*seen, plan_of(found)] if "BroadcastExchange" in plan]
+    assert "REPARTITION_BY_NUM" in seen[0]  # texts of one split are taken apart by all cores
+    rows = sorted(tuple(r) for r in found.collect())
+    assert len(rows) == 30 and rows[3] == (3, "approved", 3, "document_3__lista_de_brand_0", "lines 4-9", "n3 | 3\nT | 03\nBrand#0 | 1.50") and rows[4][1:] == ("rejected", None, None, None, None)
+
+
+def test_a_side_is_broadcast_by_the_bytes_it_has(spark):
+    own = counted(spark)
+    joined = own.range(1000).join(own.range(10), "id")
+    assert "Broadcast" not in plan_of(joined)
+    assert joined.count() == 10
+    ran = joined.groupBy("id").count()
+    ran.collect()
+    assert "BroadcastHashJoin" in plan_of(ran)
+    assert counted(own).conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
