@@ -47,7 +47,7 @@ def route(spark: SparkSession, path: str, raw_root: str | None = None, worksheet
     cells = spark.createDataFrame([], f"file string, dataset string, pos int, column string, text string, tag string, {ROW} struct<block:bigint,id:bigint>, sheet string")
     found = spark.createDataFrame([], "file string, read string, n_rows bigint, detail string")
     if not files.where("inside AND reader = 'delimited'").isEmpty():
-        read, scanned = read_cells(spark, path, sep, DELIMITED)
+        read, scanned = read_cells(spark, path, sep, DELIMITED, files.where("reader = 'delimited'"))
         doubled = duplicate_headers(header_labels(scanned.withColumn("status", F.when(F.col("status") == "duplicate header", "complete").otherwise(F.col("status")))))
         first = doubled.groupBy("file").agg(F.min(F.struct("first_pos", "last_pos", "label")).alias("d"))
         why = F.format_string("%s at columns %d and %d", "d.label", "d.first_pos", "d.last_pos")

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import ROW
-from tessera.session import checkpointed, reading, small
+from tessera.session import OPEN_COST, checkpointed, reading, small
 from tessera.sources.files import default_separator, listing, source_path
 
 # Separators tried when the default gives ragged rows.
@@ -152,15 +152,22 @@ def _by_separator(sep: Column, rule) -> Column:
     return result
 
 
+#: Lines that are kept lie in so many tasks per core, at least.
+READ_BY = 3
+
+#: A file may be read under several separators; what is known of it is known for each.
+READ = ["file", "sep"]
+
+
 def _measure(records: DataFrame) -> DataFrame:
-    """One row per file: first filled record, record count, widths, open quotes."""
+    """One row per file and separator: first filled record, record count, widths, open quotes."""
     record, sep = F.col("record"), F.col("sep")
     filled = ~_by_separator(sep, lambda c: _is_blank_record(record, c))
     width = _by_separator(sep, lambda c: _width(record, c))
     opens = _by_separator(sep, lambda c: _leaves_open(record, c))
     marked = records.withColumns({"_filled": filled, "_width": width, "_opens": opens})
     counted = F.when(F.col("_filled"), F.col("_width"))
-    return marked.groupBy("file").agg(
+    return marked.groupBy(*READ).agg(
         F.min(F.when(F.col("_filled"), F.struct("block", "id", "record"))).alias("head"),
         F.count_if("_filled").alias("n_records"),
         F.min(counted).alias("low"),
@@ -180,58 +187,59 @@ class Scan:
 
 
 def _settle(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of ``lines`` (with the separator of their file) and what they measure per file.
+    """Records of ``lines`` (with a separator of their file) and what they measure per file and separator.
 
     Only files with a quoted line break are stitched.
     """
     measured = checkpointed(spark, _measure(lines)).withColumn("unclosed", F.lit(False))
-    broken = measured.filter("spans").select("file")
-    seps = [row.sep for row in lines.join(broken, "file", "left_semi").select("sep").distinct().collect()] if not broken.isEmpty() else []
+    broken = measured.filter("spans").select(*READ)
+    seps = [row.sep for row in broken.select("sep").distinct().collect()]
     if not seps:
         return lines, measured
-    parts, facts = [lines.join(broken, "file", "left_anti")], [measured.filter("not spans")]
+    parts, facts = [lines.join(broken, READ, "left_anti")], [measured.filter("not spans")]
     for sep in seps:
-        own = lines.join(broken, "file", "left_semi").filter(F.col("sep") == sep).drop("sep")
+        own = lines.filter(F.col("sep") == sep).join(broken, READ, "left_semi").drop("sep")
         records, unclosed = stitch(own, sep)
         parts.append(records.withColumn("sep", F.lit(sep)))
         facts.append(_measure(parts[-1]).withColumn("unclosed", F.lit(False)))
-        facts.append(unclosed.withColumn("unclosed", F.lit(True)))
+        facts.append(unclosed.withColumns({"sep": F.lit(sep), "unclosed": F.lit(True)}))
     together = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts)
     return reduce(DataFrame.unionByName, parts), checkpointed(spark, together)
 
 
-def scan(spark: SparkSession, path: str | list[str], sep: str | None = None, names: str = "*") -> Scan:
+def scan(spark: SparkSession, path: str | list[str], sep: str | None = None, names: str = "*", files: DataFrame | None = None) -> Scan:
     """Records and ``[file, sep, header, n_rows, width, status]``.
 
     A file whose rows all have the width of its header is ``complete``. Any other
     is read again, from its lines on, under each of the other separators, and
     accepted if one of them gives a constant width of at least two; otherwise it
-    is ``malformed``, or has an ``unclosed quote``.
+    is ``malformed``, or has an ``unclosed quote``. ``files`` (file, length) that were
+    listed before, all those of these ``names``, are not listed again; if to open them takes
+    longer than to read their bytes, they are opened once and their lines kept.
     """
-    files = listing(spark, path, names).select(F.col("path").alias("file"))
-    default = F.lit(sep) if sep else default_separator(F.col("file"))
     lines = read_lines(spark, path, names)
+    if files is None:
+        files = listing(spark, path, names).select(F.col("path").alias("file"))
+    else:
+        n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if size < n * OPEN_COST:
+            lines = checkpointed(spark, lines).coalesce(max(READ_BY * spark.sparkContext.defaultParallelism, size // SPLIT))
+    default = F.lit(sep) if sep else default_separator(F.col("file"))
     records, measured = _settle(spark, lines.withColumn("sep", default))
     constant = (F.col("low") == F.col("high")) & ~F.col("unclosed")
     measured = measured.withColumn("use", F.when(constant, default))
     ragged = measured.filter("use IS NULL AND (unclosed OR head IS NOT NULL)").select("file")
     if not ragged.isEmpty():
-        again = lines.join(small(ragged), "file", "left_semi")
-        tries = {c: _settle(spark, again.withColumn("sep", F.lit(c))) for c in CANDIDATES}
-        regular = [
-            facts.filter(constant & (F.col("low") >= 2)).withColumns({"use": F.lit(c), "_prefer": F.lit(-n)})
-            for n, (c, (_, facts)) in enumerate(tries.items())
-        ]
-        rank = W.partitionBy("file").orderBy(F.col("low").desc(), F.col("_prefer").desc())
-        options = reduce(DataFrame.unionByName, regular).withColumn("_rank", F.row_number().over(rank))
-        best = checkpointed(spark, options.filter("_rank = 1").drop("_rank", "_prefer"))
+        # One reading under all separators.
+        again = lines.join(small(ragged), "file", "left_semi").withColumn("sep", F.explode(F.array(*map(F.lit, CANDIDATES))))
+        tried, facts = _settle(spark, again)
+        regular = facts.filter(constant & (F.col("low") >= 2)).withColumn("use", F.col("sep"))
+        prefer = F.array_position(F.array(*map(F.lit, CANDIDATES)), F.col("sep"))
+        options = regular.withColumn("_rank", F.row_number().over(W.partitionBy("file").orderBy(F.col("low").desc(), prefer)))
+        best = checkpointed(spark, options.filter("_rank = 1").drop("_rank"))
         measured = measured.join(best, "file", "left_anti").unionByName(best)
-        records = reduce(
-            DataFrame.unionByName,
-            [records.join(small(best.select("file")), "file", "left_anti")]
-            + [tries[c][0].join(small(best.filter(F.col("use") == c).select("file")), "file", "left_semi") for c in CANDIDATES],
-        )
-    status = files.join(measured, "file", "left").select(
+        records = records.join(small(best.select("file")), "file", "left_anti").unionByName(tried.join(small(best.select(*READ)), READ, "left_semi"))
+    status = files.select("file").join(measured.drop("sep"), "file", "left").select(
         "file",
         F.col("use").alias("sep"),
         F.col("head.record").alias("header"),
@@ -281,13 +289,14 @@ def header_labels(status: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_cells(spark: SparkSession, path: str | list[str], sep: str | None = None, names: str = "*"):
+def read_cells(spark: SparkSession, path: str | list[str], sep: str | None = None, names: str = "*", files: DataFrame | None = None):
     """``(cells, status)`` of files with any mixture of headers, as one job.
 
     ``cells[dataset, pos, column, text, tag, _row]``; the dataset of a cell is
     its file. Rows without any content are dropped and empty cells are NULL.
+    ``files`` are those of :func:`scan`.
     """
-    found = scan(spark, path, sep, names)
+    found = scan(spark, path, sep, names, files)
     labels = header_labels(found.status)
     doubled = duplicate_headers(labels).select("file").distinct().withColumn("_twice", F.lit(True))
     status = found.status.join(doubled, "file", "left").withColumn(
@@ -299,32 +308,31 @@ def read_cells(spark: SparkSession, path: str | list[str], sep: str | None = Non
     )
     rows = found.records.join(small(checkpointed(spark, good.join(names, "file"))), "file")
     rows = rows.filter(F.struct("block", "id") != F.col("head"))
-    parts = []
     shapes = good.groupBy("use").agg(F.max("width").alias("width")).collect()
-    for shape in shapes:
-        record = F.col("record")
-        part = rows.filter((F.col("use") == shape.use) & ~_is_blank_record(record, shape.use))
-        values = F.slice(_fields(record, shape.use, shape.width), F.lit(1), F.col("width"))
-        parts.append(
-            part.select(
-                F.col("file").alias("dataset"),
-                F.struct("block", "id").alias(ROW),
-                "names",
-                F.posexplode(values).alias("pos", "text"),
-            ).select(
-                "dataset",
-                "pos",
-                F.get("names", F.col("pos")).alias("column"),
-                "text",
-                F.when(F.col("text").isNull(), "null").otherwise("str").alias("tag"),
-                ROW,
-            )
-        )
-    if not parts:
+    if not shapes:
         row = "struct<block:bigint,id:bigint>"
         empty = f"dataset string, pos int, column string, text string, tag string, {ROW} {row}"
         return spark.createDataFrame([], empty), status
-    return reduce(DataFrame.unionByName, parts), status
+    # Files of all separators in one reading.
+    record, values, blank = F.col("record"), F.lit(None), F.lit(None)
+    for shape in shapes:
+        own = F.col("use") == shape.use
+        values = F.when(own, F.slice(_fields(record, shape.use, shape.width), F.lit(1), F.col("width"))).otherwise(values)
+        blank = F.when(own, _is_blank_record(record, shape.use)).otherwise(blank)
+    cells = rows.filter(~blank).select(
+        F.col("file").alias("dataset"),
+        F.struct("block", "id").alias(ROW),
+        "names",
+        F.posexplode(values).alias("pos", "text"),
+    ).select(
+        "dataset",
+        "pos",
+        F.get("names", F.col("pos")).alias("column"),
+        "text",
+        F.when(F.col("text").isNull(), "null").otherwise("str").alias("tag"),
+        ROW,
+    )
+    return cells, status
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None = None, found: Scan | None = None):

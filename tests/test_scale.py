@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import temporal
 from tessera.operators import formulas, worksheet
-from tessera.plans import bulk, store
+from tessera.plans import bulk, onboard, store
 from tessera.session import counted
 from tessera.sources import delimited, files
 from tessera.workload import proposals, scans, wiki
@@ -149,3 +149,41 @@ def test_a_side_is_broadcast_by_the_bytes_it_has(spark):
     ran.collect()
     assert "BroadcastHashJoin" in plan_of(ran)
     assert counted(own).conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_files_are_listed_and_opened_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("k,v\n1,\"x, y\"\n")
+    (tmp_path / "b.csv").write_text("k;v\n1,5;2\n3;\"4\n5\"\n")
+    (tmp_path / "c.tsv").write_text("k\tv\n1\t2\n")
+    (tmp_path / "d.csv").write_text("k,v\n1\n2,3,4\n")
+    (tmp_path / "e.csv").write_text("k,v\n1,\"open\n2,3\n")
+    (tmp_path / "f.csv").write_text("k,v\n1,\"2\n3\"\n")
+    read, listed = recorded(monkeypatch, delimited), []
+    monkeypatch.setattr(delimited, "listing", lambda *given, keep=delimited.listing: listed.append(given) or keep(*given))
+    routed = onboard.route(spark, str(tmp_path))
+    assert {(r.file[-5:], r.status, r.n_rows) for r in routed.status.collect()} == {
+        ("a.csv", "complete", 1), ("b.csv", "complete", 2), ("c.tsv", "complete", 1), ("d.csv", "malformed", 2), ("e.csv", "unclosed quote", 0), ("f.csv", "complete", 1)
+    }
+    assert {(r.file[-5:], r.pos, r.column, r.text) for r in routed.cells.collect()} == {
+        ("a.csv", 0, "k", "1"), ("a.csv", 1, "v", "x, y"), ("b.csv", 0, "k", "1,5"), ("b.csv", 1, "v", "2"), ("b.csv", 0, "k", "3"), ("b.csv", 1, "v", "4\n5"),
+        ("c.tsv", 0, "k", "1"), ("c.tsv", 1, "v", "2"), ("f.csv", 0, "k", "1"), ("f.csv", 1, "v", "2\n3"),
+    }
+    assert not listed and len([plan for plan in read if "FileScan text" in plan]) == 1 and "FileScan text" not in plan_of(routed.cells)
+
+
+def test_lines_of_a_large_file_are_not_kept_and_tried_in_one_reading(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("k;v\n" + "1,5;x\n1;2\n" * 5000)
+    read = recorded(monkeypatch, delimited)
+    cells, status = delimited.read_cells(spark, str(tmp_path), files=files.listing(spark, str(tmp_path)).withColumnRenamed("path", "file"))
+    assert [(r.sep, r.status, r.n_rows) for r in status.collect()] == [(";", "complete", 10_000)] and cells.count() == 20_000
+    assert len([plan for plan in read if "FileScan text" in plan]) == 2
+
+
+def test_files_are_written_as_they_are_and_without_a_process_each(spark):
+    rows = [("a", "csv", "x,y\n\n1, 2 "), ("a", "tsv", ""), ("a", "csv", "x,y\n\n1, 2 "), ("b c=1%", "csv", "é\"\\\r"), (None, "txt", "n"), ("z", "csv", None), ("z", "pdf", "no"), ("z", None, "no")]
+    path = scans.export_files(spark, spark.createDataFrame(rows, "name string, extension string, body string"))
+    found = {(p.parent.name, p.suffix): p.read_bytes().decode() for p in Path(re.sub("^file:", "", path)).rglob("part-*")}
+    assert found == {("name=a", ".csv"): "x,y\nx,y\n\n\n1, 2 \n1, 2 \n", ("name=a", ".tsv"): "\n", ("name=b c%3D1%25", ".csv"): "é\"\\\r\n", ("name=__HIVE_DEFAULT_PARTITION__", ".txt"): "n\n"}
+    assert not list(Path(re.sub("^file:", "", path)).rglob(".*"))  # Spark's writer makes two files for one, with a process for the mode of each
+    assert {r.path.rsplit("/", 2)[1] for r in files.listing(spark, path).collect()} == {"name=a", "name=b c%3D1%25", "name=__HIVE_DEFAULT_PARTITION__"}
+    assert Path(re.sub("^file:", "", scans.export_files(spark, spark.createDataFrame(rows[-1:], "name string, extension string, body string")))).is_dir()
