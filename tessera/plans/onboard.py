@@ -31,16 +31,19 @@ class Routed:
     status: DataFrame
 
 
-def route(spark: SparkSession, path: str, raw_root: str | None = None, worksheets: DataFrame | None = None, sep: str | None = None) -> Routed:
+def route(spark: SparkSession, path: str, raw_root: str | None = None, worksheets: DataFrame | None = None, sep: str | None = None, listed: DataFrame | None = None) -> Routed:
     """Every file below ``path`` to its reader, from one listing.
 
+    A listing of ``path`` that was made and kept before may come as ``listed`` (path, length).
+
     Delimited files are scanned together, whatever their headers. Workbooks come
     as cells in ``worksheets`` (file, sheet, row, col, value, value_type,
     is_formula); one without cells there is ``unread``. Files outside ``raw_root``
     are ``outside``, those nothing reads ``unsupported``, and those without a row
     of content ``non-tabular``. ``detail`` names a doubled label and its places.
     """
-    files = listing(spark, path).select(F.col("path").alias("file"), "length", reader_for(F.col("path")).alias("reader"))
+    found = listing(spark, path) if listed is None else listed
+    files = found.select(F.col("path").alias("file"), "length", reader_for(F.col("path")).alias("reader"))
     # A folder named without a scheme is one of the file system the files are in.
     place = F.col("file") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", raw_root or "") else F.regexp_replace("file", SCHEME, "")
     files = checkpointed(spark, files.withColumn("inside", is_contained(place, raw_root) if raw_root else F.lit(True)))
@@ -84,14 +87,15 @@ def route(spark: SparkSession, path: str, raw_root: str | None = None, worksheet
     return Routed(cells.join(told.where("status = 'complete'").select("file"), "file", "left_semi").select(cells.columns), told)
 
 
-def onboard(spark: SparkSession, root: str, path: str, raw_root: str | None = None, worksheets: DataFrame | None = None, decisions: DataFrame | None = None, sep: str | None = None) -> DataFrame:
+def onboard(spark: SparkSession, root: str, path: str, raw_root: str | None = None, worksheets: DataFrame | None = None, decisions: DataFrame | None = None, sep: str | None = None, listed: DataFrame | None = None) -> DataFrame:
     """Store all readable files below ``path`` as sources of the store, in one write and one commit.
 
     Returns ``[file, reader, status, n_rows, detail, source_id, n_tables]``. A file
     is a source under its path below the folder. With ``decisions`` (file,
     approved) only approved files are stored; others are ``rejected`` or ``pending``.
+    ``listed`` is that of :func:`route`.
     """
-    routed = route(spark, path, raw_root, worksheets, sep)
+    routed = route(spark, path, raw_root, worksheets, sep, listed)
     plain = [F.regexp_replace(resolved(c), SCHEME, "") for c in (F.col("file"), F.lit(path))]
     inner = plain[0].substr(F.length(plain[1]) + 2, F.length(plain[0]))
     status = routed.status

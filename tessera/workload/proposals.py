@@ -194,10 +194,11 @@ def many(spark, sf_dir):
 def statuses(spark, sf_dir):
     """A folder of mixed files, read, decided on and stored: what became of each source."""
     path = export_files(spark, run(spark, sf_dir, MIXED))
-    listed = files.listing(spark, path).select(F.col("path").alias("file"), F.regexp_extract("path", "name=f([0-9]+)/", 1).try_cast("bigint").alias("k"))
-    decisions = listed.where("k % 3 < 2").select("file", (F.col("k") % 3 == 0).alias("approved"))
+    listed = checkpointed(spark, files.listing(spark, path).select("path", "length"))
+    keyed = listed.select(F.col("path").alias("file"), F.regexp_extract("path", "name=f([0-9]+)/", 1).try_cast("bigint").alias("k"))
+    decisions = keyed.where("k % 3 < 2").select("file", (F.col("k") % 3 == 0).alias("approved"))
     root = scratch(spark, "store")
-    told = onboard.onboard(spark, root, path, decisions=decisions).where("file LIKE '%name=%'")
+    told = onboard.onboard(spark, root, path, decisions=decisions, listed=listed).where("file LIKE '%name=%'")
     held = store.catalog(spark, root, "sources").select("source_id", F.lit(1).alias("held"))
     counted = told.join(held, "source_id", "left")
     return counted.groupBy("status").agg(F.count("*").alias("n_sources"), F.sum(F.when(F.col("held") == 1, F.col("n_tables")).otherwise(F.lit(0))).alias("n_tables"))
